@@ -4,18 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import exact_dedup
+from quillmill.llm import bpe, exact_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    location = token_files.write(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
+    return token_files.checksums(spark, location)
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_token_files": op10_token_files,
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
