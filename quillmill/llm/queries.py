@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import bpe, embedding_dedup, exact_dedup, simhash, token_files
+from quillmill.llm import bpe, chat_format, embedding_dedup, exact_dedup, license_scan, mixing, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.query(_table(spark, sf_dir, "conversations"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,15 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No source is shown more than three times for each time that the largest is shown."""
+    return mixing.mixture(_table(spark, sf_dir, "documents"), repeat=3.0)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -40,8 +53,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_chat_format": op3_chat_format,
     "op5_simhash": op5_simhash,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_license_scan": op8_license_scan,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_token_files": op10_token_files,
 }
@@ -57,4 +73,38 @@ ORACLE_SQL = {
                    count(*) OVER (PARTITION BY text_sha256) AS group_size
             FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op3_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+            FROM conversations),
+        s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+        p AS (
+            SELECT t.*, speaker, turn // 64 AS part, text || '<|end|>' || chr(10) AS body,
+                   '<|turn|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
+                                      ELSE 'user:' || role END || chr(10) AS head
+            FROM t JOIN s ON t.conv_id = s.conv_id),
+        q AS (
+            SELECT *, row_number() OVER w AS n, CAST(sum(length(head) + length(body)) OVER w AS BIGINT) AS fin FROM p
+            WINDOW w AS (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+        SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY n) AS text,
+               coalesce(string_agg(CASE WHEN role = speaker THEN (fin - length(body)) || '-' || fin END, ',' ORDER BY n), '') AS mask
+        FROM q GROUP BY conv_id, speaker, part""",
+    "op7_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS source,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) + 1 AS BIGINT) AS tokens
+            FROM documents),
+        s AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS total FROM d GROUP BY source),
+        a AS (SELECT max(total) AS most, least(1, ln(3.0) / ln(CAST(max(total) AS DOUBLE) / min(total))) AS e FROM s),
+        g AS (
+            SELECT source, total, CAST(round(pow(most, e) / pow(total, e) * total) AS BIGINT) AS goal FROM s, a),
+        b AS (SELECT greatest(1, ceil(sum(goal) / 1000000.0)) AS blocks FROM g),
+        x AS (
+            SELECT d.*, total, goal, k AS pass, md5('7:' || k || ':' || doc_id) AS order_key
+            FROM d JOIN g USING (source), LATERAL (SELECT unnest(range(0, goal // total + 1)) AS k) AS u),
+        y AS (
+            SELECT *, pass * total + sum(tokens) OVER (PARTITION BY source, pass ORDER BY order_key) AS fin FROM x)
+        SELECT doc_id, source, pass, CAST(floor(CAST(fin - tokens AS DOUBLE) / goal * blocks) AS BIGINT) AS block,
+               CAST(fin - tokens AS BIGINT) AS stream_start, tokens, order_key
+        FROM y, b WHERE fin <= goal""",
 }
