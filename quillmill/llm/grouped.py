@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch | pa.Table]:
-    """Each run of equal ``keys`` (integers without nulls) of two rows or more, as one batch or table.
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 2) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Each run of equal ``keys`` (integers without nulls) of ``least`` rows or more, as one batch or table.
 
     Rows of one group may lie in several batches; only the group at a batch's end is held.
     """
@@ -18,7 +18,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Re
     def joined() -> pa.Table | None:
         table = pa.Table.from_batches(held) if held else None
         held.clear()
-        return table if table is not None and table.num_rows > 1 else None
+        return table if table is not None and table.num_rows >= least else None
 
     last = None
     for batch in batches:
@@ -36,7 +36,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Re
                 held.append(batch.slice(a, b - a))
                 if (done := joined()) is not None:
                     yield done
-            elif b - a > 1:
+            elif b - a >= least:
                 yield batch.slice(a, b - a)
         held.append(batch.slice(at[-2]))
         last = [c[-1] for c in columns]

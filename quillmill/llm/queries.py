@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import bpe, chat_format, embedding_dedup, exact_dedup, license_scan, mixing, simhash, token_files
+from quillmill.llm import bpe, chat_format, embedding_dedup, exact_dedup, language_id, license_scan, lm_scoring, mixing, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.query(_table(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.query(_table(spark, sf_dir, "conversations"))
 
@@ -53,6 +61,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
+    "op4_language_id": op4_language_id,
     "op3_chat_format": op3_chat_format,
     "op5_simhash": op5_simhash,
     "op6_embedding_dedup": op6_embedding_dedup,
@@ -92,7 +102,8 @@ ORACLE_SQL = {
     "op7_mixing": r"""
         WITH d AS (
             SELECT doc_id, coalesce(source, '') AS source,
-                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) + 1 AS BIGINT) AS tokens
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) + 1 AS BIGINT) AS tokens
             FROM documents),
         s AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS total FROM d GROUP BY source),
         a AS (SELECT max(total) AS most, least(1, ln(3.0) / ln(CAST(max(total) AS DOUBLE) / min(total))) AS e FROM s),

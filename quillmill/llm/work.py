@@ -37,7 +37,7 @@ def put(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as a table and read again."""
     spark = df.sparkSession
     to = path(spark, tag)
-    df.write.parquet(to)
+    df.write.option("compression", "zstd").parquet(to)
     back = spark.read.schema(df.schema).parquet(to)
     back._quillmill_path = to
     return back
