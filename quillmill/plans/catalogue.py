@@ -1,6 +1,6 @@
 """All queries of the library and the SQL that checks them."""
 
-from quillmill.plans import finding_queries, metric_queries
+from quillmill.plans import finding_queries, graph_queries, metric_queries
 
-QUERIES = metric_queries.QUERIES | finding_queries.QUERIES
-ORACLE_SQL = metric_queries.ORACLE_SQL | finding_queries.ORACLE_SQL
+QUERIES = metric_queries.QUERIES | finding_queries.QUERIES | graph_queries.QUERIES
+ORACLE_SQL = metric_queries.ORACLE_SQL | finding_queries.ORACLE_SQL | graph_queries.ORACLE_SQL
