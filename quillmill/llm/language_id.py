@@ -2,8 +2,8 @@
 
 A text's features are its byte 2-, 3- and 4-grams (A-Z lower-cased, white space collapsed), hashed to ``BUCKETS``
 embeddings; the logits are a linear map of their average. Embeddings and map are trained by stochastic gradient descent
-in numpy, on windows spread over the texts of a bounded sample: about ``SAMPLE`` rows of each language, chosen by a hash
-of doc_id. A fifth of the sample is held back to fit the softmax's temperature and the bound of rejection, which is
+in numpy, on windows spread over the texts of a bounded sample: about ``SAMPLE`` rows of each of the ``LANGUAGES`` most frequent
+labels and ``SAMPLE_ALL`` in all, chosen by a hash of doc_id. A fifth of the sample is held back to fit the softmax's temperature and the bound of rejection, which is
 below every right answer seen there, so that clean texts stay.
 
 Whole texts are predicted, a megabyte at a time. A text that is null or has no letter is ``und`` with score 0 and is
@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS_LOG2, DIM, ORDERS = 16, 12, (2, 3, 4)
-#: Rows of a language in the sample (expected; ``LANGUAGES`` times as many at most), windows of a row, characters of a window.
-SAMPLE, LANGUAGES, WINDOWS, WINDOW = 1_200, 256, 4, 250
+#: Rows of a language in the sample and of all languages (expected; twice as many at most), windows of a row, characters of a window.
+SAMPLE, SAMPLE_ALL, LANGUAGES, WINDOWS, WINDOW = 1_200, 40_000, 256, 4, 250
 EPOCHS, RATE, STEP = 3, 0.5, 1 << 20
 
 
@@ -119,14 +119,14 @@ def sample(docs: DataFrame, learn: Column) -> list[tuple[str, list[str], bool]]:
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return []
-    share = F.lit(0.0)
+    each, share = min(SAMPLE, SAMPLE_ALL // len(counts)), F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, SAMPLE / n)).otherwise(share)
+        share = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     start = lambda k: (F.length("text") - WINDOW) * k / max(1, WINDOWS - 1) + 1
     windows = F.array(*[F.substring("text", F.greatest(F.lit(1), start(k).cast("int")), F.lit(WINDOW)) for k in range(WINDOWS)])
     rows = known.withColumn("share", share).withColumn("draw", draw).filter("draw < share").select("lang", "doc_id", windows.alias("windows"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE * len(counts))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * each * len(counts))
     return sorted((r["lang"], sorted(set(r["windows"])), r["doc_id"] % 5 == 0) for r in rows.collect())
 
 
