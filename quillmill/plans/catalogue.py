@@ -1,6 +1,7 @@
 """All queries of the library and the SQL that checks them."""
 
-from quillmill.plans import finding_queries, graph_queries, metric_queries
+from quillmill.plans import finding_queries, graph_queries, metric_queries, place_queries
 
-QUERIES = metric_queries.QUERIES | finding_queries.QUERIES | graph_queries.QUERIES
-ORACLE_SQL = metric_queries.ORACLE_SQL | finding_queries.ORACLE_SQL | graph_queries.ORACLE_SQL
+_MODULES = (metric_queries, finding_queries, graph_queries, place_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
