@@ -153,5 +153,13 @@ ORACLE_SQL = {
         SELECT doc_id, source, pass, CAST(floor(CAST(fin - tokens AS DOUBLE) / goal * blocks) AS BIGINT) AS block,
                CAST(fin - tokens AS BIGINT) AS stream_start, tokens, order_key
         FROM y, b WHERE fin <= goal""",
+    "op6_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+        w(node, reach) AS (SELECT vec_id, vec_id FROM v UNION SELECT node, b FROM w JOIN e ON reach = a),
+        c AS (SELECT node, min(reach) AS component_id FROM w GROUP BY node),
+        n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN c ON vec_id = node LEFT JOIN n ON vec_id = a""",
     "op8_license_scan": _licence_sql(),
 }
