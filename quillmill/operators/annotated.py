@@ -6,6 +6,8 @@ model is run here; whatever annotates texts writes these columns.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,17 +56,25 @@ def quiet_intensity(tokens: DataFrame) -> DataFrame:
     return with_heads(tokens).filter((F.col("dep") == "amod") & F.lower("lemma").isin(QUIET) & F.lower("head_lemma").isin(ABSTRACT)).select("doc_id", "sentence", "idx", "lemma", "head_lemma")
 
 
-def subtrees(tokens: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """(doc_id, sentence, root, idx) of all tokens below each root (doc_id, sentence, root), by rounds of one join."""
-    level = roots.select("doc_id", "sentence", "root", F.col("root").alias("idx"))
-    out = level
-    edges = tokens.select("doc_id", "sentence", F.col("idx").alias("child"), F.col("head").alias("idx")).filter("child <> idx")
-    for _ in range(depth):
-        level = level.join(edges, ["doc_id", "sentence", "idx"]).select("doc_id", "sentence", "root", F.col("child").alias("idx"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def _below(heads: pd.Series, root: pd.Series) -> pd.Series:
+    out = []
+    for own, r in zip(heads, root):
+        up = np.array(own)
+        up[r] = r
+        for _ in range(max(1, len(up)).bit_length()):
+            up = up[up]
+        out.append(np.flatnonzero(up == r))
+    return pd.Series(out)
+
+
+def subtrees(tokens: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, sentence, root, idx) of all tokens below each root (doc_id, sentence, root).
+
+    A sentence's heads come together as one array, as its tokens are numbered from 0 without gaps; there, pointers to heads are doubled.
+    """
+    heads = tokens.groupBy("doc_id", "sentence").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "head"))), lambda x: x["head"]).alias("heads"))
+    below = F.pandas_udf(_below, "array<long>")
+    return heads.join(roots, ["doc_id", "sentence"]).select("doc_id", "sentence", "root", F.explode(below("heads", "root")).alias("idx"))
 
 
 def simile_label(gain, is_cliche):

@@ -119,8 +119,8 @@ def _reviews(spark: SparkSession, d: str) -> DataFrame:
 
 def qa_final_text(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    translated = docs.select(F.col("doc_id").alias("paragraph_id"), F.substring("text", 1, 40).alias("translation"))
-    source = docs.filter("lang = 'en'").select(F.col("doc_id").alias("paragraph_id"), F.substring("text", 1, 20).alias("source_text"))
+    translated = docs.select(F.col("doc_id").alias("paragraph_id"), F.col("text").alias("translation"))
+    source = docs.filter("lang = 'en'").select(F.col("doc_id").alias("paragraph_id"), F.concat(F.lit("source: "), "text").alias("source_text"))
     return review.final_texts(translated, source, _reviews(spark, d))
 
 
@@ -229,7 +229,7 @@ ORACLE_SQL = {
                    CAST(greatest(0, least(5, quality * 7)) AS INTEGER) AS grammar, CAST(greatest(0, least(5, 5 - toxic)) AS INTEGER) AS voice FROM labels)""",
     "qa_final_text": """
         WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'minor_rewrite' ELSE 'major_rewrite' END AS decision, CASE WHEN doc_id % 2 = 0 THEN 'revised ' || doc_id ELSE '' END AS revised FROM labels),
-        t AS (SELECT doc_id, substring(text, 1, 40) AS translation, CASE WHEN lang = 'en' THEN substring(text, 1, 20) ELSE '' END AS source_text FROM documents)
+        t AS (SELECT doc_id, text AS translation, CASE WHEN lang = 'en' THEN 'source: ' || text ELSE '' END AS source_text FROM documents)
         SELECT doc_id AS paragraph_id, source_text, coalesce(decision, 'missing') AS decision,
                CASE WHEN decision IN ('minor_rewrite', 'major_rewrite') THEN CASE WHEN revised <> '' THEN revised ELSE trim(translation) END ELSE translation END AS final_text
         FROM t LEFT JOIN r USING (doc_id)""",
