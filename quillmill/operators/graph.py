@@ -110,12 +110,16 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best Indel ratio of the shorter text with a window of its size, also cut by an end, in the longer."""
+    """The best Indel ratio of the shorter text with a window of its size, also cut by an end, in the longer.
+
+    Of texts of one size either may be the shorter.
+    """
     short, long_ = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long_ else 0.0
     n = len(short)
-    return max(indel_ratio(short, long_[max(0, i) : i + n]) for i in range(1 - n, len(long_)))
+    best = lambda x, y: max(indel_ratio(x, y[max(0, i) : i + n]) for i in range(1 - n, len(y)))
+    return max(best(short, long_), best(long_, short)) if n == len(long_) else best(short, long_)
 
 
 def fuzzy_resolution(mentions: DataFrame, entities: DataFrame, threshold: float = 0.85, block: int = 2_000) -> DataFrame:
