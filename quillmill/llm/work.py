@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -49,6 +50,20 @@ def drop(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table._quillmill_path)
 
 
+#: Ids of which a hash table is sent to every executor: some tens of MB at most.
+FEW = 1_000_000
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """A left_semi or left_anti join of wide ``rows`` with a written table of distinct longs.
+
+    Up to ``FEW`` ids, which are counted, are broadcast, so that the rows stay where they are; beyond that both sides
+    are shuffled. The result is the same.
+    """
+    few = ids.limit(FEW + 1).count() <= FEW
+    return rows.join(F.broadcast(ids) if few else ids, key, how)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
