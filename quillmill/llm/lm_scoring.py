@@ -5,10 +5,11 @@ vocabulary. Its vocabulary with counts, and its distinct bigrams with counts, ar
 totals over the whole corpus are made; each block gets back the totals of its vocabulary. A word is a row of each
 block at most, so that frequent words make no large group.
 
-Bigrams seen twice or more enter the filter: an n-gram of count c is inserted at levels 1 to 1 + floor(log_b(c / c0)),
-so a count is read by probing level after level until one is missing. c0 is the least count for which the filter stays
-under ``MAX_BITS`` at ``BITS`` bits an insertion, so the filter grows with the corpus up to a fixed size at a fixed rate
-of false hits. Shards of the filter are built where the counts are, and the whole, of bounded size, is broadcast. The
+Bigrams seen twice or more enter the filter, however large the corpus: an n-gram of count c is inserted at levels 1 to
+1 + floor(log_b(c / 2)), so a count is read by probing level after level until one is missing. Each shard has a segment
+of the filter for its range of bigrams, of ``BITS`` bits an insertion, so the filter grows with the corpus at a fixed
+rate of false hits. A segment is built where its counts are and is probed there for the bigrams of each block, whose
+levels go back to the block with the totals; no segment is sent anywhere. The
 probability of a token is an interpolation of bigram and smoothed unigram; the bigram's share is the share of bigram tokens of
 the training text whose bigram occurs again there.
 
@@ -36,12 +37,11 @@ from quillmill.llm import token_files, work
 from quillmill.llm.grouped import groups
 
 BLOCK_BYTES, END = 3_000_000, b"\n"
-BITS, HASHES, MAX_BITS, BASE = 16, 5, 1 << 28, 1.5
-LEAST_COUNTS = (2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 256, 1024, 4096, 1 << 14, 1 << 16, 1 << 20)
+BITS, HASHES, BASE, LEAST = 16, 5, 1.5, 2
 KEY_BITS, LEAST_BITS = 48, 4096
 
 _BLOCKS = "block long, shard int, doc_ids array<long>, train binary, lengths binary, seq binary, words binary, counts binary, keys binary, key_counts binary"
-_TOTALS = "block long, shard int, totals binary, known long, tokens long, again long, all long, most long, entries array<long>, keys binary, key_counts binary"
+_TOTALS = "block long, shard int, totals binary, levels binary, known long, tokens long, again long, all long"
 
 
 class _Numbers(dict):
@@ -151,7 +151,8 @@ def _read(shards: int, train: Callable[[int | None], bool]):
             learned = np.fromiter(map(train, ids), bool, len(ids))
             mask = np.repeat(learned, lengths)
             counts = np.bincount(seq[mask], minlength=len(order)).astype("<u4")
-            keys, n = np.unique(_bigrams(h[np.roll(seq, 1)], h[seq])[mask], return_counts=True)
+            keys, at = np.unique(_bigrams(h[np.roll(seq, 1)], h[seq]), return_inverse=True)
+            n = np.bincount(at[mask], minlength=len(keys))
             tokens = [tokens[i] for i in order.tolist()]
             ends = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
             key_ends = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1)).tolist()
@@ -182,7 +183,7 @@ def _read(shards: int, train: Callable[[int | None], bool]):
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each shard a row of its own sums, and for each of its blocks the totals of the block's words."""
+    """For each shard a row of its own sums, and for each of its blocks the totals of the block's words and the levels of its bigrams."""
     for group in groups(batches, ["shard"], 1):
         shard = group.column("shard")[0].as_py()
         blocks, words, counts = (group.column(c).to_pylist() for c in ("block", "words", "counts"))
@@ -190,21 +191,25 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, c in zip(words, counts):
             for token, n in zip(_grow(w).split(b" "), _grow(c, "<u4").tolist()):
                 sums[token] += n
-        keys = np.concatenate([_grow_keys(x) for x in group.column("keys").to_pylist()])
+        of_blocks = [_grow_keys(x) for x in group.column("keys").to_pylist()]
+        keys = np.concatenate(of_blocks)
         n = np.concatenate([_grow(x, "<u4") for x in group.column("key_counts").to_pylist()]).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
         first = np.flatnonzero(np.diff(keys, prepend=np.uint64((1 << 64) - 1)) != 0)
         n = np.add.reduceat(n, first) if len(first) else n
         keys = keys[first]
-        entries = [int(levels(n[n >= c], c).sum()) for c in LEAST_COUNTS]
-        own = {"block": None, "shard": shard, "known": sum(x > 0 for x in sums.values()), "tokens": sum(sums.values()), "again": int(n[n >= 2].sum()), "all": int(n.sum()), "most": int(n.max(initial=0)), "entries": entries}
-        out = [own | {"keys": _squeeze_keys(keys[n >= 2]), "key_counts": _squeeze(n[n >= 2].astype("<u8"))}]
-        for block, w in zip(blocks, words):
+        own = {"block": None, "shard": shard, "known": sum(x > 0 for x in sums.values()), "tokens": sum(sums.values()), "again": int(n[n >= LEAST].sum()), "all": int(n.sum())}
+        keys, n = keys[n >= LEAST], n[n >= LEAST]
+        top = levels(n, LEAST)
+        bits = max(LEAST_BITS, 64 * -(-int(top.sum()) * BITS // 64))
+        filter_ = LogFrequencyFilter(np.frombuffer(LogFrequencyFilter.segment(keys, n, LEAST, bits), np.uint8), 1, bits, LEAST, int(top.max(initial=1)))
+        out = [own]
+        for block, w, k in zip(blocks, words, of_blocks):
             tokens = _grow(w)
-            if tokens:
-                out.append({"block": block, "shard": shard, "totals": _squeeze(np.fromiter(map(sums.__getitem__, tokens.split(b" ")), "<u8"))})
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("totals", pa.binary()), *[(c, pa.int64()) for c in ("known", "tokens", "again", "all", "most")], ("entries", pa.list_(pa.int64())), ("keys", pa.binary()), ("key_counts", pa.binary())]))
+            totals = np.fromiter(map(sums.__getitem__, tokens.split(b" ") if tokens else ()), "<u8")
+            out.append({"block": block, "shard": shard, "totals": _squeeze(totals), "levels": _squeeze(filter_.level(k).astype("u1"))})
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("totals", pa.binary()), ("levels", pa.binary()), *[(c, pa.int64()) for c in ("known", "tokens", "again", "all")]]))
 
 
 def score(docs: DataFrame, mod: int = 5, held: int = 1) -> DataFrame:
@@ -221,27 +226,11 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1) -> DataFrame:
     totals = work.put(dealt.mapInArrow(_total, _TOTALS), "totals")
 
     own = totals.filter("block is null")
-    sums = own.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "tokens", "again", "all")], F.coalesce(F.max("most"), F.lit(0)).alias("most"), *[F.coalesce(F.sum(F.col("entries")[k]), F.lit(0)).alias(f"e{k}") for k in range(len(LEAST_COUNTS))]).first()
-    k = next((k for k in range(len(LEAST_COUNTS)) if sums[f"e{k}"] * BITS <= MAX_BITS), len(LEAST_COUNTS) - 1)
-    least, segment_bits = LEAST_COUNTS[k], max(LEAST_BITS, 64 * -(-min(sums[f"e{k}"] * BITS, MAX_BITS) // (64 * shards)))
-    top = int(levels(np.array([max(sums["most"], least)]), least)[0])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s, keys, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "key_counts"))):
-                keys, n = _grow_keys(keys), _grow(n, "<u8").astype(np.int64)
-                bits = LogFrequencyFilter.segment(keys[n >= least], n[n >= least], least, segment_bits)
-                yield pa.RecordBatch.from_pydict({"shard": [s], "bits": [bits]}, pa.schema([("shard", pa.int32()), ("bits", pa.binary())]))
-
-    whole = np.zeros(shards * segment_bits // 8, np.uint8)
-    for r in own.select("shard", "keys", "key_counts").mapInArrow(build, "shard int, bits binary").collect():  # MAX_BITS in all at most
-        whole[r["shard"] * segment_bits // 8 : (r["shard"] + 1) * segment_bits // 8] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(whole.tobytes())
+    sums = own.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "tokens", "again", "all")]).first()
     n_tokens, n_words = sums["tokens"], sums["known"]
     part = min(0.95, max(0.01, sums["again"] / max(1, sums["all"])))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = LogFrequencyFilter(np.frombuffer(shared.value, np.uint8), shards, segment_bits, least, top)
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda c, row=row: batch.column(c)[row].as_py()
@@ -251,18 +240,18 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1) -> DataFrame:
                 starts = np.cumsum(lengths) - lengths
                 p = (c + 0.5) / (n_tokens + 0.5 * (n_words + 1))
                 base, known = np.log10(p)[seq], (c > 0)[seq]
-                mine = p[seq]
-                for a in range(0, len(seq), 1 << 18):
-                    b = min(len(seq), a + (1 << 18))
-                    before = seq[np.arange(a - 1, b - 1)]  # the token before the first is the last one: an end
-                    context = c[before]
-                    pair = np.minimum(1.0, filter_.count(_bigrams(h[before], h[seq[a:b]])) / np.maximum(context, 1.0))
-                    mine[a:b] = np.where(context > 0, part * pair + (1 - part) * mine[a:b], mine[a:b])
+                mine, before = p[seq], np.roll(seq, 1)  # the token before the first is the last one: an end
+                level = np.concatenate([_grow(x, "u1") for x in get("levels")])  # of the block's bigrams in ascending order
+                count = np.where(level > 0, LEAST * BASE ** (level - 1.0), 0.0)[np.unique(_bigrams(h[before], h[seq]), return_inverse=True)[1]]
+                context = c[before]
+                pair = np.minimum(1.0, count / np.maximum(context, 1.0))
+                mine = np.where(context > 0, part * pair + (1 - part) * mine, mine)
                 sum_ = lambda x, starts=starts: np.add.reduceat(x, starts)
                 columns = [pa.array(ids, pa.int64()), pa.array(~learned), pa.array(lengths), pa.array(sum_(known.astype(np.int64))), pa.array(np.full(len(ids), n_tokens, np.int64)), pa.array(sum_(base)), pa.array(sum_(np.log10(mine)))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    back = totals.filter("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "totals"))).alias("t"))
-    back = back.select("block", F.transform("t", lambda x: x["totals"]).alias("totals"))
+    back = totals.filter("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "totals", "levels"))).alias("t"))
+    of = lambda c: F.transform("t", lambda x: x[c]).alias(c)
+    back = back.select("block", of("totals"), of("levels"))
     joined = read.filter("shard = -1").select("block", "doc_ids", "train", "lengths", "seq", "words").join(back.hint("merge"), "block").drop("block")
     return joined.mapInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

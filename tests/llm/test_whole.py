@@ -1,9 +1,14 @@
 """Whole results where a shortcut would lose some."""
 
+import math
+
 import numpy as np
 import pytest
+from test_models import brute_scores
+
+from quillmill.llm import lm_scoring, near_copies
 
-from quillmill.llm import near_copies
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("block", [1_000, 150])
@@ -19,3 +24,12 @@ def test_near_copies_of_an_original_that_resemble_each_other_less(spark, docs, m
         rows.append((i, " ".join(words)))
     rows += [(5_000 + i, " ".join(f"u{x}" for x in rng.integers(0, 10**6, 300))) for i in range(60)]
     assert {r.doc_id for r in near_copies.deduplicate(docs(rows)).collect()} == {0} | {5_000 + i for i in range(60)}
+
+
+def test_lm_scores_keep_all_bigrams_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "MAX_BITS", 1 << 14, raising=False)  # a size that the corpus is far beyond
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = brute_scores([tuple(r) for r in docs.collect()])
+    found = {r.doc_id: r.score for r in lm_scoring.score(docs).collect()}
+    assert all(found[i] >= w[5] - 1e-6 * abs(w[5]) for i, w in want.items())
+    assert math.fsum(found.values()) - math.fsum(w[5] for w in want.values()) <= 0.005 * -math.fsum(w[5] for w in want.values())
