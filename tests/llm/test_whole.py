@@ -33,3 +33,10 @@ def test_lm_scores_keep_all_bigrams_at_any_size(spark, monkeypatch):
     found = {r.doc_id: r.score for r in lm_scoring.score(docs).collect()}
     assert all(found[i] >= w[5] - 1e-6 * abs(w[5]) for i, w in want.items())
     assert math.fsum(found.values()) - math.fsum(w[5] for w in want.values()) <= 0.005 * -math.fsum(w[5] for w in want.values())
+
+
+def test_near_copies_with_unequal_repeats(spark, docs):
+    line = "one two three four five six seven eight nine ten "
+    rest = " ".join(f"r{i}" for i in range(40))
+    rows = [(1, line * 5 + rest), (2, line * 8 + rest), (3, "x " * 6), (4, "x " * 30_000), (5, " ".join(f"s{i}" for i in range(50)))]
+    assert {r.doc_id for r in near_copies.deduplicate(docs(rows)).collect()} == {1, 3, 5}
