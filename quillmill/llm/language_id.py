@@ -3,8 +3,12 @@
 A text's features are its byte 2-, 3- and 4-grams (A-Z lower-cased, white space collapsed), hashed to ``BUCKETS``
 embeddings; the logits are a linear map of their average. Embeddings and map are trained by stochastic gradient descent
 in numpy, on windows spread over the texts of a bounded sample: about ``SAMPLE`` rows of each of the ``LANGUAGES`` most frequent
-labels and ``SAMPLE_ALL`` in all, chosen by a hash of doc_id. A fifth of the sample is held back to fit the softmax's temperature and the bound of rejection, which is
-below every right answer seen there, so that clean texts stay.
+labels and ``SAMPLE_ALL`` in all, chosen by a hash of doc_id. A fifth of the sample is held back to fit the softmax's temperature and the
+bounds of rejection.
+
+A softmax is as sure of a text in a language that it never learned. A text is therefore also rejected for its share of letter
+n-grams that no training text has (in a table of their own): above ``SLACK`` times what nearly all held-back texts stay under,
+and ``DEVIATIONS`` deviations of a text of its length, so that short clean texts stay.
 
 Whole texts are predicted, a megabyte at a time. A text that is null or has no letter is ``und`` with score 0 and is
 rejected; so is every text if no labelled row exists. Rows with equal or null doc_id each give their own row; a null doc_id is never learned from. An empty
@@ -26,17 +30,20 @@ BUCKETS_LOG2, DIM, ORDERS = 16, 12, (2, 3, 4)
 #: Rows of a language in the sample and of all languages (expected; twice as many at most), windows of a row, characters of a window.
 SAMPLE, SAMPLE_ALL, LANGUAGES, WINDOWS, WINDOW = 1_200, 40_000, 256, 4, 250
 EPOCHS, RATE, STEP = 3, 0.5, 1 << 20
+#: For rejection: buckets of n-grams seen, quantiles of held-back texts, least share, slack, deviations; a new pair of letters makes NINE new n-grams.
+SEEN_LOG2, NEARLY_ALL, FLOOR, SLACK, DEVIATIONS, NINE = 20, 0.99, 0.02, 2.0, 3.0, sum(ORDERS)
+_LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
-def _grams(text: str) -> Iterator[np.ndarray]:
-    raw = np.frombuffer(b" " + b" ".join(text.encode().lower().split()) + b" ", np.uint8)
+def _grams(text: str, log2: int = BUCKETS_LOG2, table: bytes | None = None) -> Iterator[np.ndarray]:
+    raw = np.frombuffer(b" " + b" ".join(text.encode().lower().translate(table).split()) + b" ", np.uint8)
     for k in range(0, len(raw), STEP):
         x = raw[k : k + STEP + ORDERS[-1] - 1].astype(np.uint32)
         h = x
         for n in range(2, ORDERS[-1] + 1):
             h = h[:-1] * np.uint32(0x01000193) + x[n - 1 :]
             own = h[: max(0, min(STEP, len(raw) - k - n + 1))]
-            yield ((own ^ own >> np.uint32(15)) * np.uint32(0x85EBCA6B + 2 * n)) >> np.uint32(32 - BUCKETS_LOG2)
+            yield ((own ^ own >> np.uint32(15)) * np.uint32(0x85EBCA6B + 2 * n)) >> np.uint32(32 - log2)
 
 
 @dataclass
@@ -47,6 +54,8 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
+    seen: np.ndarray | None = None
+    usual: float = 1.0
 
     def __post_init__(self):
         self.direct = len(self.languages) <= DIM  # then one look-up gives the logits themselves
@@ -60,6 +69,22 @@ class Model:
         mean = total / max(1, n)
         return (mean if self.direct else mean @ self.weights) + self.bias
 
+    def unseen(self, text: str) -> tuple[float, int]:
+        """The share of the letter n-grams that no training text has, and their number."""
+        new = n = 0
+        for grams in _grams(text, SEEN_LOG2, _LETTERS):
+            new += len(grams) - int(np.count_nonzero(self.seen[grams]))
+            n += len(grams)
+        return new / max(1, n), n
+
+    def rejects(self, text: str | None, language: str, score: float) -> bool:
+        if language == "und" or score < self.reject_below:
+            return True
+        if self.usual >= 1:
+            return False
+        share, n = self.unseen(text)
+        return share > self.usual + DEVIATIONS * (self.usual * (1 - self.usual) * NINE / max(1, n)) ** 0.5
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
@@ -80,9 +105,11 @@ def train(rows: list[tuple[str, list[str], bool]], seed: int = 5) -> Model:
     e = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKETS_LOG2, DIM)).astype(np.float32)
     w = np.zeros((DIM, len(languages)), np.float32)
     b = np.zeros(len(languages), np.float32)
-    examples = []
+    seen, examples = np.zeros(1 << SEEN_LOG2, bool), []
     for language, windows, held in rows:
         for text in () if held else windows:
+            for grams in _grams(text, SEEN_LOG2, _LETTERS):
+                seen[grams] = True
             if len(grams := np.concatenate(list(_grams(text)) or [np.zeros(0, np.uint32)])):
                 own, n = np.unique(grams, return_counts=True)
                 examples.append((languages.index(language), own, (n / n.sum()).astype(np.float32)))
@@ -99,13 +126,16 @@ def train(rows: list[tuple[str, list[str], bool]], seed: int = 5) -> Model:
             w -= rate * np.outer(hidden, error)
             b -= rate * 0.1 * error
             e[own] -= rate * np.outer(share, back) * len(own) ** 0.5
-    model = Model(languages, e, w, b)
+    model = Model(languages, e, w, b, seen=seen)
     held = [(languages.index(r[0]), model.logits(" ".join(r[1]))) for r in rows if r[2] and any(map(str.isalpha, "".join(r[1])))]
     if held:
         loss = {t: -sum(np.log(max(_softmax(x / t)[y], 1e-12)) for y, x in held) for t in np.geomspace(0.1, 10, 41)}
         model.temperature = float(min(loss, key=loss.get))
         right = [_softmax(x / model.temperature)[y] for y, x in held if x.argmax() == y]
-        model.reject_below = 0.5 * float(min(right, default=0.0))
+        model.reject_below = 0.5 * float(np.quantile(right, 1 - NEARLY_ALL)) if right else 0.0
+        if examples:
+            new = [model.unseen(" ".join(r[1]))[0] for r in rows if r[2] and any(map(str.isalpha, "".join(r[1])))]
+            model.usual = SLACK * max(FLOOR, float(np.quantile(new, NEARLY_ALL)))
     return model
 
 
@@ -146,7 +176,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             found = [m.predict(t.as_py()) for t in batch.column("_text")]
             score = np.array([x[1] for x in found], np.float64)
-            rejected = pa.array([lang == "und" or s < m.reject_below for lang, s in found], pa.bool_())
+            rejected = pa.array([m.rejects(t.as_py(), *x) for t, x in zip(batch.column("_text"), found)], pa.bool_())
             columns = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array(score), rejected], names)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_models import brute_scores
 
-from quillmill.llm import lm_scoring, near_copies
+from quillmill.llm import language_id, lm_scoring, near_copies
 
 SF = "/root/testdata/sf0.01"
 
@@ -40,3 +40,21 @@ def test_near_copies_with_unequal_repeats(spark, docs):
     rest = " ".join(f"r{i}" for i in range(40))
     rows = [(1, line * 5 + rest), (2, line * 8 + rest), (3, "x " * 6), (4, "x " * 30_000), (5, " ".join(f"s{i}" for i in range(50)))]
     assert {r.doc_id for r in near_copies.deduplicate(docs(rows)).collect()} == {1, 3, 5}
+
+
+STRANGE = [
+    "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä",
+    "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa",
+    "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью",
+    "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler",
+    "xqzv kjwq zzxv qqpl wvxk jjqz bxvq kkzw qxzj vwqk",
+]
+
+
+@pytest.mark.parametrize("learned", [("en", "de"), ("en", "de", "es", "fr")])
+def test_texts_in_unlearned_languages_are_rejected(spark, docs, learned):
+    known = spark.read.parquet(f"{SF}/documents.parquet").filter(f"lang IN {learned}")
+    frame = known.select("doc_id", "text", "lang").unionByName(docs([(10**6 + i, t) for i, t in enumerate(STRANGE)], "lang string"))
+    found = {r.doc_id: r.rejected for r in language_id.query(frame).collect()}
+    assert all(found.pop(10**6 + i) for i in range(len(STRANGE)))
+    assert sum(found.values()) <= 0.005 * len(found)
