@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from quillmill.llm import work
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
-    return row[0], row[1] or 0
+def _state(edges: DataFrame) -> tuple[int, int, int]:
+    """The number of edges and two 64-bit digests of their set; edges are distinct."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", F.lit(1), "a"))).first())
 
 
 def _linked(pairs: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a table bucketed and sorted by digest. A batch is reduced to one row for each digest, sort-merge
-anti-joined with the index, and what is new is appended. Texts themselves are never shuffled for this, only digests.
+anti-joined with the index, and what is new is appended. Texts themselves are never shuffled, only digests.
 
 Defined results for odd rows: a null text counts as empty; a null doc_id sorts after all others; of rows equal in
 text, length and doc_id any one stays and the rest go; an empty table gives an empty result; columns besides
@@ -49,16 +49,32 @@ class DigestIndex:
     def known(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Deduplicate ``docs`` against the index and itself, and append what is new.
+    def close(self) -> None:
+        """Take the table's name out of the session's catalogue; the files stay and may be opened again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def compact(self, location: str | None = None) -> DigestIndex:
+        """The same index as one sorted file for each bucket at another place, after many batches have left many; this one is closed."""
+        out = DigestIndex(self.spark, location, self.buckets)
+        out._append(self.known())
+        self.close()
+        return out
+
+    def _append(self, rows: DataFrame) -> None:
+        dealt = rows.repartition(self.buckets, "digest").write.mode("append").format("parquet")
+        dealt.bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.location).saveAsTable(self.table)
+
+    def add(self, docs: DataFrame, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Deduplicate ``docs`` against the index and itself, and append what is new; with ``numbered`` its column row numbers the rows.
 
         Returns (rows, verdicts): one row for each of ``docs`` (row, doc_id, len, digest), and one verdict for each
         digest (digest, keep_id, keep_len, keep_row, group_size, fresh). ``fresh`` is false if an earlier batch had it.
         """
         batch = uuid.uuid4().hex
+        row = F.col("row") if numbered else F.monotonically_increasing_id().alias("row")
         rows = work.put(
             docs.select(
-                F.monotonically_increasing_id().alias("row"),
+                row,
                 F.col("doc_id").cast("long").alias("doc_id"),
                 F.char_length(F.coalesce("text", F.lit(""))).alias("len"),
                 digest(F.col("text")).alias("digest"),
@@ -68,11 +84,8 @@ class DigestIndex:
         best = F.min(F.struct((-F.col("len")).alias("less"), F.isnull("doc_id").alias("none"), "doc_id", "row"))
         mine = work.put(rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")), "batch")
         fresh = mine.join(self.known().select("digest").hint("merge"), "digest", "left_anti")
-        (
-            fresh.select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_len"), F.col("best.row").alias("keep_row"), F.lit(batch).alias("batch"))
-            .repartition(self.buckets, "digest")
-            .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.location).saveAsTable(self.table)
-        )
+        new = fresh.select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_len"), F.col("best.row").alias("keep_row"), F.lit(batch).alias("batch"))
+        self._append(new)
         verdicts = mine.select("digest", "group_size").join(self.known().hint("merge"), "digest")
         return rows, work.put(verdicts.withColumn("fresh", F.col("batch") == batch).drop("batch"), "verdicts")
 
@@ -96,22 +109,10 @@ def annotate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns unchanged.
 
-    A winning row is found again by doc_id, digest and length, so a large group of equal texts is no large join key.
-    Only digests whose winner is repeated whole (same doc_id and length) need one of those rows picked.
+    Rows are written with a number of their own, so only digests and the numbers of the rows that go are shuffled.
     """
-    rows, verdicts = (index or DigestIndex(docs.sparkSession)).add(docs)
-    winners = verdicts.filter("fresh").select("digest", "keep_id", F.col("keep_len").alias("len"))
-    won = rows.join(winners.hint("merge"), ["digest", "len"]).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    tied = work.put(won.groupBy("digest").count().filter("count > 1").select("digest"), "tied")
-    own = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"),
-        digest(F.col("text")).alias("digest"),
-        F.char_length(F.coalesce("text", F.lit(""))).alias("len"),
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
-    )
-    winners = winners.select("digest", "len", F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("id"))
-    stays = own.join(winners, ["id", "digest", "len"], "left_semi")
-    if tied.isEmpty():
-        return stays.select("d.*")
-    repeated = stays.join(tied, "digest", "left_semi").groupBy("digest").agg(F.min_by("d", F.to_json("d")).alias("d"))
-    return stays.join(tied, "digest", "left_anti").select("d.*").unionByName(repeated.select("d.*"))
+    own = work.put(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")), "numbered")
+    rows, verdicts = (index or DigestIndex(docs.sparkSession)).add(own.select("row", "d.doc_id", "d.text"), numbered=True)
+    both = rows.join(verdicts.select("digest", "fresh", "keep_row").hint("merge"), "digest")
+    gone = work.put(both.filter(~F.col("fresh") | (F.col("row") != F.col("keep_row"))).select("row"), "gone")
+    return work.among(own, gone, "row", "left_anti").select("d.*")

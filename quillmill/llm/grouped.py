@@ -1,4 +1,7 @@
-"""Streaming over rows that a sort has brought together, and small union-find, for Arrow functions."""
+"""Streaming over rows that a sort has brought together, and small union-find, for Arrow functions.
+
+Keys must not be null: callers give them a value first. No rows give no groups.
+"""
 
 from __future__ import annotations
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or where that is unset (tests) a temporary folder set as such."""
+    """The shared folder: spark.checkpoint.dir, or where that is unset and all runs in one process a temporary folder set as such."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
