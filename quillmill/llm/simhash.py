@@ -1,14 +1,17 @@
 """SimHash fingerprints and their near-duplicate groups by sharded BK-trees.
 
-A text's fingerprint is made of its word shingles. Fingerprints within the radius agree in at least two of four blocks
-of 16 bits, so each is dealt to six shards, one for each pair of blocks and its value. A shard's BK-tree (children
-keyed by the Hamming distance to their parent) is built where the shard's fingerprints meet and answers all of them at
-once, following only edges within the radius. Trees go to the tasks that hold their queries, not to every executor, as
-their number grows with the corpus and has no bound to broadcast under. Equal fingerprints are one node.
-
-A shard of over ``SHARD`` fingerprints is not built: its members meet instead at the 65 strings within one bit of each,
-of which two fingerprints share one exactly if they differ in two bits or fewer. No such place holds more than 65, so
-that a crowd of near copies costs time in proportion to its size, and no link is lost.
+A text's fingerprint is made of its word shingles. Of three disjoint runs of bits, fingerprints within two bits agree in
+at least one, so each is dealt to three shards, one for each run and its value. The runs' width follows the number of
+distinct fingerprints, so that a shard holds some hundreds at any size (up to 21 bits, three runs of which fill the
+64). A shard's BK-tree (children keyed by the Hamming distance to their parent) is built where the shard's fingerprints
+meet and answers all of them at once, following only edges within the radius; equal fingerprints are one node. Every
+link comes out of a tree. Trees go to the tasks that hold their queries, not to every executor, as together they have
+three nodes for each fingerprint and no bound to broadcast under.
+
+A shard of over ``SHARD`` fingerprints is a crowd of near copies, or of texts that share their bits: no tree is built,
+its members meet instead at the 65 strings within one bit of each, of which two fingerprints share one exactly if they
+differ in two bits or fewer. No such place holds more than 65, so that a crowd costs time in proportion to its size, and
+no link is lost.
 
 Null and empty texts have fingerprint 0. Rows with a null doc_id take part; a component's id is its smallest non-null
 doc_id. An empty table gives an empty result; other columns are ignored.
@@ -16,8 +19,8 @@ doc_id. An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from quillmill.llm import work
 from quillmill.llm.components import components
 from quillmill.llm.grouped import groups, roots
 
-RADIUS, SHARD = 2, 1_000
+RADIUS, NODES, SHARD = 2, 256, 4_000
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -96,10 +99,16 @@ class BKTree:
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
+def run_bits(n: int) -> int:
+    """Bits of each of three runs for ``n`` fingerprints: ``NODES`` in a shard, if they spread evenly."""
+    return min(64 // (RADIUS + 1), max(1, math.ceil(math.log2(max(1, n) / NODES))) if n > NODES else 1)
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): enough links between the fingerprints ``fp`` to join all that are linked within RADIUS."""
-    blocks = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF) for k in range(4)]
-    keys = [F.lit(n << 32).bitwiseOR(F.shiftleft(blocks[i], 16)).bitwiseOR(blocks[j]) for n, (i, j) in enumerate(combinations(range(4), 2))]
+    width = run_bits(distinct.count())
+    runs = [F.shiftrightunsigned("fp", width * k).bitwiseAND((1 << width) - 1) for k in range(RADIUS + 1)]
+    keys = [F.lit(k << 32).bitwiseOR(run) for k, run in enumerate(runs)]
     dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     large = work.put(dealt.groupBy("key").count().filter(F.col("count") > SHARD).select("key"), "large")
     crowded = not large.isEmpty()

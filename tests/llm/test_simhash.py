@@ -66,6 +66,17 @@ def test_links_join_all(spark, limit, monkeypatch):
     assert {x: found.get(x, x) for x in values} == brute_components(values, [x & (1 << 64) - 1 for x in values])
 
 
+def test_links_come_from_trees_of_many_nodes(spark):
+    rng = random.Random(12)
+    values = {rng.getrandbits(64) for _ in range(3_000)}
+    near = {x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for x in sorted(values)[:400]}
+    values = sorted(x - (1 << 64) if x >> 63 else x for x in values | near)
+    assert simhash.run_bits(len(values)) == 4 and simhash.run_bits(10**12) == 21 and simhash.run_bits(5) == 1
+    frame = spark.createDataFrame([(x,) for x in values], "fp long")
+    found = {r.node: r.component for r in components(simhash.links(frame)).collect()}
+    assert {x: found.get(x, x) for x in values} == brute_components(values, [x & (1 << 64) - 1 for x in values])
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(200)] + [(7, 7)]
