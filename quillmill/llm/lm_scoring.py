@@ -5,13 +5,19 @@ vocabulary. Its vocabulary with counts, and its distinct bigrams with counts, ar
 totals over the whole corpus are made; each block gets back the totals of its vocabulary. A word is a row of each
 block at most, so that frequent words make no large group.
 
-Bigrams seen twice or more enter the filter, however large the corpus: an n-gram of count c is inserted at levels 1 to
-1 + floor(log_b(c / 2)), so a count is read by probing level after level until one is missing. Each shard has a segment
-of the filter for its range of bigrams, of ``BITS`` bits an insertion, so the filter grows with the corpus at a fixed
-rate of false hits. A segment is built where its counts are and is probed there for the bigrams of each block, whose
-levels go back to the block with the totals; no segment is sent anywhere. The
-probability of a token is an interpolation of bigram and smoothed unigram; the bigram's share is the share of bigram tokens of
-the training text whose bigram occurs again there.
+All bigrams of the training text enter the filter, however large the corpus: an n-gram of count c is inserted at levels 1 to
+1 + floor(log_b(c)), so a count is read by probing level after level until one is missing, as the mean of the counts of
+its level (exact up to 3). Each shard has a segment of the filter for its range of bigrams, of ``BITS`` bits an
+insertion, so the filter grows with the corpus at a fixed rate of false hits. A segment is built where its counts are
+and is probed there for the bigrams of each block, whose levels go back to the block with the totals; no segment is sent
+anywhere.
+
+The probability of a token w after h is (c(h, w) + K p(w)) / (c(h) + K): a Dirichlet prior of weight K around the
+smoothed unigram p, so that a context's bigrams count for c(h) / (c(h) + K). K is the mean number of different
+tokens after a token. As p sums to 1 over the vocabulary and one unknown token, and c(h, w) to c(h), the probabilities
+after any context sum to 1, but for the quantisation of counts above 3 and the filter's false hits; neither can lift a
+count over those of its two tokens. What a shard holds is its share of the blocks' counts: partitions must follow the
+input, as in any shuffle.
 
 Null and empty texts are the end token alone. A null doc_id counts as the text ''. Rows with equal doc_id each give
 their own row. Without training text every probability is 1. An empty table gives an empty result. Columns besides
@@ -36,12 +42,13 @@ from pyspark.sql import functions as F
 from quillmill.llm import token_files, work
 from quillmill.llm.grouped import groups
 
-BLOCK_BYTES, END = 3_000_000, b"\n"
-BITS, HASHES, BASE, LEAST = 16, 5, 1.5, 2
+#: Text of a block; more where there are many shards, so that a shard's part of a block is no sliver, up to what a worker can hold.
+BLOCK_BYTES, SLIVER_BYTES, MOST_BYTES, END = 3_000_000, 10_000, 24_000_000, b"\n"
+BITS, HASHES, BASE = 16, 5, 1.5
 KEY_BITS, LEAST_BITS = 48, 4096
 
 _BLOCKS = "block long, shard int, doc_ids array<long>, train binary, lengths binary, seq binary, words binary, counts binary, keys binary, key_counts binary"
-_TOTALS = "block long, shard int, totals binary, levels binary, known long, tokens long, again long, all long"
+_TOTALS = "block long, shard int, totals binary, levels binary, known long, tokens long, types long"
 
 
 class _Numbers(dict):
@@ -80,28 +87,36 @@ def _hashes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in tokens), np.uint64, len(tokens))
 
 
-def levels(counts: np.ndarray, least: int) -> np.ndarray:
-    return 1 + np.floor(np.log(counts / least) / np.log(BASE) + 1e-9).astype(np.int64)
+def levels(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
+
+
+def level_counts(top: int = 64) -> np.ndarray:
+    """The mean of the counts of each level; 0 for level 0."""
+    least = np.ceil(BASE ** np.arange(top + 1.0) - 1e-9)  # the least count of levels 1, 2, ...
+    return np.concatenate([[0.0], (least[:-1] + np.maximum(least[:-1], least[1:] - 1)) / 2])
 
 
 class LogFrequencyFilter:
     """Segments of bits, one for each range of keys; a key's count is read as the number of its levels present."""
 
-    def __init__(self, bits: np.ndarray, segments: int, segment_bits: int, least: int, top: int = 64):
-        self.bits, self.segments, self.segment_bits, self.least, self.top = bits, segments, segment_bits, least, top
+    def __init__(self, bits: np.ndarray, segments: int, segment_bits: int, top: int = 64):
+        self.bits, self.segments, self.segment_bits, self.top = bits, segments, segment_bits, top
 
     @staticmethod
     def places(keys: np.ndarray, level: int, segment_bits: int) -> Iterator[np.ndarray]:
-        x = (keys + np.uint64(level << KEY_BITS)) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
+        x = keys + np.uint64(level << KEY_BITS)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
         a, b = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32) | np.uint64(1)
         for i in range(HASHES):
             yield (a + np.uint64(i) * b) % np.uint64(segment_bits)
 
     @classmethod
-    def segment(cls, keys: np.ndarray, counts: np.ndarray, least: int, segment_bits: int) -> bytes:
+    def segment(cls, keys: np.ndarray, counts: np.ndarray, segment_bits: int) -> bytes:
         present = np.zeros(segment_bits, np.uint8)
-        top = levels(counts, least)
+        top = levels(counts)
         for level in range(1, int(top.max(initial=0)) + 1):
             for at in cls.places(keys[top >= level], level, segment_bits):
                 present[at.astype(np.int64)] = 1
@@ -124,10 +139,6 @@ class LogFrequencyFilter:
             level += 1
         return out
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        level = self.level(keys)
-        return np.where(level > 0, self.least * BASE ** (level - 1.0), 0.0)
-
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """Ranges of keys, so that ascending keys lie in ascending shards."""
@@ -135,6 +146,8 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _read(shards: int, train: Callable[[int | None], bool]):
+    block_bytes = min(max(BLOCK_BYTES, SLIVER_BYTES * shards), max(BLOCK_BYTES, MOST_BYTES))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, seqs, size = 0, [], [], 0
         words = _Numbers()
@@ -172,7 +185,7 @@ def _read(shards: int, train: Callable[[int | None], bool]):
                 ids.append(name)
                 seqs.append(seq)
                 size += len(raw) + 8
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield block()
                     number, ids, seqs, size, words = number + 1, [], [], 0, _Numbers()
         if ids:
@@ -199,17 +212,18 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.diff(keys, prepend=np.uint64((1 << 64) - 1)) != 0)
         n = np.add.reduceat(n, first) if len(first) else n
         keys = keys[first]
-        own = {"block": None, "shard": shard, "known": sum(x > 0 for x in sums.values()), "tokens": sum(sums.values()), "again": int(n[n >= LEAST].sum()), "all": int(n.sum())}
-        keys, n = keys[n >= LEAST], n[n >= LEAST]
-        top = levels(n, LEAST)
+        held = n > 0
+        keys, n = keys[held], n[held]  # only held-out texts have the others
+        own = {"block": None, "shard": shard, "known": sum(x > 0 for x in sums.values()), "tokens": sum(sums.values()), "types": len(keys)}
+        top = levels(n)
         bits = max(LEAST_BITS, 64 * -(-int(top.sum()) * BITS // 64))
-        filter_ = LogFrequencyFilter(np.frombuffer(LogFrequencyFilter.segment(keys, n, LEAST, bits), np.uint8), 1, bits, LEAST, int(top.max(initial=1)))
+        filter_ = LogFrequencyFilter(np.frombuffer(LogFrequencyFilter.segment(keys, n, bits), np.uint8), 1, bits, int(top.max(initial=1)))
         out = [own]
         for block, w, k in zip(blocks, words, of_blocks):
             tokens = _grow(w)
             totals = np.fromiter(map(sums.__getitem__, tokens.split(b" ") if tokens else ()), "<u8")
             out.append({"block": block, "shard": shard, "totals": _squeeze(totals), "levels": _squeeze(filter_.level(k).astype("u1"))})
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("totals", pa.binary()), ("levels", pa.binary()), *[(c, pa.int64()) for c in ("known", "tokens", "again", "all")]]))
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("totals", pa.binary()), ("levels", pa.binary()), *[(c, pa.int64()) for c in ("known", "tokens", "types")]]))
 
 
 def score(docs: DataFrame, mod: int = 5, held: int = 1) -> DataFrame:
@@ -226,9 +240,10 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1) -> DataFrame:
     totals = work.put(dealt.mapInArrow(_total, _TOTALS), "totals")
 
     own = totals.filter("block is null")
-    sums = own.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "tokens", "again", "all")]).first()
+    sums = own.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "tokens", "types")]).first()
     n_tokens, n_words = sums["tokens"], sums["known"]
-    part = min(0.95, max(0.01, sums["again"] / max(1, sums["all"])))
+    prior = sums["types"] / max(1, n_words)
+    of_level = level_counts()
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,10 +257,10 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1) -> DataFrame:
                 base, known = np.log10(p)[seq], (c > 0)[seq]
                 mine, before = p[seq], np.roll(seq, 1)  # the token before the first is the last one: an end
                 level = np.concatenate([_grow(x, "u1") for x in get("levels")])  # of the block's bigrams in ascending order
-                count = np.where(level > 0, LEAST * BASE ** (level - 1.0), 0.0)[np.unique(_bigrams(h[before], h[seq]), return_inverse=True)[1]]
-                context = c[before]
-                pair = np.minimum(1.0, count / np.maximum(context, 1.0))
-                mine = np.where(context > 0, part * pair + (1 - part) * mine, mine)
+                pair = of_level[level][np.unique(_bigrams(h[before], h[seq]), return_inverse=True)[1]]
+                context, own_count = c[before], c[seq]
+                pair = np.minimum(pair, np.minimum(context, own_count))
+                mine = (pair + prior * mine) / np.maximum(context + prior, 1e-300) if prior else mine
                 sum_ = lambda x, starts=starts: np.add.reduceat(x, starts)
                 columns = [pa.array(ids, pa.int64()), pa.array(~learned), pa.array(lengths), pa.array(sum_(known.astype(np.int64))), pa.array(np.full(len(ids), n_tokens, np.int64)), pa.array(sum_(base)), pa.array(sum_(np.log10(mine)))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -27,15 +27,21 @@ def brute_scores(rows):
             c.update(w)
             pairs.update(zip(["\n", *w], w))
     n, v = sum(c.values()), len(c)
-    part = min(0.95, max(0.01, sum(x for x in pairs.values() if x > 1) / max(1, sum(pairs.values()))))
-    level = lambda x: 2 * 1.5 ** math.floor(math.log(x / 2) / math.log(1.5) + 1e-9) if x > 1 else 0.0
+    prior = len(pairs) / max(1, v)
+
+    def count(x):  # the mean of the counts of its level
+        k = math.floor(math.log(x) / math.log(1.5) + 1e-9)
+        own = [y for y in range(1, 2 * x + 3) if 1.5**k - 1e-9 <= y < 1.5 ** (k + 1) - 1e-9]
+        return sum(own) / len(own)
+
+    level = {x: count(x) for x in set(pairs.values())} | {0: 0.0}
     out = {}
     for i, w in own.items():
         base = score = 0.0
         for a, b in zip(["\n", *w], w):
             p = (c[b] + 0.5) / (n + 0.5 * (v + 1))
             base += math.log10(p)
-            score += math.log10(part * min(1, level(pairs[a, b]) / c[a]) + (1 - part) * p if c[a] else p)
+            score += math.log10((min(level[pairs[a, b]], c[a], c[b]) + prior * p) / (c[a] + prior) if prior else p)
         out[i] = (held[i], len(w), sum(c[x] > 0 for x in w), n, base, score)
     return out
 
@@ -69,18 +75,38 @@ def test_lm_odd_rows(spark, docs):
 def test_filter_has_no_false_misses_and_few_false_hits():
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(0, 1 << lm_scoring.KEY_BITS, 20_000, dtype=np.uint64))
-    counts = np.minimum(rng.zipf(1.5, len(keys)) + 1, 10**6)
-    shards, entries = 3, int(lm_scoring.levels(counts, 2).sum())
+    counts = np.minimum(rng.zipf(1.5, len(keys)), 10**6)
+    shards, entries = 3, int(lm_scoring.levels(counts).sum())
     size = 64 * (entries * lm_scoring.BITS // (64 * shards) + 1)
     shard = lm_scoring.shard_of(keys, shards)
-    bits = b"".join(lm_scoring.LogFrequencyFilter.segment(keys[shard == s], counts[shard == s], 2, size) for s in range(shards))
-    f = lm_scoring.LogFrequencyFilter(np.frombuffer(bits, np.uint8), shards, size, 2)
-    assert (f.level(keys) >= lm_scoring.levels(counts, 2)).all()
-    assert (f.level(keys) > lm_scoring.levels(counts, 2)).mean() < 0.03
+    bits = b"".join(lm_scoring.LogFrequencyFilter.segment(keys[shard == s], counts[shard == s], size) for s in range(shards))
+    f = lm_scoring.LogFrequencyFilter(np.frombuffer(bits, np.uint8), shards, size)
+    assert (f.level(keys) >= lm_scoring.levels(counts)).all()
+    assert (f.level(keys) > lm_scoring.levels(counts)).mean() < 0.03
     other = np.setdiff1d(rng.integers(0, 1 << lm_scoring.KEY_BITS, 20_000, dtype=np.uint64), keys)
     assert (f.level(other) > 0).mean() < 0.03
 
 
+def test_lm_probabilities_sum_to_one(spark):
+    """Scores of texts of one and two tokens give all probabilities after a token; counts up to 3 are exact."""
+    rows = [(i, t) for i, t in enumerate(["a b a b c", "a c a d", "b a e", "d d d a", "e a b", "c c a b e"]) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(1000, 4000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    vocabulary = ["a", "b", "c", "d", "e", "unknown"]
+    asked = [(held.pop(), f"{h} {w}") for h in vocabulary for w in vocabulary] + [(held.pop(), h) for h in vocabulary]
+    frame = spark.createDataFrame(rows + asked, "doc_id long, text string")
+    score = {r.doc_id: r.score for r in lm_scoring.score(frame).collect()}
+    of = {t: score[i] for i, t in asked}
+    own = [_words(t) for _, t in rows]
+    c, pairs = Counter(w for x in own for w in x), Counter(p for x in own for p in zip(["\n", *x], x))
+    n, v, prior = sum(c.values()), len(c), len(pairs) / len(c)
+    p = lambda h, w: (pairs[h, w] + prior * (c[w] + 0.5) / (n + 0.5 * (v + 1))) / (c[h] + prior)
+    assert max(pairs.values()) <= 3
+    for h in vocabulary:
+        # P(h w end) / P(h end) * P(end | h) / P(end | w) = P(w | h)
+        after = [10 ** (of[f"{h} {w}"] - of[h]) * p(h, "\n") / p(w, "\n") for w in vocabulary]
+        assert abs(sum(after) + p(h, "\n") - 1) < 1e-9
+
+
 def test_keys_survive_packing():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 1000, dtype=np.uint64))
     assert (lm_scoring._grow_keys(lm_scoring._squeeze_keys(keys)) == keys).all()
