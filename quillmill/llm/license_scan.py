@@ -1,11 +1,13 @@
 """Licence scans by a positional index of rare tokens.
 
-Templates (phrases and notices of licences) are indexed as postings (word, template, position). A file keeps the
-positions of its licence words; a licence word's weight is its inverse document frequency over all files. A word's
-position in a file less its position in a template is where that template would start; postings that agree on a start
-are intersected by counting them. A base phrase stands where all its words agree. A notice is accepted where enough
-of its indexed words agree, one of the file's ``RARE`` highest-weighted licence words among them, and the file holds
-all of the notice's mandatory key phrases.
+Templates (base phrases, notices and characteristic clauses of licences, and mandatory key phrases) are indexed as
+postings (word, template, position). A file keeps the positions of its licence words; a licence word's weight is its
+inverse document frequency over all files. Only a template's words of highest weight open it in a file: as many as may
+be wrong in it and one more, so that a stretch that agrees enough holds at least one of them and none is lost. A word's
+position in a file less its position in a template is where that template would start; the postings of the templates
+that a file opens are intersected by counting those that agree on a start. A base or key phrase stands where all its
+words agree, a notice or clause where ``ENOUGH`` of them do. A label of the latter is accepted if the file holds all its
+mandatory key phrases.
 
 Function words are not indexed. All rows are dealt by document, and a document's places are pre-aggregated, so neither
 a frequent licence line nor a very long text makes a large group. The templates, their words and postings are fixed,
@@ -17,6 +19,8 @@ empty result; columns besides ``doc_id`` and ``text`` are ignored. Only built-in
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,38 +28,77 @@ from quillmill.llm import work
 
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-RARE, ENOUGH = 8, 0.8
+ENOUGH = 0.8
 
 #: Base phrases and their labels: fixed values.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Notices: label, words, mandatory key phrases.
+_GRANT = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+_GNU = "this program is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
+_GNU_WARRANTY = "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {} for more details"
+_REDISTRIBUTION = [
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+]
+
+#: Notices and characteristic clauses of public licences: label, clauses in lower-case words, mandatory key phrases.
 NOTICES = [
-    ("agpl-3.0", "licensed under the gnu affero general public license version 3", ["gnu affero general public license"]),
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license", "version 2 0"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use", "following conditions are met"]),
-    ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", ["gnu general public license", "version 2"]),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
-    ("lgpl", "licensed under the gnu lesser general public license", ["gnu lesser general public license"]),
-    ("mit-notice", "released under the mit license", ["mit license"]),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ["permission is hereby granted", "without restriction"]),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("0bsd", [_GRANT], [_GRANT, "software is provided as is"]),
+    ("agpl-3.0", ["licensed under the gnu affero general public license version 3", _GNU.format("affero general public license", 3), _GNU_WARRANTY.format("affero general public license")], ["gnu affero general public license"]),
+    ("apache-2.0", [
+        "licensed under the apache license version 2 0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
+    ], ["apache license", "version 2 0"]),
+    ("bsd", _REDISTRIBUTION, ["redistribution and use", "following conditions are met"]),
+    ("bsd-3-clause", ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"], ["redistribution and use", "endorse or promote products"]),
+    ("bsl-1.0", ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software"], ["person or organization"]),
+    ("cc-by-4.0", ["licensed under cc by 4 0"], ["cc by 4 0"]),
+    ("cc-by-4.0-text", ["this work is licensed under a creative commons attribution 4 0 international license"], ["creative commons attribution 4 0"]),
+    ("cc-by-nc-4.0", ["licensed under cc by nc 4 0"], ["cc by nc 4 0"]),
+    ("cc-by-sa-4.0", ["licensed under cc by sa 4 0"], ["cc by sa 4 0"]),
+    ("cc0-1.0", ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"], ["waived all copyright"]),
+    ("gpl-2.0", ["licensed under the gnu general public license version 2", _GNU.format("general public license", 2)], ["gnu general public license", "version 2"]),
+    ("gpl-3.0", ["licensed under the gnu general public license version 3", _GNU.format("general public license", 3)], ["gnu general public license", "version 3"]),
+    ("isc", ["permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"], ["appear in all copies"]),
+    ("lgpl", ["licensed under the gnu lesser general public license", _GNU_WARRANTY.format("lesser general public license")], ["gnu lesser general public license"]),
+    ("mit-notice", ["released under the mit license"], ["mit license"]),
+    ("mit-text", [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ], ["permission is hereby granted", "without restriction"]),
+    ("mpl-2.0", ["this source code form is subject to the terms of the mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at"], ["mozilla public license"]),
+    ("unlicense", ["this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"], ["public domain"]),
+    ("zlib", ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"], ["arising from the use of this software"]),
 ]
 FUNCTION_WORDS = {"a", "and", "any", "are", "for", "in", "is", "of", "or", "that", "the", "this", "to", "with"}
 
 
-def postings() -> list[tuple[str, str, str, int, int]]:
-    """(word, kind, label, position, words indexed in the template) of all templates."""
-    templates = [("base", label, phrase) for phrase, label in BASE.items()]
-    templates += [("notice", label, words) for label, words, _ in NOTICES]
-    templates += [("key", key, key) for key in sorted({k for *_, keys in NOTICES for k in keys})]
-    out = []
-    for kind, label, text in templates:
+def templates() -> list[tuple[str, str, list[tuple[int, str]], int]]:
+    """(kind, label, indexed words with their positions, how many of them must agree) of all templates."""
+    out = [("base", label, phrase) for phrase, label in BASE.items()]
+    out += [("clause", label, clause) for label, clauses, _ in NOTICES for clause in clauses]
+    out += [("key", key, key) for key in sorted({k for *_, keys in NOTICES for k in keys})]
+    found = []
+    for kind, label, text in out:
         own = [(i, w) for i, w in enumerate(text.split()) if w not in FUNCTION_WORDS]
-        out += [(w, kind, label, i, len(own)) for i, w in own]
+        found.append((kind, label, own, math.ceil(ENOUGH * len(own)) if kind == "clause" else len(own)))
+    return found
+
+
+def openers(df: dict[str, int]) -> list[tuple[int, str]]:
+    """(template, word): the words of highest weight that open each template, one position more than may be wrong."""
+    out = []
+    for t, (_, _, own, need) in enumerate(templates()):
+        least = len(own) - need + 1
+        for w in sorted({w for _, w in own}, key=lambda w: (df.get(w, 0), w)):
+            if least > 0:
+                out.append((t, w))
+                least -= sum(x == w for _, x in own)
     return out
 
 
@@ -78,38 +121,35 @@ def _files(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
-    index = postings()
-    vocabulary = sorted({p[0] for p in index})
+    known = templates()
+    vocabulary = sorted({w for _, _, own, _ in known for _, w in own})
     files = work.put(_files(docs, vocabulary), "files")
     seen = files.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").count()
     df = {r["w"]: r["count"] for r in seen.collect()}  # a row for each word of the templates at most
-    by_weight = F.array(*[F.lit(w) for w in sorted(vocabulary, key=lambda w: (df.get(w, 0), w))])
-
-    own = F.transform("hits", lambda h: h["w"])
-    rare = F.slice(F.filter(by_weight, lambda w: F.array_contains(F.col("own"), w)), 1, RARE)
-    places = files.filter(F.size("hits") > 0).withColumn("own", F.array_distinct(own)).withColumn("rare", rare)
-    places = places.select("row", "rare", F.explode("hits").alias("h")).select("row", F.col("h.w").alias("w"), F.col("h.i").alias("i"), F.array_contains("rare", F.col("h.w")).alias("is_rare"))
-    table = _fixed(spark, index, "w, kind, label, position, size")
-    agreed = places.join(F.broadcast(table), "w").groupBy("row", "kind", "label", "size", (F.col("i") - F.col("position")).alias("start"))
-    agreed = agreed.agg(F.count("*").alias("n"), F.max("is_rare").alias("has_rare"))
-
-    is_base, is_key, whole = F.col("kind") == "base", F.col("kind") == "key", F.col("n") == F.col("size")
-    good = F.when(is_base | is_key, whole).otherwise((F.col("n") >= ENOUGH * F.col("size")) & F.col("has_rare"))
-    best = agreed.filter(good).groupBy("row", "kind", "label").agg(
-        F.count("*").alias("places"), F.min("start").alias("first"), F.max("start").alias("last"), F.max(F.col("n") / F.col("size")).alias("part"), F.max(whole).alias("whole")
-    )
-    base = is_base & F.col("whole")
-    of_base = lambda c: F.when(base, F.col(c))
+
+    index = _fixed(spark, [(w, t, i, len(own), need) for t, (_, _, own, need) in enumerate(known) for i, w in own], "w, t, position, size, need")
+    named = _fixed(spark, [(t, kind, label) for t, (kind, label, _, _) in enumerate(known)], "t, kind, label")
+    by_word = openers(df)
+    first = F.array_distinct(F.filter(F.transform("hits", lambda h: h["w"]), lambda w: w.isin(sorted({w for _, w in by_word}))))
+    opened = files.select("row", F.explode(first).alias("w")).join(F.broadcast(_fixed(spark, by_word, "t, w")), "w").select("row", "t").distinct()
+    opened = work.put(opened, "opened")
+    places = files.join(opened.select("row").distinct(), "row", "left_semi").select("row", F.explode("hits").alias("h")).select("row", "h.w", "h.i")
+    places = places.join(F.broadcast(index), "w").join(opened, ["row", "t"]).groupBy("row", "t", "size", "need", (F.col("i") - F.col("position")).alias("start"))
+    agreed = places.agg(F.count("*").alias("n")).filter("n >= need").join(F.broadcast(named), "t")
+
+    best = agreed.groupBy("row", "kind", "label").agg(F.count("*").alias("places"), F.min("start").alias("first"), F.max("start").alias("last"), F.max(F.col("n") / F.col("size")).alias("part"))
+    of_base = lambda c: F.when(F.col("kind") == "base", F.col(c))
     in_file = best.groupBy("row").agg(
         F.sum(of_base("places")).alias("n_base"),
         F.min(of_base("first")).cast("long").alias("first_word"),
         F.max(of_base("last")).cast("long").alias("last_word"),
         F.collect_set(of_base("label")).alias("base"),
-        F.collect_set(F.when(is_key & F.col("whole"), F.col("label"))).alias("keys"),
-        F.collect_set(F.when(F.col("kind") == "notice", F.struct("label", "part"))).alias("notices"),
+        F.collect_set(F.when(F.col("kind") == "key", F.col("label"))).alias("keys"),
+        F.collect_set(F.when(F.col("kind") == "clause", F.struct("label", "part"))).alias("clauses"),
     )
+    in_file = work.put(in_file, "in_file")
     wanted = _fixed(spark, [(label, ",".join(keys)) for label, _, keys in NOTICES], "label, wanted").select("label", F.split("wanted", ",").alias("wanted"))
-    verified = in_file.select("row", "keys", F.explode("notices").alias("x")).select("row", "keys", "x.label", "x.part").join(F.broadcast(wanted), "label")
+    verified = in_file.select("row", "keys", F.explode("clauses").alias("x")).select("row", "keys", "x.label", "x.part").join(F.broadcast(wanted), "label")
     verified = verified.filter(F.size(F.array_except("wanted", "keys")) == 0).groupBy("row").agg(F.collect_set("label").alias("own"), F.max("part").alias("part"))
     none = F.array().cast("array<string>")
     text = lambda c: F.array_join(F.array_sort(c), ",")

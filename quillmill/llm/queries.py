@@ -75,28 +75,23 @@ QUERIES = {
 def _licence_sql() -> str:
     """The scan over the same fixed templates, with the index as a list of values."""
     q = lambda x: "'" + str(x) + "'" if isinstance(x, str) else str(x)
-    index = ", ".join(f"({', '.join(map(q, p))})" for p in license_scan.postings())
+    known = license_scan.templates()
+    index = ", ".join(f"({q(w)}, {t}, {q(kind)}, {q(label)}, {i}, {len(own)}, {need})" for t, (kind, label, own, need) in enumerate(known) for i, w in own)
     wanted = ", ".join(f"({q(label)}, {q(key)})" for label, _, keys in license_scan.NOTICES for key in keys)
     return rf"""
-        WITH p(w, kind, label, position, size) AS (VALUES {index}), k(label, wanted) AS (VALUES {wanted}),
+        WITH p(w, t, kind, label, position, size, need) AS (VALUES {index}), k(label, wanted) AS (VALUES {wanted}),
         d AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.UPPER.lower()}'),
                    '{license_scan.WORD_BREAK}'), lambda x: x <> '') AS words FROM documents),
         u AS (SELECT doc_id, unnest(words) AS w, unnest(range(0, len(words))) AS i FROM d),
-        h AS (SELECT * FROM u WHERE w IN (SELECT w FROM p)),
-        f AS (SELECT w, count(DISTINCT doc_id) AS df FROM h GROUP BY w),
-        r AS (
-            SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY df, w) <= {license_scan.RARE} AS is_rare
-            FROM (SELECT DISTINCT doc_id, w FROM h) JOIN f USING (w)),
-        a AS (
-            SELECT doc_id, kind, label, size, i - position AS start, count(*) AS n, bool_or(is_rare) AS has_rare
-            FROM h JOIN r USING (doc_id, w) JOIN p USING (w) GROUP BY ALL),
-        g AS (SELECT * FROM a WHERE CASE WHEN kind IN ('base', 'key') THEN n = size ELSE n >= {license_scan.ENOUGH} * size AND has_rare END),
+        g AS (
+            SELECT doc_id, t, kind, label, size, i - position AS start, count(*) AS n FROM u JOIN p USING (w)
+            GROUP BY doc_id, t, kind, label, size, need, start HAVING n >= need),
         b AS (
             SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_distinct(list(label)) AS labels
             FROM g WHERE kind = 'base' GROUP BY doc_id),
         v AS (
-            SELECT g.doc_id, g.label, max(g.n / g.size) AS part FROM g WHERE kind = 'notice' AND NOT EXISTS (
+            SELECT g.doc_id, g.label, max(g.n / g.size) AS part FROM g WHERE kind = 'clause' AND NOT EXISTS (
                 SELECT 1 FROM k WHERE k.label = g.label AND NOT EXISTS (
                     SELECT 1 FROM g AS o WHERE o.doc_id = g.doc_id AND o.kind = 'key' AND o.label = k.wanted)) GROUP BY ALL),
         x AS (SELECT doc_id, list(label) AS labels, max(part) AS part FROM v GROUP BY doc_id)

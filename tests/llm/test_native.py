@@ -40,22 +40,23 @@ def test_exact_dedup_text_sha(spark, docs):
 def brute_licences(texts):
     words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
     indexed = lambda text: [(i, w) for i, w in enumerate(text.split()) if w not in license_scan.FUNCTION_WORDS]
-    templates = [("base", label, indexed(p), []) for p, label in license_scan.BASE.items()] + [("notice", label, indexed(p), keys) for label, p, keys in license_scan.NOTICES]
-    vocabulary = {w for _, _, own, _ in templates for _, w in own}
-    df = Counter(w for own in words for w in set(own) & vocabulary)
+    templates = [("base", label, indexed(p), []) for p, label in license_scan.BASE.items()]
+    templates += [("clause", label, indexed(p), keys) for label, clauses, keys in license_scan.NOTICES for p in clauses]
     stands = lambda own, at, t: sum(0 <= at + i < len(own) and own[at + i] == w for i, w in t)
     for own in words:
-        rare = sorted(set(own) & vocabulary, key=lambda w: (df[w], w))[: license_scan.RARE]
         places, base, labels, score = [], set(), set(), 0.0
+        known = set(own)
         for kind, label, t, keys in templates:
-            for at in range(-40, len(own)):
+            if sum(w in known for _, w in t) < license_scan.ENOUGH * len(t):
+                continue
+            for at in range(-90, len(own)):
                 n = stands(own, at, t)
                 if kind == "base" and n == len(t):
                     places.append(at)
                     base.add(label)
                     score = 1.0
-                elif kind == "notice" and n >= license_scan.ENOUGH * len(t) and any(0 <= at + i < len(own) and own[at + i] == w and w in rare for i, w in t):
-                    if all(any(stands(own, b, indexed(k)) == len(indexed(k)) for b in range(-40, len(own))) for k in keys):
+                elif kind == "clause" and n >= license_scan.ENOUGH * len(t):
+                    if all(any(stands(own, b, indexed(k)) == len(indexed(k)) for b in range(-90, len(own))) for k in keys):
                         labels.add(label)
                         score = max(score, n / len(t))
         yield (len(own), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), round(score, 6))
@@ -67,10 +68,16 @@ def test_licence_scan_equals_brute_force(spark, docs):
         "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "gnu general public public license", "mit\x00license",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this Software and associated documentation files (the Software), to deal in the Software without restriction",
         "released under the mit license " * 300, "Redistribution and use in source and binary forms are permitted provided that the following conditions are met",
+        # the whole MIT text among ordinary words that other licences use, some of them rarer than its own
+        " ".join(license_scan.NOTICES[-4][1]) + " source terms compliance version endorse altered binary law worldwide attribution", "source " * 9 + "licensed under the apache license version 2 0",
+        "Permission is hereby granted to deal without restriction. " + license_scan.NOTICES[-4][1][1].replace("merge", "x").replace("publish", "y"),
     ]
     frame = docs([(i, t, "x", "y", "z") for i, t in enumerate(texts)], "row string, words string, hits string")
     found = {r.doc_id: tuple(r)[1:] for r in license_scan.scan(frame).collect()}
     assert found == dict(enumerate(brute_licences(texts)))
+    assert license_scan.NOTICES[-4][0] == "mit-text" and "mit-text" in found[15][5] and "apache-2.0" in found[16][5] and "mit-text" in found[17][5]
+    twice = docs([(3, "MIT License"), (3, "MIT License"), (None, "cc by"), (4, None)])
+    assert sorted((r.doc_id or 0, r.labels) for r in license_scan.scan(twice).collect()) == [(0, "cc-by"), (3, "mit"), (3, "mit"), (4, "")]
     assert license_scan.scan(docs([])).count() == 0
 
 
