@@ -1,9 +1,11 @@
 """Multi-party perspective rotation: each conversation once for each participant, who speaks as the assistant.
 
 Others are users by name, system turns stay system turns. A mask gives the character spans on which to train: the
-participant's own texts with their end marks. A rendering comes in parts of 64 turn numbers, so a conversation
-without end is many rows, each with spans of its own text. A part that holds over ``CROWD`` rows, as only repeated turn
-numbers can bring about, is split by turn, and a turn's rows by their digest.
+participant's own texts with their end marks. A dialogue of up to ``WHOLE`` turns is one row for each participant,
+whatever its turns' numbers. A longer one would make a row without bound: it comes in parts, by equal ranges of turn
+numbers that hold ``PART`` turns if these spread evenly, and its opening system turns (those before any other turn)
+begin every part. A part that holds over ``WHOLE`` turns all the same, as repeated or clustered turn numbers can bring
+about, is split by turn, and a turn's rows into slots by their digest. Each row says its part, split and slot.
 
 Turns are ordered by turn, then role, then text; a null turn comes last. A null role is a participant named 'unknown',
 a null text an empty turn. Repeated rows are repeated turns. A conversation of system turns only gives no rows; one
@@ -18,28 +20,46 @@ from pyspark.sql import functions as F
 
 from quillmill.llm import work
 
-PART_BITS, CROWD = 6, 256
+WHOLE, PART = 4_096, 1_024
 SYSTEM = ("system",)
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
+LAST = (1 << 63) - 1
 
 
 def _header(role: Column, speaker: Column) -> Column:
     return F.concat(F.lit(OPEN), F.when(role.isin(*SYSTEM), "system").when(role == speaker, "assistant").otherwise(F.concat(F.lit("user:"), role)), F.lit("\n"))
 
 
+def _slot(rows: Column) -> Column:
+    """One of so many slots that each holds a quarter of WHOLE rows, by a digest of role and text."""
+    digest = F.md5(F.concat_ws("\n", "role", "text"))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.ceil(4 * rows / WHOLE)).cast("long")
+
+
 def _numbered(turns: DataFrame) -> DataFrame:
     """``turns`` with part, and split and slot, which are 0 but in crowded parts."""
-    part = F.shiftright(F.coalesce("turn", F.lit((1 << 63) - 1)), PART_BITS)
-    turns = turns.withColumn("part", part)
-    crowds = turns.groupBy("conv_id", "part").count().filter(F.col("count") > CROWD)
-    crowds = work.put(crowds.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "count"), "crowds")
-    if crowds.isEmpty():
-        return turns.withColumn("split", F.lit(0).cast("long")).withColumn("slot", F.lit(0).cast("long"))
-    many = F.col("count").isNotNull()
-    slot = F.pmod(F.xxhash64("role", "text"), F.ceil(2 * F.col("count") / CROWD))
-    turns = turns.join(crowds, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").drop("c", "p")
-    turns = turns.withColumn("split", F.when(many, F.coalesce("turn", F.lit((1 << 63) - 1))).otherwise(0)).withColumn("slot", F.when(many, slot).otherwise(0))
-    return turns.drop("count")
+    zero = F.lit(0).cast("long")
+    at, same = F.coalesce("turn", F.lit(LAST)), lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    system = F.col("role").isin(*SYSTEM)
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("low"), F.max("turn").alias("high"), F.min(F.when(~system, at)).alias("speaks"))
+    long_ = work.put(sizes.filter(F.col("n") > WHOLE).withColumnRenamed("conv_id", "c"), "long")
+    if long_.isEmpty():
+        return turns.withColumn("part", zero).withColumn("split", zero).withColumn("slot", zero)
+    turns = turns.join(long_, same("conv_id", "c"), "left")
+    width = F.ceil((F.col("high").cast("double") - F.col("low") + 1) * PART / F.col("n"))
+    part = F.when(F.col("turn").isNull(), F.ceil(F.col("n") / PART) + 1).otherwise(F.floor((F.col("turn").cast("double") - F.col("low")) / width)).cast("long")
+    turns = turns.withColumn("part", F.when(F.col("n").isNull(), zero).otherwise(part))
+    crowds = turns.filter("n is not null").groupBy("conv_id", "part").agg(F.count("*").alias("rows")).filter(F.col("rows") > WHOLE)
+    crowds = work.put(crowds.withColumnsRenamed({"conv_id": "c2", "part": "p2"}), "crowds")
+    turns = turns.join(crowds, same("conv_id", "c2") & (F.col("part") == F.col("p2")), "left")
+    many = F.col("rows").isNotNull()
+    turns = turns.withColumn("split", F.when(many, at).otherwise(zero)).withColumn("slot", F.when(many, _slot(F.col("rows"))).otherwise(zero))
+    keys = ["conv_id", "part", "split", "slot"]
+    opening = turns.filter(F.col("n").isNotNull() & system & (at < F.col("speaks"))).select("conv_id", "turn", "role", "text", *[F.col(k).alias(f"own_{k}") for k in keys[1:]])
+    parts = turns.filter("n is not null").select(*keys).distinct().withColumnRenamed("conv_id", "c3")
+    again = opening.join(parts, same("conv_id", "c3")).filter("part <> own_part OR split <> own_split OR slot <> own_slot")
+    names = ["conv_id", "turn", "role", "text", "part", "split", "slot"]
+    return turns.select(names).unionByName(again.select(names))
 
 
 def rotate(conversations: DataFrame) -> DataFrame:
@@ -75,4 +95,4 @@ def rotate(conversations: DataFrame) -> DataFrame:
 def query(conversations: DataFrame) -> DataFrame:
     """The rotation with the mask as text, 'start-end' joined by commas."""
     spans = F.array_join(F.transform("mask", lambda m: F.concat(m["start"], F.lit("-"), m["end"])), ",")
-    return rotate(conversations).select("conv_id", "speaker", "part", F.col("n_turns").cast("long").alias("n_turns"), "text", spans.alias("mask"))
+    return rotate(conversations).select("conv_id", "speaker", "part", "split", "slot", F.col("n_turns").cast("long").alias("n_turns"), "text", spans.alias("mask"))

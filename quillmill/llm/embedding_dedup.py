@@ -1,7 +1,8 @@
 """Near-duplicate embeddings: random-hyperplane sign hashing in several tables, exact cosines, connected components.
 
 Equal vectors are one item with a weight, so copies cost nothing more. An item is dealt to one bucket in each table;
-buckets of over ``BLOCK`` items are dealt in blocks, a task for each pair of blocks. A pair in several common
+buckets of over ``BLOCK`` items are dealt in blocks, a task for each pair of blocks. A vector travels as float32 where
+that holds it exactly, beside its buckets in all tables. A pair in several common
 buckets counts in the first of its tables only, so neither pairs nor their duplicates leave a task: it returns each
 item's number of links and enough links to join each group.
 
@@ -44,11 +45,22 @@ def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
 def signatures(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """Each row's bucket in each table."""
     sign = (vectors @ _planes(vectors.shape[1], bits, tables) > 0).reshape(len(vectors), tables, bits)
-    return sign @ (1 << np.arange(bits, dtype=np.int64))
+    return (sign @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32)
+
+
+def packed(vector: np.ndarray) -> bytes:
+    """A vector of doubles as float32 where these hold it exactly, else as float64, with a byte that says which."""
+    single = vector.astype(np.float32)
+    return b"4" + single.tobytes() if (single == vector).all() else b"8" + vector.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if raw[:1] == b"4" else np.float64, offset=1).astype(np.float64)
 
 
 def linked_pairs(vectors: np.ndarray, threshold: float, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices (i < j) of pairs with a cosine of ``threshold`` or more, in double precision."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # else squares of very large or small components leave the doubles
     norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
     for k in range(0, len(vectors), step):
         cosine = vectors[k : k + step] @ vectors[k:].T / np.outer(norm[k : k + step], norm[k:])
@@ -76,28 +88,33 @@ def _links(items: DataFrame, threshold: float, recall: float) -> DataFrame:
         for batch in batches:
             vectors = [np.array(v, np.float64) for v in batch.column("v").to_pylist()]
             keys: list = [None] * len(vectors)
+            of_tables: list = [None] * len(vectors)
             for dim in {len(v) for v in vectors}:
                 own = [i for i, v in enumerate(vectors) if len(v) == dim]
-                for i, s in zip(own, signatures(np.array([vectors[i] for i in own]), bits, tables).tolist()):
-                    keys[i] = [(t << bits | x) + (dim << 40) for t, x in enumerate(s)]
-            raw = pa.array([v.tobytes() for v in vectors], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("n"), raw, pa.array(keys, pa.list_(pa.int64()))], ["item", "n", "raw", "keys"])
-
-    signed = work.put(items.mapInArrow(sign, "item long, n long, raw binary, keys array<long>"), "signed")
+                scaled = np.array([vectors[i] for i in own])
+                found = signatures(scaled / np.abs(scaled).max(axis=1, keepdims=True), bits, tables)
+                for i, s in zip(own, found):
+                    keys[i] = [(t << bits | x) + (dim << 40) for t, x in enumerate(s.tolist())]
+                    of_tables[i] = s.tobytes()
+            raw = pa.array(map(packed, vectors), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("n"), raw, pa.array(of_tables, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["item", "n", "raw", "found", "keys"])
+
+    signed = work.put(items.mapInArrow(sign, "item long, n long, raw binary, found binary, keys array<long>"), "signed")
     sizes = signed.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1")
     sizes = work.put(sizes.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "sizes")
-    dealt = signed.select("item", "n", "raw", F.explode("keys").alias("key")).join(sizes, "key")
+    dealt = signed.select("item", "n", "raw", "found", F.explode("keys").alias("key")).join(sizes, "key")
     own = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("item", "n", "raw", "key", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("item", "n", "raw", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.select("item", "n", "raw", "found", "key", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("item", "n", "raw", "found", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["key", "i", "j"]):
             key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
             item, n, own = (np.asarray(group.column(c)) for c in ("item", "n", "own"))
-            vectors = np.array([np.frombuffer(x) for x in group.column("raw").to_pylist()])
-            table, seen = (key & (1 << 40) - 1) >> bits, signatures(vectors, bits, tables)
+            vectors = np.array([unpacked(x) for x in group.column("raw").to_pylist()])
+            table = (key & (1 << 40) - 1) >> bits
+            seen = np.frombuffer(b"".join(group.column("found").to_pylist()), np.int32).reshape(len(item), tables)
             count, a, b = np.zeros(len(item), np.int64), [], []
             for x, y in linked_pairs(vectors, threshold):
                 if i != j:

@@ -2,8 +2,8 @@
 
 A text's features are its byte 2-, 3- and 4-grams (A-Z lower-cased, white space collapsed), hashed to ``BUCKETS``
 embeddings; the logits are a linear map of their average. Embeddings and map are trained by stochastic gradient descent
-in numpy, on windows spread over the texts of a bounded sample: about ``SAMPLE`` rows of each of the ``LANGUAGES`` most frequent
-labels and ``SAMPLE_ALL`` in all, chosen by a hash of doc_id. A fifth of the sample is held back to fit the softmax's temperature and the
+in numpy, on windows spread over the texts of a bounded sample: about ``SAMPLE`` rows of each label and ``SAMPLE_ALL`` in all (but at
+least some of each label, however many there are), chosen by a hash of doc_id. A fifth of the sample is held back to fit the softmax's temperature and the
 bounds of rejection.
 
 A softmax is as sure of a text in a language that it never learned. A text is therefore also rejected for its share of letter
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 BUCKETS_LOG2, DIM, ORDERS = 16, 12, (2, 3, 4)
 #: Rows of a language in the sample and of all languages (expected; twice as many at most), windows of a row, characters of a window.
-SAMPLE, SAMPLE_ALL, LANGUAGES, WINDOWS, WINDOW = 1_200, 40_000, 256, 4, 250
+SAMPLE, SAMPLE_ALL, SAMPLE_LEAST, WINDOWS, WINDOW = 1_200, 40_000, 20, 4, 250
 EPOCHS, RATE, STEP = 3, 0.5, 1 << 20
 #: For rejection: buckets of n-grams seen, quantiles of held-back texts, least share, slack, deviations; a new pair of letters makes NINE new n-grams.
 SEEN_LOG2, NEARLY_ALL, FLOOR, SLACK, DEVIATIONS, NINE = 20, 0.99, 0.02, 2.0, 3.0, sum(ORDERS)
@@ -146,17 +146,16 @@ def fold(mod: int) -> Column:
 def sample(docs: DataFrame, learn: Column) -> list[tuple[str, list[str], bool]]:
     """The rows that ``train`` takes: a bounded sample of labelled rows, and of each a bounded number of characters."""
     known = docs.filter(learn & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = known.groupBy("lang").agg(F.count("*").alias("of_lang"))
+    languages = counts.count()
+    if not languages:
         return []
-    each, share = min(SAMPLE, SAMPLE_ALL // len(counts)), F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(share)
+    each = min(SAMPLE, max(SAMPLE_LEAST, SAMPLE_ALL // languages))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     start = lambda k: (F.length("text") - WINDOW) * k / max(1, WINDOWS - 1) + 1
     windows = F.array(*[F.substring("text", F.greatest(F.lit(1), start(k).cast("int")), F.lit(WINDOW)) for k in range(WINDOWS)])
-    rows = known.withColumn("share", share).withColumn("draw", draw).filter("draw < share").select("lang", "doc_id", windows.alias("windows"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * each * len(counts))
+    drawn = known.join(counts, "lang").withColumn("draw", draw).filter(F.col("draw") * F.col("of_lang") < F.lit(float(each)))
+    rows = drawn.select("lang", "doc_id", windows.alias("windows")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * each * languages)
     return sorted((r["lang"], sorted(set(r["windows"])), r["doc_id"] % 5 == 0) for r in rows.collect())
 
 

@@ -6,7 +6,7 @@ over the sources. It is the largest exponent that reaches the target entropy (bi
 keeps the repetition of every source within a limit. A source's budget is its weight times the budget of the mixture. It is filled by whole passes
 over the source and a part of one more, each pass in an order of its own given by a keyed digest; a document enters a pass only
 if it fits into the budget whole. Positions in a source's stream are exact prefix sums in two steps, over buckets of the key
-and within one, so no window holds more than 1/4096 of a source. Block k of the mixture takes the k-th equal part of every source's
+and within one; the number of buckets follows that of the rows, so that a window holds some hundred rows at any size. Block k of the mixture takes the k-th equal part of every source's
 stream, in an order given by the key.
 
 Without a budget, the mixture is the smallest that shows every document at least once.
@@ -18,13 +18,15 @@ empty table gives an empty result. Columns besides ``doc_id``, ``text`` and ``so
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.llm import work
 
-SECTIONS, ROUNDS, BLOCK_TOKENS = 16, 12, 1_000_000
+SECTIONS, ROUNDS, BLOCK_TOKENS, BUCKET_ROWS, PASSES = 16, 12, 1_000_000, 512, 1_024
 
 
 def tokens(text: Column) -> Column:
@@ -39,6 +41,20 @@ def _key(turn: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), turn.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
+def _bucket(rows: DataFrame) -> Column:
+    """The beginning of ``key``: as many hex digits as give buckets of about ``BUCKET_ROWS`` rows, were all of one source."""
+    digits = max(3, math.ceil(math.log(max(1, rows.count()) / BUCKET_ROWS, 16)))
+    return F.substring("key", 1, digits)
+
+
+def _numbered(rows: DataFrame, last: Column, name: str) -> DataFrame:
+    """Each row once for each number from 0 to ``last``, in two steps, so that no array holds all numbers."""
+    step = F.lit(PASSES).cast("long")
+    rows = rows.withColumn("_last", last.cast("long")).withColumn("_of", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / step))))
+    rows = rows.withColumn(name, F.explode(F.sequence(F.col("_of") * step, F.least(F.col("_last"), F.col("_of") * step + step - 1))))
+    return rows.drop("_last", "_of")
+
+
 def exponent(sources: DataFrame, entropy: float | None = None, repeat: float | None = None, budget: float | None = None) -> float:
     """The exponent for sources (source, total); ``repeat`` limits how often any source is shown, on average.
 
@@ -94,8 +110,8 @@ def mixture(docs: DataFrame, entropy: float | None = None, repeat: float | None
     """
     rows, sources = plan(docs, entropy, repeat, budget, seed)
     blocks = max(1, -(-(sources.agg(F.sum("goal")).first()[0] or 0) // block_tokens))
-    shown = rows.join(sources, "source").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
-    shown = shown.withColumn("key", _key(F.col("pass"), seed)).withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+    shown = _numbered(rows.join(sources, "source"), F.col("passes"), "pass")
+    shown = shown.withColumn("key", _key(F.col("pass"), seed)).withColumn("bucket", _bucket(rows))
     sums = work.put(shown.groupBy("source", "pass", "bucket").agg(F.sum("tokens").alias("sum")), "sums")
     before = F.sum("sum").over(Window.partitionBy("source", "pass").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("source", "pass", "bucket", F.coalesce(before, F.lit(0)).alias("earlier"))
@@ -115,7 +131,7 @@ def realise(docs: DataFrame, entropy: float | None = None, repeat: float | None
     """
     rows, sources = plan(docs, entropy, repeat, budget, seed)
     last = rows.join(sources, "source").filter("goal > passes * total").withColumn("key", _key(F.col("passes"), seed))
-    last = last.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+    last = last.withColumn("bucket", _bucket(rows))
     sums = work.put(last.groupBy("source", "bucket").agg(F.sum("tokens").alias("sum")), "sums")
     before = F.sum("sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("source", "bucket", F.coalesce(before, F.lit(0)).alias("earlier"))
@@ -124,4 +140,4 @@ def realise(docs: DataFrame, entropy: float | None = None, repeat: float | None
     cut = work.put(sources.join(fits.groupBy("source").agg(F.max("key").alias("last")), "source", "left").select("source", "passes", "last"), "cut")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), "doc_id", _source().alias("source"))
     times = F.col("passes") + F.coalesce((_key(F.col("passes"), seed) <= F.col("last")).cast("long"), F.lit(0))
-    return own.join(cut, "source").withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), times))).filter("n <= passes + 1").filter(times >= F.col("n")).select("d.*")
+    return _numbered(own.join(cut, "source").withColumn("times", times).filter("times > 0"), F.col("times") - 1, "n").select("d.*")

@@ -114,21 +114,38 @@ ORACLE_SQL = {
             FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
     "op3_chat_format": r"""
-        WITH t AS (
+        WITH r AS (
             SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
             FROM conversations),
+        z AS (
+            SELECT conv_id AS c, count(*) AS n, min(turn) AS low, max(turn) AS high, min(CASE WHEN role <> 'system' THEN turn END) AS speaks
+            FROM r GROUP BY conv_id),
+        m AS (
+            SELECT r.*, n, speaks, CASE WHEN n <= 4096 THEN 0 ELSE CAST(floor((turn - low) / ceil((high - low + 1) * 1024.0 / n)) AS BIGINT) END AS part
+            FROM r JOIN z ON conv_id = c),
+        k AS (SELECT conv_id AS c, part AS p, count(*) AS held FROM m GROUP BY ALL),
+        y AS (
+            SELECT m.*, CASE WHEN held > 4096 THEN turn ELSE 0 END AS split,
+                   CASE WHEN held > 4096 THEN CAST(('0x' || substr(md5(role || chr(10) || text), 1, 8)) AS BIGINT) % CAST(ceil(held / 1024.0) AS BIGINT) ELSE 0 END AS slot
+            FROM m JOIN k ON conv_id = c AND part = p),
+        t AS (
+            SELECT conv_id, turn, role, text, part, split, slot FROM y
+            UNION ALL
+            SELECT y.conv_id, turn, role, text, q.part, q.split, q.slot
+            FROM y JOIN (SELECT DISTINCT conv_id, part, split, slot FROM y) q ON y.conv_id = q.conv_id
+            WHERE role = 'system' AND turn < speaks AND (y.part, y.split, y.slot) <> (q.part, q.split, q.slot)),
         s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
         p AS (
-            SELECT t.*, speaker, turn // 64 AS part, text || '<|end|>' || chr(10) AS body,
+            SELECT t.*, speaker, text || '<|end|>' || chr(10) AS body,
                    '<|turn|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
                                       ELSE 'user:' || role END || chr(10) AS head
             FROM t JOIN s ON t.conv_id = s.conv_id),
         q AS (
             SELECT *, row_number() OVER w AS n, CAST(sum(length(head) + length(body)) OVER w AS BIGINT) AS fin FROM p
-            WINDOW w AS (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
-        SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY n) AS text,
+            WINDOW w AS (PARTITION BY conv_id, speaker, part, split, slot ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+        SELECT conv_id, speaker, part, split, slot, count(*) AS n_turns, string_agg(head || body, '' ORDER BY n) AS text,
                coalesce(string_agg(CASE WHEN role = speaker THEN (fin - length(body)) || '-' || fin END, ',' ORDER BY n), '') AS mask
-        FROM q GROUP BY conv_id, speaker, part""",
+        FROM q GROUP BY conv_id, speaker, part, split, slot""",
     "op7_mixing": r"""
         WITH d AS (
             SELECT doc_id, coalesce(source, '') AS source,

@@ -1,6 +1,7 @@
 """Token ids in files of compressed byte or bit planes, and their reading.
 
-Documents are dealt into ranges of doc_id, one file for each range, ascending within and across files. A file is a
+Ids are those of the tokenizers library; words of common characters go through ``bpe``'s merge engine over the same merges,
+which the tests hold against the library. Documents are dealt into ranges of doc_id, one file for each range, ascending within and across files. A file is a
 sequence of segments: whole documents with a document index (doc_ids, lengths), and a blob of fixed-size id blocks. Each block is
 transposed into planes, each plane is compressed with zstandard, and the blob starts with a chunk index of the planes'
 sizes, so one block can be read alone. Segments travel as rows of Parquet, so that Spark's committer, any file system
@@ -9,7 +10,8 @@ that Spark reaches, and a lost executor's second attempt all work.
 Blob: ``QMT1``, then as little-endian unsigned 32-bit integers: planes in a block, ids in a block, ids in all, blocks;
 the sizes of all planes, block by block (0: only zeros); then the planes.
 
-Null texts count as empty and hold the end id alone. Rows with a null doc_id come first; equal rows each stay. An empty
+Null texts count as empty and hold the end id alone. Rows with a null doc_id come first; rows with equal doc_id each stay,
+in an order by their texts' hash. An empty
 table gives no segments. Columns besides ``doc_id`` and ``text`` are ignored.
 """
 
@@ -105,8 +107,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, location: str | Non
         if names:
             yield full()
 
-    ranges = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(work.partitions(spark), "doc_id")
-    ranges.sortWithinPartitions("doc_id", "text").mapInArrow(segments, _SEGMENTS).write.option("compression", "none").parquet(location)
+    # rows of one doc_id, or of none, may be many: their texts' hash and a number of their own part them too
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.rand(1).alias("r"))
+    ranges = own.repartitionByRange(work.partitions(spark), "doc_id", "h", "r").sortWithinPartitions("doc_id", "h", "r")
+    ranges.select("doc_id", "text").mapInArrow(segments, _SEGMENTS).write.option("compression", "none").parquet(location)
     return location
 
 

@@ -56,6 +56,32 @@ def test_odd_rows(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_very_large_and_small_components(spark):
+    rows = [(1, [1e160, 2e160]), (2, [1e160, 2.1e160]), (3, [1e-170, 2e-170]), (4, [1e-320, -2e-320]), (5, [3e160, -6e160])]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
+
+
+@pytest.mark.parametrize(("bits", "n"), [(9, 3_000), (13, 2_000)])
+def test_recall_with_as_many_bits_as_large_tables_have(spark, monkeypatch, bits, n):
+    """Pairs near the threshold, found with the bits and tables of 65,000 and of a million vectors."""
+    shape = embedding_dedup.shape
+    monkeypatch.setattr(embedding_dedup, "shape", lambda _, threshold, recall: shape(128 << bits, threshold, recall))
+    rng = np.random.default_rng(bits)
+    base = rng.standard_normal((n // 2, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.standard_normal(base.shape)
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.uniform(0.895, 0.92, (len(base), 1))
+    vectors = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * other])
+    want = brute(list(range(len(vectors))), list(vectors))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(frame).collect()}
+    assert all(found[i] <= want[i][0] for i in want)
+    assert sum(found.values()) >= 0.98 * sum(w[0] for w in want.values())
+
+
 def test_shape():
     assert embedding_dedup.shape(0) == embedding_dedup.shape(500)
     assert embedding_dedup.shape(10**6)[0] == 13

@@ -141,3 +141,33 @@ def test_grams_cover_whole_texts(text):
     n = sum(map(len, language_id._grams(text)))
     size = len(" ".join(text.split())) + 2
     assert n == sum(max(0, size - k + 1) for k in language_id.ORDERS)
+
+
+def test_language_prediction_equals_plain_formula(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.learn(docs)
+    buckets = model.embeddings.shape[0]
+    rows = docs.select("doc_id", "text").collect()
+    found = {r.doc_id: r for r in language_id.predict(docs, model, ["doc_id"]).collect()}
+    for r in rows:
+        if not any(map(str.isalpha, r.text or "")):
+            assert found[r.doc_id].lang_pred == "und" and found[r.doc_id].score == 0
+            continue
+        raw = b" " + b" ".join(r.text.encode().lower().split()) + b" "
+        total, n = np.zeros(model.embeddings.shape[1]), 0
+        for size in (2, 3, 4):
+            for k in range(len(raw) - size + 1):
+                h = raw[k]
+                for c in raw[k + 1 : k + size]:
+                    h = (h * 0x01000193 + c) % 2**32
+                h = ((h ^ h >> 15) * (0x85EBCA6B + 2 * size)) % 2**32
+                total += model.embeddings[h * buckets >> 32]
+                n += 1
+        x = (total / n @ model.weights + model.bias) / model.temperature
+        p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        assert abs(found[r.doc_id].score - p.max()) < 1e-4 and (found[r.doc_id].lang_pred == model.languages[int(p.argmax())] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-4)
+
+
+def test_every_label_can_be_learned(spark, docs):
+    rows = [(k * 10 + i, (chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) + " ") * (8 + i), f"l{k:03}") for k in range(300) for i in range(6)]
+    assert len(language_id.learn(docs(rows)).languages) == 300

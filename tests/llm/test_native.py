@@ -94,23 +94,35 @@ def test_chat_rotation(spark):
     ]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int")
     found = {(r.conv_id, r.speaker, r.part): r for r in chat_format.rotate(frame).collect()}
-    last = (2**63 - 1) // 64
-    assert set(found) == {(1, s, p) for s in ("ann", "bob", "unknown") for p in (0, last)} | {(None, "ann", 0)} | {(3, s, p) for s in ("ann", "bob") for p in (0, 3)}
+    assert set(found) == {(1, s, 0) for s in ("ann", "bob", "unknown")} | {(None, "ann", 0)} | {(3, s, 0) for s in ("ann", "bob")}
     bob = found[1, "bob", 0]
-    assert bob.text == "<|turn|>system\nbe kind<|end|>\n<|turn|>user:ann\nhello<|end|>\n<|turn|>assistant\nhi < |turn|><|end|>\n"
+    assert bob.text == "<|turn|>system\nbe kind<|end|>\n<|turn|>user:ann\nhello<|end|>\n<|turn|>assistant\nhi < |turn|><|end|>\n<|turn|>user:unknown\n<|end|>\n"
     assert [bob.text[m.start : m.end] for m in bob.mask] == ["hi < |turn|><|end|>\n"]
-    assert found[1, "unknown", last].text == "<|turn|>assistant\n<|end|>\n" and found[3, "ann", 3].mask == []
+    assert found[3, "ann", 0].text == "<|turn|>assistant\nfirst<|end|>\n<|turn|>user:bob\nlater<|end|>\n"
     assert chat_format.rotate(frame.limit(0)).count() == 0
 
 
-def test_chat_crowded_turn(spark):
-    rows = [(1, i % 3, "ann" if i % 2 else "bob", f"text {i:05}") for i in range(3000)] + [(2, 0, "ann", "x")]
+@pytest.mark.parametrize("numbers", ["dense", "stamps", "few", "none"])
+def test_chat_long_dialogues(spark, monkeypatch, numbers):
+    """Rows stay bounded, every turn is in one part, and the opening system turn begins every part."""
+    monkeypatch.setattr(chat_format, "WHOLE", 64)
+    monkeypatch.setattr(chat_format, "PART", 16)
+    turn = {"dense": lambda i: i, "stamps": lambda i: 1_700_000_000 + 37 * i, "few": lambda i: i % 3, "none": lambda i: None}[numbers]
+    rows = [(1, -1, "system", "be kind")] + [(1, turn(i), "ann" if i % 2 else "bob", f"text {i:05}" if i != 5 else "long " * 50_000) for i in range(1, 900)]
+    rows += [(2, 10**9 * i, "ann", f"y{i}") for i in range(60)]
     parts = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert max(r.n_turns for r in parts) <= 2 * chat_format.CROWD
+    whole = [r for r in parts if r.conv_id == 2]
+    assert len(whole) == 1 and whole[0].n_turns == 60
     for speaker in ("ann", "bob"):
         own = [r for r in parts if (r.conv_id, r.speaker) == (1, speaker)]
-        assert sum(r.n_turns for r in own) == 3000
-        assert sorted(r.text[m.start : m.end] for r in own for m in r.mask) == sorted(f"{x[3]}{chat_format.CLOSE}" for x in rows[:-1] if x[2] == speaker)
+        assert max(r.n_turns for r in own) <= 2 * 64 and len({(r.part, r.split, r.slot) for r in own}) == len(own)
+        assert all(r.text.startswith("<|turn|>system\nbe kind<|end|>\n") for r in own)
+        assert sorted(r.text[m.start : m.end] for r in own for m in r.mask) == sorted(f"{x[3]}{chat_format.CLOSE}" for x in rows if x[0] == 1 and x[2] == speaker)
+        if numbers in ("dense", "stamps"):
+            own.sort(key=lambda r: r.part)
+            assert all(r.n_turns <= 18 for r in own)
+            said = [line for r in own for line in r.text.split("\n") if line.startswith("text")]
+            assert said == sorted(said) and len(said) == 898
 
 
 def test_mixing_budget(spark):
