@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 BUCKETS_LOG2, DIM, ORDERS = 16, 12, (2, 3, 4)
 #: Rows of a language in the sample and of all languages (expected; twice as many at most), windows of a row, characters of a window.
 SAMPLE, SAMPLE_ALL, SAMPLE_LEAST, WINDOWS, WINDOW = 1_200, 40_000, 20, 4, 250
+#: Labels whose counts are sent to every executor, a few MB at most.
+FEW_LABELS = 100_000
 EPOCHS, RATE, STEP = 3, 0.5, 1 << 20
 #: For rejection: buckets of n-grams seen, quantiles of held-back texts, least share, slack, deviations; a new pair of letters makes NINE new n-grams.
 SEEN_LOG2, NEARLY_ALL, FLOOR, SLACK, DEVIATIONS, NINE = 20, 0.99, 0.02, 2.0, 3.0, sum(ORDERS)
@@ -154,7 +156,7 @@ def sample(docs: DataFrame, learn: Column) -> list[tuple[str, list[str], bool]]:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     start = lambda k: (F.length("text") - WINDOW) * k / max(1, WINDOWS - 1) + 1
     windows = F.array(*[F.substring("text", F.greatest(F.lit(1), start(k).cast("int")), F.lit(WINDOW)) for k in range(WINDOWS)])
-    drawn = known.join(counts, "lang").withColumn("draw", draw).filter(F.col("draw") * F.col("of_lang") < F.lit(float(each)))
+    drawn = known.join(F.broadcast(counts) if languages <= FEW_LABELS else counts, "lang").withColumn("draw", draw).filter(F.col("draw") * F.col("of_lang") < F.lit(float(each)))
     rows = drawn.select("lang", "doc_id", windows.alias("windows")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * each * languages)
     return sorted((r["lang"], sorted(set(r["windows"])), r["doc_id"] % 5 == 0) for r in rows.collect())
 
