@@ -205,24 +205,29 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for token, n in zip(_grow(w).split(b" "), _grow(c, "<u4").tolist()):
                 sums[token] += n
         of_blocks = [_grow_keys(x) for x in group.column("keys").to_pylist()]
+        ends = np.cumsum([0, *map(len, of_blocks)]).tolist()
         keys = np.concatenate(of_blocks)
-        n = np.concatenate([_grow(x, "<u4") for x in group.column("key_counts").to_pylist()]).astype(np.int64)
+        del of_blocks
         order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.diff(keys, prepend=np.uint64((1 << 64) - 1)) != 0)
-        n = np.add.reduceat(n, first) if len(first) else n
+        keys = keys[order]
+        first = np.diff(keys, prepend=np.uint64((1 << 64) - 1)) != 0
+        at = np.empty(len(order), np.uint32)
+        at[order] = np.cumsum(first) - 1  # the place of each block's keys among the different ones
         keys = keys[first]
-        held = n > 0
-        keys, n = keys[held], n[held]  # only held-out texts have the others
-        own = {"block": None, "shard": shard, "known": sum(x > 0 for x in sums.values()), "tokens": sum(sums.values()), "types": len(keys)}
-        top = levels(n)
+        n = np.concatenate([_grow(x, "<u4") for x in group.column("key_counts").to_pylist()])
+        n = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+        del order, first
+        held = n > 0  # only held-out texts have the others
+        own = {"block": None, "shard": shard, "known": sum(x > 0 for x in sums.values()), "tokens": sum(sums.values()), "types": int(held.sum())}
+        top = levels(n[held])
         bits = max(LEAST_BITS, 64 * -(-int(top.sum()) * BITS // 64))
-        filter_ = LogFrequencyFilter(np.frombuffer(LogFrequencyFilter.segment(keys, n, bits), np.uint8), 1, bits, int(top.max(initial=1)))
+        filter_ = LogFrequencyFilter(np.frombuffer(LogFrequencyFilter.segment(keys[held], n[held], bits), np.uint8), 1, bits, int(top.max(initial=1)))
+        found = filter_.level(keys).astype("u1")
         out = [own]
-        for block, w, k in zip(blocks, words, of_blocks):
+        for block, w, a, b in zip(blocks, words, ends, ends[1:]):
             tokens = _grow(w)
             totals = np.fromiter(map(sums.__getitem__, tokens.split(b" ") if tokens else ()), "<u8")
-            out.append({"block": block, "shard": shard, "totals": _squeeze(totals), "levels": _squeeze(filter_.level(k).astype("u1"))})
+            out.append({"block": block, "shard": shard, "totals": _squeeze(totals), "levels": _squeeze(found[at[a:b]])})
         yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("totals", pa.binary()), ("levels", pa.binary()), *[(c, pa.int64()) for c in ("known", "tokens", "types")]]))
 
 
