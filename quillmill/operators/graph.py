@@ -5,15 +5,12 @@ An upsert is a full outer join of the stored table with a batch reduced to one r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # fixed values: names that stand for someone unnamed
-GENERIC_NAMES = "he she they him her them i me we us you it narrator someone somebody".split()
+GENERIC_NAMES = "he she they them him her person man woman boy girl stranger".split()
 
 
 def first_wins(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -24,10 +21,17 @@ def first_wins(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFram
 
 
 def entity_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Entities (uuid, name, aliases): a stored name stays; aliases are taken only where none are stored."""
-    batch = new.select("uuid", F.col("name").alias("new_name"), F.col("aliases").alias("new_aliases"))
-    aliases = F.when(F.size(F.coalesce("aliases", F.array().cast("array<string>"))) > 0, F.col("aliases")).otherwise(F.coalesce("new_aliases", F.array().cast("array<string>")))
-    return old.join(batch, "uuid", "full_outer").select("uuid", F.coalesce("name", "new_name").alias("name"), aliases.alias("aliases"))
+    """Entities (uuid, name, aliases, baseline_state): a stored name or state stays; aliases are taken only where none are stored.
+
+    Of a uuid that a batch (with position) has several times, the first set value counts.
+    """
+    none = F.array().cast("array<string>")
+    filled = F.size(F.coalesce("aliases", none)) > 0
+    first = lambda c, given: F.min_by(c, F.when(given, F.col("position"))).alias(f"new_{c}")
+    batch = new.groupBy("uuid").agg(first("name", F.col("name").isNotNull()), first("aliases", filled), first("baseline_state", F.col("baseline_state").isNotNull()))
+    aliases = F.when(filled, F.col("aliases")).otherwise(F.coalesce("new_aliases", none))
+    both = old.join(batch, "uuid", "full_outer")
+    return both.select("uuid", F.coalesce("name", "new_name").alias("name"), aliases.alias("aliases"), F.coalesce("baseline_state", "new_baseline_state").alias("baseline_state"))
 
 
 def add_label(labels: Column, label: Column) -> Column:
@@ -35,9 +39,12 @@ def add_label(labels: Column, label: Column) -> Column:
 
 
 def promote_name(entities: DataFrame, renames: DataFrame) -> DataFrame:
-    """Entities with new names (uuid, new_name); the old name becomes an alias."""
-    aliases = F.when(F.col("new_name").isNull() | (F.col("new_name") == F.col("name")), F.col("aliases")).otherwise(F.array_union("aliases", F.array("name")))
-    return entities.join(renames, "uuid", "left").select("uuid", F.coalesce("new_name", "name").alias("name"), aliases.alias("aliases"))
+    """Entities with new names (uuid, new_name); the old name becomes an alias, and the text of the latest one."""
+    old = F.trim(F.coalesce("name", F.lit("")))
+    kept = F.col("new_name").isNull() | (F.col("new_name") == F.col("name")) | (old == "")
+    known = F.coalesce("aliases", F.array().cast("array<string>"))
+    aliases = F.when(kept, known).otherwise(F.array_union(known, F.array("name")))
+    return entities.join(renames, "uuid", "left").select("uuid", F.coalesce("new_name", "name").alias("name"), aliases.alias("aliases"), F.when(~kept, F.col("name")).alias("aliases_text"))
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -120,22 +127,3 @@ def partial_ratio(a: str, b: str) -> float:
     n = len(short)
     best = lambda x, y: max(indel_ratio(x, y[max(0, i) : i + n]) for i in range(1 - n, len(y)))
     return max(best(short, long_), best(long_, short)) if n == len(long_) else best(short, long_)
-
-
-def fuzzy_resolution(mentions: DataFrame, entities: DataFrame, threshold: float = 0.85, block: int = 2_000) -> DataFrame:
-    """The entity whose name is nearest to each mention, and whether it is near enough to conflict.
-
-    Every mention is compared with every entity, as the nearest of all is asked for: the entities come in blocks of
-    bounded size, one row each, and only a block's best leaves the Arrow function. Ties go to the entity that comes first.
-    """
-    blocks = entities.groupBy(F.floor(F.col("position") / block).alias("b")).agg(F.sort_array(F.collect_list(F.struct("position", "uuid", F.lower("name").alias("name")))).alias("known"))
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            best = [max((indel_ratio(n.lower(), e["name"] or ""), -e["position"], e["uuid"]) for e in known) for n, known in zip(batch["name"].fillna(""), batch["known"])]
-            yield pd.DataFrame({"temp_id": batch["temp_id"], "name": batch["name"], "uuid": [b[2] for b in best], "at": [-b[1] for b in best], "score": [b[0] for b in best]})
-
-    each = mentions.select("temp_id", "name").crossJoin(blocks).select("temp_id", "name", "known").mapInPandas(nearest, "temp_id long, name string, uuid string, at long, score double")
-    best = each.groupBy("temp_id", "name").agg(F.max_by("uuid", F.struct("score", -F.col("at"))).alias("uuid"), F.max("score").alias("score"))
-    best = best.select("temp_id", "name", F.when(F.col("score") > 0, F.col("uuid")).alias("uuid"), F.round("score", 4).alias("score"))
-    return best.withColumn("is_conflict", F.col("score") >= threshold * 100)

@@ -15,16 +15,6 @@ from quillmill.operators.lexical import paragraphs
 from quillmill.sources.tables import table
 
 
-def entity_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Half of the customers are stored, some without a name; two thirds come again with other values."""
-    c = table(spark, d, "customer")
-    uuid = F.concat(F.lit("c-"), "c_custkey").alias("uuid")
-    none = F.array().cast("array<string>")
-    old = c.filter("c_custkey % 2 = 0").select(uuid, F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).alias("name"), F.when(F.col("c_custkey") % 6 == 0, F.array("c_mktsegment")).otherwise(none).alias("aliases"))
-    new = c.filter("c_custkey % 3 <> 1").select(uuid, F.upper("c_name").alias("name"), F.array(F.lower("c_mktsegment")).alias("aliases"))
-    return op.entity_upsert(old, new).select("uuid", "name", F.array_join("aliases", ",").alias("aliases"))
-
-
 def chunk_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Documents as chunks by content hash: the first of equal texts is the chunk, stored values stay."""
     docs = table(spark, d, "documents").select(tx.content_hash(F.col("text")).alias("hash"), "doc_id", "source", "lang")
@@ -32,13 +22,6 @@ def chunk_upsert(spark: SparkSession, d: str) -> DataFrame:
     return op.first_wins(old, docs, "hash", "doc_id")
 
 
-def name_promotion(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    entities = n.select(F.concat(F.lit("n-"), "n_nationkey").alias("uuid"), F.col("n_name").alias("name"), F.array(F.lower("n_name")).alias("aliases"))
-    renames = n.filter("n_nationkey % 3 = 0").select(F.concat(F.lit("n-"), "n_nationkey").alias("uuid"), F.concat(F.lit("New "), "n_name").alias("new_name"))
-    return op.promote_name(entities, renames).select("uuid", "name", F.array_join("aliases", ",").alias("aliases"))
-
-
 def interaction_upsert(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", "value")
     return op.last_wins(rows, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
@@ -173,15 +156,11 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.concat(F.substring(h, 1, 8), F.lit("-chunk-"), "doc_id").alias("chunk_id"), F.substring(h, 1, 16).alias("chapter_id"), tx.content_hash(F.col("text")).alias("content_hash"))
 
 
-def fuzzy_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return op.fuzzy_resolution(_mentions(spark, d), _ontology(spark, d))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        entity_upsert, chunk_upsert, name_promotion, interaction_upsert, state_history, event_chain, label_counts, event_types, referential_violations, recent_states,
-        filtered_entities, rubric_scores, qa_final_text, critics_rollup, review_mapping, candidate_map, signup_dedupe, context_topk, context_band, directive_items, chunk_ids, fuzzy_resolution,
+        chunk_upsert, interaction_upsert, state_history, event_chain, label_counts, event_types, referential_violations, recent_states,
+        filtered_entities, rubric_scores, qa_final_text, critics_rollup, review_mapping, candidate_map, signup_dedupe, context_topk, context_band, directive_items, chunk_ids,
     )
 } | {"entity_exact_resolution": lambda spark, d: op.exact_resolution(_mentions(spark, d), _ontology(spark, d))}
 
@@ -189,18 +168,11 @@ _TERMS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+
 _CRITICS = "k AS (SELECT source, 'critic-' || (doc_id % 5) AS critic_id, CASE WHEN quality = 0 AND doc_id % 4 = 0 THEN 'rework' ELSE 'pass' END AS verdict, toxic = 1 AS fundamental FROM documents JOIN labels USING (doc_id))"
 
 ORACLE_SQL = {
-    "entity_upsert": """
-        WITH o AS (SELECT 'c-' || c_custkey AS uuid, CASE WHEN c_custkey % 4 = 0 THEN c_name END AS name, CASE WHEN c_custkey % 6 = 0 THEN c_mktsegment ELSE '' END AS a FROM customer WHERE c_custkey % 2 = 0),
-        n AS (SELECT 'c-' || c_custkey AS uuid, upper(c_name) AS name, lower(c_mktsegment) AS a FROM customer WHERE c_custkey % 3 <> 1)
-        SELECT uuid, coalesce(o.name, n.name) AS name, CASE WHEN coalesce(o.a, '') <> '' THEN o.a ELSE coalesce(n.a, '') END AS aliases FROM o FULL JOIN n USING (uuid)""",
     "chunk_upsert": """
         WITH d AS (SELECT 'sha256:' || sha256(text) AS hash, doc_id, source, lang FROM documents),
         o AS (SELECT hash, arg_min(source, doc_id) AS source FROM d WHERE doc_id % 2 = 0 GROUP BY hash),
         n AS (SELECT hash, arg_min(source, doc_id) AS source, arg_min(lang, doc_id) AS lang FROM d GROUP BY hash)
         SELECT hash, coalesce(o.source, n.source) AS source, n.lang FROM n LEFT JOIN o USING (hash)""",
-    "name_promotion": """
-        SELECT 'n-' || n_nationkey AS uuid, CASE WHEN n_nationkey % 3 = 0 THEN 'New ' || n_name ELSE n_name END AS name,
-               CASE WHEN n_nationkey % 3 = 0 AND n_name <> lower(n_name) THEN lower(n_name) || ',' || n_name ELSE lower(n_name) END AS aliases FROM nation""",
     "interaction_upsert": """
         SELECT user_id, event_type, event_id, "value" FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",
     "state_history": """
