@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.lexicons import CONTRACTION_PARTS, STOPWORDS
 
-#: The line cleaning, in order: pattern and replacement.
+# fixed values: the line cleaning, in order: pattern and replacement
 LINE_RULES = [
     (r"^\s{0,3}#{1,6}\s+", ""),
     (r"^\s*>\s?", ""),
@@ -43,17 +43,34 @@ def clean_markdown(text: Column) -> Column:
     return F.array_join(F.transform(F.split(strip_fences(text), "\n"), clean_line), "\n")
 
 
+# fixed values: the cleaning of whole texts for voices and for similes, in order
+VOICE_RULES = [
+    (r"(?m)^\s{0,3}#{1,6}\s+", ""),
+    (r"(?m)^\s*>\s?", ""),
+    (r"(?m)^\s*[-*+]\s+", ""),
+    (r"!\[[^\]]*\]\([^)]*\)", ""),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"[*_]{1,3}", ""),
+]
+SIMILE_RULES = [
+    (r"(?s)```.*?```", ""),
+    (r"`[^`]+`", ""),
+    (r"!\[[^\]]*\]\([^\)]*\)", ""),
+    (r"\[([^\]]+)\]\([^\)]*\)", "$1"),
+]
+
+
 def clean_for_voice(text: Column) -> Column:
     """Markdown marks of whole texts removed, inline code kept."""
-    for pattern, to in [(r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)^\s*>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"[*_]{1,3}", "")]:
+    for pattern, to in VOICE_RULES:
         text = F.regexp_replace(text, pattern, to)
     return F.trim(text)
 
 
 def clean_for_similes(text: Column) -> Column:
-    for pattern, to in [(r"`[^`]*`", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", "$1")]:
+    for pattern, to in SIMILE_RULES:
         text = F.regexp_replace(text, pattern, to)
-    return strip_fences(text)
+    return text
 
 
 def paragraphs(text: Column, pattern: str = r"\n\s*\n+") -> Column:
@@ -77,6 +94,19 @@ def tokens(text: Column) -> Column:
     return F.filter(letter_tokens(text), lambda t: (F.length(t) >= 2) & ~t.isin(CONTRACTION_PARTS))
 
 
+def entropy_tokens(text: Column) -> Column:
+    """Tokens of the entropy windows: words and contraction parts, of which a-z and ' are kept if a letter is among them."""
+    parts = F.regexp_replace(F.lower(text), r"(n't|'(?:s|m|d|ll|re|ve))\b", " $1")
+    own = F.transform(F.split(parts, r"[\s.,;:!?\"()\[\]{}<>…“”«»—–/|]+"), lambda t: F.regexp_replace(t, "[^a-z']", ""))
+    return F.filter(own, lambda t: t.rlike("[a-z]"))
+
+
+def lines(text: Column) -> Column:
+    """Structs line_number (from 1), line of the lines that aren't blank, stripped."""
+    each = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x, i: F.struct((i + 1).alias("line_number"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("line")))
+    return F.filter(each, lambda x: x["line"] != "")
+
+
 def content(own: Column) -> Column:
     return F.filter(own, lambda t: (F.length(t) >= 3) & ~t.isin(STOPWORDS))
 

@@ -1,7 +1,8 @@
 """Strided windows over a manuscript's running tokens: entropy and bursts.
 
-A token's place in its manuscript is its place in the paragraph plus the sizes of the paragraphs before; only
-(paragraph, size) rows pass through a window function, never tokens.
+A token's place in its manuscript is its place in the paragraph plus the sizes of the paragraphs before, and its
+neighbours beyond the paragraph are the first tokens of the next ones. Only rows (paragraph, size, first tokens) pass
+through a window function, never tokens.
 """
 
 from __future__ import annotations
@@ -13,15 +14,20 @@ from pyspark.sql.window import Window
 from quillmill.functions import text as tx
 
 
-def placed(rows: DataFrame, own: Column) -> tuple[DataFrame, DataFrame]:
-    """(manuscript_id, doc_id, gpos, token) and (manuscript_id, total)."""
-    base = rows.select("manuscript_id", "doc_id", own.alias("own"))
-    sizes = base.select("manuscript_id", "doc_id", F.size("own").cast("long").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("manuscript_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("doc_id", F.coalesce(before, F.lit(0)).alias("start"))
-    placed_ = base.join(starts, "doc_id").select("manuscript_id", "doc_id", "start", F.posexplode("own").alias("pos", "token"))
-    totals = sizes.groupBy("manuscript_id").agg(F.sum("n").alias("total"))
-    return placed_.select("manuscript_id", "doc_id", (F.col("start") + F.col("pos")).alias("gpos"), "token"), totals
+def placed(rows: DataFrame, own: Column, after: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(manuscript_id, doc_id, gpos, token) and (manuscript_id, total); with ``after`` also t2, ..., the tokens that follow."""
+    base = rows.select("manuscript_id", "doc_id", own.alias("own")).filter(F.size("own") > 0)
+    sizes = base.select("manuscript_id", "doc_id", F.size("own").cast("long").alias("n"), F.slice("own", 1, max(1, after)).alias("head"))
+    w = Window.partitionBy("manuscript_id").orderBy("doc_id")
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    none = F.array().cast("array<string>")
+    following = F.concat(none, *[F.coalesce(F.lead("head", k).over(w), none) for k in range(1, after + 1)])
+    starts = sizes.select("doc_id", before.alias("start"), following.alias("following"))
+    joined = base.join(starts, "doc_id").withColumn("long", F.concat("own", "following"))
+    names = [f"t{k + 1}" for k in range(1, after + 1)]
+    each = F.transform("own", lambda t, i: F.struct((F.col("start") + i).alias("gpos"), t.alias("token"), *[F.get("long", i + k).alias(names[k - 1]) for k in range(1, after + 1)]))
+    out = joined.select("manuscript_id", "doc_id", F.explode(each).alias("x")).select("manuscript_id", "doc_id", "x.gpos", "x.token", *[f"x.{n}" for n in names])
+    return out, sizes.groupBy("manuscript_id").agg(F.sum("n").alias("total"))
 
 
 def in_windows(tokens: DataFrame, totals: DataFrame, size: int, step: int, keep_tail: bool) -> DataFrame:
@@ -37,57 +43,99 @@ def in_windows(tokens: DataFrame, totals: DataFrame, size: int, step: int, keep_
     return rows.withColumn("first", first).withColumn("final", final).filter("first <= final").withColumn("window", F.explode(F.sequence("first", "final"))).drop("first", "final", "last")
 
 
-def entropy_windows(rows: DataFrame, size: int = 500, step: int = 250) -> DataFrame:
-    tokens, totals = placed(rows, tx.letter_tokens(F.col("text")))
-    counts = in_windows(tokens, totals, size, step, True).groupBy("manuscript_id", "window", "total", "token").count()
-    c = F.col("count").cast("double")
-    out = counts.groupBy("manuscript_id", "window", "total").agg(F.sum("count").alias("n"), F.sum(c * F.log2(c)).alias("clogc"), F.count("*").alias("vocabulary")).filter("n >= 2")
+def _entropies(rows: DataFrame, size: int, step: int) -> DataFrame:
+    """Windows with their entropies of tokens and of bigrams, not rounded."""
+    tokens, totals = placed(rows, tx.entropy_tokens(F.col("text")), 1)
+    inside = in_windows(tokens, totals, size, step, True)
+    ends = F.least(F.col("window") * step + size, F.col("total"))
+    kinds = F.array(F.struct(F.lit(1).alias("k"), F.col("token").alias("term")), F.when((F.col("gpos") + 1 < ends) & F.col("t2").isNotNull(), F.struct(F.lit(2).alias("k"), F.concat_ws(" ", "token", "t2").alias("term"))))
+    counts = inside.select("manuscript_id", "window", "total", F.explode(F.array_compact(kinds)).alias("x")).groupBy("manuscript_id", "window", "total", "x.k", "x.term").count()
+    c, of = F.col("count").cast("double"), lambda k, x: F.sum(F.when(F.col("k") == k, x))
+    sums = counts.groupBy("manuscript_id", "window", "total").agg(
+        of(1, F.col("count")).alias("n"), of(1, c * F.log2(c)).alias("clogc"), F.count_if(F.col("k") == 1).alias("vocabulary"), F.coalesce(of(2, F.col("count")), F.lit(0)).alias("n2"), F.coalesce(of(2, c * F.log2(c)), F.lit(0.0)).alias("clogc2")
+    )
     start = F.col("window") * step
-    return out.select(
-        "manuscript_id", "window", start.alias("start_token"), F.least(start + size, F.col("total")).alias("end_token"), tx.rounded(tx.entropy(F.col("n"), F.col("clogc"))).alias("entropy"), F.round(F.col("vocabulary") / F.col("n"), 4).alias("type_token_ratio")
+    return sums.filter("n >= 2").select(
+        "manuscript_id", "window", start.alias("start_token"), F.least(start + size, F.col("total")).alias("end_token"), tx.entropy(F.col("n"), F.col("clogc")).alias("entropy"),
+        tx.entropy(F.col("n2"), F.col("clogc2")).alias("bigram_entropy"), (F.col("vocabulary") / F.col("n")).alias("type_token_ratio"),
     )
 
 
-def depressions(rows: DataFrame, size: int = 500, step: int = 250) -> DataFrame:
-    """Windows whose entropy lies more than one population deviation below the manuscript's mean."""
-    own = entropy_windows(rows, size, step)
-    sums = own.groupBy("manuscript_id").agg(F.round(F.avg("entropy"), 6).alias("mean"), F.round(F.stddev_pop("entropy"), 6).alias("deviation"))
-    return own.join(sums, "manuscript_id").filter("entropy < mean - deviation").select("manuscript_id", "window", "entropy", "mean", "deviation")
-
+def entropy_windows(rows: DataFrame, size: int = 500, step: int = 250) -> DataFrame:
+    own = _entropies(rows, size, step)
+    return own.withColumns({c: tx.rounded(F.col(c)) for c in ("entropy", "bigram_entropy", "type_token_ratio")})
 
-def burst_terms(rows: DataFrame, size: int = 500, step: int = 100, threshold: float = 3.0, least: int = 3) -> DataFrame:
-    """For terms (1- to 3-grams of content tokens) seen ``least`` times in a manuscript: their z-scores over its windows.
 
-    A window's z-score is (count - rate * n-grams of the window) over the sample deviation of the counts of all windows.
-    Windows without a term count through sums.
-    """
-    tokens, totals = placed(rows, tx.content(tx.tokens(F.col("text"))))
-    w = Window.partitionBy("manuscript_id").orderBy("gpos")
-    grams = tokens.select("manuscript_id", "gpos", F.col("token").alias("t1"), F.lead("token", 1).over(w).alias("t2"), F.lead("token", 2).over(w).alias("t3"))
-    terms = F.array_compact(F.array(F.struct(F.lit(1).alias("n"), F.col("t1").alias("term")), F.when(F.col("t2").isNotNull(), F.struct(F.lit(2).alias("n"), F.concat_ws(" ", "t1", "t2").alias("term"))), F.when(F.col("t3").isNotNull(), F.struct(F.lit(3).alias("n"), F.concat_ws(" ", "t1", "t2", "t3").alias("term")))))
-    grams = grams.select("manuscript_id", "gpos", F.explode(terms).alias("g")).select("manuscript_id", "gpos", "g.n", "g.term")
-    often = grams.groupBy("manuscript_id", "n", "term").agg(F.count("*").alias("global_count")).filter(F.col("global_count") >= least)
-    kept = grams.join(often, ["manuscript_id", "n", "term"])
-    spread = in_windows(kept, totals, size, step, False)
+def depressions(rows: DataFrame, size: int = 500, step: int = 250) -> DataFrame:
+    """Windows whose entropy lies more than one population deviation below the manuscript's mean; rounded after that."""
+    own = _entropies(rows, size, step)
+    sums = own.groupBy("manuscript_id").agg(F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("deviation"))
+    out = own.join(sums, "manuscript_id").filter("entropy < mean - deviation")
+    return out.select("manuscript_id", "window", *[tx.rounded(F.col(c)).alias(c) for c in ("entropy", "mean", "deviation")])
+
+
+def _burst_counts(rows: DataFrame, size: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """Terms (1- to 3-grams of content tokens) with their statistics over all windows, and their counts in the windows that have them."""
+    tokens, totals = placed(rows, tx.content(tx.tokens(F.col("text"))), 2)
+    pair = F.when(F.col("t2").isNotNull(), F.struct(F.lit(2).alias("n"), F.concat_ws(" ", "token", "t2").alias("term")))
+    triple = F.when(F.col("t3").isNotNull(), F.struct(F.lit(3).alias("n"), F.concat_ws(" ", "token", "t2", "t3").alias("term")))
+    terms = F.array_compact(F.array(F.struct(F.lit(1).alias("n"), F.col("token").alias("term")), pair, triple))
+    grams = tokens.select("manuscript_id", "gpos", F.explode(terms).alias("g")).select("manuscript_id", "gpos", "g.n", "g.term")
+    key = ["manuscript_id", "n", "term"]
+    often = grams.groupBy(*key).agg(F.count("*").alias("global_count"))
+    spread = in_windows(grams, totals, size, step, False)
     inside = F.col("gpos") + F.col("n") <= F.least(F.col("window") * step + size, F.col("total"))
-    local = spread.filter(inside).groupBy("manuscript_id", "n", "term", "global_count", "total", "window").agg(F.count("*").alias("c"))
+    local = spread.filter(inside).groupBy(*key, "window").agg(F.count("*").alias("c"))
+    levels = local.groupBy(*key, "c").agg(F.count("*").alias("m"), F.min("window").alias("first"))  # at most ``size`` different counts
+    sums = levels.groupBy(*key).agg(
+        F.sum(F.col("c") * F.col("m")).alias("s"), F.sum(F.col("c") * F.col("c") * F.col("m")).alias("ss"), F.max("c").alias("peak_count"), F.max_by("first", "c").alias("peak_window"), F.collect_list(F.struct("c", "m")).alias("levels")
+    )
     windows = F.when(F.col("total") <= size, 1).otherwise(F.floor((F.col("total") - size) / step) + 1)
     rate = F.col("global_count") / (F.col("total") - F.col("n") + 1)
-    expected = rate * (F.least(F.lit(size), F.col("total")) - F.col("n") + 1)
-    sums = local.withColumn("windows", windows).withColumn("expected", expected).groupBy("manuscript_id", "n", "term", "global_count", "windows", "expected").agg(
-        F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"), F.max("c").alias("peak_count"), F.count("*").alias("present"), F.min(F.struct(-F.col("c"), F.col("window"))).alias("at"), F.collect_list("c").alias("all")
-    )
+    out = often.join(sums, key, "left").join(totals, "manuscript_id").withColumn("windows", windows)
+    out = out.withColumn("expected", rate * (F.least(F.lit(size), F.col("total")) - F.col("n") + 1)).fillna(0, ["s", "ss", "peak_count", "peak_window"])
     var = (F.col("ss") - F.col("s") * F.col("s") / F.col("windows")) / (F.col("windows") - 1)
-    out = sums.filter("windows > 1").withColumn("deviation", F.sqrt(F.round(var, 9))).filter("deviation > 0")
-    z = lambda c: (c - F.col("expected")) / F.col("deviation")
-    bursts = F.size(F.filter("all", lambda c: z(c) >= threshold)).cast("long")
-    return out.select(
-        "manuscript_id", "term", "global_count", "peak_count", F.col("at.window").alias("peak_window"), F.round(z(F.col("peak_count")), 4).alias("max_z"), F.round((F.col("s") / F.col("windows") - F.col("expected")) / F.col("deviation"), 4).alias("mean_z"), bursts.alias("burst_windows")
+    deviation = F.when(F.col("windows") > 1, F.sqrt(F.round(F.greatest(F.lit(0.0), var), 9))).otherwise(0.0)
+    return out.withColumn("deviation", deviation), local
+
+
+def _z(c: Column) -> Column:
+    """A count's z-score; 0 without a deviation."""
+    return F.when(F.col("deviation") > 0, (c - F.col("expected")) / F.col("deviation")).otherwise(0.0)
+
+
+def burst_terms(rows: DataFrame, size: int = 500, step: int = 100, threshold: float = 3.0) -> DataFrame:
+    """The z-scores of all terms (1- to 3-grams of content tokens) over a manuscript's windows.
+
+    A window's z-score is (count - rate * n-grams of the window) over the sample deviation of the counts of all windows;
+    0 if there is but one window or no deviation. Windows without a term count through sums.
+    """
+    own, _ = _burst_counts(rows, size, step)
+    bursts = F.aggregate("levels", F.lit(0).cast("long"), lambda s, x: s + F.when(_z(x["c"]) >= threshold, x["m"]).otherwise(0))
+    return own.select(
+        "manuscript_id", "term", F.col("n").cast("long").alias("ngram_size"), "global_count", "peak_count", "peak_window", tx.rounded(_z(F.col("peak_count"))).alias("max_z"),
+        tx.rounded(_z(F.col("s") / F.col("windows"))).alias("mean_z"), F.coalesce(bursts, F.lit(0)).alias("burst_windows"),
     )
 
 
 def burst_regions(rows: DataFrame, size: int = 500, step: int = 100, threshold: float = 3.0, k: int = 5) -> DataFrame:
-    """Bursting terms grouped by the window of their peak: how many, the highest z-score, and the first k terms."""
-    own = burst_terms(rows, size, step, threshold).filter("burst_windows > 0")
-    best = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("max_z")).alias("z"), "term"))), 1, k), lambda x: x["term"])
-    return own.groupBy("manuscript_id", "peak_window").agg(F.count("*").alias("bursts"), F.max("max_z").alias("max_z"), F.array_join(best, ", ").alias("top_terms"))
+    """Bursts grouped by where their windows stand: how many, mean progress in percent, the highest z-score, and the first k.
+
+    A window stands at the paragraph of its middle token, with its tokens in that paragraph; windows of one such place are one group.
+    """
+    stats, local = _burst_counts(rows, size, step)
+    key = ["manuscript_id", "n", "term"]
+    found = local.join(stats.select(*key, "expected", "deviation", "total"), key).withColumn("z", _z(F.col("c"))).filter(F.col("z") >= threshold)
+    tokens, totals = placed(rows, tx.content(tx.tokens(F.col("text"))))
+    spans = tokens.groupBy("manuscript_id", "doc_id").agg(F.min("gpos").alias("a"), F.max("gpos").alias("b"))
+    each = found.select("manuscript_id", "window", "total").distinct().withColumn("first", F.col("window") * step).withColumn("last", F.least(F.col("window") * step + size, F.col("total")) - 1)
+    middle = F.floor((F.col("first") + F.col("last") + 1) / 2)
+    at = each.withColumn("gpos", middle.cast("long")).join(tokens.select("manuscript_id", "gpos", "doc_id"), ["manuscript_id", "gpos"]).join(spans, ["manuscript_id", "doc_id"])
+    at = at.select("manuscript_id", "window", F.col("doc_id").alias("paragraph"), F.greatest("first", "a").alias("first_token"), F.least("last", "b").alias("last_token"))
+    progress = F.col("window") * step / F.col("total") * 100
+    own = found.join(at, ["manuscript_id", "window"]).withColumn("progress", F.round(progress, 6)).withColumn("z", F.round("z", 4))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("z")).alias("z"), "term", "n", "window"))), 1, k)
+    out = own.groupBy("manuscript_id", "paragraph", "first_token", "last_token").agg(
+        F.count("*").alias("bursts"), F.max("z").alias("max_z"), F.round(F.sum(F.round(F.col("progress") * 1e6).cast("long")) / (1e6 * F.count("*")), 2).alias("mean_progress"), best.alias("best")
+    )
+    return out.withColumn("top_terms", F.array_join(F.transform("best", lambda x: F.concat(x["term"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), ", ")).drop("best")

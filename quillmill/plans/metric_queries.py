@@ -99,47 +99,47 @@ _PLACED = """,
     z AS (SELECT manuscript_id, doc_id, count(*) AS n FROM t GROUP BY ALL),
     o AS (SELECT doc_id, coalesce(sum(n) OVER (PARTITION BY manuscript_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM z),
     tot AS (SELECT manuscript_id, CAST(sum(n) AS BIGINT) AS total FROM z GROUP BY ALL),
-    g AS (SELECT t.manuscript_id, CAST(start + pos AS BIGINT) AS gpos, token, total FROM t JOIN o USING (doc_id) JOIN tot USING (manuscript_id))"""
+    g AS MATERIALIZED (SELECT t.manuscript_id, t.doc_id, CAST(start + pos AS BIGINT) AS gpos, token, total FROM t JOIN o USING (doc_id) JOIN tot USING (manuscript_id))"""
 
-_WINDOWS = f"""
-    WITH {q.tokens("t", q.LETTERS)}{_PLACED},
+_ENTROPIES = f"""
+    {q.tokens("t", q.ENTROPY)}{_PLACED},
+    x AS (SELECT *, lead(token) OVER (PARTITION BY manuscript_id ORDER BY gpos) AS t2 FROM g),
     w AS (
-        SELECT tot.manuscript_id, total, k AS "window", k * 250 AS a, least(k * 250 + 500, total) AS b
+        SELECT tot.manuscript_id, k AS "window", k * 250 AS a, least(k * 250 + 500, total) AS b
         FROM tot, LATERAL (SELECT unnest(range(0, greatest(0, CAST(ceil((total - 500) / 250) AS BIGINT)) + 1)) AS k) AS u),
+    i AS (SELECT x.manuscript_id, "window", a, b, gpos, token, t2 FROM x JOIN w ON x.manuscript_id = w.manuscript_id AND gpos >= a AND gpos < b),
     c AS (
-        SELECT g.manuscript_id, "window", a, b, token, count(*) AS c FROM g JOIN w ON g.manuscript_id = w.manuscript_id AND gpos >= a AND gpos < b
-        GROUP BY ALL),
+        SELECT manuscript_id, "window", a, b, 1 AS k, token AS term, count(*) AS c FROM i GROUP BY ALL
+        UNION ALL SELECT manuscript_id, "window", a, b, 2, token || ' ' || t2, count(*) FROM i WHERE gpos + 1 < b AND t2 IS NOT NULL GROUP BY ALL),
+    s AS (
+        SELECT manuscript_id, "window", a, b, CAST(sum(c) FILTER (k = 1) AS BIGINT) AS n, sum(c * log2(CAST(c AS DOUBLE))) FILTER (k = 1) AS clogc, count(*) FILTER (k = 1) AS v,
+               CAST(coalesce(sum(c) FILTER (k = 2), 0) AS BIGINT) AS n2, coalesce(sum(c * log2(CAST(c AS DOUBLE))) FILTER (k = 2), 0.0) AS clogc2 FROM c GROUP BY ALL),
     e AS (
-        SELECT manuscript_id, "window", a AS start_token, b AS end_token, CAST(sum(c) AS BIGINT) AS n, sum(c * log2(CAST(c AS DOUBLE))) AS clogc, count(*) AS v
-        FROM c GROUP BY ALL HAVING sum(c) >= 2)
-    SELECT manuscript_id, "window", start_token, end_token, round({_ENTROPY}, 4) + 0.0 AS entropy, round(v / n, 4) AS type_token_ratio FROM e"""
+        SELECT manuscript_id, "window", a AS start_token, b AS end_token, {_ENTROPY} AS entropy, CASE WHEN n2 > 0 THEN log2(CAST(n2 AS DOUBLE)) - clogc2 / n2 ELSE 0.0 END AS bigram_entropy, v / n AS ratio
+        FROM s WHERE n >= 2)"""
 
-_BURST_TERMS = f"""
-    WITH {q.tokens("t", q.CONTENT)}{_PLACED},
+_BURSTS = f"""
+    {q.tokens("t", q.CONTENT)}{_PLACED},
     n AS (
         SELECT *, lead(token, 1) OVER v AS t2, lead(token, 2) OVER v AS t3 FROM g WINDOW v AS (PARTITION BY manuscript_id ORDER BY gpos)),
-    m AS (
+    m AS MATERIALIZED (
         SELECT manuscript_id, gpos, total, 1 AS n, token AS term FROM n
         UNION ALL SELECT manuscript_id, gpos, total, 2, token || ' ' || t2 FROM n WHERE t2 IS NOT NULL
         UNION ALL SELECT manuscript_id, gpos, total, 3, token || ' ' || t2 || ' ' || t3 FROM n WHERE t3 IS NOT NULL),
-    f AS (SELECT manuscript_id, n, term, count(*) AS global_count FROM m GROUP BY ALL HAVING count(*) >= 3),
-    w AS (
-        SELECT manuscript_id, k AS "window", k * 100 AS a, least(k * 100 + 500, total) AS b,
-               CASE WHEN total <= 500 THEN 1 ELSE CAST(floor((total - 500) / 100) AS BIGINT) + 1 END AS windows
-        FROM tot, LATERAL (SELECT unnest(range(0, greatest(0, CAST(floor((total - 500) / 100) AS BIGINT)) + 1)) AS k) AS u),
-    l AS (
-        SELECT m.manuscript_id, n, term, global_count, total, windows, "window", count(*) AS c
-        FROM m JOIN f USING (manuscript_id, n, term) JOIN w ON m.manuscript_id = w.manuscript_id AND gpos >= a AND gpos + n <= b GROUP BY ALL),
+    f AS (SELECT manuscript_id, n, term, any_value(total) AS total, count(*) AS global_count FROM m GROUP BY manuscript_id, n, term),
+    i AS (
+        SELECT manuscript_id, n, term, unnest(range(greatest(0, (gpos + n - 401) // 100), least(gpos // 100, greatest(0, (total - 500) // 100)) + 1)) AS "window" FROM m),
+    l AS MATERIALIZED (SELECT manuscript_id, n, term, "window", count(*) AS c FROM i GROUP BY ALL),
     s AS (
-        SELECT manuscript_id, n, term, global_count, windows, global_count / (total - n + 1) * (least(500, total) - n + 1) AS expected,
-               sum(c) AS s, sum(c * c) AS ss, max(c) AS peak_count, min({{'c': -c, 'w': "window"}}).w AS peak_window, list(c) AS alls
+        SELECT manuscript_id, n, term, sum(c) AS s, sum(c * c) AS ss, max(c) AS peak_count, min({{'c': -c, 'w': "window"}}).w AS peak_window, list(c) AS alls
         FROM l GROUP BY ALL),
     d AS (
-        SELECT *, sqrt(round((ss - CAST(s * s AS DOUBLE) / windows) / (windows - 1), 9)) AS deviation FROM s WHERE windows > 1)
-    SELECT manuscript_id, term, global_count, peak_count, peak_window, round((peak_count - expected) / deviation, 4) AS max_z,
-           round((CAST(s AS DOUBLE) / windows - expected) / deviation, 4) AS mean_z,
-           CAST(len(list_filter(alls, lambda x: (x - expected) / deviation >= 3.0)) AS BIGINT) AS burst_windows
-    FROM d WHERE deviation > 0"""
+        SELECT f.*, coalesce(s, 0) AS s, coalesce(ss, 0) AS ss, coalesce(peak_count, 0) AS peak_count, coalesce(peak_window, 0) AS peak_window, coalesce(alls, []) AS alls,
+               CASE WHEN total <= 500 THEN 1 ELSE CAST(floor((total - 500) / 100) AS BIGINT) + 1 END AS windows,
+               global_count / (total - n + 1) * (least(500, total) - n + 1) AS expected
+        FROM f LEFT JOIN s USING (manuscript_id, n, term)),
+    y AS (
+        SELECT *, CASE WHEN windows > 1 THEN sqrt(round(greatest(0.0, (ss - CAST(s * s AS DOUBLE) / windows) / (windows - 1)), 9)) ELSE 0.0 END AS deviation FROM d)"""
 
 ORACLE_SQL = {
     "paragraph_entropy": f"""
@@ -205,17 +205,31 @@ ORACLE_SQL = {
         e AS (SELECT *, len(own) AS n, len(list_distinct(own)) AS v, len(list_filter(own, lambda x: x NOT IN ({q.words(lx.DENSITY_STOPWORDS)}))) AS c FROM d)
         SELECT manuscript_id, doc_id, CAST(n AS BIGINT) AS token_count, round(CASE WHEN n > 0 THEN v / n ELSE 0.0 END, 4) AS lexical_density,
                round(CASE WHEN n > 0 THEN c / n ELSE 0.0 END, 4) AS content_density, round(CASE WHEN n > 0 THEN (n - c) / n ELSE 0.0 END, 4) AS stopword_ratio FROM e""",
-    "entropy_windows": _WINDOWS,
+    "entropy_windows": f"""
+        WITH {_ENTROPIES}
+        SELECT manuscript_id, "window", start_token, end_token, round(entropy, 4) + 0.0 AS entropy, round(bigram_entropy, 4) + 0.0 AS bigram_entropy, round(ratio, 4) AS type_token_ratio FROM e""",
     "entropy_depressions": f"""
-        WITH e AS ({_WINDOWS}),
-        s AS (SELECT manuscript_id, round(avg(entropy), 6) AS mean, round(stddev_pop(entropy), 6) AS deviation FROM e GROUP BY ALL)
-        SELECT manuscript_id, "window", entropy, mean, deviation FROM e JOIN s USING (manuscript_id) WHERE entropy < mean - deviation""",
-    "burst_windows": _BURST_TERMS,
+        WITH {_ENTROPIES},
+        mean AS (SELECT manuscript_id, avg(entropy) AS mean, stddev_pop(entropy) AS deviation FROM e GROUP BY ALL)
+        SELECT manuscript_id, "window", round(entropy, 4) + 0.0 AS entropy, round(mean, 4) + 0.0 AS mean, round(deviation, 4) + 0.0 AS deviation
+        FROM e JOIN mean USING (manuscript_id) WHERE entropy < mean - deviation""",
+    "burst_windows": f"""
+        WITH {_BURSTS}
+        SELECT manuscript_id, term, CAST(n AS BIGINT) AS ngram_size, global_count, peak_count, peak_window, round(CASE WHEN deviation > 0 THEN (peak_count - expected) / deviation ELSE 0.0 END, 4) + 0.0 AS max_z,
+               round(CASE WHEN deviation > 0 THEN (CAST(s AS DOUBLE) / windows - expected) / deviation ELSE 0.0 END, 4) + 0.0 AS mean_z,
+               CAST(CASE WHEN deviation > 0 THEN len(list_filter(alls, lambda x: (x - expected) / deviation >= 3.0)) ELSE 0 END AS BIGINT) AS burst_windows FROM y""",
     "burst_regions": f"""
-        WITH b AS ({_BURST_TERMS})
-        SELECT manuscript_id, peak_window, count(*) AS bursts, max(max_z) AS max_z,
-               array_to_string(list(term ORDER BY max_z DESC, term)[1:5], ', ') AS top_terms
-        FROM b WHERE burst_windows > 0 GROUP BY ALL""",
+        WITH {_BURSTS},
+        x AS (SELECT l.*, total, round((c - expected) / deviation, 4) AS q FROM l JOIN y USING (manuscript_id, n, term) WHERE deviation > 0 AND (c - expected) / deviation >= 3.0),
+        b AS (SELECT *, "window" * 100 AS first, least("window" * 100 + 500, total) - 1 AS last FROM x),
+        h AS (SELECT manuscript_id, gpos, doc_id FROM g),
+        p AS (SELECT manuscript_id, doc_id, min(gpos) AS a, max(gpos) AS b FROM g GROUP BY ALL),
+        r AS (
+            SELECT b.*, h.doc_id AS paragraph, greatest(first, p.a) AS first_token, least(last, p.b) AS last_token, round("window" * 100 / total * 100, 6) AS progress
+            FROM b JOIN h ON h.manuscript_id = b.manuscript_id AND gpos = (first + last + 1) // 2 JOIN p ON p.manuscript_id = b.manuscript_id AND p.doc_id = h.doc_id)
+        SELECT manuscript_id, paragraph, first_token, last_token, count(*) AS bursts, max(q) AS max_z, round(sum(CAST(round(progress * 1e6) AS BIGINT)) / (1e6 * count(*)), 2) AS mean_progress,
+               array_to_string(list(term || ' (' || n || ')' ORDER BY q DESC, term, n, "window")[1:5], ', ') AS top_terms
+        FROM r GROUP BY ALL""",
 }
 ORACLE_SQL["density_issues"] = f"""
     WITH d AS ({ORACLE_SQL["signal_density_ttr"]})
