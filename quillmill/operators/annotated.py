@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.functions import lexicons as lx
+from quillmill.functions import text as tx
+from quillmill.operators import similarity
 
 # fixed values: dependency patterns, as part of speech of the head and dependency of the child
 PATTERNS = [("VERB", "prt"), ("VERB", "dobj"), ("NOUN", "amod"), ("VERB", "advmod")]
@@ -77,8 +79,37 @@ def subtrees(tokens: DataFrame, roots: DataFrame) -> DataFrame:
     return heads.join(roots, ["doc_id", "sentence"]).select("doc_id", "sentence", "root", F.explode(below("heads", "root")).alias("idx"))
 
 
+# fixed values: semantic gains below which a simile is empty, and from which it may be good
+EMPTY_GAIN, GOOD_GAIN = 0.15, 0.38
+
+
 def simile_label(gain, is_cliche):
-    return F.when(is_cliche, "CLICHE").when(gain < 0.15, "EMPTY").when(gain >= 0.38, "POTENTIALLY_GOOD").otherwise("WEAK")
+    return F.when(is_cliche, "CLICHE").when(gain < EMPTY_GAIN, "EMPTY").when(gain >= GOOD_GAIN, "POTENTIALLY_GOOD").otherwise("WEAK_OR_FUNCTIONAL")
+
+
+def similes(tokens: DataFrame) -> DataFrame:
+    """(doc_id, sentence, idx, left_text, right_text): each preposition 'like' with the words below its head and below itself."""
+    like = tokens.filter((F.lower("token") == "like") & (F.col("dep") == "prep")).select("doc_id", "sentence", "idx", "head")
+    roots = like.select("doc_id", "sentence", F.explode(F.array("idx", "head")).alias("root")).distinct()
+    words = subtrees(tokens, roots).join(tokens.select("doc_id", "sentence", "idx", "token"), ["doc_id", "sentence", "idx"])
+    texts = words.groupBy("doc_id", "sentence", "root").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "token"))), lambda x: x["token"]), " ").alias("words"))
+    side = lambda at, name: texts.select("doc_id", "sentence", F.col("root").alias(at), F.col("words").alias(name))
+    return like.join(side("head", "left_text"), ["doc_id", "sentence", "head"]).join(side("idx", "right_text"), ["doc_id", "sentence", "idx"]).select("doc_id", "sentence", "idx", "left_text", "right_text")
+
+
+def rated_similes(found: DataFrame, vectors: DataFrame, cliches: list[str]) -> DataFrame:
+    """Similes with their gain (1 - cosine of the vectors (text, v) of both sides) and label; a side without a vector has cosine 0."""
+    side = lambda name, v: vectors.select(F.col("text").alias(name), F.col("v").alias(v))
+    both = found.join(side("left_text", "lv"), "left_text", "left").join(side("right_text", "rv"), "right_text", "left")
+    gain = 1 - F.coalesce(tx.cosine(F.col("lv"), F.col("rv")), F.lit(0.0))
+    is_cliche = F.size(tx.phrases_in(F.col("right_text"), cliches)) > 0
+    return both.withColumn("gain", F.round(gain, 6)).withColumn("label", simile_label(gain, is_cliche)).drop("lv", "rv")
+
+
+def zipf_means(phrases: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(id, mean_zipf) of phrases (id, text) by word frequencies (word, zipf): unknown words count 0, no words give 0."""
+    each = phrases.select("id", F.explode_outer(tx.concordance_tokens(F.lower("text"))).alias("word")).join(frequency, "word", "left")
+    return each.groupBy("id").agg(F.round(F.avg(F.coalesce("zipf", F.lit(0.0))), 6).alias("mean_zipf"))
 
 
 def perplexity(tokens: DataFrame) -> DataFrame:
@@ -116,14 +147,63 @@ def stronger_verbs(verbs: DataFrame, candidates: DataFrame, delta: float = 0.3,
     return met.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("word", "candidate", "score", "rank")
 
 
-def hypernym_depth(edges: DataFrame, depth: int = 32) -> DataFrame:
-    """(node, depth): steps from each node up its first parent (node, parent) to a root, by rounds of one join."""
+def hypernym_depth(edges: DataFrame) -> DataFrame:
+    """(node, depth): steps from each node up its first parent (node, parent) to a root, by doubling the steps each round.
+
+    A cycle is an error.
+    """
     parent = edges.groupBy("node").agg(F.min("parent").alias("parent"))
-    level = parent.select("node", F.col("parent").alias("at"), F.lit(1).cast("long").alias("depth"))
-    out = level
-    for _ in range(depth):
-        level = level.join(parent.select(F.col("node").alias("at"), F.col("parent").alias("next")), "at").select("node", F.col("next").alias("at"), (F.col("depth") + 1).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.groupBy("node").agg(F.max("depth").alias("depth"))
+    n = parent.count()
+    ends = parent.select(F.col("parent").alias("node")).distinct().join(parent, "node", "left_anti").select("node", F.col("node").alias("at"), F.lit(0).cast("long").alias("depth"))
+    level = similarity.saved(parent.select("node", F.col("parent").alias("at"), F.lit(1).cast("long").alias("depth")).unionByName(ends))
+    for _ in range(max(1, n).bit_length() + 1):
+        step = level.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("depth").alias("more"))
+        level = similarity.saved(level.join(step, "at").select("node", F.col("to").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
+        if level.filter("moved").isEmpty():
+            return level.join(parent, "node", "left_semi").select("node", "depth")
+        level = level.drop("moved")
+    raise ValueError("the parents form a cycle")
+
+
+def lateral_terms(lemmas: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
+    """(word, term, rank): for words of lemmas (synset, lemma, position) the terms beside and below their synsets, each once, in order.
+
+    Of each synset first those that share a parent (edges child, parent), then its children; the first place counts.
+    """
+    spaced = F.lower(F.replace("lemma", F.lit("_"), F.lit(" ")))
+    own = lemmas.select(spaced.alias("word"), "synset", F.col("position").alias("sense"))
+    up = own.join(edges.select(F.col("child").alias("synset"), "parent"), "synset")
+    beside = up.join(edges.select("parent", F.col("child").alias("other")), "parent").select("word", "sense", F.lit(0).alias("side"), F.col("parent").alias("via"), "other")
+    below = own.join(edges.select(F.col("parent").alias("synset"), F.col("child").alias("other")), "synset").select("word", "sense", F.lit(1).alias("side"), F.col("synset").alias("via"), "other")
+    terms = lemmas.select(F.col("synset").alias("other"), spaced.alias("term"), "position")
+    met = beside.unionByName(below).join(terms, "other").filter("term <> word")
+    return first_seen(met.groupBy("word", "term").agg(F.min(F.struct("sense", "side", "via", "other", "position")).alias("at")), "word", k)
+
+
+def first_seen(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """Of rows (key, term, at) with each term once at its first place: the k first terms of each key, with their rank."""
+    w = Window.partitionBy(key).orderBy("at", "term")
+    return rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select(key, "term", "rank")
+
+
+def band_candidates(words: DataFrame, vocabulary: DataFrame, frequency: DataFrame, most: float = 4.5, k: int = 10) -> DataFrame:
+    """(word, term, rank): for each word the k commonest terms of vocabulary (term, zipf) under ``most`` that the text (word, count) has once at most."""
+    rare = vocabulary.filter(F.col("zipf") < most).join(frequency.filter("count > 1").select(F.col("word").alias("term")), "term", "left_anti")
+    w = Window.orderBy(F.desc("zipf"), "term")
+    best = rare.orderBy(F.desc("zipf"), "term").limit(k + 1).withColumn("n", F.row_number().over(w))  # one more, as a word is none of its own
+    met = words.select("word").join(F.broadcast(best), F.col("word") != F.col("term"))
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("n")).cast("long")).filter(F.col("rank") <= k).select("word", "term", "rank")
+
+
+def drift_candidates(words: DataFrame, vocabulary: DataFrame, frequency: DataFrame, k: int = 10) -> DataFrame:
+    """(word, term, cosine, rank): for each word (word, v) the k nearest of the vocabulary (term, v) that the text (word, count) has once at most.
+
+    ``words`` are the few overused ones: their number is checked before they are sent to every executor.
+    """
+    if words.limit(1_001).count() > 1_000:
+        raise ValueError("at most 1,000 words")
+    rare = vocabulary.join(frequency.filter("count > 1").select(F.col("word").alias("term")), "term", "left_anti")
+    met = rare.select("term", F.col("v").alias("tv")).join(F.broadcast(words.select("word", "v")), F.col("word") != F.col("term"))
+    met = met.withColumn("cosine", F.round(tx.cosine(F.col("v"), F.col("tv")), 6))
+    w = Window.partitionBy("word").orderBy(F.desc("cosine"), "term")
+    return met.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("word", "term", "cosine", "rank")

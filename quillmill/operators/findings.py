@@ -54,17 +54,28 @@ def sentiment(rows: DataFrame, positive: list[str] = lx.POSITIVE, negative: list
     return out.withColumn("is_ambivalent", F.col("ambivalence") >= flag_at)
 
 
-def percentile_flags(rows: DataFrame, hedges: list[str]) -> DataFrame:
-    """Paragraphs whose surprisal reaches the manuscript's 90th percentile and that hold a hedge or reach the 97th."""
-    s = lexical.surprisal(rows).filter("token_count >= 2")
-    bounds = s.groupBy("manuscript_id").agg(F.percentile("surprisal", 0.9).alias("p90"), F.percentile("surprisal", 0.97).alias("p97"))
-    hedge = rows.select("doc_id", (F.size(tx.phrases_in(F.col("text"), hedges)) > 0).alias("has_hedge"))
-    out = s.join(bounds, "manuscript_id").filter("surprisal >= p90").join(hedge, "doc_id").filter("has_hedge OR surprisal >= p97")
-    return out.select("manuscript_id", "doc_id", "surprisal", F.round("p90", 6).alias("p90"), F.round("p97", 6).alias("p97"), F.when(F.col("surprisal") >= F.col("p97"), "p97").otherwise("p90+hedge").alias("reason"))
+def slop_flags(scores: DataFrame, percentile: float = 0.9, outlier: float = 0.97) -> DataFrame:
+    """Rows (manuscript_id, avg_logprob, transitions, ...) that are too likely: at their manuscript's percentile or above it, with a transition or as an outlier.
 
+    Adds the bounds, reason and severity; rows without a log-probability (null or NaN) count for nothing.
+    """
+    own = scores.filter(F.col("avg_logprob").isNotNull() & ~F.isnan("avg_logprob"))
+    bounds = own.groupBy("manuscript_id").agg(F.percentile("avg_logprob", percentile).alias("threshold"), F.percentile("avg_logprob", outlier).alias("outlier_threshold"))
+    turns = F.size("transitions") > 0
+    out = own.join(bounds, "manuscript_id").filter((F.col("avg_logprob") >= F.col("threshold")) & (turns | (F.col("avg_logprob") >= F.col("outlier_threshold"))))
+    reason = F.when(turns, "high_logprob_plus_transition").otherwise("high_logprob_extreme_outlier")
+    return out.withColumn("reason", reason).withColumn("severity", severity(F.col("reason")))
 
-def severity(score: Column) -> Column:
-    return F.when(score >= 0.97, "high").when(score >= 0.9, "medium").otherwise("low")
+
+def percentile_flags(rows: DataFrame, transitions: list[str]) -> DataFrame:
+    """Paragraphs that are too likely under their manuscript's own unigrams: the log-probability is the surprisal's negative."""
+    s = lexical.surprisal(rows).filter("token_count >= 2").select("manuscript_id", "doc_id", (-F.col("surprisal")).alias("avg_logprob"))
+    found = slop_flags(s.join(rows.select("doc_id", tx.phrases_in(F.col("text"), transitions).alias("transitions")), "doc_id"))
+    return found.select("manuscript_id", "doc_id", "avg_logprob", F.round("threshold", 6).alias("threshold"), F.round("outlier_threshold", 6).alias("outlier_threshold"), "reason", "severity")
+
+
+def severity(reason: Column) -> Column:
+    return F.when(reason == "high_logprob_plus_transition", "medium").otherwise("low")
 
 
 def issues(rows: DataFrame, overused: list[str]) -> DataFrame:
@@ -74,6 +85,37 @@ def issues(rows: DataFrame, overused: list[str]) -> DataFrame:
     return density.unionByName(slop)
 
 
+def flattened_highlights(metrics: DataFrame) -> DataFrame:
+    """Highlights (kind, severity, message, source_metric) of rows (metric, highlights: array of structs kind, severity, message)."""
+    h = lambda c, default: F.coalesce(F.col(f"h.{c}"), default).alias(c)
+    each = metrics.select("metric", F.explode("highlights").alias("h")).filter("h is not null")
+    return each.select(h("kind", F.col("metric")), h("severity", F.lit("info")), h("message", F.lit("")), F.col("metric").alias("source_metric"))
+
+
+def flattened_numbers(documents: DataFrame, key: str, json: str, depth: int = 8) -> DataFrame:
+    """(key, path, value) of the numbers of a JSON object (a text), nested objects by dotted path; booleans are numbers, lists are skipped.
+
+    An object nested deeper than ``depth`` raises an error, so that nothing is left out in silence.
+    """
+    level = documents.select(key, F.lit("").alias("path"), F.try_parse_json(json).alias("v")).filter("v is not null")
+    out = None
+    for at in range(depth + 1):
+        fields = level.select(key, "path", F.explode(F.from_json(F.to_json("v"), "map<string,variant>")).alias("name", "v"))
+        fields = fields.select(key, F.concat("path", F.when(F.col("path") != "", ".").otherwise(""), "name").alias("path"), "v", F.schema_of_variant("v").alias("kind"))
+        value = F.when(F.col("kind") == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("double")).otherwise(F.try_variant_get("v", "$", "double"))
+        own = fields.filter(F.col("kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$")).select(key, "path", value.alias("value"))
+        out = own if out is None else out.unionByName(own)
+        level = fields.filter(F.col("kind").startswith("OBJECT")).select(key, "path", "v")
+    deeper = level.select(key, F.raise_error(F.concat(F.lit("nested too deeply: "), "path")).cast("string").alias("path"), F.lit(0.0).alias("value"))
+    return out.unionByName(deeper)
+
+
+def number_at(json: Column, path: str) -> Column:
+    """The number at a path of a JSON text, or null if there is none or it is no number."""
+    v = F.try_variant_get(F.try_parse_json(json), "$." + path, "variant")
+    return F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(v, "$", "double"))
+
+
 def bundle(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Every paragraph with its issues; issues of unknown paragraphs are dropped."""
     own = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "detector", "type"))), ",").alias("list"))

@@ -37,12 +37,13 @@ def blank_line_paragraphs(rows: DataFrame) -> DataFrame:
 
 
 def line_of(rows: DataFrame, positions: DataFrame) -> DataFrame:
-    """The line (from 0) of each position (doc_id, position): the last one that starts at or before it."""
+    """The line (from 0) of each position (doc_id, position): the last one that starts at or before it, found by one sort of both."""
     starts = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
     w = Window.partitionBy("doc_id").orderBy("line")
-    starts = starts.select("doc_id", F.col("line").cast("long").alias("line"), F.coalesce(F.sum(F.char_length("value") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    met = positions.join(starts, "doc_id").filter("start <= position")
-    return met.groupBy("doc_id", "position").agg(F.max("line").alias("line"))
+    starts = starts.select("doc_id", F.coalesce(F.sum(F.char_length("value") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"), F.col("line").cast("long").alias("line"))
+    both = starts.unionByName(positions.select("doc_id", F.col("position").alias("at"), F.lit(None).cast("long").alias("line")))
+    last = F.last("line", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("at", F.col("line").isNull()))
+    return both.withColumn("found", last).filter("line is null").select("doc_id", F.col("at").alias("position"), F.col("found").alias("line")).filter("line is not null").distinct()
 
 
 def tails(rows: DataFrame, scores: DataFrame, k: int = 2) -> DataFrame:
@@ -53,6 +54,23 @@ def tails(rows: DataFrame, scores: DataFrame, k: int = 2) -> DataFrame:
     return own.withColumn("before", F.lag("score").over(Window.partitionBy("manuscript_id").orderBy("doc_id")))
 
 
+def endings(rows: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
+    """For each manuscript, of scores (doc_id, score, sentiment): whether its end cuts hard or turns moral.
+
+    hard_cut: the last paragraph reaches the threshold and the one before doesn't. drift: the last is positive (0.3 or
+    more) after a body whose mean, weighted by ``weight``, is negative (-0.5 or less). One paragraph has neither.
+    """
+    own = rows.select("manuscript_id", "doc_id").join(scores, "doc_id")
+    w = Window.partitionBy("manuscript_id").orderBy(F.desc("doc_id"))
+    own = own.withColumn("n", F.row_number().over(w))
+    at = lambda k, c: F.max(F.when(F.col("n") == k, F.col(c)))
+    body = F.sum(F.when(F.col("n") > 1, F.col("sentiment") * F.col("weight"))) / F.sum(F.when(F.col("n") > 1, F.col("weight")))
+    out = own.groupBy("manuscript_id").agg(at(1, "score").alias("final"), at(2, "score").alias("previous"), at(1, "sentiment").alias("final_sentiment"), F.round(body, 6).alias("body_sentiment"))
+    cut = (F.col("final") >= threshold) & (F.col("previous") < threshold)
+    drift = (F.col("body_sentiment") <= -0.5) & (F.col("final_sentiment") >= 0.3)
+    return out.select("manuscript_id", "final", "previous", "body_sentiment", "final_sentiment", F.coalesce(cut, F.lit(False)).alias("hard_cut"), F.coalesce(drift, F.lit(False)).alias("drift"))
+
+
 def whole_word_counts(rows: DataFrame, words: list[str]) -> DataFrame:
     """How often each of the words stands as a whole word, in any case; letters, digits and _ of any script make words."""
     count = lambda w: F.regexp_count("text", F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}_]){w}(?![\p{{L}}\p{{N}}_])")).cast("long")
@@ -80,11 +98,6 @@ def window_anchor(window_tokens: DataFrame) -> DataFrame:
     return inside.groupBy("manuscript_id", "window", "anchor").agg(F.count("*").alias("tokens"), F.min("gpos").alias("first_token"), F.max("gpos").alias("last_token"))
 
 
-def story_years(first: int, last: int):
-    """A calendar of years with the next one."""
-    return F.explode(F.sequence(F.lit(first), F.lit(last)))
-
-
 def unapplied(migrations: DataFrame, ledger: DataFrame) -> DataFrame:
     """Migrations (version) that the ledger lacks, in order."""
     return migrations.join(ledger.select("version"), "version", "left_anti").orderBy("version")

@@ -73,8 +73,15 @@ def token_offsets(rows: DataFrame) -> DataFrame:
     return placed.filter("is_token").select("doc_id", (F.col("n") - 1).alias("token_index"), F.col("piece").alias("token"), "start", "end")
 
 
+#: Characters of a stretch in which spans and tokens meet.
+BAND = 256
+
+
 def span_tokens(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """For each span (doc_id, span_id, span_start, span_end) the tokens that it overlaps."""
-    hit = tokens.join(spans, "doc_id").filter("end > span_start AND start < span_end")
+    # both are cut into stretches of BAND characters, so that spans meet only the tokens near them
+    band = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BAND), F.greatest(F.floor(F.col(a) / BAND), F.floor((F.col(b) - 1) / BAND))))
+    hit = tokens.withColumn("band", band("start", "end")).join(spans.withColumn("band", band("span_start", "span_end")), ["doc_id", "band"])
+    hit = hit.filter("end > span_start AND start < span_end").dropDuplicates(["doc_id", "span_id", "token_index"])
     names = F.transform(F.sort_array(F.collect_list(F.struct("token_index", "token"))), lambda x: x["token"])
     return hit.groupBy("doc_id", "span_id").agg(F.count("*").alias("tokens"), F.min("start").alias("first_char"), F.max("end").alias("last_char"), F.array_join(names, " ").alias("words"))

@@ -9,12 +9,14 @@ from quillmill.functions import text as tx
 from quillmill.operators import annotated as op
 from quillmill.operators import findings, lexical, segments
 from quillmill.operators.lexical import paragraphs
+from quillmill.plans import detectors
 from quillmill.plans import sqltext as q
 from quillmill.plans.finding_queries import _SENTENCES
 from quillmill.plans.metric_queries import ORACLE_SQL as METRIC
 from quillmill.sources.tables import table
 
 
+@detectors.annotator("rule")
 def stand_in(rows: DataFrame) -> DataFrame:
     """Letter tokens of sentences: part of speech by length, dependency by place, head the token before."""
     s = segments.sentences(rows).select("doc_id", F.col("sentence_index").alias("sentence"), F.posexplode(tx.letter_tokens(F.col("sentence"))).alias("idx", "token"))
@@ -25,7 +27,7 @@ def stand_in(rows: DataFrame) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return stand_in(paragraphs(table(spark, d, "documents")))
+    return detectors.annotated(paragraphs(table(spark, d, "documents")), "rule")
 
 
 def dependency_patterns(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +46,7 @@ def negation_contrast(spark: SparkSession, d: str) -> DataFrame:
 
 def subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
-    roots = tokens.filter("idx = 2").select("doc_id", "sentence", F.col("idx").alias("root"))
+    roots = tokens.select("doc_id", "sentence", F.col("idx").alias("root"))
     return op.subtrees(tokens, roots).groupBy("doc_id", "sentence", "root").agg(F.count("*").alias("tokens"), F.max("idx").alias("last"))
 
 
@@ -111,9 +113,8 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(sentence AS BIGINT) AS sentence, CAST(negated AS BIGINT) AS negated, CAST(turn AS BIGINT) AS turn, CAST(min(idx) AS BIGINT) AS verb
         FROM t JOIN c USING (doc_id, sentence) WHERE pos = 'VERB' AND idx > turn GROUP BY ALL""",
     "subtree_sizes": f"""
-        WITH {_T}
-        SELECT doc_id, CAST(sentence AS BIGINT) AS sentence, CAST(2 AS BIGINT) AS root, max(idx) - 1 AS tokens, max(idx) AS last
-        FROM t GROUP BY doc_id, sentence HAVING max(idx) >= 2""",
+        WITH {_T}, m AS (SELECT doc_id, sentence, max(idx) AS last FROM t GROUP BY ALL)
+        SELECT doc_id, CAST(sentence AS BIGINT) AS sentence, CAST(idx AS BIGINT) AS root, last - idx + 1 AS tokens, last FROM t JOIN m USING (doc_id, sentence)""",
     "sentence_perplexity": f"""
         WITH {_T}, m AS (SELECT doc_id, CAST(sentence AS BIGINT) AS sentence, count(*) AS n, avg(-length(token) / 4) AS m FROM t GROUP BY ALL)
         SELECT doc_id, sentence, n, CASE WHEN n >= 2 THEN round(m, 6) ELSE 'nan'::DOUBLE END AS mean_logprob, CASE WHEN n >= 2 THEN round(exp(-m), 4) ELSE 'nan'::DOUBLE END AS perplexity FROM m""",
@@ -132,8 +133,8 @@ ORACLE_SQL = {
         w AS (SELECT node, parent AS at, CAST(1 AS BIGINT) AS depth FROM e UNION ALL SELECT w.node, e.parent, depth + 1 FROM w JOIN e ON w.at = e.node)
         SELECT node, max(depth) AS depth FROM w GROUP BY node""",
     "score_summary": f"""
-        WITH s AS ({METRIC["paragraph_surprisal"]}), x AS (SELECT * FROM s WHERE token_count >= 2),
-        b AS (SELECT manuscript_id, quantile_cont(surprisal, 0.9) AS p90, quantile_cont(surprisal, 0.97) AS p97 FROM x GROUP BY ALL),
-        f AS (SELECT x.doc_id FROM x JOIN b USING (manuscript_id) JOIN documents d ON d.doc_id = x.doc_id WHERE surprisal >= p90 AND (contains(lower(text), 'of the') OR surprisal >= p97))
+        WITH s AS ({METRIC["paragraph_surprisal"]}), x AS (SELECT *, -surprisal AS v FROM s WHERE token_count >= 2),
+        b AS (SELECT manuscript_id, quantile_cont(v, 0.9) AS p90, quantile_cont(v, 0.97) AS p97 FROM x GROUP BY ALL),
+        f AS (SELECT x.doc_id FROM x JOIN b USING (manuscript_id) JOIN documents d ON d.doc_id = x.doc_id WHERE v >= p90 AND (contains(lower(text), 'of the') OR v >= p97))
         SELECT manuscript_id, round(avg(surprisal), 6) AS mean_score, count(f.doc_id) AS slop, count(*) AS rows FROM s LEFT JOIN f USING (doc_id) GROUP BY ALL""",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import findings, lexical, windows
 
+TOKEN = ["doc_id", "sentence", "idx", "token", "lemma", "pos", "dep", "head"]
 ISSUE = ["manuscript_id", "doc_id", "detector", "type", "severity", "message"]
 
 _detectors: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -25,6 +26,34 @@ def detector(name: str):
     return keep
 
 
+_annotators: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def annotator(name: str):
+    """Register what turns paragraphs into tokens (doc_id, sentence, idx, token, lemma, pos, dep, head)."""
+
+    def keep(f):
+        _annotators[name] = f
+        return f
+
+    return keep
+
+
+def annotated(rows: DataFrame, name: str) -> DataFrame:
+    """The tokens of an annotator; one that leaves a column out is an error."""
+    out = _annotators[name](rows)
+    if missing := set(TOKEN) - set(out.columns):
+        raise ValueError(f"annotator {name} lacks {sorted(missing)}")
+    return out.select(*TOKEN)
+
+
+def run_tool(name: str, rows: DataFrame, **config) -> DataFrame:
+    """A registered detector by name with its own settings; an unknown name says which there are."""
+    if name not in _detectors:
+        raise KeyError(f"unknown tool {name}: one of {names()}")
+    return _detectors[name](rows, **config)
+
+
 def names() -> list[str]:
     return sorted(_detectors)
 
@@ -48,7 +77,7 @@ def slop(rows: DataFrame) -> DataFrame:
 @detector("surprisal")
 def surprisal(rows: DataFrame) -> DataFrame:
     found = findings.percentile_flags(rows, ["maybe", "perhaps"])
-    return _issue(found, "surprisal", F.col("reason"), F.when(F.col("reason") == "p97", "high").otherwise("medium"), F.format_string("surprisal %.4f", "surprisal"))
+    return _issue(found, "surprisal", F.col("reason"), F.col("severity"), F.format_string("log-probability %.4f", "avg_logprob"))
 
 
 @detector("ending")

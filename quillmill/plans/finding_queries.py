@@ -47,26 +47,29 @@ def scope_counts(spark: SparkSession, d: str) -> DataFrame:
     return op.scope_counts(op.token_findings(paragraphs(table(spark, d, "documents"))))
 
 
-def _pair(rows: DataFrame) -> DataFrame:
-    """The two manuscripts that are compared."""
-    return rows.filter(F.col("manuscript_id").isin("src0", "src1"))
+def _pair(rows: DataFrame) -> list[str]:
+    """The two manuscripts that are compared: the first two by name."""
+    return [r[0] for r in rows.select("manuscript_id").distinct().orderBy("manuscript_id").limit(2).collect()] + [""] * 2
 
 
 def metric_delta(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pair(paragraphs(table(spark, d, "documents")))
-    return op.metric_delta(op.flattened(op.run_metrics(rows)), "src0", "src1")
+    rows = paragraphs(table(spark, d, "documents"))
+    a, b, *_ = _pair(rows)
+    return op.metric_delta(op.flattened(op.run_metrics(rows.filter(F.col("manuscript_id").isin(a, b)))), a, b)
 
 
 def new_resolved_highlights(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pair(paragraphs(table(spark, d, "documents")))
-    highlights = lexical.themes(rows).select("manuscript_id", F.concat(F.lit("themes|"), "theme").alias("highlight"))
-    return op.changed(highlights, "src0", "src1")
+    rows = paragraphs(table(spark, d, "documents"))
+    a, b, *_ = _pair(rows)
+    highlights = lexical.themes(rows.filter(F.col("manuscript_id").isin(a, b))).select("manuscript_id", F.concat(F.lit("themes|"), "theme").alias("highlight"))
+    return op.changed(highlights, a, b)
 
 
 def trend_rows(spark: SparkSession, d: str) -> DataFrame:
-    runs = op.run_metrics(paragraphs(table(spark, d, "documents")))
-    history = runs.filter("run_id <> 'src1'")
-    return op.trend(history, runs.filter("run_id IN ('src0', 'src1')")).select("run_id", "document_entropy", "mean_surprisal", "average_lexical_density")
+    rows = paragraphs(table(spark, d, "documents"))
+    a, b, *_ = _pair(rows)
+    runs = op.run_metrics(rows)
+    return op.trend(runs.filter(F.col("run_id") != b), runs.filter(F.col("run_id").isin(a, b))).select("run_id", "document_entropy", "mean_surprisal", "average_lexical_density")
 
 
 def markdown_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +79,8 @@ def markdown_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def span_tokens(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    spans = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select("doc_id", F.col("k").cast("long").alias("span_id"), (F.col("k") * 60 + 10).cast("long").alias("span_start"), (F.col("k") * 60 + 40).cast("long").alias("span_end"))
+    spans = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.char_length("text") / 60).cast("int"))).alias("k"))
+    spans = spans.select("doc_id", F.col("k").cast("long").alias("span_id"), (F.col("k") * 60 + 10).cast("long").alias("span_start"), (F.col("k") * 60 + 40).cast("long").alias("span_end"))
     return segments.span_tokens(segments.token_offsets(paragraphs(docs)), spans)
 
 
@@ -95,7 +99,8 @@ def density_compare(spark: SparkSession, d: str) -> DataFrame:
         total = counts.agg(F.sum("c")).first()[0] or 1
         return counts.filter(F.length("token") >= 3).select(F.col("token").alias("name"), (F.col("c") / total * 1000).alias("density"))
 
-    return op.compared_densities(density("src0"), density("src1"))
+    a, b, *_ = _pair(rows)
+    return op.compared_densities(density(a), density(b))
 
 
 def sentence_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -202,6 +207,8 @@ _ECHO = f"""
     c AS (SELECT a.group_id, a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.group_id = b.group_id AND a.vec_id < b.vec_id),
     pairs AS (SELECT group_id, left_id, right_id, round(c, 6) AS similarity FROM c WHERE c >= {ECHO})"""
 
+_FIRST, _SECOND = ("(SELECT min(source) FROM documents)", "(SELECT min(source) FROM documents WHERE source > (SELECT min(source) FROM documents))")
+
 ORACLE_SQL = {
     "near_dup_pairs": f"WITH {_PAIRS} SELECT * FROM pairs",
     "near_dup_clusters": f"""
@@ -228,11 +235,12 @@ ORACLE_SQL = {
         r AS (SELECT manuscript_id, doc_id, round(CASE WHEN n > 0 THEN s / n ELSE 0.0 END, 6) AS sentiment, round(CASE WHEN n > 0 THEN a / n ELSE 0.0 END, 6) AS ambivalence FROM n)
         SELECT *, ambivalence >= 0.08 AS is_ambivalent FROM r""",
     "percentile_flags": f"""
-        WITH s AS (SELECT * FROM ({METRIC["paragraph_surprisal"]}) WHERE token_count >= 2),
-        b AS (SELECT manuscript_id, quantile_cont(surprisal, 0.9) AS p90, quantile_cont(surprisal, 0.97) AS p97 FROM s GROUP BY ALL),
-        h AS (SELECT doc_id, len({_contains(HEDGES)}) > 0 AS has_hedge FROM documents)
-        SELECT manuscript_id, doc_id, surprisal, round(p90, 6) AS p90, round(p97, 6) AS p97, CASE WHEN surprisal >= p97 THEN 'p97' ELSE 'p90+hedge' END AS reason
-        FROM s JOIN b USING (manuscript_id) JOIN h USING (doc_id) WHERE surprisal >= p90 AND (has_hedge OR surprisal >= p97)""",
+        WITH s AS (SELECT manuscript_id, doc_id, -surprisal AS v FROM ({METRIC["paragraph_surprisal"]}) WHERE token_count >= 2),
+        b AS (SELECT manuscript_id, quantile_cont(v, 0.9) AS p90, quantile_cont(v, 0.97) AS p97 FROM s GROUP BY ALL),
+        h AS (SELECT doc_id, len({_contains(HEDGES)}) > 0 AS has_turn FROM documents)
+        SELECT manuscript_id, doc_id, v AS avg_logprob, round(p90, 6) AS threshold, round(p97, 6) AS outlier_threshold,
+               CASE WHEN has_turn THEN 'high_logprob_plus_transition' ELSE 'high_logprob_extreme_outlier' END AS reason, CASE WHEN has_turn THEN 'medium' ELSE 'low' END AS severity
+        FROM s JOIN b USING (manuscript_id) JOIN h USING (doc_id) WHERE v >= p90 AND (has_turn OR v >= p97)""",
     "issue_bundle": f"""
         WITH {_OVERUSED}, d AS ({METRIC["density_issues"]}), s AS ({_slop(lx.LOW_SIGNAL_PHRASES, lx.HEDGES)}),
         i AS (SELECT doc_id, 'density:' || unnest(string_split(reason, ',')) AS x FROM d UNION ALL SELECT doc_id, 'slop:' || unnest(string_split(reasons, ',')) FROM s),
@@ -251,20 +259,20 @@ ORACLE_SQL = {
         l AS (UNPIVOT (SELECT run_id, document_entropy, CAST(token_count AS DOUBLE) AS token_count, mean_surprisal, average_lexical_density FROM runs)
               ON document_entropy, token_count, mean_surprisal, average_lexical_density INTO NAME metric VALUE "value")
         SELECT metric, round(b."value", 6) AS baseline, round(c."value", 6) AS current, round(c."value" - b."value", 6) AS delta
-        FROM l b JOIN l c USING (metric) WHERE b.run_id = 'src0' AND c.run_id = 'src1'""",
+        FROM l b JOIN l c USING (metric) WHERE b.run_id = {_FIRST} AND c.run_id = {_SECOND}""",
     "new_resolved_highlights": f"""
         WITH t AS ({METRIC["themes_all"]}),
-        c AS (SELECT 'themes|' || theme AS highlight FROM t WHERE manuscript_id = 'src1'), b AS (SELECT 'themes|' || theme AS highlight FROM t WHERE manuscript_id = 'src0')
+        c AS (SELECT 'themes|' || theme AS highlight FROM t WHERE manuscript_id = {_SECOND}), b AS (SELECT 'themes|' || theme AS highlight FROM t WHERE manuscript_id = {_FIRST})
         SELECT highlight, 'new' AS state FROM (SELECT * FROM c EXCEPT SELECT * FROM b)
         UNION ALL SELECT highlight, 'resolved' FROM (SELECT * FROM b EXCEPT SELECT * FROM c)""",
     "trend_rows": f"WITH {_RUNS} SELECT run_id, document_entropy, mean_surprisal, average_lexical_density FROM runs",
     "density_compare": f"""
         WITH {q.tokens("t", q.TOKENS)},
-        n AS (SELECT manuscript_id, token, count(*) AS c FROM t WHERE manuscript_id IN ('src0', 'src1') GROUP BY ALL),
+        n AS (SELECT manuscript_id, token, count(*) AS c FROM t WHERE manuscript_id IN ({_FIRST}, {_SECOND}) GROUP BY ALL),
         c AS (SELECT *, sum(c) OVER (PARTITION BY manuscript_id) AS total FROM n),
         d AS (SELECT manuscript_id, token AS name, c / total * 1000 AS density FROM c WHERE length(token) >= 3),
-        j AS (SELECT name, coalesce(a.density, 0.0) AS a, coalesce(b.density, 0.0) AS b FROM (SELECT * FROM d WHERE manuscript_id = 'src0') a
-              FULL JOIN (SELECT * FROM d WHERE manuscript_id = 'src1') b USING (name)),
+        j AS (SELECT name, coalesce(a.density, 0.0) AS a, coalesce(b.density, 0.0) AS b FROM (SELECT * FROM d WHERE manuscript_id = {_FIRST}) a
+              FULL JOIN (SELECT * FROM d WHERE manuscript_id = {_SECOND}) b USING (name)),
         x AS (SELECT *, greatest(a, b) AS most, CASE WHEN greatest(a, b) > 0 THEN abs(a - b) / greatest(a, b) ELSE 0.0 END AS d FROM j)
         SELECT name, round(a, 6) AS left_density, round(b, 6) AS right_density, round(d, 6) AS difference, most > 0 AND d <= 0.1 AS is_collision FROM x""",
     "markdown_clean": f"SELECT doc_id, sha256(c) AS content_hash, length(c) AS n_chars FROM (SELECT doc_id, {_cleaned()} AS c FROM documents)",
@@ -295,9 +303,9 @@ ORACLE_SQL = {
         WITH p AS (SELECT doc_id, unnest(l) AS piece, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z'']+|[^A-Za-z'']+') AS l FROM documents)),
         o AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS fin FROM p),
         t AS (SELECT doc_id, i, piece AS token, fin - length(piece) AS start, fin FROM o WHERE regexp_matches(piece, '^[A-Za-z'']')),
-        s AS (SELECT k AS span_id, k * 60 + 10 AS a, k * 60 + 40 AS b FROM (SELECT unnest([0::BIGINT, 1::BIGINT]) AS k))
+        s AS (SELECT doc_id, k AS span_id, k * 60 + 10 AS a, k * 60 + 40 AS b FROM (SELECT doc_id, unnest(range(0, length(text) // 60 + 1)) AS k FROM documents))
         SELECT doc_id, span_id, count(*) AS tokens, min(start) AS first_char, max(fin) AS last_char, string_agg(token, ' ' ORDER BY i) AS words
-        FROM t, s WHERE fin > a AND start < b GROUP BY ALL""",
+        FROM t JOIN s USING (doc_id) WHERE fin > a AND start < b GROUP BY ALL""",
     "echo_pairs": f"WITH {_ECHO} SELECT * FROM pairs",
     "redundancy": f"""
         WITH {_ECHO},

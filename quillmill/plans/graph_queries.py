@@ -88,12 +88,6 @@ def filtered_entities(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", "p_name")
 
 
-def rubric_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "labels")
-    raw = rows.select(F.col("doc_id").alias("paragraph_id"), (F.col("doc_id") % 9 - 1).cast("string").alias("accuracy"), F.when(F.col("doc_id") % 3 == 0, "n/a").otherwise("4").alias("fluency"), (F.col("quality") * 7).cast("string").alias("grammar"), (5 - F.col("toxic")).cast("string").alias("voice"))
-    return review.rubric_scores(raw)
-
-
 def _reviews(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 3
     decision = F.when(k == 0, "accept").when(k == 1, "minor_rewrite").otherwise("major_rewrite")
@@ -131,19 +125,21 @@ def signup_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return review.new_signups(e.filter("event_id % 11 = 0").select("lang", "email").distinct(), e.select("lang", "email", "ts"))
 
 
-def _turns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("position"), "text")
-    return c.filter("position = 0").select("group_id", F.col("position").alias("item_id"), "text"), c.filter("position > 0")
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("position"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def context_topk(spark: SparkSession, d: str) -> DataFrame:
-    return review.context_top(*_turns(spark, d), k=3)
+    """Every turn as an item, some with words that no turn has, against all turns of its dialogue."""
+    turns = _turns(spark, d)
+    items = turns.select("group_id", F.col("position").alias("item_id"), F.when(F.col("position") % 4 == 3, "zzzz").otherwise(F.col("text")).alias("text"))
+    return review.context_top(items, turns)
 
 
 def context_band(spark: SparkSession, d: str) -> DataFrame:
-    items, sentences = _turns(spark, d)
-    items = items.select("group_id", "item_id", (F.col("group_id") % 4 + 1).alias("start"), F.when(F.col("group_id") % 2 == 0, F.col("group_id") % 4 + 2).alias("end"))
-    return review.context_band(items, sentences, 1)
+    turns, p = _turns(spark, d), F.col("position")
+    items = turns.select("group_id", p.alias("item_id"), F.when(p % 3 > 0, p).alias("start"), F.when(p % 3 < 2, p + 1).alias("end"))
+    return review.context_band(items, turns, 1)
 
 
 def directive_items(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +156,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_upsert, interaction_upsert, state_history, event_chain, label_counts, event_types, referential_violations, recent_states,
-        filtered_entities, rubric_scores, qa_final_text, critics_rollup, review_mapping, candidate_map, signup_dedupe, context_topk, context_band, directive_items, chunk_ids,
+        filtered_entities, qa_final_text, critics_rollup, review_mapping, candidate_map, signup_dedupe, context_topk, context_band, directive_items, chunk_ids,
     )
 } | {"entity_exact_resolution": lambda spark, d: op.exact_resolution(_mentions(spark, d), _ontology(spark, d))}
 
@@ -195,10 +191,6 @@ ORACLE_SQL = {
     "recent_states": """
         SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') ORDER BY ts DESC, event_id DESC LIMIT 50""",
     "filtered_entities": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') ORDER BY p_name, p_partkey LIMIT 200",
-    "rubric_scores": """
-        SELECT *, accuracy + fluency + grammar + voice AS total_score FROM (
-            SELECT doc_id AS paragraph_id, CAST(greatest(0, least(5, doc_id % 9 - 1)) AS INTEGER) AS accuracy, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 4 END AS fluency,
-                   CAST(greatest(0, least(5, quality * 7)) AS INTEGER) AS grammar, CAST(greatest(0, least(5, 5 - toxic)) AS INTEGER) AS voice FROM labels)""",
     "qa_final_text": """
         WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'minor_rewrite' ELSE 'major_rewrite' END AS decision, CASE WHEN doc_id % 2 = 0 THEN 'revised ' || doc_id ELSE '' END AS revised FROM labels),
         t AS (SELECT doc_id, text AS translation, CASE WHEN lang = 'en' THEN 'source: ' || text ELSE '' END AS source_text FROM documents)
@@ -223,18 +215,19 @@ ORACLE_SQL = {
         f AS (SELECT lang, email, min(ts) AS ts FROM e GROUP BY ALL)
         SELECT lang, regexp_replace(email, '^([=+\\-@])', '''\\1') AS email, ts FROM f ANTI JOIN (SELECT lang, email FROM e WHERE event_id % 11 = 0) s USING (lang, email)""",
     "context_topk": f"""
-        WITH t AS (SELECT conv_id AS group_id, turn AS position, {_TERMS} AS terms FROM conversations),
-        m AS (SELECT a.group_id, a.position AS item_id, b.position, CAST(len(list_intersect(a.terms, b.terms)) AS BIGINT) AS shared FROM t a JOIN t b ON a.group_id = b.group_id AND a.position = 0 AND b.position > 0),
-        r AS (SELECT *, row_number() OVER (PARTITION BY group_id, item_id ORDER BY shared DESC, position) AS rank FROM m WHERE shared > 0)
-        SELECT * FROM r WHERE rank <= 3""",
+        WITH t AS (SELECT conv_id AS group_id, turn AS position, {_TERMS} AS terms FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)),
+        m AS (SELECT a.group_id, a.position AS item_id, b.position, CAST(len(list_intersect(CASE WHEN a.position % 4 = 3 THEN ['zzzz'] ELSE a.terms END, b.terms)) AS BIGINT) AS shared FROM t a JOIN t b USING (group_id)),
+        x AS (SELECT *, max(shared) OVER (PARTITION BY group_id, item_id) AS most FROM m),
+        r AS (SELECT *, row_number() OVER (PARTITION BY group_id, item_id ORDER BY shared DESC, position) AS n FROM x WHERE shared > 0 OR most = 0)
+        SELECT group_id, item_id, position, shared, row_number() OVER (PARTITION BY group_id, item_id ORDER BY position) AS place FROM r WHERE n <= 8""",
     "context_band": """
-        WITH i AS (SELECT conv_id AS group_id, turn AS item_id, conv_id % 4 + 1 AS a, CASE WHEN conv_id % 2 = 0 THEN conv_id % 4 + 2 ELSE conv_id % 4 + 1 END AS b FROM conversations WHERE turn = 0)
-        SELECT group_id, item_id, turn AS position FROM i JOIN conversations ON group_id = conv_id WHERE turn > 0 AND turn BETWEEN a - 1 AND b + 1""",
+        WITH i AS (SELECT conv_id AS group_id, turn AS item_id, CASE WHEN turn % 3 = 0 THEN turn + 1 ELSE turn END AS a, CASE WHEN turn % 3 < 2 THEN turn + 1 ELSE turn END AS b FROM conversations)
+        SELECT group_id, item_id, turn AS position FROM i JOIN conversations ON group_id = conv_id WHERE turn BETWEEN a - 1 AND b + 1""",
     "directive_items": """
-        WITH l AS (SELECT doc_id, trim(v) AS v, line FROM (SELECT doc_id, unnest(l) AS v, unnest(range(1, len(l) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
-        m AS (SELECT *, regexp_matches(v, '^([-*+]\\s+|\\d+[.)]\\s+)') OR regexp_matches(lower(v), '^(cull|delete)') AS k FROM l WHERE v <> ''),
+        WITH l AS (SELECT doc_id, regexp_replace(v, '^\\s+|\\s+$', '', 'g') AS v, line FROM (SELECT doc_id, unnest(l) AS v, unnest(range(1, len(l) + 1)) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS l FROM documents))),
+        m AS (SELECT *, regexp_matches(v, '^([-*]|\\d+[.)])\\s+') OR regexp_matches(lower(v), '^(cull|delete)') AS k FROM l WHERE v <> '' AND NOT starts_with(v, '#')),
         a AS (SELECT *, bool_or(k) OVER (PARTITION BY doc_id) AS any_k FROM m)
-        SELECT doc_id, 'item_' || lpad(CAST(line AS VARCHAR), 4, '0') AS item_id, regexp_replace(v, '^([-*+]\\s+|\\d+[.)]\\s+)', '') AS item FROM a WHERE k OR (NOT any_k AND NOT starts_with(v, '#'))""",
+        SELECT doc_id, 'item_' || CASE WHEN line < 10000 THEN lpad(CAST(line AS VARCHAR), 4, '0') ELSE CAST(line AS VARCHAR) END AS item_id, CASE WHEN k THEN regexp_replace(v, '^([-*]|\\d+[.)])\\s+', '') ELSE v END AS item FROM a WHERE k OR NOT any_k""",
     "chunk_ids": """
         SELECT doc_id, sha256(text)[1:8] || '-chunk-' || doc_id AS chunk_id, sha256(text)[1:16] AS chapter_id, 'sha256:' || sha256(text) AS content_hash FROM documents""",
     "entity_exact_resolution": """

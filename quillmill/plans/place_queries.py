@@ -30,7 +30,7 @@ def blank_line_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 def line_of(spark: SparkSession, d: str) -> DataFrame:
     docs = paragraphs(table(spark, d, "documents"))
-    return places.line_of(docs, docs.select("doc_id", F.explode(F.array(*[F.lit(k).cast("long") for k in (0, 100, 700)])).alias("position")))
+    return places.line_of(docs, docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.char_length("text").cast("long"), F.lit(100).cast("long"))).alias("position")))
 
 
 def tail_paragraphs(spark: SparkSession, d: str) -> DataFrame:
@@ -56,11 +56,7 @@ def window_anchors(spark: SparkSession, d: str) -> DataFrame:
     return places.window_anchor(windows.in_windows(tokens, totals, 500, 250, True))
 
 
-def story_calendar(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1).select(places.story_years(2020, 2050).alias("year")).withColumn("next_year", F.when(F.col("year") < 2050, F.col("year") + 1))
-
-
-QUERIES = {f.__name__: f for f in (word_ranks, word_paragraphs, blank_line_paragraphs, line_of, tail_paragraphs, whole_word_counts, chunk_ranges, missing_ids, window_anchors, story_calendar)}
+QUERIES = {f.__name__: f for f in (word_ranks, word_paragraphs, blank_line_paragraphs, line_of, tail_paragraphs, whole_word_counts, chunk_ranges, missing_ids, window_anchors)}
 
 _RANKS = f"w AS (SELECT *, row_number() OVER (ORDER BY count DESC, word) AS rank FROM (SELECT word, count(*) AS count FROM (SELECT unnest({q.APOSTROPHE}) AS word FROM documents) GROUP BY word) QUALIFY rank <= 100)"
 
@@ -83,7 +79,8 @@ ORACLE_SQL = {
     "line_of": """
         WITH l AS (SELECT doc_id, unnest(l) AS v, unnest(range(0, len(l))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
         s AS (SELECT doc_id, line, coalesce(sum(length(v) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l)
-        SELECT doc_id, CAST(k AS BIGINT) AS position, CAST(max(line) AS BIGINT) AS line FROM s, (SELECT unnest([0, 100, 700]) AS k) WHERE start <= k GROUP BY ALL""",
+        SELECT doc_id, CAST(k AS BIGINT) AS position, CAST(max(line) AS BIGINT) AS line
+        FROM s JOIN (SELECT doc_id, unnest(range(0, length(text) + 1, 100)) AS k FROM documents) USING (doc_id) WHERE start <= k GROUP BY ALL""",
     "tail_paragraphs": f"""
         WITH d AS ({METRIC["paragraph_signal_density"]}),
         e AS (SELECT manuscript_id, doc_id, lexical_density AS score, row_number() OVER (PARTITION BY manuscript_id ORDER BY doc_id DESC) AS from_end FROM d QUALIFY from_end <= 2)
@@ -103,5 +100,4 @@ ORACLE_SQL = {
         m AS (SELECT w.manuscript_id, "window", a, b, doc_id AS anchor FROM w JOIN g ON g.manuscript_id = w.manuscript_id AND gpos = (a + b) // 2)
         SELECT m.manuscript_id, "window", anchor, count(*) AS tokens, min(gpos) AS first_token, max(gpos) AS last_token
         FROM m JOIN g ON g.manuscript_id = m.manuscript_id AND g.doc_id = anchor AND gpos >= a AND gpos < b GROUP BY ALL""",
-    "story_calendar": "SELECT CAST(y AS INTEGER) AS year, CAST(CASE WHEN y < 2050 THEN y + 1 END AS INTEGER) AS next_year FROM (SELECT unnest(range(2020, 2051)) AS y)",
 }

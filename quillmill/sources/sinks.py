@@ -11,9 +11,11 @@ def json_lines(df: DataFrame, path: str) -> None:
 
 
 def json_document(df: DataFrame, path: str) -> None:
-    """One row as one pretty JSON document."""
+    """One row as one pretty JSON document; several rows are an error."""
+    if df.limit(2).count() > 1:
+        raise ValueError("a JSON document has one row")
     one = F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"})
-    df.limit(1).select(one.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    df.select(one.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def score(x: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,6 +13,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of each .md and .txt file below a folder, or of one file."""
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(path, wholetext=True)
+    if found.isEmpty():
+        raise FileNotFoundError(f"no .md or .txt files in {path}")
     return found.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
@@ -40,14 +41,32 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def first_files(documents: DataFrame, most: int | None) -> DataFrame:
     """The rows of the first ``most`` files by name."""
-    return documents if most is None else documents.withColumn("_n", F.dense_rank().over(Window.orderBy("path"))).filter(F.col("_n") <= most).drop("_n")
+    if most is None:
+        return documents
+    first = documents.select("path").distinct().orderBy("path").limit(most)
+    return documents.join(F.broadcast(first) if most <= 100_000 else first, "path", "left_semi")
 
 
-def csv_dimension(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+def csv_dimension(spark: SparkSession, path: str, required: list[str], numbers: dict[str, float] | None = None) -> DataFrame:
+    """A CSV table with the columns that it must have; ``numbers`` are columns read as doubles, with what stands for those that can't be."""
     found = spark.read.option("header", True).csv(path)
     if missing := [c for c in required if c not in found.columns]:
         raise ValueError(f"{path} lacks the columns {missing}")
-    return found
+    return found.withColumns({c: F.coalesce(F.col(c).try_cast("double") if c in found.columns else F.lit(None), F.lit(default)) for c, default in (numbers or {}).items()})
+
+
+def first_existing(spark: SparkSession, candidates: list[str]) -> str:
+    """The first of the paths that exists, in any file system that Spark reaches."""
+    for path in candidates:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return path
+    raise FileNotFoundError(f"none of {candidates} exists")
+
+
+def history(spark: SparkSession, folder: str, schema: str, name: str = "diagnostics_bundle.json") -> DataFrame:
+    """The bundles of all runs below a folder (``run``/diagnostics/``name``), by time and run."""
+    return spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*/diagnostics/{name}").orderBy("created_at", "run_id")
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:

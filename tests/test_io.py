@@ -28,6 +28,17 @@ def test_readers(spark, tmp_path):
     assert tables.csv_dimension(spark, f"file://{tmp_path}/d.csv", ["verb"]).count() == 1
     with pytest.raises(ValueError):
         tables.csv_dimension(spark, f"file://{tmp_path}/d.csv", ["other"])
+    assert [(r.category, r.zipf) for r in tables.csv_dimension(spark, f"file://{tmp_path}/d.csv", ["verb"], {"category": 2.5, "zipf": 1.0}).collect()] == [(2.5, 1.0)]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        tables.texts(spark, f"file://{tmp_path}/none")
+    assert tables.first_existing(spark, [f"file://{tmp_path}/missing", f"file://{tmp_path}/a"]) == f"file://{tmp_path}/a"
+    with pytest.raises(FileNotFoundError):
+        tables.first_existing(spark, [f"file://{tmp_path}/missing"])
+    for run, at in (("r2", "2030"), ("r1", "2031"), ("r0", "2030")):
+        (tmp_path / "runs" / run / "diagnostics").mkdir(parents=True)
+        (tmp_path / "runs" / run / "diagnostics" / "diagnostics_bundle.json").write_text(json.dumps({"run_id": run, "created_at": at}))
+    assert [r.run_id for r in tables.history(spark, f"file://{tmp_path}/runs", "run_id string, created_at string").collect()] == ["r0", "r2", "r1"]
     for name in "ab":
         (tmp_path / f"{name}_edits.json").write_text(json.dumps({"items": [1, 2]}))
     found = tables.json_documents(spark, f"file://{tmp_path}/*_edits.json", "items array<long>")
@@ -38,7 +49,9 @@ def test_writers(spark, tmp_path):
     frame = spark.createDataFrame([("=x", 0.5), ("y", float("nan"))], "name string, s double")
     sinks.csv_table(frame, f"file://{tmp_path}/c", ["s"])
     assert sorted(r.s for r in spark.read.option("header", True).csv(f"file://{tmp_path}/c").collect()) == ["0.500000", "nan"]
-    sinks.json_document(frame, f"file://{tmp_path}/j")
+    with pytest.raises(ValueError):
+        sinks.json_document(frame, f"file://{tmp_path}/j")
+    sinks.json_document(frame.filter("name = '=x'"), f"file://{tmp_path}/j")
     assert json.loads("\n".join(r.value for r in spark.read.text(f"file://{tmp_path}/j").collect()))["name"] == "=x"
     assert sorted(r.v for r in frame.select(sinks.safe_cell(frame.name).alias("v")).collect()) == ["'=x", "y"]
     assert sinks.markdown_lines(frame, frame.name, [("score", frame.s)]).first().value == "## =x\n\n- score: 0.5\n"
@@ -51,6 +64,16 @@ def test_detectors(spark):
     found = detectors.sweep(rows)
     assert found.columns == detectors.ISSUE and found.count() > 0
     assert {r.detector for r in found.select("detector").distinct().collect()} <= set(detectors.names())
+    assert detectors.run_tool("density", rows).columns == detectors.ISSUE
+    with pytest.raises(KeyError):
+        detectors.run_tool("nothing", rows)
+
+    @detectors.annotator("lacking")
+    def lacking(x):
+        return x.selectExpr("doc_id")
+
+    with pytest.raises(ValueError):
+        detectors.annotated(rows, "lacking")
     assert detectors.diagnostics(rows).count() == rows.select("manuscript_id").distinct().count()
 
 

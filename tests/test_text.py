@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import lexicons as lx
 from quillmill.functions import text as tx
-from quillmill.operators import findings, graph, learned, lexical, review, segments, similarity, windows
+from quillmill.operators import annotated, events, findings, graph, learned, lexical, resolution, review, segments, similarity, windows
 
 
 def one(spark, value, f, kind="string"):
@@ -34,6 +34,7 @@ def test_cleaning(spark):
     assert one(spark, "’‘—–", tx.fold_punctuation) == "''--"
     assert one(spark, "## A\n- b `c` **d**", tx.clean_for_voice) == "A\nb `c` d"
     assert one(spark, "a ```x\ny``` `z` [q](r) ![s](t)", tx.clean_for_similes).split() == ["a", "q"]
+    assert one(spark, "x ```a `b` c``` y ``", tx.clean_for_similes) == "x  y ``"
 
 
 def test_splitting(spark):
@@ -124,16 +125,50 @@ def test_greedy_packing(spark):
 def test_links_and_directives(spark):
     got = segments.links(rows(spark, ["abc", "", "de"])).orderBy("doc_id").collect()
     assert [(r.paragraph_id, r.prev_id, r.next_id, r.start_char, r.end_char) for r in got] == [("m-p0001", None, "m-p0002", 0, 3), ("m-p0002", "m-p0001", "m-p0003", 5, 5), ("m-p0003", "m-p0002", None, 7, 9)]
-    lines = rows(spark, ["# head\n- cull this\nnot this\n2. that\nDelete all", "# head\nplain\n\nlines"]).select("doc_id", "text")
+    lines = rows(spark, ["# head\n- cull this\n+ not this\n2. that\nDelete all", "# head\nplain\n\nlines"]).select("doc_id", "text")
     assert [(r.doc_id, r.item_id, r.item) for r in review.directives(lines).orderBy("doc_id", "item_id").collect()] == [(0, "item_0002", "cull this"), (0, "item_0004", "that"), (0, "item_0005", "Delete all"), (1, "item_0002", "plain"), (1, "item_0004", "lines")]
 
 
-def test_edits_and_payloads(spark):
-    frame = spark.createDataFrame([("a b c.", "b", "X", "a b c."), ("a b c.", "q", "X", "a b c."), ("a b c.", "q", "X", "zz")], "t string, e string, r string, s string")
-    out = [r.o for r in frame.select(review.applied_edit(F.col("t"), F.col("e"), F.col("r"), F.col("s")).alias("o")).collect()]
-    assert [(o.mode, o.text) for o in out] == [("excerpt", "a X c."), ("sentence", "X"), ("none", "a b c.")]
-    bad = spark.createDataFrame([("", "cut", 5, 2, 1.5), ("x", "cull", 1, 2, 0.5)], "line_id string, deletion_type string, line_start long, line_end long, confidence double")
-    assert [r.errors for r in review.payload_errors(bad).collect()] == [["missing:line_id", "bad:deletion_type", "bad:line_range", "bad:confidence"], []]
+def test_edits(spark):
+    """Expected values are the reference's for the same calls: excerpt first, then the issue's own sentence, then the last resort."""
+    rows = [
+        ("a b c.", " b ", "", "X", "replaced_excerpt", "a X c."), ("b b", "b", "b b", "X", "replaced_excerpt", "X b"), (" a b c. ", "q", "a b c.", "X", "replaced_whole_sentence", "X"),
+        ("a b c.", "q", "a b c.", "a b c.", "no_change", "a b c."), ("a b c.", "", "a b c.", "", "no_change", "a b c."), ("a b c.", "q", "zz", "X", "fallback_replaced_whole_sentence", "X"),
+        ("a b c.", None, None, "a b c.", "no_change", "a b c."), ("a b c.", "q", "", None, "no_change", "a b c."),
+    ]
+    frame = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "i int, t string, e string, s string, c string")
+    out = frame.select("i", review.applied_edit(F.col("t"), F.col("e"), F.col("s"), F.col("c")).alias("o")).orderBy("i").collect()
+    assert [(r.o.mode, r.o.text) for r in out] == [r[4:] for r in rows]
+
+
+def test_payloads(spark):
+    import json
+
+    good = {"line_id": "l", "line_start": 1, "line_end": None, "matched_source_span": "a", "deletion_type": "full_sentence", "delete_text": "a", "reason_summary": "r", "metric_tags": [], "confidence": 1, "ambiguity_flags": ["x"]}
+    cases = [
+        (good, []), (good | {"confidence": 1.01}, ["invalid:confidence"]), (good | {"confidence": "1"}, ["invalid:confidence"]), (good | {"line_start": 2.5, "deletion_type": "trim"}, ["invalid:deletion_type", "invalid:line_start"]),
+        ({k: v for k, v in good.items() if k not in ("line_end", "delete_text")}, ["missing:line_end", "missing:delete_text", "invalid:delete_text"]), (good | {"metric_tags": "x", "ambiguity_flags": None}, ["invalid:metric_tags", "invalid:ambiguity_flags"]),
+        ("{no json", ["invalid_json"]),
+    ]
+    frame = spark.createDataFrame([(i, c if isinstance(c, str) else json.dumps(c)) for i, (c, _) in enumerate(cases)], "i int, p string")
+    assert [r.e for r in frame.select("i", review.payload_errors(F.col("p")).alias("e")).orderBy("i").collect()] == [w for _, w in cases]
+    assert review.RUBRIC[0] == "intent_and_contract" and review.RUBRIC[-1] == "edge_cases" and len(review.RUBRIC) == 10
+
+
+def test_slop_reasons_and_severity(spark):
+    rows = [("m", i, float(-i), ["moreover"] if i in (3, 60) else []) for i in range(100)] + [("m", 200, float("nan"), ["moreover"])]
+    found = {r.doc_id: (r.reason, r.severity) for r in findings.slop_flags(spark.createDataFrame(rows, "manuscript_id string, doc_id long, avg_logprob double, transitions array<string>")).collect()}
+    outlier, turn = ("high_logprob_extreme_outlier", "low"), ("high_logprob_plus_transition", "medium")
+    assert found == {0: outlier, 1: outlier, 2: outlier, 3: turn}
+
+
+def test_paths_and_highlights(spark):
+    j = '{"a": {"b": 2.5, "c": true, "d": "x"}}'
+    out = spark.createDataFrame([(j,)], "j string").select(*[findings.number_at(F.col("j"), p).alias(n) for p, n in (("a.b", "b"), ("a.c", "c"), ("a.d", "d"), ("a.x.y", "e"))]).first()
+    assert tuple(out) == (2.5, None, None, None)
+    deep = "{" * 0 + '{"a":' * 12 + "1" + "}" * 12
+    with pytest.raises(Exception, match="nested too deeply"):
+        findings.flattened_numbers(spark.createDataFrame([(1, deep)], "k int, j string"), "k", "j").collect()
 
 
 def test_fuzzy_ratios():
@@ -149,11 +184,135 @@ def test_resolution(spark):
     known = spark.createDataFrame([("u1", "Narrator", ["The Narrator", "X"], 0), ("u2", "Elara", ["X"], 1)], "uuid string, name string, aliases array<string>, position long")
     mentions = spark.createDataFrame([(1, " the narrator"), (2, "Narrat0r"), (3, "x"), (4, "Harbor Master")], "temp_id long, name string")
     assert {r.temp_id: r.uuid for r in graph.exact_resolution(mentions, known).collect()} == {1: "u1", 2: None, 3: "u2", 4: None}
-    found = {r.temp_id: r for r in graph.fuzzy_resolution(mentions, known, 0.6, block=1).collect()}
-    assert found[2].uuid == "u1" and found[2].is_conflict and not found[4].is_conflict
     assert [r.g for r in spark.createDataFrame([("She",), ("the guard",), ("Elara",)], "n string").select(graph.is_generic(F.col("n")).alias("g")).collect()] == [True, True, False]
 
 
+NARRATOR = ("uuid-n", "Narrator", "Character", ["The Narrator"], 0)
+SHE = ("uuid-she", "She", "Character", [], 0)
+
+
+@pytest.mark.parametrize(
+    ("known", "threshold", "mentions", "want", "conflicts"),
+    [
+        ([NARRATOR], 0.85, [("Narrator", False)], [("ontology", "uuid-n", None, False)], 0),
+        ([NARRATOR], 0.85, [("Narrator", True)], [("ontology", "uuid-n", None, True)], 0),
+        ([NARRATOR], 0.6, [("Narrat0r", True)], [("conflict", "uuid-n", None, False)], 1),
+        ([NARRATOR], 0.95, [("Harbor Master", True)], [("new", None, None, False)], 0),
+        ([NARRATOR], 0.6, [("Narrator", True), ("Narrat0r", True)], [("ontology", "uuid-n", None, True), ("conflict", "uuid-n", None, False)], 1),
+        ([SHE], 0.6, [("Elara", True)], [("generic_placeholder_upgrade", "uuid-she", "She", False)], 0),
+    ],
+)
+def test_resolution_cascade(spark, known, threshold, mentions, want, conflicts):
+    ontology = spark.createDataFrame(known, "uuid string, name string, type string, aliases array<string>, position long")
+    frame = spark.createDataFrame([(i, n, "Character", new) for i, (n, new) in enumerate(mentions)], "temp_id long, name string, type string, is_new boolean")
+    out = resolution.resolve(frame, ontology, threshold)
+    assert [(r.outcome, r.uuid, r.old_name, r.is_new_mismatch) for r in out.orderBy("temp_id").collect()] == want
+    assert resolution.metrics(out).first().fuzzy_conflicts == conflicts
+    if conflicts:
+        with pytest.raises(resolution.ResolutionConflict) as raised:
+            resolution.checked(out)
+        assert [r.temp_id for r in raised.value.conflicts] == [len(mentions) - 1]
+    else:
+        assert resolution.checked(out) is out
+
+
+def test_near_names_lose_none(spark):
+    import random
+
+    rng = random.Random(4)
+    names = ["".join(rng.choices("abcd ", k=rng.randrange(1, 9))) for _ in range(120)]
+    known = spark.createDataFrame([(f"u{i}", n, i) for i, n in enumerate(names[:60])], "uuid string, name string, position long")
+    asked = spark.createDataFrame(list(enumerate(names[60:])), "temp_id long, name string")
+    for threshold in (0.6, 0.85, 1.0):
+        found = {r.temp_id: (r.uuid, r.score) for r in resolution.near_names(asked, known, threshold).collect()}
+        for i, n in enumerate(names[60:]):
+            score, at = max((graph.indel_ratio(n, m), -k) for k, m in enumerate(names[:60]))
+            assert found.get(i) == ((f"u{-at}", score) if score >= threshold * 100 else None)
+
+
+def test_depth_has_no_limit_and_cycles_are_errors(spark):
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 101)], "node long, parent long")
+    assert {r.node: r.depth for r in annotated.hypernym_depth(chain).collect()} == {i: i for i in range(1, 101)}
+    with pytest.raises(ValueError):
+        annotated.hypernym_depth(spark.createDataFrame([(1, 2), (2, 1)], "node long, parent long"))
+
+
+def test_similes(spark):
+    words = [("she", 1, "nsubj"), ("ran", 1, "ROOT"), ("like", 1, "prep"), ("the", 4, "det"), ("wind", 2, "pobj")]
+    tokens = spark.createDataFrame([(1, 1, i, w, w, "X", d, h) for i, (w, h, d) in enumerate(words)], "doc_id long, sentence long, idx long, token string, lemma string, pos string, dep string, head long")
+    found = annotated.similes(tokens)
+    assert [(r.left_text, r.right_text) for r in found.collect()] == [("she ran like the wind", "like the wind")]
+    vectors = spark.createDataFrame([("she ran like the wind", [1.0, 0.0]), ("like the wind", [0.8, 0.6])], "text string, v array<double>")
+    assert [(r.gain, r.label) for r in annotated.rated_similes(found, vectors, ["blind as"]).collect()] == [(0.2, "WEAK_OR_FUNCTIONAL")]
+    assert [r.label for r in annotated.rated_similes(found, vectors, ["the wind"]).collect()] == ["CLICHE"]
+
+
+def test_linkage_of_components_equals_linkage_of_all(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "BLOCK", 15)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 6))
+    v = np.concatenate([c + 0.35 * rng.standard_normal((8, 6)) for c in centres])
+    label = learned.average_linkage(v, 0.85)
+    want = {i: int(x) for i, x in enumerate(label) if (label == x).sum() > 1}
+    frame = spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<double>")
+    assert {r.vec_id: r.cluster_id for r in learned.linkage_clusters(frame, 0.85).collect()} == want
+    monkeypatch.setattr(learned, "MOST", 2)
+    with pytest.raises(ValueError):
+        learned.linkage_clusters(frame, 0.85)
+
+
+def test_coherence_equals_brute_force(spark):
+    import numpy as np
+
+    texts = ["harbor boat water sailor storm harbor boat", "castle knight sword castle", "harbor storm knight boat water", "sword knight castle harbor sailor storm water boat sword", "empty"]
+    topics = [(0, "harbor"), (0, "boat"), (0, "storm"), (1, "castle"), (1, "knight"), (1, "harbor")]
+    size, windows = 4, []
+    for t in texts:
+        own = [w for w in py_tokens(t) if len(w) >= 3 and w not in lx.STOPWORDS]
+        windows += [set(own[i : i + size]) for i in range(max(1, len(own) - size + 1)) if own]
+    p = lambda *w: sum(all(x in win for x in w) for win in windows) / len(windows) + 1e-12
+    want = {}
+    for k in (0, 1):
+        own = [w for t, w in topics if t == k]
+        m = np.array([[math.log(p(a, b) / (p(a) * p(b))) / -math.log(p(a, b)) for b in own] for a in own])
+        s = m.sum(axis=0)
+        want[k] = float(np.mean([x @ s / np.linalg.norm(x) / np.linalg.norm(s) for x in m]))
+    found = learned.coherence(rows(spark, texts), spark.createDataFrame(topics, "topic int, term string"), size)
+    assert all(math.isclose(r.coherence, want[r.topic], abs_tol=1e-3) for r in found.collect())
+
+
+def test_lda_reads_every_term(spark):
+    texts = ["harbor boat water " * 5, "castle knight sword " * 5, "rareword harbor boat"]
+    shares = learned.lda_documents(rows(spark, texts), 2).groupBy("doc_id").agg(F.sum("weight").alias("s")).collect()
+    assert len(shares) == 3 and all(abs(r.s - 1) < 1e-4 for r in shares)
+    assert "rareword" in {r.term for r in learned.lda_topics(rows(spark, texts), 2, k=7).collect()}
+
+
+def test_bursts_report_every_term(spark):
+    found = {r.term: (r.global_count, r.max_z, r.burst_windows) for r in windows.burst_terms(rows(spark, ["harbor boat harbor"])).collect()}
+    assert found == {"harbor": (2, 0.0, 0), "boat": (1, 0.0, 0), "harbor boat": (1, 0.0, 0), "boat harbor": (1, 0.0, 0), "harbor boat harbor": (1, 0.0, 0)}
+    assert one(spark, "Don't stop: it's well-known, 42 Naïve!", tx.entropy_tokens) == ["do", "n't", "stop", "it", "'s", "wellknown", "nave"]
+
+
+def test_events_applied_twice_give_the_same(spark):
+    batch = spark.createDataFrame([("ch", "e1", 0, "first"), ("ch", "e2", 1, None)], "chapter_id string, event_id string, position long, description string")
+    stored = events.event_rows(batch.limit(0))
+    once = events.upsert_events(stored, batch)
+    assert sorted(map(str, once.collect())) == sorted(map(str, events.upsert_events(once, batch).collect()))
+    assert {r.uuid for r in once.collect()} == {str(uuid.uuid5(uuid.NAMESPACE_DNS, f"ch:{e}")) for e in ("e1", "e2")}
+    none = spark.createDataFrame([], "uuid string, entity_uuid string, attribute string, value string, valid_from string, valid_until string, closed_at string, created_at string")
+    changes = spark.createDataFrame([("u", "mood", "e1", "glad", 0, "t0"), ("u", "mood", "e2", "sad", 1, "t1")], "entity_uuid string, attribute string, event_id string, value string, position long, at string")
+    first = events.apply_states(none, changes.filter("position = 0"))
+    both = events.apply_states(first, changes)
+    assert {(r.value, r.valid_until, r.closed_at) for r in both.collect()} == {("glad", "e2", "t1"), ("sad", None, None)}
+    assert sorted(map(str, both.collect())) == sorted(map(str, events.apply_states(both, changes).collect()))
+    with pytest.raises(Exception, match="Unsupported timestamp"):
+        names = "uid string, timestamp string, location_name string, parent_uid string"
+        events.logged(spark.createDataFrame([("e", "soon", "x", None)], names), spark.createDataFrame([], "event_uid string, uid string, role string"), spark.createDataFrame([], "uid string"), spark.createDataFrame([], "uid string")).collect()
+
+
 def test_state_history_is_idempotent(spark):
     changes = spark.createDataFrame([("e", "mood", 1, "a"), ("e", "mood", 3, "b"), ("e", "age", 2, "c")], "entity string, attribute string, at long, event string")
     once = sorted(map(tuple, graph.state_history(changes, ["entity", "attribute"], "at", "event").collect()))
