@@ -239,10 +239,12 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1) -> DataFrame:
     spark = docs.sparkSession
     shards = work.partitions(spark)
     train = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % mod != held
-    read = work.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_read(shards, train), _BLOCKS), "blocks")
-    dealt = read.filter("shard >= 0").select("block", "shard", "words", "counts", "keys", "key_counts")
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    totals = work.put(dealt.mapInArrow(_total, _TOTALS), "totals")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_read(shards, train), _BLOCKS)
+    kind = F.when(F.col("shard") < 0, "whole").otherwise("dealt").alias("kind")
+    whole, dealt = work.put_parts(read.select("*", kind), "blocks", "kind", ["whole", "dealt"])
+    rows = dealt.select("block", "shard", "words", "counts", "keys", "key_counts").repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    totals = work.put(rows.mapInArrow(_total, _TOTALS), "totals")
+    work.drop(dealt)
 
     own = totals.filter("block is null")
     sums = own.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "tokens", "types")]).first()
@@ -273,5 +275,5 @@ def score(docs: DataFrame, mod: int = 5, held: int = 1) -> DataFrame:
     back = totals.filter("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "totals", "levels"))).alias("t"))
     of = lambda c: F.transform("t", lambda x: x[c]).alias(c)
     back = back.select("block", of("totals"), of("levels"))
-    joined = read.filter("shard = -1").select("block", "doc_ids", "train", "lengths", "seq", "words").join(back.hint("merge"), "block").drop("block")
+    joined = whole.select("block", "doc_ids", "train", "lengths", "seq", "words").join(back.hint("merge"), "block").drop("block")
     return joined.mapInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

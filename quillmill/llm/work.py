@@ -47,6 +47,22 @@ def put(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+def put_parts(df: DataFrame, tag: str, column: str, values: list[str]) -> list[DataFrame]:
+    """``df`` written once as one table for each of the values of a text column, which they lack; each can be dropped by itself."""
+    spark = df.sparkSession
+    to = path(spark, tag)
+    df.write.option("compression", "zstd").partitionBy(column).parquet(to)
+    out, schema = [], df.drop(column).schema
+    for value in values:
+        at = f"{to}/{column}={value}"
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(at)
+        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+        back = spark.read.schema(schema).parquet(at) if there else spark.createDataFrame([], schema)
+        back._quillmill_path = at
+        out.append(back)
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``put`` that nothing will read again."""
     for table in tables:
