@@ -111,8 +111,13 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
     Rows are written with a number of their own, so only digests and the numbers of the rows that go are shuffled.
     """
+    since = work.mark()
     own = work.put(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")), "numbered")
-    rows, verdicts = (index or DigestIndex(docs.sparkSession)).add(own.select("row", "d.doc_id", "d.text"), numbered=True)
+    used = index or DigestIndex(docs.sparkSession)
+    rows, verdicts = used.add(own.select("row", "d.doc_id", "d.text"), numbered=True)
     both = rows.join(verdicts.select("digest", "fresh", "keep_row").hint("merge"), "digest")
     gone = work.put(both.filter(~F.col("fresh") | (F.col("row") != F.col("keep_row"))).select("row"), "gone")
+    if index is None:
+        used.close()
+    work.sweep(since, own, gone)
     return work.among(own, gone, "row", "left_anti").select("d.*")

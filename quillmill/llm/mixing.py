@@ -129,6 +129,7 @@ def realise(docs: DataFrame, entropy: float | None = None, repeat: float | None
 
     A partial pass is a beginning of its order, so one last key for each source decides it, and texts stay where they are read.
     """
+    since = work.mark()
     rows, sources = plan(docs, entropy, repeat, budget, seed)
     last = rows.join(sources, "source").filter("goal > passes * total").withColumn("key", _key(F.col("passes"), seed))
     last = last.withColumn("bucket", _bucket(rows))
@@ -138,6 +139,7 @@ def realise(docs: DataFrame, entropy: float | None = None, repeat: float | None
     end = F.col("earlier") + F.sum("tokens").over(Window.partitionBy("source", "bucket").orderBy("key"))
     fits = last.join(sums, ["source", "bucket"]).withColumn("end", end).filter("end <= goal - passes * total")
     cut = work.put(sources.join(fits.groupBy("source").agg(F.max("key").alias("last")), "source", "left").select("source", "passes", "last"), "cut")
+    work.sweep(since, cut)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), "doc_id", _source().alias("source"))
     times = F.col("passes") + F.coalesce((_key(F.col("passes"), seed) <= F.col("last")).cast("long"), F.lit(0))
     return _numbered(own.join(cut, "source").withColumn("times", times).filter("times > 0"), F.col("times") - 1, "n").select("d.*")

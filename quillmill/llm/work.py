@@ -69,6 +69,20 @@ def drop(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table._quillmill_path)
 
 
+def mark() -> int:
+    """A place in the sequence of tables written, for ``sweep``."""
+    return len(_written)
+
+
+def sweep(since: int, *keep: DataFrame) -> None:
+    """Delete the tables written after a mark, but for those that a result will still read."""
+    kept = {table._quillmill_path for table in keep}
+    for spark, at in _written[since:]:
+        if at not in kept:
+            _delete(spark, at)
+    _written[since:] = [x for x in _written[since:] if x[1] in kept]
+
+
 #: Ids of which a hash table is sent to every executor: some tens of MB at most.
 FEW = 1_000_000
 
