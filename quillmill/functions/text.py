@@ -97,8 +97,9 @@ def tokens(text: Column) -> Column:
 def entropy_tokens(text: Column) -> Column:
     """Tokens of the entropy windows: words and contraction parts, of which a-z and ' are kept if a letter is among them."""
     parts = F.regexp_replace(F.lower(text), r"(n't|'(?:s|m|d|ll|re|ve))\b", " $1")
-    own = F.transform(F.split(parts, r"[\s.,;:!?\"()\[\]{}<>…“”«»—–/|]+"), lambda t: F.regexp_replace(t, "[^a-z']", ""))
-    return F.filter(own, lambda t: t.rlike("[a-z]"))
+    spaced = F.regexp_replace(parts, r"[\s.,;:!?\"()\[\]{}<>…“”«»—–/|]+", " ")
+    own = F.split(F.regexp_replace(spaced, "[^a-z' ]+", ""), " ")  # whole texts are cleaned, not each token
+    return F.filter(own, lambda t: F.translate(t, "'", "") != "")
 
 
 def lines(text: Column) -> Column:

@@ -23,10 +23,12 @@ def placed(rows: DataFrame, own: Column, after: int = 0) -> tuple[DataFrame, Dat
     none = F.array().cast("array<string>")
     following = F.concat(none, *[F.coalesce(F.lead("head", k).over(w), none) for k in range(1, after + 1)])
     starts = sizes.select("doc_id", before.alias("start"), following.alias("following"))
-    joined = base.join(starts, "doc_id").withColumn("long", F.concat("own", "following"))
-    names = [f"t{k + 1}" for k in range(1, after + 1)]
-    each = F.transform("own", lambda t, i: F.struct((F.col("start") + i).alias("gpos"), t.alias("token"), *[F.get("long", i + k).alias(names[k - 1]) for k in range(1, after + 1)]))
-    out = joined.select("manuscript_id", "doc_id", F.explode(each).alias("x")).select("manuscript_id", "doc_id", "x.gpos", "x.token", *[f"x.{n}" for n in names])
+    long_ = F.concat("own", "following")
+    names = ["token", *[f"t{k + 1}" for k in range(1, after + 1)]]
+    shifted = [F.slice(long_, k + 1, F.size("own")).alias(names[k]) for k in range(1, after + 1)]
+    each = base.join(starts, "doc_id").select("manuscript_id", "doc_id", "start", F.col("own").alias("token"), *shifted)
+    each = each.select("manuscript_id", "doc_id", "start", F.posexplode(F.arrays_zip(*names)).alias("pos", "x"))
+    out = each.select("manuscript_id", "doc_id", (F.col("start") + F.col("pos")).alias("gpos"), *[f"x.{n}" for n in names])
     return out, sizes.groupBy("manuscript_id").agg(F.sum("n").alias("total"))
 
 
