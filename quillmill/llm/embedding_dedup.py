@@ -28,7 +28,7 @@ from quillmill.llm import work
 from quillmill.llm.components import components
 from quillmill.llm.grouped import groups, roots
 
-THRESHOLD, RECALL, BUCKET, BLOCK, SEED = 0.9, 0.995, 128, 1_500, 11
+THRESHOLD, RECALL, BUCKET, BLOCK, SEED = 0.9, 0.995, 128, 4_000, 11
 
 
 def shape(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -58,14 +58,29 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.float32 if raw[:1] == b"4" else np.float64, offset=1).astype(np.float64)
 
 
-def linked_pairs(vectors: np.ndarray, threshold: float, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices (i < j) of pairs with a cosine of ``threshold`` or more, in double precision."""
+def stacked(raws: list[bytes]) -> np.ndarray:
+    """The rows of packed vectors of one length; those of one kind are read together."""
+    if len({len(x) for x in raws}) > 1:
+        return np.array([unpacked(x) for x in raws])
+    kind = np.float32 if raws[0][:1] == b"4" else np.float64
+    rows = np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), -1)[:, 1:]
+    return np.ascontiguousarray(rows).view(kind).astype(np.float64)
+
+
+def linked_pairs(vectors: np.ndarray, threshold: float, side: np.ndarray | None = None, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of pairs with a cosine of ``threshold`` or more, in double precision; with ``side`` (booleans) only pairs of unlike sides."""
     vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # else squares of very large or small components leave the doubles
     norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-    for k in range(0, len(vectors), step):
-        cosine = vectors[k : k + step] @ vectors[k:].T / np.outer(norm[k : k + step], norm[k:])
-        i, j = np.nonzero(np.triu(cosine >= threshold, 1))
-        yield i + k, j + k
+    every = np.arange(len(vectors))
+    left, right = (every, every) if side is None else (np.flatnonzero(side), np.flatnonzero(~side))
+    for k in range(0, len(left), step):
+        a, b = left[k : k + step], right[k:] if side is None else right
+        cosine = vectors[a] @ vectors[b].T / np.outer(norm[a], norm[b])
+        i, j = np.nonzero(cosine >= threshold)
+        i, j = a[i], b[j]
+        if side is None:
+            i, j = i[i < j], j[i < j]
+        yield i, j
 
 
 def _items(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +101,8 @@ def _links(items: DataFrame, threshold: float, recall: float) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [np.array(v, np.float64) for v in batch.column("v").to_pylist()]
+            v = batch.column("v")
+            vectors = np.split(v.flatten().to_numpy(), np.cumsum(v.value_lengths().to_numpy())[:-1]) if len(v) else []
             keys: list = [None] * len(vectors)
             of_tables: list = [None] * len(vectors)
             for dim in {len(v) for v in vectors}:
@@ -112,14 +128,11 @@ def _links(items: DataFrame, threshold: float, recall: float) -> DataFrame:
         for group in groups(batches, ["key", "i", "j"]):
             key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
             item, n, own = (np.asarray(group.column(c)) for c in ("item", "n", "own"))
-            vectors = np.array([unpacked(x) for x in group.column("raw").to_pylist()])
+            vectors = stacked(group.column("raw").to_pylist())
             table = (key & (1 << 40) - 1) >> bits
             seen = np.frombuffer(b"".join(group.column("found").to_pylist()), np.int32).reshape(len(item), tables)
             count, a, b = np.zeros(len(item), np.int64), [], []
-            for x, y in linked_pairs(vectors, threshold):
-                if i != j:
-                    across = own[x] != own[y]
-                    x, y = x[across], y[across]
+            for x, y in linked_pairs(vectors, threshold, None if i == j else own == i):
                 for k in range(0, len(x), 50_000):
                     p, q = x[k : k + 50_000], y[k : k + 50_000]
                     new = (seen[p] == seen[q]).argmax(axis=1) == table
