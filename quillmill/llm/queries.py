@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import bpe, chat_format, embedding_dedup, exact_dedup, language_id, license_scan, lm_scoring, mixing, simhash, token_files
+from quillmill.llm import bpe, chat_format, embedding_dedup, exact_dedup, funnels, language_id, license_scan, lm_scoring, mixing, simhash, token_files, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(spark, location)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op12_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnels.report(_table(spark, sf_dir, "clicks"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -70,8 +82,65 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_token_files": op10_token_files,
+    "op11_warc": op11_warc,
+    "op12_funnels": op12_funnels,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+def _funnel_sql() -> str:
+    """Every funnel over the whole table: the next row of a kind and the next excluded one by ASOF joins, times ranked in lists."""
+    out = ["e AS (SELECT DISTINCT client_id, kind, epoch_us(ts) AS t FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL)"]
+    rows = []
+    for f in funnels.FUNNELS:
+        x = f.name
+        out.append(f"{x}1 AS (SELECT client_id, t, 0 AS took FROM e WHERE kind = '{f.steps[0]}')")
+        for s, kind in enumerate(f.steps[1:], 2):
+            barred = ", ".join(f"'{k}'" for k in f.excluded)
+            out.append(
+                f"{x}{s} AS (SELECT p.client_id, p.t, p.t - p.before AS took FROM ("
+                f"SELECT a.client_id, a.t AS before, k.t FROM {x}{s - 1} a ASOF JOIN (SELECT * FROM e WHERE kind = '{kind}') k ON a.client_id = k.client_id AND a.t < k.t) p "
+                f"ASOF LEFT JOIN (SELECT * FROM e WHERE kind IN ({barred})) z ON p.client_id = z.client_id AND p.before < z.t "
+                f"WHERE p.t - p.before <= {f.within} AND (z.t IS NULL OR z.t > p.t))"
+            )
+        rows += [f"SELECT '{x}' AS funnel, {s} AS step, client_id, took FROM {x}{s}" for s in range(1, len(f.steps) + 1)]
+    out.append(f"u AS ({' UNION ALL '.join(rows)})")
+    out.append("g AS (SELECT funnel, client_id, step, count(*) AS n, list_sort(list(took))[CAST(ceil(count(*) / 2) AS BIGINT)] AS t FROM u GROUP BY ALL)")
+    counts = ", ".join(f"coalesce(max(CASE WHEN step = {s} THEN n END), 0) AS n{s}" for s in range(1, 5))
+    times = ", ".join(f"max(CASE WHEN step = {s} THEN t END) AS t{s}" for s in range(2, 5))
+    out.append(f"r AS (SELECT funnel, client_id, {counts}, CAST(max(step) AS INTEGER) AS deepest, {times} FROM g GROUP BY funnel, client_id)")
+    return f"WITH {', '.join(out)} SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM r"
+
+
+def _codes_sql() -> str:
+    """Two rounds of assignment and replacement, then the last assignment, every part against every entry."""
+    v = vector_codes
+    out = [
+        "o AS (SELECT row_number() OVER (ORDER BY vec_id) AS row_id, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 "
+        "AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"i AS (SELECT row_id, vec_id, label, list_transform(embedding, lambda x: CAST(floor({v.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM o)",
+        f"p AS (SELECT row_id, k AS part, ints[k * (len(ints) // {v.PARTS}) + 1 : (k + 1) * (len(ints) // {v.PARTS})] AS x FROM i, (SELECT unnest(range({v.PARTS})) AS k))",
+        f"c0 AS (SELECT part, row_id - 1 AS entry, x AS c FROM p WHERE row_id <= {v.ENTRIES})",
+    ]
+    for r in range(v.ROUNDS + 1):
+        out.append(
+            f"d{r} AS (SELECT row_id, part, entry, x, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{r} USING (part)), "
+            f"a{r} AS (SELECT row_id, part, arg_min(entry, (d, entry)) AS entry, CAST(min(d) AS BIGINT) AS d, any_value(x) AS x FROM d{r} GROUP BY row_id, part)"
+        )
+        if r < v.ROUNDS:
+            out.append(
+                f"m{r} AS (SELECT part, entry, k, sum(x[k]) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS k) GROUP BY ALL), "
+                f"n{r} AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS c FROM m{r} GROUP BY part, entry), "
+                f"c{r + 1} AS (SELECT part, entry, coalesce(n{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN n{r} USING (part, entry))"
+            )
+    last = v.ROUNDS
+    return (
+        f"WITH {', '.join(out)}, h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{last}), "
+        f"q AS (SELECT row_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY row_id) "
+        "SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM i JOIN q USING (row_id), h"
+    )
+
+
 def _licence_sql() -> str:
     """The scan over the same fixed templates, with the index as a list of values."""
     q = lambda x: "'" + str(x) + "'" if isinstance(x, str) else str(x)
@@ -174,4 +243,15 @@ ORACLE_SQL = {
         SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM v JOIN c ON vec_id = node LEFT JOIN n ON vec_id = a""",
     "op8_license_scan": _licence_sql(),
+    "op11_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS x, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + CAST(((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id OR page_id IS NULL THEN first_id END AS refers_to
+        FROM h""",
+    "op12_funnels": _funnel_sql(),
+    "op13_vector_codes": _codes_sql(),
 }
