@@ -94,10 +94,20 @@ def tokens(text: Column) -> Column:
     return F.filter(letter_tokens(text), lambda t: (F.length(t) >= 2) & ~t.isin(CONTRACTION_PARTS))
 
 
+def _spaced(text: Column) -> Column:
+    """Words and contraction parts between single spaces, lower-cased, without the marks between them."""
+    parts = F.regexp_replace(F.lower(text), r"(n't|'(?:s|m|d|ll|re|ve))\b", " $1")
+    return F.regexp_replace(parts, r"[\s.,;:!?\"()\[\]{}<>…“”«»—–/|]+", " ")
+
+
+def burst_words(text: Column) -> Column:
+    """Words of the burst windows: those of letters a-z alone."""
+    return F.regexp_extract_all(F.concat(F.lit(" "), _spaced(text), F.lit(" ")), F.lit("(?<= )[a-z]+(?= )"), F.lit(0))
+
+
 def entropy_tokens(text: Column) -> Column:
     """Tokens of the entropy windows: words and contraction parts, of which a-z and ' are kept if a letter is among them."""
-    parts = F.regexp_replace(F.lower(text), r"(n't|'(?:s|m|d|ll|re|ve))\b", " $1")
-    spaced = F.regexp_replace(parts, r"[\s.,;:!?\"()\[\]{}<>…“”«»—–/|]+", " ")
+    spaced = _spaced(text)
     own = F.split(F.regexp_replace(spaced, "[^a-z' ]+", ""), " ")  # whole texts are cleaned, not each token
     return F.filter(own, lambda t: F.translate(t, "'", "") != "")
 

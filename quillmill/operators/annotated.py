@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from quillmill.functions import lexicons as lx
 from quillmill.functions import text as tx
-from quillmill.operators import similarity
+from quillmill.operators import similarity, vector_index
 
 # fixed values: dependency patterns, as part of speech of the head and dependency of the child
 PATTERNS = [("VERB", "prt"), ("VERB", "dobj"), ("NOUN", "amod"), ("VERB", "advmod")]
@@ -198,12 +198,8 @@ def band_candidates(words: DataFrame, vocabulary: DataFrame, frequency: DataFram
 def drift_candidates(words: DataFrame, vocabulary: DataFrame, frequency: DataFrame, k: int = 10) -> DataFrame:
     """(word, term, cosine, rank): for each word (word, v) the k nearest of the vocabulary (term, v) that the text (word, count) has once at most.
 
-    ``words`` are the few overused ones: their number is checked before they are sent to every executor.
+    The vocabulary is indexed by cells, and a word asks those that can hold one of its k nearest, however many words there are.
     """
-    if words.limit(1_001).count() > 1_000:
-        raise ValueError("at most 1,000 words")
     rare = vocabulary.join(frequency.filter("count > 1").select(F.col("word").alias("term")), "term", "left_anti")
-    met = rare.select("term", F.col("v").alias("tv")).join(F.broadcast(words.select("word", "v")), F.col("word") != F.col("term"))
-    met = met.withColumn("cosine", F.round(tx.cosine(F.col("v"), F.col("tv")), 6))
-    w = Window.partitionBy("word").orderBy(F.desc("cosine"), "term")
-    return met.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("word", "term", "cosine", "rank")
+    found = vector_index.top(vector_index.build(rare, "term", "v"), words, "word", "v", k, others_only=True)
+    return found.select(F.col("query").alias("word"), F.col("item").alias("term"), "cosine", "rank")

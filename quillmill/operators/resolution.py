@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.operators import vector_index
 from quillmill.operators.graph import exact_resolution, indel_ratio, is_generic
 
 
@@ -105,3 +106,18 @@ def checked(resolved: DataFrame) -> DataFrame:
     if conflicts:
         raise ResolutionConflict(conflicts)
     return resolved
+
+
+def vector_conflicts(mentions: DataFrame, entities: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(temp_id, name, uuid, known_name, score, must_ask) of mentions (temp_id, name, type, is_new, v) that are called new and lie near a known entity (uuid, name, type, v).
+
+    The nearest entity by cosine counts, if its cosine is ``threshold`` or more and the types, where both are given, are
+    equal. Someone unnamed who lies that near to a known name is for a person to decide (``must_ask``).
+    """
+    called = mentions.filter(F.coalesce("is_new", F.lit(False)))
+    near = vector_index.top(vector_index.build(entities, "uuid", "v"), called, "temp_id", "v", 1).filter(F.col("cosine") >= threshold)
+    known = entities.select(F.col("uuid").alias("item"), F.col("name").alias("known_name"), F.col("type").alias("known_type"))
+    met = near.join(known, "item").join(called.select(F.col("temp_id").alias("query"), "name", "type"), "query")
+    fits = F.lower("type").isNull() | F.lower("known_type").isNull() | (F.lower(F.trim("type")) == F.lower(F.trim("known_type")))
+    must_ask = is_generic(F.col("name")) & ~is_generic(F.col("known_name"))
+    return met.filter(fits).select(F.col("query").alias("temp_id"), "name", F.col("item").alias("uuid"), "known_name", F.col("cosine").alias("score"), must_ask.alias("must_ask"))

@@ -1,66 +1,129 @@
-"""Strided windows over a manuscript's running tokens: entropy and bursts.
+"""Strided windows over a manuscript's running words: entropy and bursts.
 
-A token's place in its manuscript is its place in the paragraph plus the sizes of the paragraphs before, and its
-neighbours beyond the paragraph are the first tokens of the next ones. Only rows (paragraph, size, first tokens) pass
-through a window function, never tokens.
+Paragraphs are ranged by (manuscript, paragraph); a word's place in its manuscript is its place in the range plus the sums of
+the ranges before, so only one row for each range and manuscript passes through a window function. Words are then dealt
+into blocks of ``BLOCK`` windows each, with the words after a block that its last windows reach into. A window lies in one
+block alone, whatever the size of its manuscript, and a block is counted in one Arrow pass over whole numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.functions import text as tx
+from quillmill.functions.lexicons import STOPWORDS
+from quillmill.operators.checkpoints import saved
+
+#: Windows of a block.
+BLOCK = 256
+
 
+def placed(rows: DataFrame, own: Column) -> DataFrame:
+    """manuscript_id, doc_id, start (words of the manuscript before), total (all of them), words; written in the shared folder.
 
-def placed(rows: DataFrame, own: Column, after: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(manuscript_id, doc_id, gpos, token) and (manuscript_id, total); with ``after`` also t2, ..., the tokens that follow."""
-    base = rows.select("manuscript_id", "doc_id", own.alias("own")).filter(F.size("own") > 0)
-    sizes = base.select("manuscript_id", "doc_id", F.size("own").cast("long").alias("n"), F.slice("own", 1, max(1, after)).alias("head"))
-    w = Window.partitionBy("manuscript_id").orderBy("doc_id")
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    none = F.array().cast("array<string>")
-    following = F.concat(none, *[F.coalesce(F.lead("head", k).over(w), none) for k in range(1, after + 1)])
-    starts = sizes.select("doc_id", before.alias("start"), following.alias("following"))
-    long_ = F.concat("own", "following")
-    names = ["token", *[f"t{k + 1}" for k in range(1, after + 1)]]
-    shifted = [F.slice(long_, k + 1, F.size("own")).alias(names[k]) for k in range(1, after + 1)]
-    each = base.join(starts, "doc_id").select("manuscript_id", "doc_id", "start", F.col("own").alias("token"), *shifted)
-    each = each.select("manuscript_id", "doc_id", "start", F.posexplode(F.arrays_zip(*names)).alias("pos", "x"))
-    out = each.select("manuscript_id", "doc_id", (F.col("start") + F.col("pos")).alias("gpos"), *[f"x.{n}" for n in names])
-    return out, sizes.groupBy("manuscript_id").agg(F.sum("n").alias("total"))
-
-
-def in_windows(tokens: DataFrame, totals: DataFrame, size: int, step: int, keep_tail: bool) -> DataFrame:
-    """Tokens with each ``window`` that holds them: a window starts at window * step.
-
-    With ``keep_tail`` windows go on until one reaches the end; else a last part of a window is left out, but a
-    manuscript shorter than a window is one.
+    Paragraphs without words are left out, as are those without a manuscript.
     """
-    last = F.ceil((F.col("total") - size) / step) if keep_tail else F.floor((F.col("total") - size) / step)
-    rows = tokens.join(totals, "manuscript_id").withColumn("last", F.greatest(F.lit(0), last).cast("long"))
-    first = F.greatest(F.lit(0), F.floor((F.col("gpos") - size) / step) + 1).cast("long")
-    final = F.least("last", F.floor(F.col("gpos") / step)).cast("long")
-    return rows.withColumn("first", first).withColumn("final", final).filter("first <= final").withColumn("window", F.explode(F.sequence("first", "final"))).drop("first", "final", "last")
+    spark = rows.sparkSession
+    base = rows.select("manuscript_id", "doc_id", own.alias("words")).filter(F.col("manuscript_id").isNotNull() & (F.size("words") > 0))
+    schema = "part int, manuscript_id string, doc_id long, at long, words array<string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, at = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            places = []
+            for manuscript, n in zip(batch.column("manuscript_id").to_pylist(), pc.list_value_length(batch.column("words")).to_pylist()):
+                at = at if manuscript == last else 0
+                last = manuscript
+                places.append(at)
+                at += n
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), batch.column("manuscript_id"), batch.column("doc_id"), pa.array(places, pa.int64()), batch.column("words")], ["part", "manuscript_id", "doc_id", "at", "words"])
+
+    typed = base.withColumn("manuscript_id", F.col("manuscript_id").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(typed.repartitionByRange(parts, "manuscript_id", "doc_id").sortWithinPartitions("manuscript_id", "doc_id").mapInArrow(run, schema))
+    w = Window.partitionBy("manuscript_id")
+    sums = ranged.groupBy("part", "manuscript_id").agg(F.sum(F.size("words")).alias("n"))
+    sums = sums.select("part", "manuscript_id", (F.sum("n").over(w.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("total"))
+    return ranged.join(sums, ["part", "manuscript_id"]).select("manuscript_id", "doc_id", (F.col("before") + F.col("at")).alias("start"), "total", "words")
+
+
+def blocks(words: DataFrame, size: int, step: int) -> DataFrame:
+    """Pieces (manuscript_id, block, start, total, words) of placed paragraphs: those of each block of ``BLOCK`` windows and what its windows reach."""
+    span = BLOCK * step
+    end = F.col("start") + F.size("words")
+    first, last = F.greatest(F.lit(0), F.floor((F.col("start") - size) / span)), F.floor((end - 1) / span)
+    each = words.withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    a, b = F.greatest("start", F.col("block") * span), F.least(end, (F.col("block") + 1) * span + size)
+    piece = F.slice("words", (a - F.col("start") + 1).cast("int"), F.greatest(F.lit(0), b - a).cast("int"))
+    return each.select("manuscript_id", "block", a.alias("start"), "total", piece.alias("words")).filter(F.size("words") > 0)
+
+
+def _dealt(pieces: DataFrame) -> DataFrame:
+    return pieces.repartition("manuscript_id", "block").sortWithinPartitions("manuscript_id", "block", "start")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Table]]:
+    """The pieces of each block, which lie together in the task's order."""
+    held, key = [], None
+    for batch in batches:
+        names, numbers, at = batch.column("manuscript_id").to_pylist(), batch.column("block").to_pylist(), 0
+        for k in range(1, batch.num_rows + 1):
+            if k == batch.num_rows or (names[k], numbers[k]) != (names[at], numbers[at]):
+                if held and key != (names[at], numbers[at]):
+                    yield *key, pa.Table.from_batches(held)
+                    held = []
+                key = names[at], numbers[at]
+                held.append(batch.slice(at, k - at))
+                at = k
+    if held:
+        yield *key, pa.Table.from_batches(held)
+
+
+def _words(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word of the pieces in order, and the words that the numbers stand for."""
+    flat = pa.chunked_array([c.flatten() for c in table.column("words").chunks]).combine_chunks().dictionary_encode()
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
+
+
+def _spread(ids: np.ndarray) -> tuple[int, float, int]:
+    """How many, the sum of count * log2(count), how many different."""
+    counts = np.unique(ids, return_counts=True)[1]
+    return len(ids), float((counts * np.log2(counts)).sum()), len(counts)
 
 
 def _entropies(rows: DataFrame, size: int, step: int) -> DataFrame:
-    """Windows with their entropies of tokens and of bigrams, not rounded."""
-    tokens, totals = placed(rows, tx.entropy_tokens(F.col("text")), 1)
-    inside = in_windows(tokens, totals, size, step, True)
-    ends = F.least(F.col("window") * step + size, F.col("total"))
-    kinds = F.array(F.struct(F.lit(1).alias("k"), F.col("token").alias("term")), F.when((F.col("gpos") + 1 < ends) & F.col("t2").isNotNull(), F.struct(F.lit(2).alias("k"), F.concat_ws(" ", "token", "t2").alias("term"))))
-    counts = inside.select("manuscript_id", "window", "total", F.explode(F.array_compact(kinds)).alias("x")).groupBy("manuscript_id", "window", "total", "x.k", "x.term").count()
-    c, of = F.col("count").cast("double"), lambda k, x: F.sum(F.when(F.col("k") == k, x))
-    sums = counts.groupBy("manuscript_id", "window", "total").agg(
-        of(1, F.col("count")).alias("n"), of(1, c * F.log2(c)).alias("clogc"), F.count_if(F.col("k") == 1).alias("vocabulary"), F.coalesce(of(2, F.col("count")), F.lit(0)).alias("n2"), F.coalesce(of(2, c * F.log2(c)), F.lit(0.0)).alias("clogc2")
-    )
-    start = F.col("window") * step
-    return sums.filter("n >= 2").select(
-        "manuscript_id", "window", start.alias("start_token"), F.least(start + size, F.col("total")).alias("end_token"), tx.entropy(F.col("n"), F.col("clogc")).alias("entropy"),
-        tx.entropy(F.col("n2"), F.col("clogc2")).alias("bigram_entropy"), (F.col("vocabulary") / F.col("n")).alias("type_token_ratio"),
-    )
+    """Windows with their entropies of tokens and of bigrams, not rounded.
+
+    Windows go on until one reaches the end of the manuscript; those of less than two tokens are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for manuscript, block, table in _grouped(batches):
+            ids, known = _words(table)
+            total, base = table.column("total")[0].as_py(), block * BLOCK * step
+            last = max(0, -(-(total - size) // step))
+            out = []
+            for window in range(block * BLOCK, min(last, block * BLOCK + BLOCK - 1) + 1):
+                a, b = window * step, min(window * step + size, total)
+                own = ids[a - base : b - base]
+                if len(own) >= 2:
+                    out.append((manuscript, window, a, b, *_spread(own), *_spread(own[:-1] * len(known) + own[1:])[:2]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["manuscript_id", "window", "start_token", "end_token", "n", "clogc", "vocabulary", "n2", "clogc2"])
+
+    pieces = _dealt(blocks(placed(rows, tx.entropy_tokens(F.col("text"))), size, step))
+    own = pieces.mapInArrow(run, "manuscript_id string, window long, start_token long, end_token long, n long, clogc double, vocabulary long, n2 long, clogc2 double")
+    return own.select("manuscript_id", "window", "start_token", "end_token", tx.entropy(F.col("n"), F.col("clogc")).alias("entropy"), tx.entropy(F.col("n2"), F.col("clogc2")).alias("bigram_entropy"), (F.col("vocabulary") / F.col("n")).alias("type_token_ratio"))
 
 
 def entropy_windows(rows: DataFrame, size: int = 500, step: int = 250) -> DataFrame:
@@ -70,74 +133,190 @@ def entropy_windows(rows: DataFrame, size: int = 500, step: int = 250) -> DataFr
 
 def depressions(rows: DataFrame, size: int = 500, step: int = 250) -> DataFrame:
     """Windows whose entropy lies more than one population deviation below the manuscript's mean; rounded after that."""
-    own = _entropies(rows, size, step)
+    own = saved(_entropies(rows, size, step))
     sums = own.groupBy("manuscript_id").agg(F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("deviation"))
     out = own.join(sums, "manuscript_id").filter("entropy < mean - deviation")
     return out.select("manuscript_id", "window", *[tx.rounded(F.col(c)).alias(c) for c in ("entropy", "mean", "deviation")])
 
 
+SIZES = (1, 2, 3)
+_KEY = ["manuscript_id", "n", "term"]
+
+
+def _ahead(words: DataFrame, step: int) -> DataFrame:
+    """For each block the first two content words after its own words, as a piece behind them all (``start`` null sorts first, so a flag tells it)."""
+    span = BLOCK * step
+    end = F.col("start") + F.size("words")
+    each = words.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / span).cast("long"), F.floor((end - 1) / span).cast("long"))))
+    a, b = F.greatest("start", F.col("block") * span), F.least(end, (F.col("block") + 1) * span)
+    own = F.slice(tx.content(F.slice("words", (a - F.col("start") + 1).cast("int"), (b - a).cast("int"))), 1, 2)
+    heads = each.select("manuscript_id", "block", "total", a.alias("start"), own.alias("head")).filter(F.size("head") > 0)
+    heads = heads.groupBy("manuscript_id", "block").agg(F.first("total").alias("total"), F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "head"))), lambda x: x["head"])), 1, 2).alias("head"))
+    w, none = Window.partitionBy("manuscript_id").orderBy("block"), F.array().cast("array<string>")
+    after = F.slice(F.concat(F.coalesce(F.lead("head", 1).over(w), none), F.coalesce(F.lead("head", 2).over(w), none)), 1, 2)
+    return heads.select("manuscript_id", "block", F.lit(-1).cast("long").alias("start"), "total", after.alias("words")).filter(F.size("words") > 0)
+
+
+_COUNTED = "manuscript_id string, n int, term string, g long, s long, ss long, peak_count int, peak_window long, windows array<long>, counts array<int>, totals array<int>, of long"
+
+
 def _burst_counts(rows: DataFrame, size: int, step: int) -> tuple[DataFrame, DataFrame]:
-    """Terms (1- to 3-grams of content tokens) with their statistics over all windows, and their counts in the windows that have them."""
-    tokens, totals = placed(rows, tx.content(tx.tokens(F.col("text"))), 2)
-    pair = F.when(F.col("t2").isNotNull(), F.struct(F.lit(2).alias("n"), F.concat_ws(" ", "token", "t2").alias("term")))
-    triple = F.when(F.col("t3").isNotNull(), F.struct(F.lit(3).alias("n"), F.concat_ws(" ", "token", "t2", "t3").alias("term")))
-    terms = F.array_compact(F.array(F.struct(F.lit(1).alias("n"), F.col("token").alias("term")), pair, triple))
-    grams = tokens.select("manuscript_id", "gpos", F.explode(terms).alias("g")).select("manuscript_id", "gpos", "g.n", "g.term")
-    key = ["manuscript_id", "n", "term"]
-    often = grams.groupBy(*key).agg(F.count("*").alias("global_count"))
-    spread = in_windows(grams, totals, size, step, False)
-    inside = F.col("gpos") + F.col("n") <= F.least(F.col("window") * step + size, F.col("total"))
-    local = spread.filter(inside).groupBy(*key, "window").agg(F.count("*").alias("c"))
-    levels = local.groupBy(*key, "c").agg(F.count("*").alias("m"), F.min("window").alias("first"))  # at most ``size`` different counts
-    sums = levels.groupBy(*key).agg(
-        F.sum(F.col("c") * F.col("m")).alias("s"), F.sum(F.col("c") * F.col("c") * F.col("m")).alias("ss"), F.max("c").alias("peak_count"), F.max_by("first", "c").alias("peak_window"), F.collect_list(F.struct("c", "m")).alias("levels")
+    """The placed words, and a row for each term and block: how often it starts there (g), and its counts in the block's windows.
+
+    A row without a term has, for each n, the n-grams that start in the block (g), the block's windows with content words and
+    their totals, and how many windows the manuscript has (``of``).
+    """
+    stops = pa.array(STOPWORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for manuscript, block, table in _grouped(batches):
+            ids, known = _words(table)
+            lengths, starts = pc.list_value_length(table.column("words")).to_numpy(), table.column("start").to_numpy()
+            ahead, base = (int(lengths[0]) if starts[0] < 0 else 0), block * BLOCK * step
+            total = table.column("total")[0].as_py()
+            last = max(0, (total - size) // step)
+            counts_as = pc.and_(pc.greater_equal(pc.utf8_length(known), 3), pc.invert(pc.is_in(known, stops))).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(counts_as[ids[ahead:]])
+            own, places = ids[ahead:][at], at + base
+            home = int(np.searchsorted(places, base + BLOCK * step))
+            start = np.arange(block * BLOCK, min(last, block * BLOCK + BLOCK - 1) + 1) * step
+            inside = np.searchsorted(places, np.minimum(start + size, total)) - np.searchsorted(places, start)
+            for n in SIZES:
+                line = np.concatenate([own[:home], ids[:ahead][: n - 1]])  # what starts here, wherever it ends
+                begun = max(0, min(home, len(line) - n + 1))
+                code = lambda x, m: sum(x[k : k + m] * len(known) ** (n - 1 - k) for k in range(n)) if m > 0 else np.zeros(0, np.int64)  # noqa: B023, E731
+                m = len(own) - n + 1
+                low = np.maximum(block * BLOCK, -(-(places[n - 1 :] + 1 - size) // step)) if m > 0 else np.zeros(0, np.int64)
+                high = np.minimum(start[-1] // step if len(start) else -1, places[: max(m, 0)] // step)
+                spans = np.maximum(0, high - low + 1)
+                terms, which = np.unique(np.concatenate([code(line, begun), code(own, m)]), return_inverse=True)
+                g = np.bincount(which[:begun], minlength=len(terms))
+                of = np.repeat(which[begun:], spans)
+                window = np.repeat(low, spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
+                pair, c = np.unique(of * BLOCK + window - block * BLOCK, return_counts=True)
+                t, k = pair // BLOCK, pair % BLOCK
+                bounds = np.searchsorted(t, np.arange(len(terms) + 1))
+                held = np.maximum(0, inside - n + 1)
+                sums = lambda x: np.bincount(t, x, len(terms)).astype(np.int64)  # noqa: B023, E731
+                order = np.lexsort((k, -c, t))
+                peak = order[bounds[:-1][bounds[1:] > bounds[:-1]]]
+                best, where = np.zeros(len(terms), np.int32), np.zeros(len(terms), np.int64)
+                best[t[peak]], where[t[peak]] = c[peak], k[peak] + block * BLOCK
+                parts = [known.take(pa.array(terms // len(known) ** (n - 1 - j) % len(known))) for j in range(n)]
+                names = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
+                cut = pa.array(bounds, pa.int32())
+                lists = [pa.ListArray.from_arrays(cut, pa.array(x, kind)) for x, kind in ((k + block * BLOCK, pa.int64()), (c, pa.int32()), (held[k], pa.int32()))]
+                size_of = len(terms)
+                own_rows = [pa.array([manuscript] * size_of, pa.string()), pa.array(np.full(size_of, n, np.int32)), names.cast(pa.string()), pa.array(g, pa.int64()), pa.array(sums(c)), pa.array(sums(c * c)), pa.array(best), pa.array(where), *lists, pa.nulls(size_of, pa.int64())]
+                fields = [x.split()[0] for x in _COUNTED.split(", ")]
+                for a in range(0, size_of, 20_000):
+                    yield pa.RecordBatch.from_arrays([x.slice(a, 20_000) for x in own_rows], fields)
+                full = [[manuscript], pa.array([n], pa.int32()), pa.nulls(1, pa.string()), pa.array([begun], pa.int64()), *[pa.nulls(1, x) for x in (pa.int64(), pa.int64(), pa.int32(), pa.int64())], pa.array([(start // step).tolist()], pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int32())), pa.array([held.tolist()], pa.list_(pa.int32())), pa.array([last + 1], pa.int64())]
+                yield pa.RecordBatch.from_arrays(full, fields)
+
+    words = placed(rows, tx.burst_words(F.col("text")))
+    pieces = blocks(words, size, step).unionByName(_ahead(words, step))
+    return words, saved(_dealt(pieces).mapInArrow(run, _COUNTED))
+
+
+def _burst_stats(counted: DataFrame) -> DataFrame:
+    """Each term's statistics: rate, mean and sample deviation over all windows, the totals of its n-gram size."""
+    wins = counted.filter("term IS NULL")
+    sums = wins.groupBy("manuscript_id", "n").agg(F.sum("g").alias("grams"), F.sum(F.aggregate("totals", F.lit(0).cast("long"), lambda s, x: s + x)).alias("sum_totals"), F.max("of").alias("windows"))
+    own = counted.filter("term IS NOT NULL").groupBy(*_KEY).agg(
+        F.sum("g").alias("global_count"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.max(F.struct("peak_count", (-F.col("peak_window")).alias("w"))).alias("peak"), F.sum(F.size("windows")).alias("held")
     )
-    windows = F.when(F.col("total") <= size, 1).otherwise(F.floor((F.col("total") - size) / step) + 1)
-    rate = F.col("global_count") / (F.col("total") - F.col("n") + 1)
-    out = often.join(sums, key, "left").join(totals, "manuscript_id").withColumn("windows", windows)
-    out = out.withColumn("expected", rate * (F.least(F.lit(size), F.col("total")) - F.col("n") + 1)).fillna(0, ["s", "ss", "peak_count", "peak_window"])
+    out = own.filter("global_count > 0").join(sums, ["manuscript_id", "n"])
     var = (F.col("ss") - F.col("s") * F.col("s") / F.col("windows")) / (F.col("windows") - 1)
     deviation = F.when(F.col("windows") > 1, F.sqrt(F.round(F.greatest(F.lit(0.0), var), 9))).otherwise(0.0)
-    return out.withColumn("deviation", deviation), local
+    return out.withColumn("rate", F.col("global_count") / F.col("grams")).withColumn("deviation", deviation)
 
 
-def _z(c: Column) -> Column:
-    """A count's z-score; 0 without a deviation."""
-    return F.when(F.col("deviation") > 0, (c - F.col("expected")) / F.col("deviation")).otherwise(0.0)
+def _z(c: Column, total: Column) -> Column:
+    """The z-score of a count in a window of so many n-grams; for terms with a deviation."""
+    return (c - F.col("rate") * total) / F.col("deviation")
 
 
 def burst_terms(rows: DataFrame, size: int = 500, step: int = 100, threshold: float = 3.0) -> DataFrame:
-    """The z-scores of all terms (1- to 3-grams of content tokens) over a manuscript's windows.
+    """The z-scores of all terms (1- to 3-grams of content words) over a manuscript's windows of ``size`` words.
+
+    Windows run over all words, and a window's n-grams are those of the content words among them. A window's z-score is
+    (count - rate * n-grams of that window) over the sample deviation of the counts in all windows; 0 if there is but one
+    window or no deviation. Windows without a term count through sums, and the greatest z-score among them is that of the
+    least total that more windows have than hold the term. A last part of a window is left out, but a manuscript
+    shorter than a window is one. ``threshold`` must be above 0.
+    """
+    if threshold <= 0:
+        raise ValueError("a burst's z-score is above 0")
+    _, counted = _burst_counts(rows, size, step)
+    stats = saved(_burst_stats(counted))
+    some = counted.filter("term IS NOT NULL AND s > 0").join(stats.filter("deviation > 0").select(*_KEY, "rate", "deviation"), _KEY)
+    zs = F.zip_with("counts", "totals", _z)
+    each = some.select(*_KEY, zs.alias("zs")).select(*_KEY, F.array_max("zs").alias("z"), F.size(F.filter("zs", lambda z: z >= threshold)).alias("over"))
+    best = each.groupBy(*_KEY).agg(F.max("z").alias("z"), F.sum("over").alias("over"))
+    out = saved(stats.join(best, _KEY, "left"))
+    low = out.filter("z < 0 AND held < windows").select(*_KEY, "rate", "deviation", "windows")
+    totals = _least_absent(counted, low)
+    out = out.join(totals, _KEY, "left") if totals is not None else out.withColumn("least", F.lit(None).cast("int"))
+    flat = F.col("deviation") > 0
+    highest = F.greatest(F.col("z"), F.when(F.col("least").isNotNull(), _z(F.lit(0), F.col("least"))))
+    mean = _z(F.col("s") / F.col("windows"), F.col("sum_totals") / F.col("windows"))
+    return out.select(
+        "manuscript_id", "term", F.col("n").cast("long").alias("ngram_size"), "global_count", F.col("peak.peak_count").cast("long").alias("peak_count"), (-F.col("peak.w")).alias("peak_window"),
+        tx.rounded(F.when(flat, highest).otherwise(0.0)).alias("max_z"), tx.rounded(F.when(flat, mean).otherwise(0.0)).alias("mean_z"), F.when(flat, F.coalesce("over", F.lit(0))).otherwise(0).cast("long").alias("burst_windows"),
+    )
 
-    A window's z-score is (count - rate * n-grams of the window) over the sample deviation of the counts of all windows;
-    0 if there is but one window or no deviation. Windows without a term count through sums.
+
+def _least_absent(counted: DataFrame, low: DataFrame) -> DataFrame | None:
+    """The least total among the windows without a term, for terms whose own windows all have a negative z-score.
+
+    By how many windows have each total and how many of these hold the term: totals are at most a window's size, so a term
+    has a bounded number of them. Windows without content words have none.
     """
-    own, _ = _burst_counts(rows, size, step)
-    bursts = F.aggregate("levels", F.lit(0).cast("long"), lambda s, x: s + F.when(_z(x["c"]) >= threshold, x["m"]).otherwise(0))
-    return own.select(
-        "manuscript_id", "term", F.col("n").cast("long").alias("ngram_size"), "global_count", "peak_count", "peak_window", tx.rounded(_z(F.col("peak_count"))).alias("max_z"),
-        tx.rounded(_z(F.col("s") / F.col("windows"))).alias("mean_z"), F.coalesce(bursts, F.lit(0)).alias("burst_windows"),
+    if not low.limit(1).count():
+        return None
+    wins = counted.filter("term IS NULL")
+    of = wins.select("manuscript_id", "n", F.explode("totals").alias("total")).groupBy("manuscript_id", "n", "total").agg(F.count("*").alias("m"))
+    whole = wins.groupBy("manuscript_id", "n").agg(F.sum(F.size("totals")).alias("listed"), F.max("of").alias("windows"))
+    bare = whole.filter("windows > listed").select("manuscript_id", "n", F.lit(0).alias("total"), (F.col("windows") - F.col("listed")).alias("m"))
+    of = of.unionByName(bare).groupBy("manuscript_id", "n", "total").agg(F.sum("m").alias("m"))
+    held = counted.filter("term IS NOT NULL").join(low.select(*_KEY), _KEY).select(*_KEY, F.explode("totals").alias("total")).groupBy(*_KEY, "total").agg(F.count("*").alias("own"))
+    free = low.join(of, ["manuscript_id", "n"]).join(held, [*_KEY, "total"], "left").filter(F.col("m") > F.coalesce("own", F.lit(0)))
+    return free.groupBy(*_KEY).agg(F.min("total").alias("least"))
+
+
+def _places(words: DataFrame, size: int, step: int) -> DataFrame:
+    """Each window's place: the paragraph of its middle word, and its words in that paragraph; progress there in percent."""
+    end = F.col("start") + F.size("words")
+    last = F.greatest(F.lit(0), F.floor((F.col("total") - size) / step)).cast("long")
+    reach = F.least(F.lit(size), "total")
+    half = F.floor(reach / 2).cast("long")
+    first = F.greatest(F.lit(0), F.ceil((F.col("start") - half) / step)).cast("long")
+    final = F.least(last, F.floor((end - 1 - half) / step)).cast("long")
+    each = words.select("manuscript_id", "doc_id", "start", end.alias("end"), "total", first.alias("a"), final.alias("b"), reach.cast("long").alias("reach"))
+    each = each.filter("a <= b").withColumn("window", F.explode(F.sequence("a", "b"))).withColumn("from", F.col("window") * step)
+    return each.select(
+        "manuscript_id", "window", F.col("doc_id").alias("paragraph"), F.greatest("from", "start").alias("first_token"), (F.least(F.col("from") + F.col("reach"), F.col("end")) - 1).alias("last_token"),
+        F.round((F.col("from") + F.col("reach") / 2) / F.col("total") * 100, 6).alias("progress"),
     )
 
 
 def burst_regions(rows: DataFrame, size: int = 500, step: int = 100, threshold: float = 3.0, k: int = 5) -> DataFrame:
     """Bursts grouped by where their windows stand: how many, mean progress in percent, the highest z-score, and the first k.
 
-    A window stands at the paragraph of its middle token, with its tokens in that paragraph; windows of one such place are one group.
+    A window stands at the paragraph of its middle word, with its words in that paragraph; windows of one such place are one
+    group. A window's progress is that of its middle.
     """
-    stats, local = _burst_counts(rows, size, step)
-    key = ["manuscript_id", "n", "term"]
-    found = local.join(stats.select(*key, "expected", "deviation", "total"), key).withColumn("z", _z(F.col("c"))).filter(F.col("z") >= threshold)
-    tokens, totals = placed(rows, tx.content(tx.tokens(F.col("text"))))
-    spans = tokens.groupBy("manuscript_id", "doc_id").agg(F.min("gpos").alias("a"), F.max("gpos").alias("b"))
-    each = found.select("manuscript_id", "window", "total").distinct().withColumn("first", F.col("window") * step).withColumn("last", F.least(F.col("window") * step + size, F.col("total")) - 1)
-    middle = F.floor((F.col("first") + F.col("last") + 1) / 2)
-    at = each.withColumn("gpos", middle.cast("long")).join(tokens.select("manuscript_id", "gpos", "doc_id"), ["manuscript_id", "gpos"]).join(spans, ["manuscript_id", "doc_id"])
-    at = at.select("manuscript_id", "window", F.col("doc_id").alias("paragraph"), F.greatest("first", "a").alias("first_token"), F.least("last", "b").alias("last_token"))
-    progress = F.col("window") * step / F.col("total") * 100
-    own = found.join(at, ["manuscript_id", "window"]).withColumn("progress", F.round(progress, 6)).withColumn("z", F.round("z", 4))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("z")).alias("z"), "term", "n", "window"))), 1, k)
-    out = own.groupBy("manuscript_id", "paragraph", "first_token", "last_token").agg(
-        F.count("*").alias("bursts"), F.max("z").alias("max_z"), F.round(F.sum(F.round(F.col("progress") * 1e6).cast("long")) / (1e6 * F.count("*")), 2).alias("mean_progress"), best.alias("best")
-    )
-    return out.withColumn("top_terms", F.array_join(F.transform("best", lambda x: F.concat(x["term"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), ", ")).drop("best")
+    words, counted = _burst_counts(rows, size, step)
+    stats = _burst_stats(counted).filter("deviation > 0").select(*_KEY, "rate", "deviation")
+    some = counted.filter("term IS NOT NULL AND s > 0").join(stats, _KEY)
+    hits = F.filter(F.zip_with("windows", F.zip_with("counts", "totals", _z), lambda w, z: F.struct(w.alias("window"), z.alias("z"))), lambda x: x["z"] >= threshold)
+    found = some.select(*_KEY, F.inline(hits)).withColumn("z", F.round("z", 4))
+    place = ["manuscript_id", "paragraph", "first_token", "last_token"]
+    own = saved(found.join(_places(words, size, step), ["manuscript_id", "window"]))
+    sums = own.groupBy(*place).agg(F.count("*").alias("bursts"), F.max("z").alias("max_z"), F.round(F.sum(F.round(F.col("progress") * 1e6).cast("long")) / (1e6 * F.count("*")), 2).alias("mean_progress"))
+    # only the first k of a place leave each task: the limit of a rank is taken before the exchange too
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy(F.desc("z"), "term", "n", "window"))).filter(F.col("rank") <= k)
+    named = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat("term", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("name")))), lambda x: x["name"])
+    best = ranked.groupBy(*place).agg(F.array_join(named, ", ").alias("top_terms"))
+    return sums.join(best, place)

@@ -119,27 +119,31 @@ _ENTROPIES = f"""
         FROM s WHERE n >= 2)"""
 
 _BURSTS = f"""
-    {q.tokens("t", q.CONTENT)}{_PLACED},
-    n AS (
-        SELECT *, lead(token, 1) OVER v AS t2, lead(token, 2) OVER v AS t3 FROM g WINDOW v AS (PARTITION BY manuscript_id ORDER BY gpos)),
+    {q.tokens("t", q.BURST_WORDS)}{_PLACED},
+    v AS MATERIALIZED (
+        SELECT manuscript_id, total, gpos, token, lead(token, 1) OVER o AS t2, lead(token, 2) OVER o AS t3, lead(gpos, 1) OVER o AS p2, lead(gpos, 2) OVER o AS p3
+        FROM g WHERE length(token) >= 3 AND token NOT IN ({q.words(lx.STOPWORDS)}) WINDOW o AS (PARTITION BY manuscript_id ORDER BY gpos)),
     m AS MATERIALIZED (
-        SELECT manuscript_id, gpos, total, 1 AS n, token AS term FROM n
-        UNION ALL SELECT manuscript_id, gpos, total, 2, token || ' ' || t2 FROM n WHERE t2 IS NOT NULL
-        UNION ALL SELECT manuscript_id, gpos, total, 3, token || ' ' || t2 || ' ' || t3 FROM n WHERE t3 IS NOT NULL),
-    f AS (SELECT manuscript_id, n, term, any_value(total) AS total, count(*) AS global_count FROM m GROUP BY manuscript_id, n, term),
+        SELECT manuscript_id, total, gpos AS a, gpos AS b, 1 AS n, token AS term FROM v
+        UNION ALL SELECT manuscript_id, total, gpos, p2, 2, token || ' ' || t2 FROM v WHERE t2 IS NOT NULL
+        UNION ALL SELECT manuscript_id, total, gpos, p3, 3, token || ' ' || t2 || ' ' || t3 FROM v WHERE t3 IS NOT NULL),
+    f AS (SELECT manuscript_id, n, term, count(*) AS global_count FROM m GROUP BY ALL),
+    gr AS (SELECT manuscript_id, n, count(*) AS grams FROM m GROUP BY ALL),
+    wn AS (SELECT manuscript_id, total, k AS "window" FROM tot, LATERAL (SELECT unnest(range(0, greatest(0, (total - 500) // 100) + 1)) AS k) AS u),
+    cw AS (
+        SELECT wn.manuscript_id, "window", count(gpos) AS c FROM wn
+        LEFT JOIN (SELECT manuscript_id, gpos, unnest(range(greatest(0, (gpos - 400) // 100), gpos // 100 + 1)) AS k FROM v) x ON x.manuscript_id = wn.manuscript_id AND x.k = "window" GROUP BY ALL),
+    tw AS MATERIALIZED (SELECT manuscript_id, n, "window", greatest(0, c - n + 1) AS t FROM cw, (SELECT unnest([1, 2, 3]) AS n)),
     i AS (
-        SELECT manuscript_id, n, term, unnest(range(greatest(0, (gpos + n - 401) // 100), least(gpos // 100, greatest(0, (total - 500) // 100)) + 1)) AS "window" FROM m),
-    l AS MATERIALIZED (SELECT manuscript_id, n, term, "window", count(*) AS c FROM i GROUP BY ALL),
-    s AS (
-        SELECT manuscript_id, n, term, sum(c) AS s, sum(c * c) AS ss, max(c) AS peak_count, min({{'c': -c, 'w': "window"}}).w AS peak_window, list(c) AS alls
-        FROM l GROUP BY ALL),
-    d AS (
-        SELECT f.*, coalesce(s, 0) AS s, coalesce(ss, 0) AS ss, coalesce(peak_count, 0) AS peak_count, coalesce(peak_window, 0) AS peak_window, coalesce(alls, []) AS alls,
-               CASE WHEN total <= 500 THEN 1 ELSE CAST(floor((total - 500) / 100) AS BIGINT) + 1 END AS windows,
-               global_count / (total - n + 1) * (least(500, total) - n + 1) AS expected
-        FROM f LEFT JOIN s USING (manuscript_id, n, term)),
-    y AS (
-        SELECT *, CASE WHEN windows > 1 THEN sqrt(round(greatest(0.0, (ss - CAST(s * s AS DOUBLE) / windows) / (windows - 1)), 9)) ELSE 0.0 END AS deviation FROM d)"""
+        SELECT manuscript_id, n, term, unnest(range(greatest(0, CAST(ceil((b - 499) / 100) AS BIGINT)), least(a // 100, greatest(0, (total - 500) // 100)) + 1)) AS "window" FROM m),
+    l AS MATERIALIZED (SELECT manuscript_id, n, term, "window", c, t FROM (SELECT manuscript_id, n, term, "window", count(*) AS c FROM i GROUP BY ALL) JOIN tw USING (manuscript_id, n, "window")),
+    s AS (SELECT manuscript_id, n, term, sum(c) AS s, sum(c * c) AS ss, count(*) AS held, max(c) AS peak_count, min({{'c': -c, 'w': "window"}}).w AS peak_window FROM l GROUP BY ALL),
+    ms AS (SELECT manuscript_id, n, count(*) AS windows, sum(t) AS sum_totals FROM tw GROUP BY ALL),
+    y AS MATERIALIZED (
+        SELECT f.*, coalesce(s, 0) AS s, coalesce(held, 0) AS held, coalesce(peak_count, 0) AS peak_count, coalesce(peak_window, 0) AS peak_window, windows, sum_totals, global_count / grams AS rate,
+               CASE WHEN windows > 1 THEN sqrt(round(greatest(0.0, (coalesce(ss, 0) - CAST(coalesce(s, 0) * coalesce(s, 0) AS DOUBLE) / windows) / (windows - 1)), 9)) ELSE 0.0 END AS deviation
+        FROM f LEFT JOIN s USING (manuscript_id, n, term) JOIN gr USING (manuscript_id, n) JOIN ms USING (manuscript_id, n)),
+    zs AS MATERIALIZED (SELECT l.*, (c - rate * t) / deviation AS z FROM l JOIN y USING (manuscript_id, n, term) WHERE deviation > 0)"""
 
 ORACLE_SQL = {
     "paragraph_entropy": f"""
@@ -214,19 +218,26 @@ ORACLE_SQL = {
         SELECT manuscript_id, "window", round(entropy, 4) + 0.0 AS entropy, round(mean, 4) + 0.0 AS mean, round(deviation, 4) + 0.0 AS deviation
         FROM e JOIN mean USING (manuscript_id) WHERE entropy < mean - deviation""",
     "burst_windows": f"""
-        WITH {_BURSTS}
-        SELECT manuscript_id, term, CAST(n AS BIGINT) AS ngram_size, global_count, peak_count, peak_window, round(CASE WHEN deviation > 0 THEN (peak_count - expected) / deviation ELSE 0.0 END, 4) + 0.0 AS max_z,
-               round(CASE WHEN deviation > 0 THEN (CAST(s AS DOUBLE) / windows - expected) / deviation ELSE 0.0 END, 4) + 0.0 AS mean_z,
-               CAST(CASE WHEN deviation > 0 THEN len(list_filter(alls, lambda x: (x - expected) / deviation >= 3.0)) ELSE 0 END AS BIGINT) AS burst_windows FROM y""",
+        WITH {_BURSTS},
+        h AS (SELECT manuscript_id, n, term, max(z) AS z, count(*) FILTER (z >= 3.0) AS hits FROM zs GROUP BY ALL),
+        lo AS (SELECT y.manuscript_id, y.n, y.term FROM y JOIN h USING (manuscript_id, n, term) WHERE h.z < 0 AND held < windows),
+        ab AS (
+            SELECT lo.manuscript_id, lo.n, lo.term, min(tw.t) AS t FROM lo JOIN tw USING (manuscript_id, n)
+            LEFT JOIN l ON l.manuscript_id = lo.manuscript_id AND l.n = lo.n AND l.term = lo.term AND l."window" = tw."window" WHERE l.c IS NULL GROUP BY ALL)
+        SELECT manuscript_id, term, CAST(n AS BIGINT) AS ngram_size, global_count, peak_count, peak_window,
+               round(CASE WHEN deviation > 0 THEN greatest(h.z, CASE WHEN ab.t IS NOT NULL THEN (0 - rate * ab.t) / deviation END) ELSE 0.0 END, 4) + 0.0 AS max_z,
+               round(CASE WHEN deviation > 0 THEN (CAST(s AS DOUBLE) / windows - rate * (CAST(sum_totals AS DOUBLE) / windows)) / deviation ELSE 0.0 END, 4) + 0.0 AS mean_z,
+               CAST(coalesce(hits, 0) AS BIGINT) AS burst_windows
+        FROM y LEFT JOIN h USING (manuscript_id, n, term) LEFT JOIN ab USING (manuscript_id, n, term)""",
     "burst_regions": f"""
         WITH {_BURSTS},
-        x AS (SELECT l.*, total, round((c - expected) / deviation, 4) AS q FROM l JOIN y USING (manuscript_id, n, term) WHERE deviation > 0 AND (c - expected) / deviation >= 3.0),
-        b AS (SELECT *, "window" * 100 AS first, least("window" * 100 + 500, total) - 1 AS last FROM x),
+        x AS (SELECT manuscript_id, n, term, "window", round(z, 4) AS q FROM zs WHERE z >= 3.0),
+        b AS (SELECT x.*, total, "window" * 100 AS first, least("window" * 100 + 500, total) - 1 AS last, least(500, total) AS reach FROM x JOIN tot USING (manuscript_id)),
         h AS (SELECT manuscript_id, gpos, doc_id FROM g),
         p AS (SELECT manuscript_id, doc_id, min(gpos) AS a, max(gpos) AS b FROM g GROUP BY ALL),
         r AS (
-            SELECT b.*, h.doc_id AS paragraph, greatest(first, p.a) AS first_token, least(last, p.b) AS last_token, round("window" * 100 / total * 100, 6) AS progress
-            FROM b JOIN h ON h.manuscript_id = b.manuscript_id AND gpos = (first + last + 1) // 2 JOIN p ON p.manuscript_id = b.manuscript_id AND p.doc_id = h.doc_id)
+            SELECT b.*, h.doc_id AS paragraph, greatest(first, p.a) AS first_token, least(last, p.b) AS last_token, round((first + reach / 2) / total * 100, 6) AS progress
+            FROM b JOIN h ON h.manuscript_id = b.manuscript_id AND gpos = first + reach // 2 JOIN p ON p.manuscript_id = b.manuscript_id AND p.doc_id = h.doc_id)
         SELECT manuscript_id, paragraph, first_token, last_token, count(*) AS bursts, max(q) AS max_z, round(sum(CAST(round(progress * 1e6) AS BIGINT)) / (1e6 * count(*)), 2) AS mean_progress,
                array_to_string(list(term || ' (' || n || ')' ORDER BY q DESC, term, n, "window")[1:5], ', ') AS top_terms
         FROM r GROUP BY ALL""",

@@ -12,7 +12,9 @@ LETTERS = "list_transform(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?'),
 TOKENS = f"list_filter({LETTERS}, lambda x: length(x) >= 2 AND x NOT IN ({words(lx.CONTRACTION_PARTS)}))"
 CONTENT = f"list_filter({TOKENS}, lambda x: length(x) >= 3 AND x NOT IN ({words(lx.STOPWORDS)}))"
 _PARTS = "regexp_replace(lower(text), '(n''t|''(?:s|m|d|ll|re|ve))\\b', ' \\1', 'g')"
-ENTROPY = f"""list_filter(list_transform(regexp_split_to_array({_PARTS}, '[\\s.,;:!?"()\\[\\]{{}}<>…“”«»—–/|]+'), lambda t: regexp_replace(t, '[^a-z'']', '', 'g')), lambda t: regexp_matches(t, '[a-z]'))"""
+_SPACED = f"""regexp_split_to_array({_PARTS}, '[\\s.,;:!?"()\\[\\]{{}}<>…“”«»—–/|]+')"""
+BURST_WORDS = f"list_filter({_SPACED}, lambda t: regexp_full_match(t, '[a-z]+'))"
+ENTROPY = f"""list_filter(list_transform({_SPACED}, lambda t: regexp_replace(t, '[^a-z'']', '', 'g')), lambda t: regexp_matches(t, '[a-z]'))"""
 APOSTROPHE = "list_transform(regexp_extract_all(text, '[A-Za-z'']+'), lambda x: lower(x))"
 
 
