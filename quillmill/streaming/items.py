@@ -1,14 +1,16 @@
 """The states of a run's items over a stream of events, and their results in the run's order.
 
-Events come in any order and more than once. What is kept of an item is a set (which attempts were started, which failed, which
-succeeded), and its state follows from the set alone, so the order of events and repeats change nothing:
+Events come in any order and more than once. What is kept of an item is a set (whether it is planned, which attempts were
+started, failed, succeeded), and its state follows from the set alone, so the order of events and repeats change nothing. The
+attempts of an item follow one another: the first one that hasn't failed decides.
 
-* ``skipped``: the item is excluded. It never counts as missing.
-* ``succeeded``: one of the first ``attempts`` attempts succeeded; its payload is that of the first such one.
+* ``skipped``: the item is planned as excluded. It never counts as missing.
+* ``succeeded``: that attempt succeeded, and its payload is the item's.
 * ``quarantined``: all ``attempts`` failed. With ``patience``, an attempt that was started that long ago (by the events' own
   time) and has no result counts as failed.
-* ``in_progress``: an attempt was started and has no result; else ``pending``, also for a failed item with attempts left.
+* ``in_progress``: that attempt was started or has a result, which waits for the item's plan; else ``pending``.
 
+An attempt has one result: if repeats of it differ, success counts, unless the item has been released.
 The first three are final. Results of final items leave in the order of their positions in the run: an item is held back
 until all before it are final. Positions are kept in blocks of ``BLOCK`` by (run, block), so that a run of any length
 is many small keys; ``released`` shows a block's rows once all blocks before it are whole.
@@ -29,26 +31,27 @@ OUT = "kind string, run_id string, position long, item_id string, state string,
 FINAL = ("skipped", "succeeded", "quarantined")
 BLOCK = 1_000
 
-_ITEM = "item_id string, excluded boolean, started long, failed long, good long, payload string, paid int, waits_until long, updated_at timestamp, state string, version int"
+_ITEM = "item_id string, planned boolean, excluded boolean, started long, failed long, good long, payloads array<string>, waits_until long, updated_us long, state string, version int"
+_FIELDS = [x.split()[0] for x in _ITEM.split(", ")]
 
 
-def state_of(excluded: bool, started: int, failed: int, good: int, attempts: int) -> tuple[str, int]:
-    """An item's state and the attempt it is at, from the sets of its attempts (bit a - 1 for attempt a)."""
-    every = (1 << attempts) - 1
-    good, failed, started = good & every, failed & every & ~good, started & every
-    if excluded:
+def state_of(planned: bool, excluded: bool, started: int, failed: int, good: int, attempts: int) -> tuple[str, int]:
+    """An item's state and the attempt that decides it, from the sets of its attempts (bit a - 1 for attempt a)."""
+    if planned and excluded:
         return "skipped", 0
-    if good:
-        return "succeeded", (good & -good).bit_length()
-    if failed == every:
-        return "quarantined", attempts
-    open_ = started & ~failed
-    return ("in_progress", open_.bit_length()) if open_ else ("pending", failed.bit_count())
+    lost = failed & ~good
+    at = (lost ^ (lost + 1)).bit_length()  # the first attempt that hasn't failed
+    bit = 1 << (at - 1)
+    if at > attempts:
+        return ("quarantined" if planned else "in_progress"), attempts
+    if good & bit:
+        return ("succeeded" if planned else "in_progress"), at
+    return ("in_progress" if started & bit else "pending"), at
 
 
 class _Items(StatefulProcessor):
-    def __init__(self, attempts: int, patience: int | None):
-        self.attempts, self.patience = attempts, patience
+    def __init__(self, attempts: int, patience: int | None, size: int):
+        self.attempts, self.patience, self.size = attempts, patience, size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -57,7 +60,7 @@ class _Items(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         first = self._next(key)
-        seen: dict[int, list] = {}
+        seen: dict[int, dict] = {}
         for r in rows:
             if r.position < first:
                 continue  # released already
@@ -69,57 +72,66 @@ class _Items(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now, late = expiredTimerInfo.getExpiryTimeInMs(), {}
         for (position,), held in list(self.items.iterator()):
-            item = list(held)
-            open_ = item[2] & ~item[3] & ~item[4]
-            if open_ and item[7] is not None and item[7] <= now:
-                item[3] |= open_
-                item[7] = None
+            item = dict(zip(_FIELDS, held))
+            open_ = item["started"] & ~item["failed"] & ~item["good"]
+            if open_ and item["waits_until"] is not None and item["waits_until"] <= now:
+                item |= {"failed": item["failed"] | open_, "waits_until": None}
                 late[position] = item
         yield from self._changed(key, late)
 
     def _next(self, key) -> int:
-        return self.next.get()[0] if self.next.exists() else key[1] * BLOCK + 1
+        return self.next.get()[0] if self.next.exists() else key[1] * self.size + 1
 
-    def _item(self, position: int) -> list:
-        return list(self.items.getValue((position,))) if self.items.containsKey((position,)) else [None, False, 0, 0, 0, None, None, None, None, None, 0]
+    def _item(self, position: int) -> dict:
+        held = self.items.getValue((position,)) if self.items.containsKey((position,)) else (None, False, False, 0, 0, 0, [None] * self.attempts, None, None, None, 0)
+        return dict(zip(_FIELDS, held))
 
-    def _apply(self, item: list, r: Row) -> None:
-        item[0] = min(x for x in (item[0], r.item_id or "") if x is not None) if not item[0] else item[0] if not r.item_id else min(item[0], r.item_id)
-        item[1] = item[1] or bool(r.excluded)
+    def _apply(self, item: dict, r: Row) -> None:
+        if r.item_id:
+            item["item_id"] = min(item["item_id"] or r.item_id, r.item_id)
+        if r.kind == "planned":
+            item |= {"planned": True, "excluded": item["excluded"] or bool(r.excluded)}
         bit = 1 << (r.attempt - 1) if r.attempt and 0 < r.attempt <= self.attempts else 0
         if r.kind == "started":
-            item[2] |= bit
-            if self.patience is not None and r.at is not None and bit & ~item[3] & ~item[4]:
-                until = int(r.at.timestamp() * 1000) + self.patience
-                item[7] = max(item[7] or 0, until)
+            item["started"] |= bit
+            if self.patience is not None and r.at_us is not None and bit & ~item["failed"] & ~item["good"]:
+                until = r.at_us // 1000 + self.patience
+                item["waits_until"] = max(item["waits_until"] or 0, until)
                 self.handle.registerTimer(until)
         elif r.kind == "result" and bit:
-            item[2] |= bit
-            item[4 if r.ok else 3] |= bit
-            if r.ok and (item[6] is None or (r.attempt, r.payload or "") < (item[6], item[5] or "")):
-                item[5], item[6] = r.payload, r.attempt
-        item[8] = max(x for x in (item[8], r.at) if x is not None) if item[8] or r.at else None
-
-    def _changed(self, key, seen: dict[int, list]) -> Iterator[Row]:
+            item["good" if r.ok else "failed"] |= bit
+            if r.ok and r.payload is not None:
+                payloads = list(item["payloads"])
+                payloads[r.attempt - 1] = min(payloads[r.attempt - 1] or r.payload, r.payload)
+                item["payloads"] = payloads
+        if r.at_us is not None:
+            item["updated_us"] = max(item["updated_us"] or r.at_us, r.at_us)
+
+    def _state(self, item: dict) -> tuple[str, int]:
+        return state_of(item["planned"], item["excluded"], item["started"], item["failed"], item["good"], self.attempts)
+
+    def _changed(self, key, seen: dict[int, dict]) -> Iterator[Row]:
         for position, item in sorted(seen.items()):
-            state, attempt = state_of(item[1], item[2], item[3], item[4], self.attempts)
-            if state != item[9]:
-                item[9], item[10] = state, item[10] + 1
-                yield self._row("state", key, position, item, attempt)
-            self.items.updateValue((position,), tuple(item))
+            state = self._state(item)[0]
+            if state != item["state"]:
+                item |= {"state": state, "version": item["version"] + 1}
+                yield self._row("state", key, position, item)
+            self.items.updateValue((position,), tuple(item[c] for c in _FIELDS))
         at = first = self._next(key)
         while at in seen or self.items.containsKey((at,)):
-            item = seen.get(at) or list(self.items.getValue((at,)))
-            if item[9] not in FINAL:
+            item = seen.get(at) or self._item(at)
+            if item["state"] not in FINAL:
                 break
-            yield self._row("release", key, at, item, state_of(item[1], item[2], item[3], item[4], self.attempts)[1])
+            yield self._row("release", key, at, item)
             self.items.removeKey((at,))
             at += 1
         if at > first:
             self.next.update((at,))
 
-    def _row(self, kind: str, key, position: int, item: list, attempt: int) -> Row:
-        return Row(kind=kind, run_id=key[0], position=position, item_id=item[0], state=item[9], attempt=attempt, payload=item[5] if item[9] == "succeeded" else None, updated_at=item[8], version=item[10])
+    def _row(self, kind: str, key, position: int, item: dict) -> Row:
+        state, attempt = self._state(item)
+        payload = item["payloads"][attempt - 1] if state == "succeeded" else None
+        return Row(kind=kind, run_id=key[0], position=position, item_id=item["item_id"], state=state, attempt=attempt, payload=payload, updated_us=item["updated_us"], version=item["version"])
 
 
 def follow(spark: SparkSession, events: DataFrame, target: str, checkpoint: str, attempts: int = 3, patience_seconds: float | None = None, lateness: str = "10 minutes"):
@@ -133,12 +145,14 @@ def follow(spark: SparkSession, events: DataFrame, target: str, checkpoint: str,
     keyed = events.filter(F.col("run_id").isNotNull() & (F.col("position") >= 1)).withColumn("block", F.floor((F.col("position") - 1) / BLOCK).cast("long"))
     if patience_seconds is not None:
         keyed = keyed.withWatermark("at", lateness)
-    processor = _Items(attempts, None if patience_seconds is None else int(patience_seconds * 1000))
+    processor = _Items(attempts, None if patience_seconds is None else int(patience_seconds * 1000), BLOCK)
     name, ours = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(name, None)
     spark.conf.set(name, ours)  # the stream takes the setting as it starts
     try:
-        out = keyed.groupBy("run_id", "block").transformWithState(processor, OUT, "Append", "None" if patience_seconds is None else "EventTime")
+        timed = keyed.withColumn("at_us", F.unix_micros("at")).groupBy("run_id", "block")
+        out = timed.transformWithState(processor, OUT.replace("updated_at timestamp", "updated_us long"), "Append", "None" if patience_seconds is None else "EventTime")
+        out = out.select(*[F.timestamp_micros("updated_us").alias(c) if c == "updated_at" else c for c in (x.split()[0] for x in OUT.split(", "))])
         return out.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)

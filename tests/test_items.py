@@ -21,18 +21,21 @@ def brute(events, attempts):
             own.setdefault((e["run_id"], e["position"]), []).append(e)
     states = {}
     for key, all_ in own.items():
-        tries = {a: [e for e in all_ if e["attempt"] == a] for a in range(1, attempts + 1)}
-        good = [a for a in tries if any(e["kind"] == "result" and e["ok"] for e in tries[a])]
-        bad = [a for a in tries if a not in good and any(e["kind"] == "result" and not e["ok"] for e in tries[a])]
-        open_ = [a for a in tries if a not in good + bad and any(e["kind"] == "started" for e in tries[a])]
-        if any(e["excluded"] for e in all_):
+        planned = [e for e in all_ if e["kind"] == "planned"]
+        if any(e["excluded"] for e in planned):
             states[key] = ("skipped", None)
-        elif good:
-            states[key] = ("succeeded", min(e["payload"] for e in tries[good[0]] if e["ok"]))
-        elif len(bad) == attempts:
-            states[key] = ("quarantined", None)
-        else:
-            states[key] = ("in_progress" if open_ else "pending", None)
+            continue
+        for a in range(1, attempts + 2):
+            mine = [e for e in all_ if e["attempt"] == a]
+            if a > attempts:
+                states[key] = ("quarantined" if planned else "in_progress", None)
+            elif good := [e["payload"] for e in mine if e["kind"] == "result" and e["ok"]]:
+                states[key] = ("succeeded", min(good)) if planned else ("in_progress", None)
+            elif any(e["kind"] == "result" for e in mine):
+                continue
+            else:
+                states[key] = ("in_progress" if any(e["kind"] == "started" for e in mine) else "pending", None)
+            break
     out = []
     for run in {r for r, _ in states}:
         at = 1
@@ -95,10 +98,10 @@ def test_restart_goes_on(spark, tmp_path, monkeypatch):
 
 def test_patience(spark, tmp_path):
     """An attempt without a result fails once the events' time has gone on; the items behind it are then released."""
-    written(tmp_path / "in", 0, [event("r", 1, "started", 1, at=0), event("r", 2, "result", 1, True, payload="two", at=5)])
+    written(tmp_path / "in", 0, [event("r", 1, "planned"), event("r", 2, "planned"), event("r", 1, "started", 1, at=0), event("r", 2, "result", 1, True, payload="two", at=5)])
     states, out = run(spark, tmp_path / "in", tmp_path, attempts=1, patience_seconds=60, lateness="0 seconds")
     assert states["r", 1][0] == "in_progress" and out == []
-    written(tmp_path / "in", 1, [event("other", 1, "started", 1, at=600)])
+    written(tmp_path / "in", 1, [event("other", 1, "planned", at=600), event("other", 1, "started", 1, at=600)])
     written(tmp_path / "in", 2, [event("other", 1, "result", 1, True, payload="x", at=601)])
     states, out = run(spark, tmp_path / "in", tmp_path, attempts=1, patience_seconds=60, lateness="0 seconds")
     assert states["r", 1][0] == "quarantined" and out == [("other", 1, "succeeded", "x"), ("r", 1, "quarantined", None), ("r", 2, "succeeded", "two")]
@@ -107,5 +110,7 @@ def test_patience(spark, tmp_path):
 def test_bounds(spark):
     with pytest.raises(ValueError, match="attempts"):
         items.follow(spark, spark.createDataFrame([], items.EVENTS), "x", "y", attempts=0)
-    assert items.state_of(False, 0b1, 0b1, 0b1, 3) == ("succeeded", 1)  # both a failure and a success of one attempt: it succeeded
-    assert items.state_of(False, 0b10, 0b1, 0, 3) == ("in_progress", 2) and items.state_of(False, 0, 0b1, 0, 3) == ("pending", 1)
+    of = lambda *x: items.state_of(True, False, *x, 3)
+    assert of(0b1, 0b1, 0b1) == ("succeeded", 1)  # both a failure and a success of one attempt: it succeeded
+    assert of(0b10, 0b1, 0) == ("in_progress", 2) and of(0, 0b1, 0) == ("pending", 2) and of(0, 0, 0b10) == ("pending", 1) and of(0, 0b111, 0) == ("quarantined", 3)
+    assert items.state_of(False, True, 0, 0, 0b1, 3) == ("in_progress", 1)
