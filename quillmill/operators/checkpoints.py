@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _set(spark: SparkSession) -> None:
+    """A temporary folder where all runs in one process; elsewhere the session must name a shared one."""
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillmill-"))
 
 
 def saved(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; where none is set and all runs in one process, in a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillmill-"))
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        _set(df.sparkSession)
     return df.checkpoint()
+
+
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new path in that folder, for tables and streams that Spark writes by name; it is deleted when the driver's process ends."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        _set(spark)
+    made = f"{context.getCheckpointDir().rstrip('/')}/quillmill-{tag}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_sweep)
+    _made.append((spark, made))
+    return made
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    for spark, at in _made:
+        with contextlib.suppress(Exception):
+            where = spark._jvm.org.apache.hadoop.fs.Path(at)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -31,13 +31,13 @@ def placed(rows: DataFrame, own: Column) -> DataFrame:
 
     Paragraphs without words are left out, as are those without a manuscript.
     """
-    spark = rows.sparkSession
-    base = rows.select("manuscript_id", "doc_id", own.alias("words")).filter(F.col("manuscript_id").isNotNull() & (F.size("words") > 0))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "part int, manuscript_id string, doc_id long, at long, words array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, at = TaskContext.get().partitionId(), None, 0
         for batch in batches:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("words")), 0))
             places = []
             for manuscript, n in zip(batch.column("manuscript_id").to_pylist(), pc.list_value_length(batch.column("words")).to_pylist()):
                 at = at if manuscript == last else 0
@@ -47,9 +47,10 @@ def placed(rows: DataFrame, own: Column) -> DataFrame:
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), batch.column("manuscript_id"), batch.column("doc_id"), pa.array(places, pa.int64()), batch.column("words")], ["part", "manuscript_id", "doc_id", "at", "words"])
 
-    typed = base.withColumn("manuscript_id", F.col("manuscript_id").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = saved(typed.repartitionByRange(parts, "manuscript_id", "doc_id").sortWithinPartitions("manuscript_id", "doc_id").mapInArrow(run, schema))
+    # texts are cut into words only after the exchange, in as many tasks as there are ranges, however few files there are
+    ranged = rows.filter(F.col("manuscript_id").isNotNull()).repartitionByRange(parts, "manuscript_id", "doc_id").sortWithinPartitions("manuscript_id", "doc_id")
+    ranged = ranged.select(F.col("manuscript_id").cast("string").alias("manuscript_id"), F.col("doc_id").cast("long").alias("doc_id"), own.alias("words"))
+    ranged = saved(ranged.mapInArrow(run, schema))
     w = Window.partitionBy("manuscript_id")
     sums = ranged.groupBy("part", "manuscript_id").agg(F.sum(F.size("words")).alias("n"))
     sums = sums.select("part", "manuscript_id", (F.sum("n").over(w.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("total"))
