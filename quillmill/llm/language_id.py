@@ -133,6 +133,7 @@ def train(rows: list[tuple[str, list[str], bool]], seed: int = 5) -> Model:
     if held:
         loss = {t: -sum(np.log(max(_softmax(x / t)[y], 1e-12)) for y, x in held) for t in np.geomspace(0.1, 10, 41)}
         model.temperature = float(min(loss, key=loss.get))
+    if len(held) >= LEAST_HELD:
         right = [_softmax(x / model.temperature)[y] for y, x in held if x.argmax() == y]
         model.reject_below = 0.5 * float(np.quantile(right, 1 - NEARLY_ALL)) if right else 0.0
         if examples:
@@ -141,6 +142,12 @@ def train(rows: list[tuple[str, list[str], bool]], seed: int = 5) -> Model:
     return model
 
 
+#: Of each label's rows, in an order by a hash of their own, every so many are held back to calibrate: the second, and so on. A single row trains.
+HOLD_BACK = 5
+#: Rows held back from which bounds of rejection are taken; of fewer a quantile says nothing, and no text is rejected.
+LEAST_HELD = 20
+
+
 def fold(mod: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % mod
 
@@ -157,8 +164,11 @@ def sample(docs: DataFrame, learn: Column) -> list[tuple[str, list[str], bool]]:
     start = lambda k: (F.length("text") - WINDOW) * k / max(1, WINDOWS - 1) + 1
     windows = F.array(*[F.substring("text", F.greatest(F.lit(1), start(k).cast("int")), F.lit(WINDOW)) for k in range(WINDOWS)])
     drawn = known.join(F.broadcast(counts) if languages <= FEW_LABELS else counts, "lang").withColumn("draw", draw).filter(F.col("draw") * F.col("of_lang") < F.lit(float(each)))
-    rows = drawn.select("lang", "doc_id", windows.alias("windows")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * each * languages)
-    return sorted((r["lang"], sorted(set(r["windows"])), r["doc_id"] % 5 == 0) for r in rows.collect())
+    rows = drawn.select("lang", windows.alias("windows"), F.xxhash64("doc_id", F.lit(HOLD_BACK)).alias("split"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * each * languages)
+    of: dict[str, list] = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["split"], r["doc_id"], sorted(set(r["windows"])))):
+        of.setdefault(r["lang"], []).append(sorted(set(r["windows"])))
+    return sorted((lang, own, k % HOLD_BACK == 1) for lang, all_ in of.items() for k, own in enumerate(all_))
 
 
 def learn(docs: DataFrame, which: Column | None = None) -> Model:

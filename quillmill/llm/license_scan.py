@@ -6,8 +6,8 @@ inverse document frequency over all files. Only a template's words of highest we
 be wrong in it and one more, so that a stretch that agrees enough holds at least one of them and none is lost. A word's
 position in a file less its position in a template is where that template would start; the postings of the templates
 that a file opens are intersected by counting those that agree on a start. A base or key phrase stands where all its
-words agree, a notice or clause where ``ENOUGH`` of them do. A label of the latter is accepted if the file holds all its
-mandatory key phrases.
+words agree, a notice or clause where ``ENOUGH`` of them do, and all that may not be wrong: numbers, and the words of the label's
+key phrases where the clause has them. A label of the latter is accepted if the file holds all its mandatory key phrases.
 
 Function words are not indexed. All rows are dealt by document, and a document's places are pre-aggregated, so neither
 a frequent licence line nor a very long text makes a large group. The templates, their words and postings are fixed,
@@ -42,6 +42,14 @@ _REDISTRIBUTION = [
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
 ]
 
+_DISCLAIMED = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits "
+    "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_FREEDOM = "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users"
+_FREEDOM_3 = "the licenses for most software and other practical works are designed to take away your freedom to share and change the works by contrast the gnu general public license is intended to guarantee your freedom to share and change all versions of a program to make sure it remains free software for all its users"
+
 #: Notices and characteristic clauses of public licences: label, clauses in lower-case words, mandatory key phrases.
 NOTICES = [
     ("0bsd", [_GRANT], [_GRANT, "software is provided as is"]),
@@ -50,9 +58,10 @@ NOTICES = [
         "licensed under the apache license version 2 0",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license to make have made use offer to sell sell import and otherwise transfer the work",
         "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
     ], ["apache license", "version 2 0"]),
-    ("bsd", _REDISTRIBUTION, ["redistribution and use", "following conditions are met"]),
+    ("bsd", [*_REDISTRIBUTION, _DISCLAIMED], ["redistribution and use", "following conditions are met"]),
     ("bsd-3-clause", ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"], ["redistribution and use", "endorse or promote products"]),
     ("bsl-1.0", ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software"], ["person or organization"]),
     ("cc-by-4.0", ["licensed under cc by 4 0"], ["cc by 4 0"]),
@@ -60,8 +69,9 @@ NOTICES = [
     ("cc-by-nc-4.0", ["licensed under cc by nc 4 0"], ["cc by nc 4 0"]),
     ("cc-by-sa-4.0", ["licensed under cc by sa 4 0"], ["cc by sa 4 0"]),
     ("cc0-1.0", ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"], ["waived all copyright"]),
-    ("gpl-2.0", ["licensed under the gnu general public license version 2", _GNU.format("general public license", 2)], ["gnu general public license", "version 2"]),
-    ("gpl-3.0", ["licensed under the gnu general public license version 3", _GNU.format("general public license", 3)], ["gnu general public license", "version 3"]),
+    ("epl-2.0", ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at"], ["eclipse public license 2 0"]),
+    ("gpl-2.0", ["licensed under the gnu general public license version 2", _GNU.format("general public license", 2), _FREEDOM], ["gnu general public license", "version 2"]),
+    ("gpl-3.0", ["licensed under the gnu general public license version 3", _GNU.format("general public license", 3), _FREEDOM_3], ["gnu general public license", "version 3"]),
     ("isc", ["permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"], ["appear in all copies"]),
     ("lgpl", ["licensed under the gnu lesser general public license", _GNU_WARRANTY.format("lesser general public license")], ["gnu lesser general public license"]),
     ("mit-notice", ["released under the mit license"], ["mit license"]),
@@ -73,19 +83,24 @@ NOTICES = [
     ], ["permission is hereby granted", "without restriction"]),
     ("mpl-2.0", ["this source code form is subject to the terms of the mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at"], ["mozilla public license"]),
     ("unlicense", ["this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"], ["public domain"]),
+    ("wtfpl", ["everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"], ["license document"]),
     ("zlib", ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"], ["arising from the use of this software"]),
 ]
 FUNCTION_WORDS = {"a", "and", "any", "are", "for", "in", "is", "of", "or", "that", "the", "this", "to", "with"}
 
 
-def templates() -> list[tuple[str, str, list[tuple[int, str]], int]]:
-    """(kind, label, indexed words with their positions, how many of them must agree) of all templates."""
-    out = [("base", label, phrase) for phrase, label in BASE.items()]
-    out += [("clause", label, clause) for label, clauses, _ in NOTICES for clause in clauses]
-    out += [("key", key, key) for key in sorted({k for *_, keys in NOTICES for k in keys})]
+def templates() -> list[tuple[str, str, list[tuple[int, str, int]], int]]:
+    """(kind, label, indexed words with their positions and whether they may not be wrong, how many must agree) of all templates."""
+    out = [("base", label, phrase, []) for phrase, label in BASE.items()]
+    out += [("clause", label, clause, keys) for label, clauses, keys in NOTICES for clause in clauses]
+    out += [("key", key, key, []) for key in sorted({k for *_, keys in NOTICES for k in keys})]
     found = []
-    for kind, label, text in out:
-        own = [(i, w) for i, w in enumerate(text.split()) if w not in FUNCTION_WORDS]
+    for kind, label, text, keys in out:
+        words = text.split()
+        strict = {i for i, w in enumerate(words) if w.isdigit()}
+        for key in map(str.split, keys):
+            strict |= {i + j for i in range(len(words)) if words[i : i + len(key)] == key for j in range(len(key))}
+        own = [(i, w, int(kind == "clause" and i in strict)) for i, w in enumerate(words) if w not in FUNCTION_WORDS]
         found.append((kind, label, own, math.ceil(ENOUGH * len(own)) if kind == "clause" else len(own)))
     return found
 
@@ -95,10 +110,10 @@ def openers(df: dict[str, int]) -> list[tuple[int, str]]:
     out = []
     for t, (_, _, own, need) in enumerate(templates()):
         least = len(own) - need + 1
-        for w in sorted({w for _, w in own}, key=lambda w: (df.get(w, 0), w)):
+        for w in sorted({w for _, w, _ in own}, key=lambda w: (df.get(w, 0), w)):
             if least > 0:
                 out.append((t, w))
-                least -= sum(x == w for _, x in own)
+                least -= sum(x == w for _, x, _ in own)
     return out
 
 
@@ -122,20 +137,20 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     known = templates()
-    vocabulary = sorted({w for _, _, own, _ in known for _, w in own})
+    vocabulary = sorted({w for _, _, own, _ in known for _, w, _ in own})
     files = work.put(_files(docs, vocabulary), "files")
     seen = files.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").count()
     df = {r["w"]: r["count"] for r in seen.collect()}  # a row for each word of the templates at most
 
-    index = _fixed(spark, [(w, t, i, len(own), need) for t, (_, _, own, need) in enumerate(known) for i, w in own], "w, t, position, size, need")
+    index = _fixed(spark, [(w, t, i, strict, len(own), need, sum(x for *_, x in own)) for t, (_, _, own, need) in enumerate(known) for i, w, strict in own], "w, t, position, strict, size, need, must")
     named = _fixed(spark, [(t, kind, label) for t, (kind, label, _, _) in enumerate(known)], "t, kind, label")
     by_word = openers(df)
     first = F.array_distinct(F.filter(F.transform("hits", lambda h: h["w"]), lambda w: w.isin(sorted({w for _, w in by_word}))))
     opened = files.select("row", F.explode(first).alias("w")).join(F.broadcast(_fixed(spark, by_word, "t, w")), "w").select("row", "t").distinct()
     opened = work.put(opened, "opened")
     places = files.join(opened.select("row").distinct(), "row", "left_semi").select("row", F.explode("hits").alias("h")).select("row", "h.w", "h.i")
-    places = places.join(F.broadcast(index), "w").join(opened, ["row", "t"]).groupBy("row", "t", "size", "need", (F.col("i") - F.col("position")).alias("start"))
-    agreed = places.agg(F.count("*").alias("n")).filter("n >= need").join(F.broadcast(named), "t")
+    places = places.join(F.broadcast(index), "w").join(opened, ["row", "t"]).groupBy("row", "t", "size", "need", "must", (F.col("i") - F.col("position")).alias("start"))
+    agreed = places.agg(F.count("*").alias("n"), F.sum("strict").alias("strict")).filter("n >= need AND strict = must").join(F.broadcast(named), "t")
 
     best = agreed.groupBy("row", "kind", "label").agg(F.count("*").alias("places"), F.min("start").alias("first"), F.max("start").alias("last"), F.max(F.col("n") / F.col("size")).alias("part"))
     of_base = lambda c: F.when(F.col("kind") == "base", F.col(c))

@@ -145,17 +145,17 @@ def _licence_sql() -> str:
     """The scan over the same fixed templates, with the index as a list of values."""
     q = lambda x: "'" + str(x) + "'" if isinstance(x, str) else str(x)
     known = license_scan.templates()
-    index = ", ".join(f"({q(w)}, {t}, {q(kind)}, {q(label)}, {i}, {len(own)}, {need})" for t, (kind, label, own, need) in enumerate(known) for i, w in own)
+    index = ", ".join(f"({q(w)}, {t}, {q(kind)}, {q(label)}, {i}, {strict}, {len(own)}, {need}, {sum(x for *_, x in own)})" for t, (kind, label, own, need) in enumerate(known) for i, w, strict in own)
     wanted = ", ".join(f"({q(label)}, {q(key)})" for label, _, keys in license_scan.NOTICES for key in keys)
     return rf"""
-        WITH p(w, t, kind, label, position, size, need) AS (VALUES {index}), k(label, wanted) AS (VALUES {wanted}),
+        WITH p(w, t, kind, label, position, strict, size, need, must) AS (VALUES {index}), k(label, wanted) AS (VALUES {wanted}),
         d AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.UPPER.lower()}'),
                    '{license_scan.WORD_BREAK}'), lambda x: x <> '') AS words FROM documents),
         u AS (SELECT doc_id, unnest(words) AS w, unnest(range(0, len(words))) AS i FROM d),
         g AS (
             SELECT doc_id, t, kind, label, size, i - position AS start, count(*) AS n FROM u JOIN p USING (w)
-            GROUP BY doc_id, t, kind, label, size, need, start HAVING n >= need),
+            GROUP BY doc_id, t, kind, label, size, need, must, start HAVING n >= need AND sum(strict) = must),
         b AS (
             SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_distinct(list(label)) AS labels
             FROM g WHERE kind = 'base' GROUP BY doc_id),

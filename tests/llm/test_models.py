@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmill.llm import language_id, lm_scoring, queries
 
@@ -171,3 +172,15 @@ def test_language_prediction_equals_plain_formula(spark):
 def test_every_label_can_be_learned(spark, docs):
     rows = [(k * 10 + i, (chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) + " ") * (8 + i), f"l{k:03}") for k in range(300) for i in range(6)]
     assert len(language_id.learn(docs(rows)).languages) == 300
+
+
+@pytest.mark.parametrize("ids", [range(0, 400, 10), range(0, 200, 5), range(40)])
+def test_rows_are_held_back_whatever_their_ids(docs, ids):
+    """Ids in steps of 5 or 10: of each label some rows train and some calibrate; a label with one row trains."""
+    words = {"en": "the house and the garden were quiet", "de": "der garten und das haus waren still", "fr": "le jardin et la maison"}
+    rows = [(i, f"{words[lang]} {i}", lang) for k, i in enumerate(ids) for lang in [["en", "de"][k % 2]]] + [(10_001, words["fr"], "fr")]
+    own = language_id.sample(docs(rows), F.lit(True))
+    held = {lang: [h for x, _, h in own if x == lang] for lang in words}
+    assert all(0 < sum(held[x]) < len(held[x]) for x in ("en", "de")) and held["fr"] == [False]
+    model = language_id.learn(docs(rows))
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(docs(rows), model, ["doc_id"]).collect() if r.doc_id != 10_001} == {r[0]: r[2] for r in rows[:-1]}
