@@ -1,10 +1,13 @@
 """Column functions over texts: cleaning, segmentation, tokens and what is computed from a row's own tokens.
 
-All of them are built-in expressions of one row: no shuffle and no Python.
+All but one (``json_in``) are built-in expressions of one row: no shuffle and no Python.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -207,10 +210,25 @@ def uuid5(namespace: Column, name: Column) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
+def _first_object(text: str | None) -> str | None:
+    text = (text or "").strip()
+    with contextlib.suppress(ValueError):
+        json.loads(text)
+        return text
+    decoder, at = json.JSONDecoder(), text.find("{")
+    while at >= 0:
+        with contextlib.suppress(ValueError, RecursionError):
+            return text[at : decoder.raw_decode(text, at)[1]]
+        at = text.find("{", at + 1)
+    return None
+
+
 def json_in(text: Column) -> Column:
-    """From the first { to the last }, if that parses as JSON, else null."""
-    inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(inner).isNotNull(), inner)
+    """A text that is JSON, or else the first object in it that parses, whatever stands around it; null if there is none.
+
+    A reply is a short text of its own, so this is the one function here that runs in Python, a batch at a time.
+    """
+    return F.pandas_udf(lambda s: s.map(_first_object), "string")(text)
 
 
 def chat_url(url: Column) -> Column:

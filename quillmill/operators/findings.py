@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import lexicons as lx
 from quillmill.functions import text as tx
 from quillmill.operators import lexical
+from quillmill.operators.checkpoints import saved
 
 
 def phrase_hits(rows: DataFrame, phrases: list[str]) -> DataFrame:
@@ -92,22 +93,25 @@ def flattened_highlights(metrics: DataFrame) -> DataFrame:
     return each.select(h("kind", F.col("metric")), h("severity", F.lit("info")), h("message", F.lit("")), F.col("metric").alias("source_metric"))
 
 
-def flattened_numbers(documents: DataFrame, key: str, json: str, depth: int = 8) -> DataFrame:
+def flattened_numbers(documents: DataFrame, key: str, json: str, levels: int = 4) -> DataFrame:
     """(key, path, value) of the numbers of a JSON object (a text), nested objects by dotted path; booleans are numbers, lists are skipped.
 
-    An object nested deeper than ``depth`` raises an error, so that nothing is left out in silence.
+    However deep: what is nested deeper than ``levels`` is written and opened by as many levels again, until nothing is left.
     """
     level = documents.select(key, F.lit("").alias("path"), F.try_parse_json(json).alias("v")).filter("v is not null")
     out = None
-    for at in range(depth + 1):
-        fields = level.select(key, "path", F.explode(F.from_json(F.to_json("v"), "map<string,variant>")).alias("name", "v"))
-        fields = fields.select(key, F.concat("path", F.when(F.col("path") != "", ".").otherwise(""), "name").alias("path"), "v", F.schema_of_variant("v").alias("kind"))
-        value = F.when(F.col("kind") == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("double")).otherwise(F.try_variant_get("v", "$", "double"))
-        own = fields.filter(F.col("kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$")).select(key, "path", value.alias("value"))
-        out = own if out is None else out.unionByName(own)
-        level = fields.filter(F.col("kind").startswith("OBJECT")).select(key, "path", "v")
-    deeper = level.select(key, F.raise_error(F.concat(F.lit("nested too deeply: "), "path")).cast("string").alias("path"), F.lit(0.0).alias("value"))
-    return out.unionByName(deeper)
+    while True:
+        for _ in range(levels):
+            fields = level.select(key, "path", F.explode(F.from_json(F.to_json("v"), "map<string,variant>")).alias("name", "v"))
+            fields = fields.select(key, F.concat("path", F.when(F.col("path") != "", ".").otherwise(""), "name").alias("path"), "v", F.schema_of_variant("v").alias("kind"))
+            value = F.when(F.col("kind") == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("double")).otherwise(F.try_variant_get("v", "$", "double"))
+            own = fields.filter(F.col("kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$")).select(key, "path", value.alias("value"))
+            out = own if out is None else out.unionByName(own)
+            level = fields.filter(F.col("kind").startswith("OBJECT")).select(key, "path", "v")
+        rest = saved(level.select(key, "path", F.to_json("v").alias("v")))
+        if rest.isEmpty():
+            return out
+        level = rest.withColumn("v", F.try_parse_json("v"))
 
 
 def number_at(json: Column, path: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,16 +24,28 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their numbers from 1.
+
+    Large files stay split. A line's number is its place in its block of the file plus the lines of the blocks before; one
+    row for each block passes through a window.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    return lines.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
 def json_lines_until_bad(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows before the first line that isn't JSON, in one file's order, as a resumed writer reads its own output.
+    """Rows before the first line of each file that isn't JSON, in the file's order, as a resumed writer reads its own output.
 
-    Lines are numbered as they are read from one file, which isn't split.
+    Only the first bad line's number of each file is joined back; blank lines and values that are no objects are left out.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).filter(F.trim("value") != "")
-    parsed = lines.select("line", F.from_json("value", f"{schema}, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    first = parsed.filter("r is null or r._bad is not null").agg(F.min("line")).first()[0]
-    kept = parsed if first is None else parsed.filter(F.col("line") < first)
-    return kept.select("line", "r.*").drop("_bad")
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
+    first = lines.filter("v IS NULL").groupBy("file").agg(F.min("line").alias("bad"))
+    kept = lines.join(first, "file", "left").filter(F.col("bad").isNull() | (F.col("line") < F.col("bad"))).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    return kept.select("line", F.from_json("value", schema).alias("r")).select("line", "r.*")
 
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
