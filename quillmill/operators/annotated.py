@@ -18,7 +18,11 @@ from quillmill.operators import similarity, vector_index
 
 # fixed values: dependency patterns, as part of speech of the head and dependency of the child
 PATTERNS = [("VERB", "prt"), ("VERB", "dobj"), ("NOUN", "amod"), ("VERB", "advmod")]
-CONTRAST = ["just", "only", "but"]
+#: Patterns whose pair has the dependent word first.
+DEPENDENT_FIRST = ["amod", "advmod"]
+# fixed values: words of negation and contrast, dependencies that make no main verb
+NEGATION, CONTRAST, HELPING = ["not", "n't"], ["just", "only", "but"], ["aux", "auxpass"]
+# fixed values: adjectives and nouns of quiet intensity
 QUIET, ABSTRACT = ["quiet", "silent", "lurking", "languid"], ["intensity", "strength", "moment", "connection"]
 
 
@@ -29,13 +33,13 @@ def with_heads(tokens: DataFrame) -> DataFrame:
 
 
 def dependency_patterns(tokens: DataFrame) -> DataFrame:
-    """(doc_id, pattern, pair, count) of pairs of lemmas in the fixed patterns."""
+    """(doc_id, pattern, pair, count) of pairs of lemmas in the fixed patterns: "verb object", but "adjective noun" and "adverb verb"."""
     keep = None
     for pos, dep in PATTERNS:
         one = (F.col("head_pos") == pos) & (F.col("dep") == dep)
         keep = one if keep is None else keep | one
     both = with_heads(tokens).filter(keep)
-    return both.groupBy("doc_id", F.concat_ws(">", "head_pos", "dep").alias("pattern"), F.concat_ws(" ", "head_lemma", "lemma").alias("pair")).agg(F.count("*").alias("count"))
+    return both.groupBy("doc_id", F.concat_ws(">", "head_pos", "dep").alias("pattern"), F.lower(F.when(F.col("dep").isin(DEPENDENT_FIRST), F.concat_ws(" ", "lemma", "head_lemma")).otherwise(F.concat_ws(" ", "head_lemma", "lemma"))).alias("pair")).agg(F.count("*").alias("count"))
 
 
 def pattern_density(patterns: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -47,11 +51,19 @@ def pattern_density(patterns: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def negation_contrast(tokens: DataFrame) -> DataFrame:
-    """Sentences in which a negated verb is followed by a contrast word and then by a verb."""
-    keys = ["doc_id", "sentence"]
-    negated = with_heads(tokens).filter((F.col("dep") == "neg") & F.col("head_pos").isin("VERB", "AUX")).groupBy(*keys).agg(F.min("head").alias("negated"))
-    turn = tokens.join(negated, keys).filter(F.col("lemma").isin(CONTRAST) & (F.col("idx") > F.col("negated"))).groupBy(*keys, "negated").agg(F.min("idx").alias("turn"))
-    return tokens.join(turn, keys).filter((F.col("pos") == "VERB") & (F.col("idx") > F.col("turn"))).groupBy(*keys, "negated", "turn").agg(F.min("idx").alias("verb"))
+    """(doc_id, sentence, idx, negated, turn, verb): each word of negation whose verb is followed by a contrast word and that by a main verb.
+
+    The next such words come from running minima over a sentence, backwards.
+    """
+    word = F.lower("token")
+    later = Window.partitionBy("doc_id", "sentence").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    turn = F.min(F.when(word.isin(CONTRAST), F.col("idx"))).over(later)
+    verb = F.min(F.when((F.col("pos") == "VERB") & ~F.coalesce(F.col("dep").isin(HELPING), F.lit(False)), F.col("idx"))).over(later)
+    ahead = tokens.select("doc_id", "sentence", "idx", "pos", turn.alias("turn"), verb.alias("verb"))
+    negated = tokens.filter((F.col("dep") == "neg") & word.isin(NEGATION)).select("doc_id", "sentence", "idx", F.col("head").alias("negated"))
+    head = ahead.filter(F.col("pos").isin("VERB", "AUX") & F.col("turn").isNotNull()).select("doc_id", "sentence", F.col("idx").alias("negated"), "turn")
+    main = ahead.filter("verb IS NOT NULL").select("doc_id", "sentence", F.col("idx").alias("turn"), "verb")
+    return negated.join(head, ["doc_id", "sentence", "negated"]).join(main, ["doc_id", "sentence", "turn"]).select("doc_id", "sentence", "idx", "negated", "turn", "verb")
 
 
 def quiet_intensity(tokens: DataFrame) -> DataFrame:
@@ -142,11 +154,31 @@ def stronger_verbs(verbs: DataFrame, candidates: DataFrame, delta: float = 0.3,
     """For verbs (word, zipf, concreteness) the k best candidates (word, candidate, zipf, concreteness, similarity, depth)."""
     own = verbs.select("word", F.col("zipf").alias("own_zipf"), F.col("concreteness").alias("own_concreteness"))
     met = candidates.join(own, "word").filter((F.col("zipf") <= F.col("own_zipf") - delta) & (F.col("concreteness") >= F.col("own_concreteness")))
-    met = met.withColumn("score", F.round(F.col("similarity") + 0.3 * F.col("concreteness") - 0.2 * F.col("zipf") + 0.05 * F.col("depth"), 6))
+    met = met.withColumn("score", F.round(F.col("similarity") + 0.3 * F.col("concreteness") - 0.2 * F.col("zipf") + 0.05 * F.col("depth"), 4))
     w = Window.partitionBy("word").orderBy(F.desc("score"), "candidate")
     return met.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("word", "candidate", "score", "rank")
 
 
+def generic_verbs(tokens: DataFrame, generic: list[str]) -> DataFrame:
+    """(doc_id, sentence, idx, verb, object): verbs of the list that have a direct object, with the first of these."""
+    objects = tokens.filter(F.col("dep").isin("dobj", "obj")).groupBy("doc_id", "sentence", F.col("head").alias("idx")).agg(F.min_by("token", "idx").alias("object"))
+    verbs = tokens.filter((F.col("pos") == "VERB") & F.lower("lemma").isin(generic)).select("doc_id", "sentence", "idx", F.lower("lemma").alias("verb"))
+    return verbs.join(objects, ["doc_id", "sentence", "idx"])
+
+
+def troponyms(verbs: DataFrame, lemmas: DataFrame, edges: DataFrame) -> DataFrame:
+    """(verb, candidate, depth): the words of lemmas (synset, lemma) one step below (edges child, parent) any synset of a verb.
+
+    A word that stands in several synsets has the greatest depth of these; the verb itself is no candidate.
+    """
+    own = verbs.select(F.lower("verb").alias("verb")).distinct()
+    spaced = F.lower(F.replace("lemma", F.lit("_"), F.lit("-")))
+    below = own.join(lemmas.select(F.lower("lemma").alias("verb"), F.col("synset").alias("parent")), "verb").join(edges.select("child", "parent"), "parent").select("verb", F.col("child").alias("synset")).distinct()
+    depths = hypernym_depth(edges.select(F.col("child").alias("node"), "parent")).select(F.col("node").alias("synset"), "depth")
+    met = below.join(lemmas.select("synset", spaced.alias("candidate")), "synset").join(depths, "synset").filter("candidate <> verb")
+    return met.groupBy("verb", "candidate").agg(F.max("depth").alias("depth"))
+
+
 def hypernym_depth(edges: DataFrame) -> DataFrame:
     """(node, depth): steps from each node up its first parent (node, parent) to a root, by doubling the steps each round.
 

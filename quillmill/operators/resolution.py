@@ -69,8 +69,9 @@ def resolve(mentions: DataFrame, ontology: DataFrame, threshold: float = 0.85) -
 
     outcome: ontology, generic_placeholder_upgrade, fuzzy_generic_upgrade, conflict or new; uuid: the entity that it is,
     or conflicts with; old_name: the name that it promotes, else null; is_new_mismatch: an exact match that was called
-    new; score: of a fuzzy match, else null.
+    new; score: of a fuzzy match, else null. A ``position`` of the mentions, their place in the payload, is kept.
     """
+    place = ["position"] if "position" in mentions.columns else []
     known = ontology.select(F.col("uuid").alias("known"), F.col("name").alias("known_name"))
     exact = exact_resolution(mentions, ontology).filter("uuid is not null").select("temp_id", F.col("uuid").alias("exact"))
     type_of = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
@@ -86,7 +87,7 @@ def resolve(mentions: DataFrame, ontology: DataFrame, threshold: float = 0.85) -
     outcome = F.when(F.col("exact").isNotNull(), "ontology").when(F.col("by_type"), "generic_placeholder_upgrade").when(F.col("near").isNull(), "new").when(change, "fuzzy_generic_upgrade").otherwise("conflict")
     promoted = F.when(F.col("by_type") | ((outcome != "conflict") & change), F.col("known_name"))
     return own.select(
-        "temp_id", "name", "type", outcome.alias("outcome"), F.col("known").alias("uuid"), promoted.alias("old_name"),
+        "temp_id", *place, "name", "type", outcome.alias("outcome"), F.col("known").alias("uuid"), promoted.alias("old_name"),
         (F.col("exact").isNotNull() & F.coalesce("is_new", F.lit(False))).alias("is_new_mismatch"), F.round("score", 4).alias("score"),
     )
 

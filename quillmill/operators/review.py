@@ -190,13 +190,22 @@ def coloured(resolved: DataFrame, extracted: DataFrame, warnings: int = 5) -> Da
     """Rows (colour, summary, details) of a plan: green what is new, yellow its first warnings, red its first conflict.
 
     ``resolved`` is the outcome of name resolution; ``extracted`` has position, kind (event, state or relationship) and details.
+    First is what comes first in the payload: by ``position``, or by temp_id if ``resolved`` has none.
     """
+    order = "position" if "position" in resolved.columns else "temp_id"
     new = resolved.filter("outcome = 'new'").select(F.lit("green").alias("colour"), F.lit("New entity").alias("summary"), F.concat("name", F.lit(" ("), "type", F.lit(")")).alias("details"))
     kind = F.when(F.col("kind") == "event", "New event").when(F.col("kind") == "state", "State change").otherwise("Relationship")
     out = new.unionByName(extracted.select(F.lit("green").alias("colour"), kind.alias("summary"), "details"))
-    warned = F.array_compact(F.array(F.when(F.col("old_name").isNotNull(), "name_promotion"), F.when(F.col("is_new_mismatch"), "is_new_mismatch")))
-    first = resolved.select("temp_id", F.posexplode(warned).alias("i", "summary"), "name").orderBy("temp_id", "i").limit(warnings)
-    out = out.unionByName(first.select(F.lit("yellow").alias("colour"), "summary", F.col("name").alias("details")))
-    conflict = resolved.filter("outcome = 'conflict'").orderBy("temp_id").limit(1)
+    # fixed values: the sentences of warnings and conflicts
+    promoted = (
+        F.when(F.col("outcome") == "ontology", F.format_string("Promote canonical name from '%s' to '%s'.", "old_name", "name"))
+        .when(F.col("outcome") == "generic_placeholder_upgrade", F.format_string("Upgrading generic placeholder '%s' to specific name '%s'.", "old_name", "name"))
+        .otherwise(F.format_string("Fuzzy match %s%% from generic '%s' to specific '%s'.", F.format_number("score", 1), "old_name", "name"))
+    )
+    warning = lambda given, name, text: F.when(given, F.struct(F.lit(name).alias("summary"), text.alias("details")))
+    warned = F.array_compact(F.array(warning(F.col("old_name").isNotNull(), "name_promotion", promoted), warning(F.col("is_new_mismatch"), "is_new_mismatch", F.lit("Extractor flagged is_new=true but ontology had an exact match."))))
+    first = resolved.select(order, F.posexplode(warned).alias("i", "x")).orderBy(order, "i").limit(warnings)
+    out = out.unionByName(first.select(F.lit("yellow").alias("colour"), "x.summary", "x.details"))
+    conflict = resolved.filter("outcome = 'conflict'").orderBy(order).limit(1)
     reason = F.concat(F.lit("Fuzzy match score "), F.format_number("score", 1), F.lit("% exceeds threshold"))
     return out.unionByName(conflict.select(F.lit("red").alias("colour"), F.lit("Conflicts").alias("summary"), reason.alias("details")))

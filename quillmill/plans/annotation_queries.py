@@ -40,8 +40,23 @@ def pattern_density(spark: SparkSession, d: str) -> DataFrame:
 
 
 def negation_contrast(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _tokens(spark, d)
-    return op.negation_contrast(tokens.withColumn("lemma", F.when(F.col("token").isin("the", "la", "und"), "but").otherwise(F.col("lemma"))))
+    """Frequent words of the texts stand for a negation, a contrast word, a helping verb."""
+    t = F.col("token")
+    word = F.when(t.isin("the", "la", "und"), "but").when(t.isin("of", "de", "der"), "not").otherwise(t)
+    return op.negation_contrast(_tokens(spark, d).withColumn("dep", F.when(t.isin("of", "de", "der"), "neg").when(F.length("token") == 6, "aux").otherwise(F.col("dep"))).withColumn("token", word))
+
+
+def generic_verbs(spark: SparkSession, d: str) -> DataFrame:
+    return op.generic_verbs(_tokens(spark, d), ["the", "and", "und", "les", "que", "los"])
+
+
+def troponyms(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in a tree as synsets with two words each; every word is a verb."""
+    c = table(spark, d, "customer").filter("c_custkey > 0")
+    word = lambda k: F.concat(F.lit("Word_"), F.col("c_custkey") % k)
+    lemmas = c.select(F.col("c_custkey").alias("synset"), F.explode(F.array(word(97), word(31))).alias("lemma"))
+    edges = c.select(F.col("c_custkey").alias("child"), F.floor(F.col("c_custkey") / 3).alias("parent"))
+    return op.troponyms(lemmas.select(F.col("lemma").alias("verb")), lemmas, edges)
 
 
 def subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +102,7 @@ def score_summary(spark: SparkSession, d: str) -> DataFrame:
     return op.score_summary(scores).select(F.col("doc_id").alias("manuscript_id"), F.round("mean_score", 6).alias("mean_score"), "slop", "rows")
 
 
-QUERIES = {f.__name__: f for f in (dependency_patterns, pattern_density, negation_contrast, subtree_sizes, sentence_perplexity, concreteness_means, stronger_verbs, hypernym_depth, score_summary)}
+QUERIES = {f.__name__: f for f in (dependency_patterns, pattern_density, negation_contrast, generic_verbs, troponyms, subtree_sizes, sentence_perplexity, concreteness_means, stronger_verbs, hypernym_depth, score_summary)}
 
 _T = f"""
     s AS (SELECT doc_id, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS sentence FROM (SELECT doc_id, {_SENTENCES} AS l FROM documents)),
@@ -96,7 +111,7 @@ _T = f"""
                  CASE idx % 4 WHEN 0 THEN 'dobj' WHEN 1 THEN 'amod' WHEN 2 THEN 'neg' ELSE 'advmod' END AS dep, greatest(0, idx - 1) AS head FROM w),
     b AS (SELECT c.*, h.lemma AS head_lemma, h.pos AS head_pos FROM t c JOIN t h ON c.doc_id = h.doc_id AND c.sentence = h.sentence AND c.head = h.idx)"""
 _D = """
-    p AS (SELECT doc_id, head_pos || '>' || dep AS pattern, head_lemma || ' ' || lemma AS pair, count(*) AS count FROM b
+    p AS (SELECT doc_id, head_pos || '>' || dep AS pattern, CASE WHEN dep IN ('amod', 'advmod') THEN lemma || ' ' || head_lemma ELSE head_lemma || ' ' || lemma END AS pair, count(*) AS count FROM b
           WHERE (head_pos, dep) IN (('VERB', 'prt'), ('VERB', 'dobj'), ('NOUN', 'amod'), ('VERB', 'advmod')) GROUP BY ALL)"""
 
 ORACLE_SQL = {
@@ -107,11 +122,22 @@ ORACLE_SQL = {
         SELECT doc_id, round(coalesce(c.n / tokens * 1000, 0.0), 4) AS density, round(coalesce(log2(CAST(c.n AS DOUBLE)) - clogc / c.n, 0.0), 4) AS structural_entropy FROM n LEFT JOIN c USING (doc_id)""",
     "negation_contrast": f"""
         WITH {_T},
-        a AS (SELECT doc_id, sentence, min(head) AS negated FROM b WHERE dep = 'neg' AND head_pos IN ('VERB', 'AUX') GROUP BY ALL),
-        c AS (SELECT doc_id, sentence, negated, min(idx) AS turn FROM t JOIN a USING (doc_id, sentence)
-              WHERE idx > negated AND (token IN ('the', 'la', 'und') OR lemma IN ('just', 'only', 'but')) GROUP BY ALL)
-        SELECT doc_id, CAST(sentence AS BIGINT) AS sentence, CAST(negated AS BIGINT) AS negated, CAST(turn AS BIGINT) AS turn, CAST(min(idx) AS BIGINT) AS verb
-        FROM t JOIN c USING (doc_id, sentence) WHERE pos = 'VERB' AND idx > turn GROUP BY ALL""",
+        k AS (
+            SELECT doc_id, CAST(sentence AS BIGINT) AS sentence, CAST(idx AS BIGINT) AS idx, CAST(head AS BIGINT) AS negated, token IN ('of', 'de', 'der') AS is_not, token IN ('the', 'la', 'und', 'just', 'only', 'but') AS turns,
+                   pos = 'VERB' AND (length(token) <> 6 OR token IN ('of', 'de', 'der')) AS main, pos FROM t),
+        n AS (SELECT a.doc_id, a.sentence, a.idx, a.negated FROM k a JOIN k h ON a.doc_id = h.doc_id AND a.sentence = h.sentence AND a.negated = h.idx WHERE a.is_not AND h.pos IN ('VERB', 'AUX')),
+        c AS (SELECT n.doc_id, n.sentence, n.idx, n.negated, min(k.idx) AS turn FROM n JOIN k ON n.doc_id = k.doc_id AND n.sentence = k.sentence AND k.turns AND k.idx > n.negated GROUP BY ALL)
+        SELECT c.doc_id, c.sentence, c.idx, c.negated, turn, min(k.idx) AS verb FROM c JOIN k ON c.doc_id = k.doc_id AND c.sentence = k.sentence AND k.main AND k.idx > c.turn GROUP BY ALL""",
+    "generic_verbs": f"""
+        WITH {_T}
+        SELECT v.doc_id, CAST(v.sentence AS BIGINT) AS sentence, CAST(v.idx AS BIGINT) AS idx, v.lemma AS verb, min({{'i': o.idx, 't': o.token}}).t AS object
+        FROM t v JOIN t o ON v.doc_id = o.doc_id AND v.sentence = o.sentence AND o.head = v.idx AND o.dep = 'dobj' WHERE v.pos = 'VERB' AND v.lemma IN ('the', 'and', 'und', 'les', 'que', 'los') GROUP BY ALL""",
+    "troponyms": """
+        WITH RECURSIVE e AS (SELECT c_custkey AS child, c_custkey // 3 AS parent FROM customer WHERE c_custkey > 0),
+        w AS (SELECT child, parent AS at, CAST(1 AS BIGINT) AS depth FROM e UNION ALL SELECT w.child, e.parent, depth + 1 FROM w JOIN e ON w.at = e.child),
+        d AS (SELECT child, max(depth) AS depth FROM w GROUP BY child),
+        l AS (SELECT child AS synset, unnest(['word_' || child % 97, 'word_' || child % 31]) AS lemma FROM e)
+        SELECT a.lemma AS verb, replace(b.lemma, '_', '-') AS candidate, max(depth) AS depth FROM l a JOIN e ON e.parent = a.synset JOIN l b ON b.synset = e.child JOIN d ON d.child = e.child GROUP BY ALL HAVING candidate <> verb""",
     "subtree_sizes": f"""
         WITH {_T}, m AS (SELECT doc_id, sentence, max(idx) AS last FROM t GROUP BY ALL)
         SELECT doc_id, CAST(sentence AS BIGINT) AS sentence, CAST(idx AS BIGINT) AS root, last - idx + 1 AS tokens, last FROM t JOIN m USING (doc_id, sentence)""",
@@ -125,7 +151,7 @@ ORACLE_SQL = {
         SELECT doc_id, round(avg(CAST(coalesce(c, 2.5) AS DOUBLE)), 6) AS mean_concreteness FROM t LEFT JOIN v USING (word) GROUP BY doc_id""",
     "stronger_verbs": """
         WITH n AS (SELECT *, CAST(n_nationkey * 7 AS DOUBLE) AS x FROM nation),
-        m AS (SELECT a.n_name AS word, b.n_name AS candidate, round((b.x % 9) / 10 + 0.3 * (b.x % 5) - 0.2 * (b.x % 6) + 0.05 * (b.n_nationkey % 3), 6) AS score
+        m AS (SELECT a.n_name AS word, b.n_name AS candidate, round((b.x % 9) / 10 + 0.3 * (b.x % 5) - 0.2 * (b.x % 6) + 0.05 * (b.n_nationkey % 3), 4) AS score
               FROM n a JOIN n b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name WHERE b.x % 6 <= a.x % 5 - 0.3 AND b.x % 5 >= a.x % 4)
         SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, candidate) AS rank FROM m QUALIFY rank <= 3""",
     "hypernym_depth": """

@@ -257,10 +257,14 @@ ORACLE_SQL = {
                'Maintain original authorial voice.|Prefer concise, direct phrasing.|Prioritize improvements for issue type ''' || issue_type || '''.' AS soft_constraints, CAST(0.8 AS DOUBLE) AS most_surprisal, issue_type, source AS source_tool FROM i""",
     "coloured_diff": f"""
         WITH RECURSIVE {event_queries._RESOLVED},
-        y AS (SELECT temp_id, unnest(list_filter([CASE WHEN old_name IS NOT NULL THEN 'name_promotion' END, CASE WHEN is_new_mismatch THEN 'is_new_mismatch' END], lambda v: v IS NOT NULL)) AS summary, name FROM resolved)
+        y AS (
+            SELECT temp_id, 0 AS i, 'name_promotion' AS summary, CASE outcome WHEN 'ontology' THEN 'Promote canonical name from ''' || old_name || ''' to ''' || name || '''.'
+                WHEN 'generic_placeholder_upgrade' THEN 'Upgrading generic placeholder ''' || old_name || ''' to specific name ''' || name || '''.'
+                ELSE 'Fuzzy match ' || format('{{:.1f}}', score) || '% from generic ''' || old_name || ''' to specific ''' || name || '''.' END AS details FROM resolved WHERE old_name IS NOT NULL
+            UNION ALL SELECT temp_id, 1, 'is_new_mismatch', 'Extractor flagged is_new=true but ontology had an exact match.' FROM resolved WHERE is_new_mismatch)
         SELECT 'green' AS colour, 'New entity' AS summary, name || ' (' || type || ')' AS details FROM resolved WHERE outcome = 'new'
         UNION ALL SELECT 'green', CASE event_id % 3 WHEN 0 THEN 'New event' WHEN 1 THEN 'State change' ELSE 'Relationship' END, 'by ' || user_id FROM events
-        UNION ALL SELECT 'yellow', summary, name FROM (SELECT * FROM y ORDER BY temp_id, summary DESC LIMIT 5)
+        UNION ALL SELECT 'yellow', summary, details FROM (SELECT * FROM y ORDER BY temp_id, i LIMIT 5)
         UNION ALL SELECT 'red', 'Conflicts', 'Fuzzy match score ' || format('{{:.1f}}', score) || '% exceeds threshold' FROM (SELECT * FROM resolved WHERE outcome = 'conflict' ORDER BY temp_id LIMIT 1)""",
     "released_results": """
         WITH r AS (SELECT conv_id AS run_id, CAST(turn AS BIGINT) AS position, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations WHERE conv_id % 3 = 0 OR turn <> conv_id % 5 + 1)
