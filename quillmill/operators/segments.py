@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.functions import text as tx
+from quillmill.operators import windows
+
+
+#: A word of a chunk: letters, digits and _ of any script.
+WORD = r"[\p{L}\p{N}_]+"
 
 
 def links(rows: DataFrame) -> DataFrame:
@@ -45,7 +50,7 @@ def aligned(chunks: DataFrame, issues: DataFrame) -> DataFrame:
 
 def word_chunks(rows: DataFrame, size: int = 200) -> DataFrame:
     """Runs of ``size`` words; cut from each row's own array, without an exchange."""
-    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     own = rows.select("doc_id", words.alias("w")).filter(F.size("w") > 0)
     each = own.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / size).cast("int"))).alias("k"))
     part = F.slice("w", F.col("k") * size + 1, F.lit(size))
@@ -62,6 +67,44 @@ def line_chunks(rows: DataFrame, heading: str = r"^#") -> DataFrame:
     return lines.groupBy("doc_id", "section").agg(label.alias("label"), F.count("*").alias("lines"), F.sha2(body, 256).alias("content_hash"))
 
 
+def count_words(text: Column) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long")
+
+
+def chapter_chunks(rows: DataFrame, size: int = 200, heading: str = r"^#") -> DataFrame:
+    """(doc_id, chunk, label, word_count, content_hash): a text's chapters from heading to heading, or where it has but one, its runs of ``size`` words."""
+    lines = rows.select("doc_id", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line", "value"))
+    w = Window.partitionBy("doc_id").orderBy("line")
+    lines = lines.withColumn("is_head", F.trim("value").rlike(heading)).withColumn("section", F.sum(F.col("is_head").cast("long")).over(w))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n")
+    label = F.coalesce(F.max(F.when(F.col("is_head"), F.trim("value"))), F.lit("Chapter 1"))
+    found = lines.groupBy("doc_id", "section").agg(label.alias("label"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("chunk"))
+    of = Window.partitionBy("doc_id")
+    found = found.withColumn("of", F.count("*").over(of)).withColumn("k", F.row_number().over(of.orderBy("section")) - 1)
+    chapters = found.filter("of > 1").select("doc_id", F.col("k").cast("long").alias("chunk"), "label", count_words(F.col("chunk")).alias("word_count"), F.sha2("chunk", 256).alias("content_hash"))
+    single = found.filter("of = 1").select("doc_id")
+    runs = word_chunks(rows.join(single, "doc_id", "left_semi"), size)
+    number = F.substring_index("label", " ", -1).cast("long") - 1
+    return chapters.unionByName(runs.select("doc_id", number.alias("chunk"), "label", "word_count", F.sha2("chunk", 256).alias("content_hash")))
+
+
+def manuscript_chunks(rows: DataFrame, size: int = 5_000) -> DataFrame:
+    """(manuscript_id, chunk, label, word_count, start_token, end_token, first_paragraph, last_paragraph, content_hash): a manuscript's running words in runs of ``size``.
+
+    A paragraph's words go to the runs that they lie in, by its place in the manuscript; a run is put together from its pieces.
+    """
+    placed = windows.placed(rows, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    end = F.col("start") + F.size("words")
+    each = placed.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / size).cast("long"), F.floor((end - 1) / size).cast("long"))))
+    a, b = F.greatest("start", F.col("chunk") * size), F.least(end, (F.col("chunk") + 1) * size)
+    pieces = each.select("manuscript_id", "doc_id", "chunk", a.alias("a"), b.alias("b"), F.slice("words", (a - F.col("start") + 1).cast("int"), (b - a).cast("int")).alias("piece"))
+    text = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("a", "piece"))), lambda x: x["piece"])), " ")  # ``size`` words at most
+    out = pieces.groupBy("manuscript_id", "chunk").agg(
+        F.sum(F.col("b") - F.col("a")).alias("word_count"), F.min("a").alias("start_token"), (F.max("b") - 1).alias("end_token"), F.min_by("doc_id", "a").alias("first_paragraph"), F.max_by("doc_id", "a").alias("last_paragraph"), F.sha2(text, 256).alias("content_hash")
+    )
+    return out.withColumn("label", F.concat(F.lit("Chunk "), F.col("chunk") + 1))
+
+
 def token_offsets(rows: DataFrame) -> DataFrame:
     """(doc_id, token_index, token, start, end) of letter tokens, by the sizes of all pieces before them."""
     pieces = rows.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[A-Za-z']+|[^A-Za-z']+"), F.lit(0))).alias("i", "piece"))

@@ -130,6 +130,9 @@ QUERIES = {
     "paragraph_links": _over(segments.links),
     "word_chunks": _over(segments.word_chunks),
     "chapter_chunks": _over(segments.line_chunks),
+    "chapter_or_word_chunks": _over(segments.chapter_chunks),
+    "manuscript_chunks": _over(segments.manuscript_chunks, 500),
+    "cluster_report": _over(similarity.cluster_report),
     "span_tokens": span_tokens,
     "echo_pairs": _vectors(similarity.echo_pairs, ECHO),
     "redundancy": _vectors(similarity.redundancy, ECHO),
@@ -217,6 +220,18 @@ ORACLE_SQL = {
         w(manuscript_id, node, reach) AS (SELECT manuscript_id, a, a FROM e UNION SELECT w.manuscript_id, node, b FROM w JOIN e ON reach = a),
         k AS (SELECT manuscript_id, node, min(reach) AS cluster_id FROM w GROUP BY ALL)
         SELECT manuscript_id, cluster_id, count(*) AS cluster_size, array_to_string(list(node ORDER BY node), ',') AS members FROM k GROUP BY ALL""",
+    "cluster_report": f"""
+        WITH RECURSIVE {_PAIRS},
+        edges AS (SELECT manuscript_id, left_id AS a, right_id AS b FROM pairs UNION SELECT manuscript_id, right_id, left_id FROM pairs),
+        walk(manuscript_id, node, reach) AS (SELECT manuscript_id, a, a FROM edges UNION SELECT walk.manuscript_id, node, b FROM walk JOIN edges ON reach = a),
+        members AS (SELECT manuscript_id, node, min(reach) AS cluster_id FROM walk GROUP BY ALL),
+        texts AS (SELECT members.*, text, list_distinct({q.CONTENT}) AS own FROM members JOIN documents ON doc_id = node),
+        sized AS (SELECT manuscript_id, cluster_id, count(*) AS cluster_size, min({{'n': node, 't': substr(text, 1, 220)}}).t AS example FROM texts GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY manuscript_id ORDER BY cluster_size DESC, cluster_id) AS rank FROM sized QUALIFY rank <= 12),
+        often AS (SELECT cluster_id, token, count(*) AS n FROM (SELECT cluster_id, unnest(own) AS token FROM texts) GROUP BY ALL HAVING count(*) >= 2),
+        first AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, token) AS place FROM often QUALIFY place <= 6),
+        named AS (SELECT cluster_id, string_agg(token, ',' ORDER BY place) AS shared_tokens FROM first GROUP BY cluster_id)
+        SELECT ranked.*, coalesce(shared_tokens, '') AS shared_tokens FROM ranked LEFT JOIN named USING (cluster_id)""",
     "lexicon_hits": f"SELECT source AS manuscript_id, doc_id, unnest({_contains(PHRASES)}) AS phrase FROM documents",
     "slop_reasons": f"WITH {_OVERUSED} {_slop(PHRASES, HEDGES)}",
     "reason_counts": f"""
@@ -299,6 +314,20 @@ ORACLE_SQL = {
         WITH l AS (SELECT doc_id, unnest(l) AS v, unnest(range(0, len(l))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
         s AS (SELECT *, starts_with(trim(v), '#') AS h, CAST(sum(CAST(starts_with(trim(v), '#') AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS section FROM l)
         SELECT doc_id, section, coalesce(max(CASE WHEN h THEN trim(v) END), 'Chapter 1') AS label, count(*) AS lines, sha256(string_agg(v, chr(10) ORDER BY line)) AS content_hash FROM s GROUP BY ALL""",
+    "chapter_or_word_chunks": r"""
+        WITH l AS (SELECT doc_id, unnest(l) AS v, unnest(range(0, len(l))) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS l FROM documents)),
+        s AS (SELECT *, starts_with(trim(v), '#') AS h, CAST(sum(CAST(starts_with(trim(v), '#') AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS section FROM l),
+        c AS (SELECT doc_id, section, coalesce(max(CASE WHEN h THEN trim(v) END), 'Chapter 1') AS label, regexp_replace(string_agg(v, chr(10) ORDER BY line), '^\s+|\s+$', '', 'g') AS body FROM s GROUP BY ALL),
+        n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS parts, row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS chunk FROM c),
+        w AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM n WHERE parts = 1)),
+        k AS (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // 200 + 1)) AS k FROM w WHERE len(w) > 0)
+        SELECT doc_id, chunk, label, CAST(len(regexp_extract_all(body, '[\p{L}\p{N}_]+')) AS BIGINT) AS word_count, sha256(body) AS content_hash FROM n WHERE parts > 1
+        UNION ALL SELECT doc_id, k, 'Chunk ' || (k + 1), len(w[k * 200 + 1:k * 200 + 200]), sha256(array_to_string(w[k * 200 + 1:k * 200 + 200], ' ')) FROM k""",
+    "manuscript_chunks": r"""
+        WITH w AS (SELECT source, doc_id, unnest(w) AS w, unnest(range(0, len(w))) AS i FROM (SELECT source, doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM documents)),
+        n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) - 1 AS g FROM w)
+        SELECT source AS manuscript_id, g // 500 AS chunk, 'Chunk ' || (g // 500 + 1) AS label, count(*) AS word_count, min(g) AS start_token, max(g) AS end_token, min(doc_id) AS first_paragraph, max(doc_id) AS last_paragraph,
+               sha256(string_agg(w, ' ' ORDER BY g)) AS content_hash FROM n GROUP BY ALL""",
     "span_tokens": """
         WITH p AS (SELECT doc_id, unnest(l) AS piece, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z'']+|[^A-Za-z'']+') AS l FROM documents)),
         o AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS fin FROM p),
