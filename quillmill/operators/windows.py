@@ -68,6 +68,19 @@ def blocks(words: DataFrame, size: int, step: int) -> DataFrame:
     return each.select("manuscript_id", "block", a.alias("start"), "total", piece.alias("words")).filter(F.size("words") > 0)
 
 
+def in_windows(words: DataFrame, size: int, step: int, keep_tail: bool) -> DataFrame:
+    """(manuscript_id, doc_id, gpos, token, total, window): placed words with each window that holds them; a window starts at window * step.
+
+    With ``keep_tail`` windows go on until one reaches the end; else a last part of a window is left out, but a
+    manuscript shorter than a window is one.
+    """
+    tokens = words.select("manuscript_id", "doc_id", "start", "total", F.posexplode("words").alias("pos", "token")).withColumn("gpos", F.col("start") + F.col("pos"))
+    last = F.greatest(F.lit(0), (F.ceil if keep_tail else F.floor)((F.col("total") - size) / step))
+    first = F.greatest(F.lit(0), F.floor((F.col("gpos") - size) / step) + 1)
+    own = tokens.withColumn("first", first.cast("long")).withColumn("final", F.least(last, F.floor(F.col("gpos") / step)).cast("long")).filter("first <= final")
+    return own.select("manuscript_id", "doc_id", "gpos", "token", "total", F.explode(F.sequence("first", "final")).alias("window"))
+
+
 def _dealt(pieces: DataFrame) -> DataFrame:
     return pieces.repartition("manuscript_id", "block").sortWithinPartitions("manuscript_id", "block", "start")
 
