@@ -49,9 +49,11 @@ def _share(count: Column, length: Column, mean_length: float) -> Column:
 
 def build(texts: DataFrame, item: str = "doc_id", text: str = "text") -> TextIndex:
     """The index of all texts. A null text has no terms; an item that comes several times is several texts."""
-    own = texts.select(F.col(item).alias("doc_id"), terms_of(F.col(text)).alias("own"))
+    own = texts.select(F.col(item).alias("doc_id"), F.col(text).alias("text"))
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = saved(own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").withColumn("at", F.monotonically_increasing_id()))
+    # texts are cut into terms only after the exchange, in as many tasks as there are ranges, however few files there are
+    ranged = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ranged = saved(ranged.select("doc_id", terms_of(F.col("text")).alias("own"), F.monotonically_increasing_id().alias("at")))
     whole = ranged.agg(F.count("*").alias("n"), F.avg(F.size("own")).alias("mean")).first()
     mean = float(whole["mean"] or 0.0) or 1.0
     low = (1 << 33) - 1
