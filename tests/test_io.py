@@ -1,9 +1,12 @@
 """Readers, writers, the detector registry and the trend stream."""
 
 import json
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillmill.operators import checkpoints
 from quillmill.operators.lexical import paragraphs
 from quillmill.plans import detectors
 from quillmill.sources import sinks, tables
@@ -87,3 +90,14 @@ def test_trend_stream(spark, tmp_path):
     put(9.0, "c.json", "r1")  # known already
     trend.keep_trend(spark, *where).awaitTermination()
     assert sorted((r.run_id, r.document_entropy) for r in spark.read.parquet(where[1]).collect()) == [("r1", 1.0), ("r2", 2.0)]
+
+
+def test_saved_rows_are_compressed(spark):
+    checkpoints.saved(spark.range(1))
+    shared = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in shared.rglob("*") if p.is_file())
+    before = size()
+    kept = checkpoints.saved(spark.range(20_000).select("id", F.array_repeat(F.lit("the same words"), 20).alias("words")))
+    assert size() - before < 400_000 and kept.agg(F.sum("id"), F.sum(F.size("words"))).first()[:] == (199_990_000, 400_000)
+    checkpoints.drop(kept)
+    assert size() == before
