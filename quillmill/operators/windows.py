@@ -324,11 +324,17 @@ def burst_regions(rows: DataFrame, size: int = 500, step: int = 100, threshold:
     words, counted = _burst_counts(rows, size, step)
     stats = _burst_stats(counted).filter("deviation > 0").select(*_KEY, "rate", "deviation")
     some = counted.filter("term IS NOT NULL AND s > 0").join(stats, _KEY)
+    some = some.filter(F.exists(F.zip_with("counts", "totals", _z), lambda z: z >= threshold))
+    # a row goes to its block with its arrays, and only there is there one for each window, which leaves it as its first k
+    some = some.select(*_KEY, "windows", "counts", "totals", "rate", "deviation", F.floor(F.col("windows")[0] / BLOCK).alias("block")).repartition("manuscript_id", "block")
     hits = F.filter(F.zip_with("windows", F.zip_with("counts", "totals", _z), lambda w, z: F.struct(w.alias("window"), z.alias("z"))), lambda x: x["z"] >= threshold)
-    found = some.select(*_KEY, F.inline(hits)).withColumn("z", F.round("z", 4))
+    found = some.select(*_KEY, "block", F.inline(hits)).withColumn("z", F.round("z", 4))
+    of = Window.partitionBy("manuscript_id", "block", "window")
+    found = found.withColumn("rank", F.row_number().over(of.orderBy(F.desc("z"), "term", "n"))).withColumn("bursts", F.count("*").over(of)).filter(F.col("rank") <= k)
     place = ["manuscript_id", "paragraph", "first_token", "last_token"]
-    own = saved(found.join(_places(words, size, step), ["manuscript_id", "window"]))
-    sums = own.groupBy(*place).agg(F.count("*").alias("bursts"), F.max("z").alias("max_z"), F.round(F.sum(F.round(F.col("progress") * 1e6).cast("long")) / (1e6 * F.count("*")), 2).alias("mean_progress"))
+    own = saved(found.drop("block").join(_places(words, size, step), ["manuscript_id", "window"]))
+    each = own.filter("rank = 1").select(*place, "bursts", "z", (F.round(F.col("progress") * 1e6).cast("long") * F.col("bursts")).alias("progress"))
+    sums = each.groupBy(*place).agg(F.sum("bursts").alias("bursts"), F.max("z").alias("max_z"), F.round(F.sum("progress") / (1e6 * F.sum("bursts")), 2).alias("mean_progress"))
     # only the first k of a place leave each task: the limit of a rank is taken before the exchange too
     ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy(F.desc("z"), "term", "n", "window"))).filter(F.col("rank") <= k)
     named = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat("term", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("name")))), lambda x: x["name"])

@@ -144,3 +144,11 @@ def test_entropy_windows(spark, block, monkeypatch):
             break
         start += 25
     assert len(got) == seen
+
+
+def test_only_the_first_bursts_of_a_window_leave_it(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(windows, "saved", lambda df, own=windows.saved: kept.append(own(df)) or kept[-1])
+    found = windows.burst_regions(table(spark, mixed(7, 60, 2)), 50, 10, 1.5, k=2)
+    assert found.agg(F.max("bursts")).first()[0] > 2
+    assert kept[-1].groupBy("manuscript_id", "window").count().agg(F.max("count")).first()[0] <= 2
