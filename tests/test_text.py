@@ -287,6 +287,57 @@ def test_lda_reads_every_term(spark):
     assert "rareword" in {r.term for r in learned.lda_topics(rows(spark, texts), 2, k=7).collect()}
 
 
+def test_topics_equal_plain_passes(spark, monkeypatch):
+    """Blocks and shards give what one loop over all texts and a dense matrix of terms and topics gives."""
+    import numpy as np
+    from quillmill.operators import topics
+
+    monkeypatch.setattr(topics, "TOKENS", 120)
+    monkeypatch.setattr(topics, "TERMS", 40)
+    monkeypatch.setattr(topics, "PAIRS", 25)
+    rng = np.random.default_rng(8)
+    own = [[f"{'abc'[i % 3]}{int(rng.zipf(1.6)) % 30}" for _ in range(int(rng.integers(1, 60)))] + [f"only{i}"] for i in range(45)]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(own)], "doc_id long, own array<string>")
+    model = topics.Model(frame, 3, 7, 4)
+    assert model.packed.count() > 5 and model.state.select("shard").distinct().count() > 3
+    seeds = {r.w: r.h for r in frame.select(F.explode("own").alias("w")).distinct().withColumn("h", F.xxhash64("w")).collect()}
+    words = sorted(seeds)
+    weights, alpha = topics.first_weights(np.array([seeds[w] for w in words]), 3, 7), np.full(3, 1 / 3)
+    counts = np.array([[x.count(w) for w in words] for x in own], float)
+
+    def infer(beta):
+        gamma = np.array([alpha + c.sum() / 3 for c in counts])
+        for d, c in enumerate(counts):
+            for _ in range(100):
+                share = np.exp(topics.digamma(gamma[d]) - topics.digamma(gamma[d].sum()))
+                now = alpha + share * (beta.T @ (c / (beta @ share)))
+                far, gamma[d] = np.abs(now - gamma[d]).mean(), now
+                if far <= 1e-3:
+                    break
+        return gamma
+
+    for turn in range(1, 5):
+        beta, rate = np.exp(topics.digamma(weights) - topics.digamma(weights.sum(axis=0))), (1024 + turn) ** -0.51
+        gamma = infer(beta)
+        logs = topics.digamma(gamma) - topics.digamma(gamma.sum(axis=1))[:, None]
+        share = np.exp(logs)
+        found = beta * ((counts / (share @ beta.T)).T @ share)
+        weights = (1 - rate) * weights + rate * (found + 1 / 3)
+        n, mean = len(own), logs.mean(axis=0)
+        slope = n * (topics.digamma(alpha.sum()) - topics.digamma(alpha) + mean)
+        q, c = -n * topics.trigamma(alpha), n * topics.trigamma(alpha.sum())
+        alpha = alpha - rate * (slope - (slope / q).sum() / (1 / c + (1 / q).sum())) / q
+    assert np.allclose(model.alpha, alpha, rtol=1e-4) and np.allclose(model.totals, weights.sum(axis=0), rtol=1e-5)
+    want = infer(np.exp(topics.digamma(weights) - topics.digamma(weights.sum(axis=0))))
+    got = {(r.doc_id, r.topic): r.weight for r in model.shares().collect()}
+    assert all(abs(got[d, k] - x) < 1e-3 for d, row in enumerate(want / want.sum(axis=1)[:, None]) for k, x in enumerate(row)) and len(got) == want.size
+    for r in model.top(5).collect():
+        order = np.argsort(-weights[:, r.topic])
+        assert abs(r.weight - weights[words.index(r.term), r.topic] / weights[:, r.topic].sum()) < 1e-5 and r.term in {words[i] for i in order[:6]}
+    none = topics.Model(frame.filter("false"), 3, 7, 2)
+    assert none.top(5).count() == 0 and none.shares().count() == 0
+
+
 def test_bursts_report_every_term(spark):
     found = {r.term: (r.global_count, r.max_z, r.burst_windows) for r in windows.burst_terms(rows(spark, ["harbor boat harbor"])).collect()}
     assert found == {"harbor": (2, 0.0, 0), "boat": (1, 0.0, 0), "harbor boat": (1, 0.0, 0), "boat harbor": (1, 0.0, 0), "harbor boat harbor": (1, 0.0, 0)}
