@@ -1,9 +1,9 @@
-"""SimHash near-deduplication at a Jaccard similarity, where fingerprints differ in too many bits for a tree.
+"""SimHash near-deduplication at a Jaccard similarity, with BK-trees in shards.
 
 A document has a wide fingerprint (eight 64-bit SimHashes of its distinct word shingles under different seeds). In each of
 several tables it is dealt to a shard by a sample of its bits; the number of sampled bits follows the number of
-documents and the number of tables follows from the recall wanted at the very threshold. Members of a shard are compared
-by their distance. A BK-tree, as ``simhash`` has it, follows nearly every edge at this radius, so none is built here.
+documents and the number of tables follows from the recall wanted at the very threshold. A shard's pairs within the radius
+come out of its BK-tree, as in ``simhash``; at this radius it follows nearly every edge, so shards are kept small.
 
 A spanning forest of the pairs within the radius tells which items hang together: the crowds. Nothing is rejected by the
 forest. In a crowd, the sets of shingles meet, and every pair within the radius is settled: by the exact Jaccard
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from quillmill.llm import work
 from quillmill.llm.components import components
 from quillmill.llm.grouped import groups, roots
+from quillmill.llm.simhash import BKTree
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.97
 #: Seeds of a fingerprint, and how many of its words travel with a dealt item; items of a shard, of a part of a crowd; hubs.
@@ -155,6 +156,15 @@ def settled(sets: list[np.ndarray], sig: np.ndarray, radius: int, similarity: fl
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def near_pairs(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, distance): all pairs (a < b) of a shard's fingerprints within the radius, out of its BK-tree."""
+    a, b = BKTree(values).pairs(radius)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    return a, b, distance(values[a], values[b])
+
+
 def _candidates(items: DataFrame, similarity: float, recall: float) -> DataFrame:
     """(a, b): links that join all rows of items (row, sig, n) of which a chain of pairs within the radius exists.
 
@@ -185,14 +195,7 @@ def _candidates(items: DataFrame, similarity: float, recall: float) -> DataFrame
             told = np.frombuffer(b"".join(shard.column("told").to_pylist()), np.uint8).reshape(-1, wide + 4)
             values, n = np.ascontiguousarray(told[:, :wide]).view(np.uint64), np.ascontiguousarray(told[:, wide:]).view("<u4").ravel().astype(np.int64)
             row = np.asarray(shard.column("row")).astype(np.int64)
-            a, b, d = [], [], []
-            for k in range(0, len(row), 256):
-                far = distance(values[k : k + 256, None], values[None, k:])
-                x, y = np.nonzero(np.triu(far <= radius, 1))
-                a.append(x + k)
-                b.append(y + k)
-                d.append(far[x, y])
-            a, b, d = map(np.concatenate, (a, b, d))
+            a, b, d = near_pairs(values, radius)
             fit = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
             if fit.any():
                 a, b = a[fit], b[fit]

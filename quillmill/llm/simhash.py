@@ -65,8 +65,14 @@ def fingerprints(docs: DataFrame, words: int = 3, name: str = "doc_id") -> DataF
     return docs.select(F.col(name).cast("long").alias(name), "text").mapInArrow(rows, f"{name} long, fp long")
 
 
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one word (1-d) or of several (2-d)."""
+    bits = np.bitwise_count(x ^ y)
+    return bits if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
+
+
 class BKTree:
-    """A BK-tree over distinct unsigned 64-bit values; each node keeps its children by distance to it."""
+    """A BK-tree over unsigned 64-bit values, or rows of several; each node keeps its children by distance to it."""
 
     def __init__(self, values: np.ndarray):
         self.values = values
@@ -79,7 +85,7 @@ class BKTree:
             if parent >= 0:
                 self.nodes[parent][1].append((edge, me))
             if len(rest := own[1:]):
-                d = np.bitwise_count(values[rest] ^ values[own[0]])
+                d = _far(values[rest], values[own[0]])
                 stack += [(rest[d == e], me, int(e)) for e in np.unique(d)]
 
     def pairs(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +95,7 @@ class BKTree:
         while stack:
             node, asking = stack.pop()
             at, children = self.nodes[node]
-            d = np.bitwise_count(self.values[asking] ^ self.values[at]).astype(np.int64)
+            d = _far(self.values[asking], self.values[at]).astype(np.int64)
             near = asking[d <= radius]
             a.append(near[near > at])
             b.append(np.full(len(a[-1]), at))

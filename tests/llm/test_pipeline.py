@@ -44,6 +44,26 @@ def test_near_copies_equal_brute_force(spark):
     assert len(found) == len(set(found)) and len(want ^ set(found)) <= 1
 
 
+def test_shards_pairs_come_out_of_a_tree(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, (6, 4), np.uint64)
+    flips = np.packbits(rng.random((120, 256)) < 0.13, axis=1).view(np.uint64)
+    values = np.concatenate([base[rng.integers(0, 6, 120)] ^ flips, base, base[:2]])
+    trees = []
+
+    class Tree(near_copies.BKTree):
+        def __init__(self, own):
+            super().__init__(own)
+            trees.append(self)
+
+    monkeypatch.setattr(near_copies, "BKTree", Tree)
+    a, b, d = near_copies.near_pairs(values, 62)
+    far = near_copies.distance(values[:, None], values[None])
+    x, y = np.nonzero(np.triu(far <= 62, 1))
+    assert len(trees) == 1 and len(trees[0].nodes) == len(values) and len(x) > 500
+    assert (a == x).all() and (b == y).all() and (d == far[x, y]).all()
+
+
 @pytest.mark.parametrize("few", [0, 1_000_000])
 def test_near_copies_in_a_crowd(spark, docs, monkeypatch, few):
     monkeypatch.setattr(near_copies, "BLOCK", 25)
