@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmill.operators import learned, resolution, retrieval, vector_index
@@ -69,6 +70,17 @@ def test_top_loses_nothing(spark, k, block, monkeypatch):
             assert [(n, j) for n, j, _ in own] == [(n + 1, j) for n, (_, j) in enumerate(best)] and np.allclose([c for _, _, c in own], [-c for c, _ in best], atol=1e-6)
 
 
+def test_visits_of_every_cell_stay_small():
+    """A batch whose vectors visit every cell is never laid out whole."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([[0.5] * 64] * 10_000)], ["query", "v"])
+    before, most, sent = pa.total_allocated_bytes(), 0, 0
+    for few in vector_index._few(iter([batch])):
+        at, cell = np.nonzero(np.ones((few.num_rows, 100), bool))
+        for part in vector_index._sent(few, ["query", "v"], at, cell):
+            most, sent = max(most, pa.total_allocated_bytes() - before), sent + part.num_rows
+    assert sent == 1_000_000 and most < 20e6
+
+
 def by_matrix(x, threshold):
     """Average linkage that always joins the nearest two clusters, with all averages held."""
     size = np.linalg.norm(x, axis=1, keepdims=True)
