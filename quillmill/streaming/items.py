@@ -13,7 +13,8 @@ attempts of an item follow one another: the first one that hasn't failed decides
 An attempt has one result: if repeats of it differ, success counts, unless the item has been released.
 The first three are final. Results of final items leave in the order of their positions in the run: an item is held back
 until all before it are final. Positions are kept in blocks of ``BLOCK`` by (run, block), so that a run of any length
-is many small keys; ``released`` shows a block's rows once all blocks before it are whole.
+is many small keys; ``released`` shows a block's rows once all blocks before it are whole. Of a block's state, ``PART`` items are read and
+written at once, as each access costs a round trip to the state store.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 EVENTS = "run_id string, position long, item_id string, kind string, attempt int, ok boolean, excluded boolean, payload string, at timestamp"
 OUT = "kind string, run_id string, position long, item_id string, state string, attempt int, payload string, updated_at timestamp, version int"
 FINAL = ("skipped", "succeeded", "quarantined")
-BLOCK = 1_000
+BLOCK, PART = 1_000, 100
 
 _ITEM = "item_id string, planned boolean, excluded boolean, started long, failed long, good long, payloads array<string>, waits_until long, updated_us long, state string, version int"
 _FIELDS = [x.split()[0] for x in _ITEM.split(", ")]
@@ -49,43 +50,71 @@ def state_of(planned: bool, excluded: bool, started: int, failed: int, good: int
     return ("in_progress" if started & bit else "pending"), at
 
 
+class _Held:
+    """The items of one key that a call reads or changes; each part is read once and written once."""
+
+    def __init__(self, parts, attempts: int):
+        self.parts, self.attempts, self.read, self.stale = parts, attempts, {}, set()
+
+    def _part(self, n: int) -> dict[int, dict]:
+        if n not in self.read:
+            held = self.parts.getValue((n,))[0] if self.parts.containsKey((n,)) else []
+            self.read[n] = {x[0]: dict(zip(_FIELDS, x[1:])) for x in held}
+        return self.read[n]
+
+    def get(self, position: int) -> dict | None:
+        return self._part(position // PART).get(position)
+
+    def changed(self, position: int) -> dict:
+        """The item, a new one if there is none, to be written."""
+        self.stale.add(position // PART)
+        return self._part(position // PART).setdefault(position, dict(zip(_FIELDS, (None, False, False, 0, 0, 0, [None] * self.attempts, None, None, None, 0))))
+
+    def remove(self, position: int) -> None:
+        self.stale.add(position // PART)
+        del self._part(position // PART)[position]
+
+    def write(self) -> None:
+        for n in self.stale:
+            if own := self.read[n]:
+                self.parts.updateValue((n,), ([(at, *(item[c] for c in _FIELDS)) for at, item in sorted(own.items())],))
+            elif self.parts.containsKey((n,)):
+                self.parts.removeKey((n,))
+
+
 class _Items(StatefulProcessor):
     def __init__(self, attempts: int, patience: int | None, size: int):
         self.attempts, self.patience, self.size = attempts, patience, size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getMapState("items", "position long", _ITEM)
+        fields = ", ".join(c.replace(" ", ": ", 1) for c in ("position long, " + _ITEM).split(", "))
+        self.parts = handle.getMapState("parts", "part long", f"items array<struct<{fields}>>")
         self.next = handle.getValueState("next", "position long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        first = self._next(key)
-        seen: dict[int, dict] = {}
+        first, held, seen = self._next(key), _Held(self.parts, self.attempts), {}
         for r in rows:
             if r.position < first:
                 continue  # released already
             if r.position not in seen:
-                seen[r.position] = self._item(r.position)
+                seen[r.position] = held.changed(r.position)
             self._apply(seen[r.position], r)
-        yield from self._changed(key, seen)
+        yield from self._changed(key, seen, held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, late = expiredTimerInfo.getExpiryTimeInMs(), {}
-        for (position,), held in list(self.items.iterator()):
-            item = dict(zip(_FIELDS, held))
+        now, held, late = expiredTimerInfo.getExpiryTimeInMs(), _Held(self.parts, self.attempts), {}
+        for position in [x[0] for _, (own,) in self.parts.iterator() for x in own]:
+            item = held.get(position)
             open_ = item["started"] & ~item["failed"] & ~item["good"]
             if open_ and item["waits_until"] is not None and item["waits_until"] <= now:
-                item |= {"failed": item["failed"] | open_, "waits_until": None}
-                late[position] = item
-        yield from self._changed(key, late)
+                late[position] = held.changed(position)
+                late[position] |= {"failed": item["failed"] | open_, "waits_until": None}
+        yield from self._changed(key, late, held)
 
     def _next(self, key) -> int:
         return self.next.get()[0] if self.next.exists() else key[1] * self.size + 1
 
-    def _item(self, position: int) -> dict:
-        held = self.items.getValue((position,)) if self.items.containsKey((position,)) else (None, False, False, 0, 0, 0, [None] * self.attempts, None, None, None, 0)
-        return dict(zip(_FIELDS, held))
-
     def _apply(self, item: dict, r: Row) -> None:
         if r.item_id:
             item["item_id"] = min(item["item_id"] or r.item_id, r.item_id)
@@ -110,21 +139,18 @@ class _Items(StatefulProcessor):
     def _state(self, item: dict) -> tuple[str, int]:
         return state_of(item["planned"], item["excluded"], item["started"], item["failed"], item["good"], self.attempts)
 
-    def _changed(self, key, seen: dict[int, dict]) -> Iterator[Row]:
+    def _changed(self, key, seen: dict[int, dict], held: _Held) -> Iterator[Row]:
         for position, item in sorted(seen.items()):
             state = self._state(item)[0]
             if state != item["state"]:
                 item |= {"state": state, "version": item["version"] + 1}
                 yield self._row("state", key, position, item)
-            self.items.updateValue((position,), tuple(item[c] for c in _FIELDS))
         at = first = self._next(key)
-        while at in seen or self.items.containsKey((at,)):
-            item = seen.get(at) or self._item(at)
-            if item["state"] not in FINAL:
-                break
+        while (item := held.get(at)) and item["state"] in FINAL:
             yield self._row("release", key, at, item)
-            self.items.removeKey((at,))
+            held.remove(at)
             at += 1
+        held.write()
         if at > first:
             self.next.update((at,))
 

@@ -114,3 +114,61 @@ def test_bounds(spark):
     assert of(0b1, 0b1, 0b1) == ("succeeded", 1)  # both a failure and a success of one attempt: it succeeded
     assert of(0b10, 0b1, 0) == ("in_progress", 2) and of(0, 0b1, 0) == ("pending", 2) and of(0, 0, 0b10) == ("pending", 1) and of(0, 0b111, 0) == ("quarantined", 3)
     assert items.state_of(False, True, 0, 0, 0b1, 3) == ("in_progress", 1)
+
+
+class CountedMap(dict):
+    """A map state that counts accesses."""
+
+    calls = 0
+
+    def _counted(self, x):
+        self.calls += 1
+        return x
+
+    def containsKey(self, k):
+        return self._counted(k in self)
+
+    def getValue(self, k):
+        return self._counted(self[k])
+
+    def updateValue(self, k, v):
+        self[k] = self._counted(v)
+
+    def removeKey(self, k):
+        del self[self._counted(k)]
+
+
+class CountedValue:
+    held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, v):
+        self.held = v
+
+
+class Handle:
+    def __init__(self):
+        self.map, self.value = CountedMap(), CountedValue()
+
+    def getMapState(self, *_):
+        return self.map
+
+    def getValueState(self, *_):
+        return self.value
+
+
+def test_a_block_of_items_takes_few_accesses_to_the_state():
+    """Of a block's 1,000 items, all but the first are planned and done, so they wait; then it comes, and they leave."""
+    row = lambda p, kind, **kw: items.Row(position=p, item_id=f"i{p}", kind=kind, attempt=kw.get("attempt"), ok=kw.get("ok"), excluded=None, payload=None, at_us=None)
+    handle, processor = Handle(), items._Items(3, None, 1_000)
+    processor.init(handle)
+    waits = [row(p, k, **kw) for p in range(2, 1_001) for k, kw in (("planned", {}), ("result", {"attempt": 1, "ok": True}))]
+    assert len(list(processor.handleInputRows(("r", 0), iter(waits), None))) == 999 and sum(len(v[0]) for v in handle.map.values()) == 999
+    out = list(processor.handleInputRows(("r", 0), iter([row(1, "planned"), row(1, "result", attempt=1, ok=True)]), None))
+    assert [r.position for r in out if r.kind == "release"] == list(range(1, 1_001)) and not handle.map and handle.value.held == (1_001,)
+    assert handle.map.calls < 100
