@@ -415,3 +415,16 @@ def test_tokens_of_spans_are_shuffled_once(spark):
     spans = spark.createDataFrame([(0, 0, 0, 600), (0, 1, 250, 260), (3, 2, 100, 650), (3, 3, 300, 301), (1, 4, 0, 9)], "doc_id long, span_id long, span_start long, span_end long")
     found = {r.span_id: (r.tokens, r.first_char, r.last_char) for r in segments.span_tokens(tokens, spans).collect()}
     assert found == {0: (149, 2, 602), 1: (3, 251, 262), 2: (1, 0, 700), 3: (1, 0, 700)}
+
+
+def test_values_are_counted_within_their_rows(spark):
+    """No exchange of paragraphs' words; only a paragraph that comes as several rows is added up."""
+    schema = "manuscript_id string, doc_id long, text string"
+    count = lambda rows: {tuple(r) for r in lexical.counted(spark.createDataFrame(rows, schema), F.split("text", " ")).collect()}
+    rows = [("a", 1, "x y x z x"), ("a", 2, "y"), ("b", 3, None), (None, 4, "z z"), ("a", 5, "é é e")]
+    want = {("a", 1, "x", 3), ("a", 1, "y", 1), ("a", 1, "z", 1), ("a", 2, "y", 1), (None, 4, "z", 2), ("a", 5, "é", 2), ("a", 5, "e", 1)}
+    assert count(rows) == want
+    assert count([*rows, ("a", 2, "y q"), (None, 4, "z")]) == want - {("a", 2, "y", 1), (None, 4, "z", 2)} | {("a", 2, "y", 2), ("a", 2, "q", 1), (None, 4, "z", 3)}
+    for f in (lexical.themes, lexical.bursts):
+        plan = f(spark.createDataFrame(rows, schema))._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "hashpartitioning" in x and "doc_id" in x]
