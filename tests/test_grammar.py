@@ -1,5 +1,7 @@
 """Rules over annotated tokens and plans, on small sentences with annotations as a tagger gives them."""
 
+from pyspark.sql import functions as F
+
 from quillmill.operators import annotated, resolution, review
 
 TOKENS = "doc_id long, sentence long, idx long, token string, lemma string, pos string, dep string, head long"
@@ -66,3 +68,19 @@ def test_warnings_are_sentences_in_the_payload_s_order(spark):
     ]
     assert ("green", "New entity", "Nobody Known (Thing)") in out and ("green", "New event", "a storm") in out
     assert [x[2] for x in out if x[0] == "red"] == ["Fuzzy match score 94.7% exceeds threshold"]
+
+
+def test_subtree_sizes_are_those_of_the_subtrees_written_out(spark):
+    """Trees, chains and circles, from a token table and from a sentence table; a long chain takes no square of its length."""
+    heads = {1: [1, 1, 1, 2, 2], 2: [0, 0, 1, 2], 3: [1, 2, 0, 0, 3, 5, 5], 4: [0], 5: [3, 0, 0, 0]}
+    tokens = spark.createDataFrame([(1, n, i, "t", "t", "X", "d", h) for n, own in heads.items() for i, h in enumerate(own)], TOKENS)
+    own = annotated.subtrees(tokens, tokens.select("doc_id", "sentence", F.col("idx").alias("root"))).groupBy("doc_id", "sentence", "root").agg(F.count("*").alias("tokens"), F.max("idx").alias("last"))
+    want = sorted(tuple(r) for r in own.collect())
+    by_place = F.array_sort(F.collect_list(F.struct("idx", *annotated.WORD)))
+    sentences = tokens.groupBy("doc_id", "sentence").agg(F.transform(by_place, lambda w: F.struct(*[w[c].alias(c) for c in annotated.WORD])).alias("words"))
+    assert sorted(tuple(r) for r in annotated.subtree_sizes(tokens).collect()) == want
+    assert sorted(tuple(r) for r in annotated.subtree_sizes(sentences).collect()) == want
+    n = 200_000
+    chain = spark.sql(f"SELECT 1L AS doc_id, 1L AS sentence, transform(sequence(0L, {n - 1}L), i -> struct('t' AS token, 't' AS lemma, 'X' AS pos, 'd' AS dep, greatest(0L, i - 1) AS head)) AS words")
+    found = annotated.subtree_sizes(chain)
+    assert found.agg(F.sum("tokens"), F.min("last"), F.count("*")).first() == (n * (n + 1) // 2, n - 1, n)
