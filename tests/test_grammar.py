@@ -84,3 +84,32 @@ def test_subtree_sizes_are_those_of_the_subtrees_written_out(spark):
     chain = spark.sql(f"SELECT 1L AS doc_id, 1L AS sentence, transform(sequence(0L, {n - 1}L), i -> struct('t' AS token, 't' AS lemma, 'X' AS pos, 'd' AS dep, greatest(0L, i - 1) AS head)) AS words")
     found = annotated.subtree_sizes(chain)
     assert found.agg(F.sum("tokens"), F.min("last"), F.count("*")).first() == (n * (n + 1) // 2, n - 1, n)
+
+
+def _as_sentences(tokens):
+    by_place = F.array_sort(F.collect_list(F.struct("idx", *annotated.WORD)))
+    return tokens.groupBy("doc_id", "sentence").agg(F.transform(by_place, lambda w: F.struct(*[w[c].alias(c) for c in annotated.WORD])).alias("words"))
+
+
+def _mixed(spark):
+    """Two sentences of all sorts of words, with nulls and a head that isn't there."""
+    rows = [(d, n, i, ["not", "But", "only", "n't", "go", "see"][(i * 7 + d + n) % 6], f"l{i % 5}", ["VERB", "NOUN", "AUX", None][(i * 5 + d) % 4], ["neg", "amod", "dobj", "aux", None][(i * 3 + n) % 5], (i * 11 + d) % 42) for d in (1, 2, 3) for n in (1, 2) for i in range(40)]
+    return spark.createDataFrame(rows, TOKENS)
+
+
+def test_negations_of_a_sentence_table_are_those_of_its_tokens(spark):
+    tokens = _mixed(spark)
+    want = sorted(map(tuple, annotated.negation_contrast(tokens).collect()))
+    found = annotated.negation_contrast(_as_sentences(tokens))
+    assert len(want) > 3 and sorted(map(tuple, found.collect())) == want
+    assert "Join" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Window" not in plan
+
+
+def test_heads_of_a_sentence_table_are_those_of_its_tokens(spark):
+    tokens = _mixed(spark)
+    columns = ["doc_id", "sentence", "idx", *annotated.WORD, "head_lemma", "head_pos"]
+    key = lambda rows: sorted(map(str, (tuple(r) for r in rows.select(*columns).collect())))
+    found = annotated.with_heads(_as_sentences(tokens))
+    assert len(key(found)) < tokens.count() and key(found) == key(annotated.with_heads(tokens))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, annotated.dependency_patterns(_as_sentences(tokens)).collect())) == sorted(map(tuple, annotated.dependency_patterns(tokens).collect()))
