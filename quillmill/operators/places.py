@@ -89,13 +89,22 @@ def missing_ids(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return found.join(known.select(key), key, "left_anti").groupBy(key).agg(F.count("*").alias("count"))
 
 
-def window_anchor(window_tokens: DataFrame) -> DataFrame:
-    """Of windows (manuscript_id, window, gpos, doc_id): the middle token's paragraph, and the window's tokens in it."""
-    middle = window_tokens.groupBy("manuscript_id", "window").agg(F.min("gpos").alias("a"), F.max("gpos").alias("b")).withColumn("mid", F.floor((F.col("a") + F.col("b") + 1) / 2))
-    met = window_tokens.join(middle, ["manuscript_id", "window"])
-    anchor = met.filter("gpos = mid").select("manuscript_id", "window", F.col("doc_id").alias("anchor"))
-    inside = met.join(anchor, ["manuscript_id", "window"]).filter("doc_id = anchor")
-    return inside.groupBy("manuscript_id", "window", "anchor").agg(F.count("*").alias("tokens"), F.min("gpos").alias("first_token"), F.max("gpos").alias("last_token"))
+def window_anchor(words: DataFrame, size: int, step: int) -> DataFrame:
+    """(manuscript_id, window, anchor, tokens, first_token, last_token): the paragraph of each window's middle token, and the window's tokens in it.
+
+    Of words placed in their manuscripts (windows.placed); windows go on until one reaches the end. A paragraph knows its own
+    windows by its place, so no token travels.
+    """
+    own = words.groupBy("manuscript_id", "doc_id", "total").agg(F.min("start").alias("start"), F.sum("n").alias("n")).filter("doc_id IS NOT NULL")
+    end, whole = F.col("start") + F.col("n"), lambda x: x.cast("long")
+    first, final = F.greatest(F.lit(0), F.floor((F.col("start") - size) / step)), F.least(F.greatest(F.lit(0), F.ceil((F.col("total") - size) / step)), F.floor((end - 1) / step))
+    each = own.withColumn("end", end).filter(first <= final).withColumn("window", F.explode(F.sequence(whole(first), whole(final))))
+    a = F.col("window") * step
+    b = F.least(a + size, F.col("total"))
+    middle = F.floor((a + b) / 2)
+    each = each.filter((middle >= F.col("start")) & (middle < F.col("end")))
+    low, high = F.greatest(a, "start"), F.least(b, "end")
+    return each.select("manuscript_id", "window", F.col("doc_id").alias("anchor"), whole(high - low).alias("tokens"), whole(low).alias("first_token"), whole(high - 1).alias("last_token"))
 
 
 def unapplied(migrations: DataFrame, ledger: DataFrame) -> DataFrame:

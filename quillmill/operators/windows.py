@@ -27,7 +27,7 @@ BLOCK = 256
 
 
 def placed(rows: DataFrame, own: Column) -> DataFrame:
-    """manuscript_id, doc_id, start (words of the manuscript before), total (all of them), words; written in the shared folder.
+    """manuscript_id, doc_id, start (words of the manuscript before), total (all of them), words, n (how many); written in the shared folder.
 
     Paragraphs without words are left out, as are those without a manuscript.
     """
@@ -54,7 +54,8 @@ def placed(rows: DataFrame, own: Column) -> DataFrame:
     w = Window.partitionBy("manuscript_id")
     sums = ranged.groupBy("part", "manuscript_id").agg(F.sum(F.size("words")).alias("n"))
     sums = sums.select("part", "manuscript_id", (F.sum("n").over(w.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("total"))
-    return ranged.join(sums, ["part", "manuscript_id"]).select("manuscript_id", "doc_id", (F.col("before") + F.col("at")).alias("start"), "total", "words")
+    each = ranged.withColumn("n", F.size("words")).join(sums.drop("n"), ["part", "manuscript_id"])  # words stay where they are if only n is asked for
+    return each.select("manuscript_id", "doc_id", (F.col("before") + F.col("at")).alias("start"), "total", "words", "n")
 
 
 def blocks(words: DataFrame, size: int, step: int) -> DataFrame:

@@ -53,7 +53,7 @@ def missing_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def window_anchors(spark: SparkSession, d: str) -> DataFrame:
     words = windows.placed(paragraphs(table(spark, d, "documents")), tx.letter_tokens(F.col("text")))
-    return places.window_anchor(windows.in_windows(words, 500, 250, True))
+    return places.window_anchor(words, 500, 250)
 
 
 QUERIES = {f.__name__: f for f in (word_ranks, word_paragraphs, blank_line_paragraphs, line_of, tail_paragraphs, whole_word_counts, chunk_ranges, missing_ids, window_anchors)}

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import lexicons as lx
-from quillmill.operators import windows
+from quillmill.operators import places, windows
 
 
 def table(spark, texts, manuscript="m"):
@@ -152,3 +152,23 @@ def test_only_the_first_bursts_of_a_window_leave_it(spark, monkeypatch):
     found = windows.burst_regions(table(spark, mixed(7, 60, 2)), 50, 10, 1.5, k=2)
     assert found.agg(F.max("bursts")).first()[0] > 2
     assert kept[-1].groupBy("manuscript_id", "window").count().agg(F.max("count")).first()[0] <= 2
+
+
+@pytest.mark.parametrize("size,step", [(10, 5), (7, 3), (4, 6)])
+def test_anchors_are_those_of_the_windows_written_out(spark, size, step):
+    """The middle word's paragraph by every word of every window, over paragraphs of no, one and many words; no word is written out."""
+    lengths = {"a": [3, 0, 1, 25, 1, 1, 7], "b": [2], "c": [40], "d": [1] * 23}
+    texts = [(m, 100 * k + i, " ".join(["w"] * n)) for k, (m, own) in enumerate(lengths.items()) for i, n in enumerate(own)]
+    words = windows.placed(spark.createDataFrame(texts, "manuscript_id string, doc_id long, text string"), F.filter(F.split("text", " "), lambda t: t != ""))
+    each = {}
+    for r in windows.in_windows(words, size, step, True).collect():
+        each.setdefault((r.manuscript_id, r.window), {})[r.gpos] = r.doc_id
+    want = []
+    for (m, w), own in each.items():
+        anchor = own.get((min(own) + max(own) + 1) // 2)
+        inside = [g for g, d in own.items() if d == anchor]
+        if inside:
+            want.append((m, w, anchor, len(inside), min(inside), max(inside)))
+    found = places.window_anchor(words, size, step)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
