@@ -155,6 +155,23 @@ def phrases_in(text: Column, phrases: list[str]) -> Column:
     return F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.lower(text), p))
 
 
+def held(lower: Column, phrases: list[str]) -> Column:
+    """How many of the phrases a lower-cased text holds, within words too; a text that is null holds none."""
+    count = F.lit(0).cast("long")
+    for p in phrases:
+        count = count + F.coalesce(F.contains(lower, F.lit(p)).cast("long"), F.lit(0))
+    return count
+
+
+def words_held(lower: Column, words: list[str]) -> Column:
+    """How many of the words (of letters a-z and apostrophes) are among a lower-cased text's white-space tokens without the marks around them.
+
+    Marks are stripped from the whole text, not from each token.
+    """
+    bare = F.regexp_replace(lower, r"""[.,;:!?"'()]+(?!\S)|(?<!\S)[.,;:!?"'()]+""", "")
+    return F.size(F.array_intersect(F.array(*map(F.lit, words)).cast("array<string>"), F.split(bare, r"\s+"))).cast("long")
+
+
 def runs(own: Column) -> Column:
     """Struct n, clogc, vocabulary of an array's values: one fold over the sorted array instead of an exchange.
 

@@ -19,10 +19,12 @@ def phrase_hits(rows: DataFrame, phrases: list[str]) -> DataFrame:
 
 def slop_reasons(rows: DataFrame, overused: list[str], phrases: list[str] = lx.LOW_SIGNAL_PHRASES, hedges: list[str] = lx.HEDGES) -> DataFrame:
     """Paragraphs with any reason: a low-signal phrase, a hedge, or two overused words."""
-    low, hedge = F.size(tx.phrases_in(F.col("text"), phrases)), F.size(tx.phrases_in(F.col("text"), hedges))
-    over = F.size(F.array_intersect(F.array_distinct(tx.stripped_tokens(F.col("text"))), F.array(*map(F.lit, overused))))
+    found = F.transform(F.array(F.lower("text")), lambda t: F.struct(tx.held(t, phrases).alias("low"), tx.held(t, hedges).alias("hedge"), tx.words_held(t, overused).alias("over")))
+    # each text is searched once: a filter on what is exploded can't be pushed below, where it would search again
+    own = rows.select("manuscript_id", "doc_id", F.explode_outer(found).alias("x")).select("manuscript_id", "doc_id", "x.*")
+    low, hedge, over = F.col("low"), F.col("hedge"), F.col("over")
     reasons = F.array_compact(F.array(F.when(low > 0, "low_signal_phrase"), F.when(hedge > 0, "hedge_density"), F.when(over >= 2, "lexical_overuse_cluster")))
-    out = rows.select("manuscript_id", "doc_id", reasons.alias("r"), low.cast("long").alias("phrase_hits"), hedge.cast("long").alias("hedge_hits"), over.cast("long").alias("overused_hits"))
+    out = own.select("manuscript_id", "doc_id", reasons.alias("r"), low.alias("phrase_hits"), hedge.alias("hedge_hits"), over.alias("overused_hits"))
     return out.filter(F.size("r") > 0).select("manuscript_id", "doc_id", F.array_join("r", ",").alias("reasons"), "phrase_hits", "hedge_hits", "overused_hits")
 
 

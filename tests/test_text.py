@@ -163,6 +163,22 @@ def test_slop_reasons_and_severity(spark):
     assert found == {0: outlier, 1: outlier, 2: outlier, 3: turn}
 
 
+def test_slop_reasons_search_each_text_once(spark):
+    """Hits as by a plain count, whatever marks stand around words; no text is lower-cased once for each phrase, nor again for the filter."""
+    texts = ["Maybe 'water' (water) WATER... it's stone,stone of the", "stone!? \u2028 .water. water\tstone", "...", "", None, "''it's'' kind of\nstone", "waterstone hope", "HOPE perhaps;water \u00a0 stone\u00a0"]
+    over, low, hedge = ["water", "stone", "it's"], ["hope", "of the"], ["maybe", "kind of", "perhaps"]
+    want = {}
+    for i, t in enumerate(texts):
+        own = {re.sub(r"""^[.,;:!?"'()]+|[.,;:!?"'()]+$""", "", x).lower() for x in re.split(r"[ \t\n\x0b\f\r]+", t or "")}
+        counts = [sum(p in (t or "").lower() for p in low), sum(p in (t or "").lower() for p in hedge), len(own & set(over))]
+        reasons = [n for n, fit in (("low_signal_phrase", counts[0]), ("hedge_density", counts[1]), ("lexical_overuse_cluster", counts[2] >= 2)) if fit]
+        if reasons:
+            want[i] = (",".join(reasons), *counts)
+    found = findings.slop_reasons(spark.createDataFrame([("m", i, t) for i, t in enumerate(texts)], "manuscript_id string, doc_id long, text string"), over, low, hedge)
+    assert {r.doc_id: (r.reasons, r.phrase_hits, r.hedge_hits, r.overused_hits) for r in found.collect()} == want and len(want) == 5
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(text") == 1
+
+
 def test_paths_and_highlights(spark):
     j = '{"a": {"b": 2.5, "c": true, "d": "x"}}'
     out = spark.createDataFrame([(j,)], "j string").select(*[findings.number_at(F.col("j"), p).alias(n) for p, n in (("a.b", "b"), ("a.c", "c"), ("a.d", "d"), ("a.x.y", "e"))]).first()
