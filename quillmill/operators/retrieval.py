@@ -3,7 +3,8 @@
 The inverted index deals texts, in their order, into blocks of ``BLOCK``; for each term and block it has the texts with
 their counts and lengths, and beside them the greatest share of a score that the block can give. A query adds these bounds
 up for each block, opens the most promising blocks first, and then only those whose bound reaches its k-th score so far.
-The result is that of scoring every text. No Python runs here but in the vector search.
+The result is that of scoring every text. A block is scored where its texts' counts lie, for all queries that open it, and only
+its best texts for each of them leave it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +24,8 @@ from quillmill.operators.checkpoints import saved
 
 #: Texts of a block, and blocks that a query opens before any is ruled out.
 BLOCK, FIRST = 200, 4
+#: Queries, about, that are scored against a block at once.
+BUNCH = 1_000
 # fixed values: the weights of BM25, and the constant of reciprocal ranks
 K1, B, RANKS = 1.2, 0.75, 60.0
 #: What bounds allow for rounding.
@@ -42,9 +48,9 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9']+"), F.lit(0))
 
 
-def _share(count: Column, length: Column, mean_length: float) -> Column:
+def _share(count, length, mean_length: float):
     """A term's share of a score but for its idf; it grows with the count and falls with the length."""
-    return count / (count + K1 * (1 - B + B * length / F.lit(mean_length)))
+    return count / (count + K1 * (1 - B + B * length / mean_length))
 
 
 def build(texts: DataFrame, item: str = "doc_id", text: str = "text") -> TextIndex:
@@ -58,8 +64,11 @@ def build(texts: DataFrame, item: str = "doc_id", text: str = "text") -> TextInd
     mean = float(whole["mean"] or 0.0) or 1.0
     low = (1 << 33) - 1
     block = F.shiftright("at", 33) * F.lit(1 << 33) + F.floor(F.col("at").bitwiseAND(F.lit(low)) / BLOCK)  # texts of one block lie in one range
-    each = ranged.select("at", "doc_id", block.cast("long").alias("block"), F.size("own").alias("length"), F.explode("own").alias("term"))
-    counted = each.groupBy("at", "doc_id", "block", "length", "term").agg(F.count("*").cast("int").alias("count"))
+    # a text's terms are counted where it lies
+    own = ranged.select("at", "doc_id", block.cast("long").alias("block"), F.size("own").alias("length"), F.array_sort("own").alias("own")).filter("length > 0")
+    own = own.withColumn("first", F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: (i == 0) | (F.get("own", i) != F.get("own", i - 1))))
+    each = F.zip_with("first", F.concat(F.slice("first", F.lit(2), F.size("first")), F.array("length")), lambda a, b: F.struct(F.get("own", a).alias("term"), (b - a).alias("count")))
+    counted = own.select("at", "doc_id", "block", "length", F.inline(each))
     docs = F.collect_list(F.struct("doc_id", "at", "count", "length"))  # at most BLOCK texts
     postings = saved(counted.groupBy("term", "block").agg(docs.alias("docs"), F.max(_share(F.col("count"), F.col("length"), mean)).alias("bound")))
     df = postings.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
@@ -78,11 +87,42 @@ def search(index: TextIndex, queries: DataFrame, k: int, query: str = "query", t
     best = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
     bounds = saved(bounds.withColumn("place", F.row_number().over(best)))
 
+    kinds = {c: asked.schema[c].dataType.simpleString() for c in ("query",)} | {"item": index.postings.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()}
+    bunches = max(1, -(-asked.select("query").distinct().count() // BUNCH))
+    bunch = F.pmod(F.xxhash64("query"), F.lit(bunches)).cast("int").alias("bunch")
+    known = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    mean = index.mean_length
+
+    def best_of(posts: pa.Table, asks: pa.Table) -> pa.Table:
+        """Of a block's texts those that can be among a query's k best in it, with their scores."""
+        fields = [("query", asks.schema.field("query").type), ("item", posts.schema.field("docs").type.value_type.field("doc_id").type), ("at", pa.int64()), ("score", pa.float64())]
+        if not posts.num_rows or not asks.num_rows:
+            return pa.schema(fields).empty_table()
+        posts, asks = posts.combine_chunks(), asks.combine_chunks()
+        ends = np.cumsum(pc.list_value_length(posts.column("docs")).to_numpy())
+        place = {t: (a, b) for t, a, b in zip(posts.column("term").to_pylist(), np.concatenate([[0], ends[:-1]]), ends)}
+        docs = pc.list_flatten(posts.column("docs")).combine_chunks()
+        docs = docs if isinstance(docs, pa.StructArray) else docs.chunk(0)
+        count, length, at = (docs.field(c).to_numpy(zero_copy_only=False) for c in ("count", "length", "at"))
+        share = _share(count, length, mean)
+        texts, first, text = np.unique(at, return_index=True, return_inverse=True)
+        queries = pc.unique(asks.column("query"))
+        rows = pc.index_in(asks.column("query"), queries).to_numpy()
+        score = np.zeros((len(queries), len(texts)))
+        for q, t, idf in zip(rows, asks.column("term").to_pylist(), asks.column("idf").to_numpy()):
+            if t in place:
+                a, b = place[t]
+                score[q, text[a:b]] += idf * share[a:b]
+        n = len(texts)
+        kth = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(queries))
+        q, i = np.nonzero((score > 0) & (score >= kth[:, None] - 2 * SLACK))  # what rounding may bring level stays
+        return pa.table([queries.take(pa.array(q)), docs.field("doc_id").take(pa.array(first[i])), pa.array(texts[i]), pa.array(score[q, i])], schema=pa.schema(fields))
+
     def scored(blocks: DataFrame) -> DataFrame:
-        met = blocks.select("query", "block").join(asked, "query").join(index.postings.select("term", "block", "docs"), ["term", "block"])
-        each = met.select("query", "idf", F.explode("docs").alias("x"))
-        score = F.sum(F.col("idf") * _share(F.col("x.count"), F.col("x.length"), index.mean_length))
-        return each.groupBy("query", F.col("x.doc_id").alias("item"), F.col("x.at").alias("at")).agg(F.round(score, 6).alias("score"))
+        asks = blocks.select("query", "block").join(asked, "query").select("block", bunch, "query", "term", "idf")
+        posts = known.join(blocks.select("block").distinct(), "block", "left_semi").select("block", F.explode(F.sequence(F.lit(0), F.lit(bunches - 1))).alias("bunch"), "term", "docs")
+        found = posts.groupBy("block", "bunch").cogroup(asks.groupBy("block", "bunch")).applyInArrow(best_of, f"query {kinds['query']}, item {kinds['item']}, at long, score double")
+        return found.withColumn("score", F.round("score", 6))
 
     ranks = Window.partitionBy("query").orderBy(F.desc("score"), "item", "at")
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(ranks).cast("long")).filter(F.col("rank") <= k)

@@ -173,3 +173,22 @@ def test_hybrid_and_its_degraded_modes(spark):
         assert {r.mode for r in retrieval.hybrid(asked, 2, None, vecs).collect()} == {"vector only"}
     with pytest.raises(retrieval.RetrievalError):
         retrieval.hybrid(asked, 1, None, None)
+
+
+def test_bm25_scores_blocks_where_they_lie(spark, monkeypatch):
+    """Copies that tie across blocks, repeated items and bunches of two queries; no row for a query and a text of it is shuffled."""
+    monkeypatch.setattr(retrieval, "BLOCK", 5)
+    monkeypatch.setattr(retrieval, "BUNCH", 2)
+    texts = ["a b", "a b c", "b c d d", "a b", "e", "a a b"] * 7
+    asked = ["a", "b d", "c e", "a b", "e", "d d d", "a"]
+    index = retrieval.build(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found, _ = retrieval.search(index, spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(asked)], "query string, text string"), 4)
+    got = {}
+    for r in found.orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r["item"], r.score))
+    for i, q in enumerate(asked):
+        assert got[f"q{i}"] == [(j, pytest.approx(s, abs=2e-6)) for j, s in bm25(texts, q, 4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "explode(docs" not in plan
+    one = retrieval.search(retrieval.build(spark.createDataFrame([(1, "x y"), (1, "x z"), (2, None)], "doc_id long, text string")), spark.createDataFrame([(0, "x")], "query long, text string"), 5)[0]
+    assert [(r["item"], r["rank"]) for r in one.orderBy("rank").collect()] == [(1, 1), (1, 2)]
