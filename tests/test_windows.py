@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import lexicons as lx
-from quillmill.operators import places, windows
+from quillmill.operators import lexical, places, windows
 
 
 def table(spark, texts, manuscript="m"):
@@ -172,3 +172,23 @@ def test_anchors_are_those_of_the_windows_written_out(spark, size, step):
     found = places.window_anchor(words, size, step)
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
+def test_only_frequent_patterns_are_counted_as_texts(spark):
+    """Ties at the last place go to the earlier, a null manuscript is one of its own; patterns meet only after their hashes were counted."""
+    texts = {"m": ["mist over water", "mist over water and mist over stone", "long stone wall long stone wall", "deep well", "grey wall deep well"] + ["once upon hills"] * 3 + [f"pair{c} {c}walk here" for c in "abcdefgh" for _ in range(2)], None: ["mist over hills", "mist over hills"], "n": ["lone words here"]}
+    each = [(m, 100 * i + j, t) for i, (m, own) in enumerate(texts.items()) for j, t in enumerate(own)]
+    want = []
+    for m in texts:
+        counts, first = Counter(), {}
+        for _, d, t in [e for e in each if e[0] == m]:
+            own = [x for x in re.findall("[A-Za-z]+", t.lower()) if len(x) >= 2]
+            for p, g in enumerate(zip(own, own[1:])):
+                if any(len(x) >= 4 for x in g) and any(x not in lx.STOPWORDS for x in g):
+                    counts[" ".join(g)] += 1
+                    first.setdefault(" ".join(g), (d, p))
+        best = sorted(counts, key=lambda g: (-counts[g], first[g]))[:4]
+        want += [(str(m), g, counts[g], i + 1) for i, g in enumerate(best) if counts[g] >= 2]
+    found = lexical.repeated_patterns(spark.createDataFrame(each, "manuscript_id string, doc_id long, text string"), 2, 4)
+    assert sorted((str(r.manuscript_id), r.pattern, r["count"], r["rank"]) for r in found.collect()) == sorted(want) and len(want) == 6
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
