@@ -113,3 +113,14 @@ def test_the_first_object_in_noise(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
     assert {r.t: r.j for r in rows.select("t", tx.json_in(F.col("t")).alias("j")).collect()} == cases | {None: None}
+
+
+def test_a_click_is_checked_once(spark, tmp_path):
+    """No filter brings the whole check along a second time; clicks without errors give no rows."""
+    from quillmill.plans import search_queries
+
+    rows = [(1, '{"k": 1, "device": {"os": "ios"}}'), (2, '{"k": 91, "device": {}, "tags": ["c"]}'), (3, None), (4, "{")]
+    spark.createDataFrame(rows, "click_id long, props string").write.parquet(f"{tmp_path}/clicks.parquet")
+    found = search_queries.schema_errors(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(2, "$.device.os", "required"), (2, "$.k", "maximum"), (2, "$.tags[0]", "enum"), (3, "$", "json"), (4, "$", "json")]
+    assert not [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in line and "enum" in line]
