@@ -4,10 +4,14 @@ Paragraphs are ranged by (manuscript, paragraph); a word's place in its manuscri
 the ranges before, so only one row for each range and manuscript passes through a window function. Words are then dealt
 into blocks of ``BLOCK`` windows each, with the words after a block that its last windows reach into. A window lies in one
 block alone, whatever the size of its manuscript, and a block is counted in one Arrow pass over whole numbers.
+
+Bursts need each term's counts of all blocks. A block's terms travel once, as compressed columns, to the lot of their
+manuscript and hash, and a lot has the whole of its terms: no row for a term of a block is written or joined.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +26,8 @@ from quillmill.functions import text as tx
 from quillmill.functions.lexicons import STOPWORDS
 from quillmill.operators.checkpoints import saved
 
-#: Windows of a block.
-BLOCK = 256
+#: Windows of a block, words of a lot of terms, about, terms that a task holds before it sends them, rows of a table that may be broadcast.
+BLOCK, LOT, HELD, FEW = 256, 600_000, 1_000_000, 100_000
 
 
 def placed(rows: DataFrame, own: Column) -> DataFrame:
@@ -53,20 +57,25 @@ def placed(rows: DataFrame, own: Column) -> DataFrame:
     ranged = saved(ranged.mapInArrow(run, schema))
     w = Window.partitionBy("manuscript_id")
     sums = ranged.groupBy("part", "manuscript_id").agg(F.sum(F.size("words")).alias("n"))
-    sums = sums.select("part", "manuscript_id", (F.sum("n").over(w.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("total"))
-    each = ranged.withColumn("n", F.size("words")).join(sums.drop("n"), ["part", "manuscript_id"])  # words stay where they are if only n is asked for
+    sums = saved(sums.select("part", "manuscript_id", (F.sum("n").over(w.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("total")))
+    each = ranged.withColumn("n", F.size("words")).join(_few(sums), ["part", "manuscript_id"])  # words stay where they are if only n is asked for
     return each.select("manuscript_id", "doc_id", (F.col("before") + F.col("at")).alias("start"), "total", "words", "n")
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A written table that is broadcast if it has few rows, so that what it meets stays where it is."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def blocks(words: DataFrame, size: int, step: int) -> DataFrame:
-    """Pieces (manuscript_id, block, start, total, words) of placed paragraphs: those of each block of ``BLOCK`` windows and what its windows reach."""
+    """Pieces (manuscript_id, block, start, total, words: one string) of placed paragraphs: those of each block of ``BLOCK`` windows and what its windows reach."""
     span = BLOCK * step
     end = F.col("start") + F.size("words")
     first, last = F.greatest(F.lit(0), F.floor((F.col("start") - size) / span)), F.floor((end - 1) / span)
     each = words.withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     a, b = F.greatest("start", F.col("block") * span), F.least(end, (F.col("block") + 1) * span + size)
     piece = F.slice("words", (a - F.col("start") + 1).cast("int"), F.greatest(F.lit(0), b - a).cast("int"))
-    return each.select("manuscript_id", "block", a.alias("start"), "total", piece.alias("words")).filter(F.size("words") > 0)
+    return each.filter(b > a).select("manuscript_id", "block", a.alias("start"), "total", F.array_join(piece, " ").alias("words"))
 
 
 def in_windows(words: DataFrame, size: int, step: int, keep_tail: bool) -> DataFrame:
@@ -103,11 +112,11 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.T
         yield *key, pa.Table.from_batches(held)
 
 
-def _words(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
-    """A number for each word of the pieces in order, and the words that the numbers stand for."""
-    flat = pa.chunked_array([c.flatten() for c in table.column("words").chunks]).combine_chunks().dictionary_encode()
-    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-    return flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
+def _words(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """A number for each word of the pieces in order, the words that the numbers stand for, and how many words each piece has."""
+    pieces = pc.split_pattern(pa.concat_arrays(table.column("words").chunks), " ")
+    flat = pieces.flatten().dictionary_encode()
+    return flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary, pc.list_value_length(pieces).to_numpy()
 
 
 def _spread(ids: np.ndarray) -> tuple[int, float, int]:
@@ -124,7 +133,7 @@ def _entropies(rows: DataFrame, size: int, step: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for manuscript, block, table in _grouped(batches):
-            ids, known = _words(table)
+            ids, known, _ = _words(table)
             total, base = table.column("total")[0].as_py(), block * BLOCK * step
             last = max(0, -(-(total - size) // step))
             out = []
@@ -169,87 +178,189 @@ def _ahead(words: DataFrame, step: int) -> DataFrame:
     heads = heads.groupBy("manuscript_id", "block").agg(F.first("total").alias("total"), F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "head"))), lambda x: x["head"])), 1, 2).alias("head"))
     w, none = Window.partitionBy("manuscript_id").orderBy("block"), F.array().cast("array<string>")
     after = F.slice(F.concat(F.coalesce(F.lead("head", 1).over(w), none), F.coalesce(F.lead("head", 2).over(w), none)), 1, 2)
-    return heads.select("manuscript_id", "block", F.lit(-1).cast("long").alias("start"), "total", after.alias("words")).filter(F.size("words") > 0)
+    return heads.select("manuscript_id", "block", F.lit(-1).cast("long").alias("start"), "total", F.array_join(after, " ").alias("words")).filter("words <> ''")
+
+
+def _packed(table: pa.Table) -> bytes:
+    """Columns as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(values: pa.ChunkedArray) -> pa.Table:
+    """The rows of packed tables, one after another."""
+    tables = [pa.ipc.open_stream(v).read_all() for v in values.to_pylist()]
+    return pa.concat_tables(tables).unify_dictionaries().combine_chunks()
+
+
+def _hashes(known: pa.Array) -> np.ndarray:
+    """A number for each word that is the same in every block."""
+    return np.array([zlib.crc32(w.encode()) for w in known.to_pylist()], np.uint64)
+
+
+class _Content:
+    """A block's content words: their numbers (``own``) and places, where its own windows start, and how many content words these hold."""
+
+    def __init__(self, block: int, table: pa.Table, size: int, step: int, width: int):
+        ids, self.known, lengths = _words(table)
+        self.ahead, self.base = (int(lengths[0]) if table.column("start")[0].as_py() < 0 else 0), block * width * step
+        total = table.column("total")[0].as_py()
+        self.last = max(0, (total - size) // step)
+        counts_as = pc.and_(pc.greater_equal(pc.utf8_length(self.known), 3), pc.invert(pc.is_in(self.known, pa.array(STOPWORDS)))).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(counts_as[ids[self.ahead :]])
+        self.own, self.places, self.next = ids[self.ahead :][at], at + self.base, ids[: self.ahead]
+        self.home = int(np.searchsorted(self.places, self.base + width * step))
+        self.start = np.arange(block * width, min(self.last, block * width + width - 1) + 1) * step
+        self.inside = np.searchsorted(self.places, np.minimum(self.start + size, total)) - np.searchsorted(self.places, self.start)
+        self.block, self.size, self.step, self.width = block, size, step, width
+
+    def begun(self, n: int) -> int:
+        """How many n-grams start in the block, wherever they end."""
+        return max(0, min(self.home, self.home + min(self.ahead, n - 1) - n + 1))
+
+    def held(self, n: int) -> np.ndarray:
+        """n-grams of each window."""
+        return np.maximum(0, self.inside - n + 1)
+
+    def terms(self, n: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The block's n-grams, their hashes, how often each starts here, and counts in windows by term: bounds, windows from the block's first, counts."""
+        line, begun, many = np.concatenate([self.own[: self.home], self.next[: n - 1]]), self.begun(n), len(self.known)
+        code = lambda x, m: sum(x[k : k + m] * many ** (n - 1 - k) for k in range(n)) if m > 0 else np.zeros(0, np.int64)
+        first, m = self.block * self.width, len(self.own) - n + 1
+        low = np.maximum(first, -(-(self.places[n - 1 :] + 1 - self.size) // self.step)) if m > 0 else np.zeros(0, np.int64)
+        high = np.minimum(self.start[-1] // self.step if len(self.start) else -1, self.places[: max(m, 0)] // self.step)
+        spans = np.maximum(0, high - low + 1)
+        terms, which = np.unique(np.concatenate([code(line, begun), code(self.own, m)]), return_inverse=True)
+        window = np.repeat(low, spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
+        pair, c = np.unique(np.repeat(which[begun:], spans) * self.width + window - first, return_counts=True)
+        parts = [terms // many ** (n - 1 - j) % many for j in range(n)]
+        names = pc.binary_join_element_wise(*[self.known.take(pa.array(x)) for x in parts], " ") if n > 1 else self.known.take(pa.array(parts[0]))
+        hashes, known = np.full(len(terms), n, np.uint64), _hashes(self.known)
+        for x in parts:
+            hashes = (hashes ^ known[x]) * np.uint64(0x9E3779B97F4A7C15)
+            hashes ^= hashes >> np.uint64(29)
+        t = pair // self.width
+        return names.cast(pa.string()), hashes, np.bincount(which[:begun], minlength=len(terms)), np.searchsorted(t, np.arange(len(terms) + 1)), pair % self.width, c
+
+
+def _pieces(words: DataFrame, size: int, step: int) -> DataFrame:
+    return blocks(words, size, step).unionByName(_ahead(words, step))
+
+
+def _burst_stats(words: DataFrame, size: int, step: int) -> DataFrame:
+    """For each manuscript and n: its n-grams, its windows, their n-grams in all, and how many windows (``m``) have each total (``totals``); written."""
+    width = BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for manuscript, block, table in _grouped(batches):
+            own = _Content(block, table, size, step, width)
+            for n in SIZES:
+                totals, m = np.unique(own.held(n), return_counts=True)
+                k = max(1, len(totals))  # a block without windows has its n-grams all the same
+                first = np.arange(k) == 0
+                yield pa.RecordBatch.from_arrays([pa.array([manuscript] * k), pa.array([n] * k, pa.int32()), pa.array(first * own.begun(n)), pa.array([own.last + 1] * k, pa.int64()), pa.array(totals if len(totals) else [0], pa.int64()), pa.array(m if len(totals) else [0], pa.int64())], ["manuscript_id", "n", "grams", "windows", "total", "m"])
+
+    each = _dealt(_pieces(words, size, step)).mapInArrow(run, "manuscript_id string, n int, grams long, windows long, total long, m long")
+    each = each.groupBy("manuscript_id", "n", "total").agg(F.sum("grams").alias("grams"), F.max("windows").alias("windows"), F.sum("m").alias("m"))
+    sums = each.groupBy("manuscript_id", "n").agg(F.sum("grams").alias("grams"), F.max("windows").alias("windows"), F.sum(F.col("total") * F.col("m")).alias("sum_totals"), F.sort_array(F.collect_list(F.struct("total", "m"))).alias("t"))
+    return saved(sums.select("manuscript_id", "n", "grams", "windows", "sum_totals", F.col("t.total").alias("totals"), F.col("t.m").alias("m")))
 
 
-_COUNTED = "manuscript_id string, n int, term string, g long, s long, ss long, peak_count int, peak_window long, windows array<long>, counts array<int>, totals array<int>, of long"
+def _lots(words: DataFrame) -> DataFrame:
+    """(manuscript_id, grp, lots): manuscripts are dealt into groups by their names, and a group's terms into lots of about ``LOT`` words; written."""
+    sizes = saved(words.groupBy("manuscript_id").agg(F.max("total").alias("total")))
+    groups = max(1, -(-(sizes.agg(F.sum("total")).first()[0] or 0) // LOT))
+    own = sizes.withColumn("grp", F.pmod(F.xxhash64("manuscript_id"), F.lit(groups)).cast("int"))
+    return saved(own.select("manuscript_id", "grp", F.ceil(F.sum("total").over(Window.partitionBy("grp")) / LOT).cast("int").alias("lots")))
 
 
-def _burst_counts(rows: DataFrame, size: int, step: int) -> tuple[DataFrame, DataFrame]:
-    """The placed words, and a row for each term and block: how often it starts there (g), and its counts in the block's windows.
+def _in_lots(rows: DataFrame, size: int, step: int, entries: bool) -> tuple[DataFrame, DataFrame]:
+    """The placed words, and the groups of a lot (grp, lot), each the ``packed`` terms of blocks beside the statistics of their manuscripts.
 
-    A row without a term has, for each n, the n-grams that start in the block (g), the block's windows with content words and
-    their totals, and how many windows the manuscript has (``of``).
+    A packed row is a term in a block: how often it starts there (g), with ``entries`` its window counts with the windows' totals,
+    else the sums of these counts and of their squares, and its number in the block (row).
     """
-    stops = pa.array(STOPWORDS)
+    width, held_most, kept = BLOCK, HELD, ["m", "n", "term", "g", "block", *(["offset", "count", "total"] if entries else ["row", "s", "ss"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[pa.Table] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            table = pa.concat_tables(own).unify_dictionaries().combine_chunks()
+            own.clear()
+            at = np.lexsort((table.column("lot").to_numpy(), table.column("grp").to_numpy()))
+            table = table.take(pa.array(at))
+            grp, lot = table.column("grp").to_numpy(), table.column("lot").to_numpy()
+            cut = [0, *(np.flatnonzero((np.diff(grp) != 0) | (np.diff(lot) != 0)) + 1).tolist(), len(grp)]
+            for a, b in zip(cut, cut[1:]):
+                yield pa.RecordBatch.from_arrays([pa.array([grp[a]]), pa.array([lot[a]]), pa.array([_packed(table.select(kept).slice(a, b - a).combine_chunks())], pa.binary())], ["grp", "lot", "packed"])
+
         for manuscript, block, table in _grouped(batches):
-            ids, known = _words(table)
-            lengths, starts = pc.list_value_length(table.column("words")).to_numpy(), table.column("start").to_numpy()
-            ahead, base = (int(lengths[0]) if starts[0] < 0 else 0), block * BLOCK * step
-            total = table.column("total")[0].as_py()
-            last = max(0, (total - size) // step)
-            counts_as = pc.and_(pc.greater_equal(pc.utf8_length(known), 3), pc.invert(pc.is_in(known, stops))).to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(counts_as[ids[ahead:]])
-            own, places = ids[ahead:][at], at + base
-            home = int(np.searchsorted(places, base + BLOCK * step))
-            start = np.arange(block * BLOCK, min(last, block * BLOCK + BLOCK - 1) + 1) * step
-            inside = np.searchsorted(places, np.minimum(start + size, total)) - np.searchsorted(places, start)
+            content = _Content(block, table, size, step, width)
+            grp, lots = (table.column(c)[0].as_py() for c in ("grp", "lots"))
             for n in SIZES:
-                line = np.concatenate([own[:home], ids[:ahead][: n - 1]])  # what starts here, wherever it ends
-                begun = max(0, min(home, len(line) - n + 1))
-                code = lambda x, m: sum(x[k : k + m] * len(known) ** (n - 1 - k) for k in range(n)) if m > 0 else np.zeros(0, np.int64)  # noqa: B023, E731
-                m = len(own) - n + 1
-                low = np.maximum(block * BLOCK, -(-(places[n - 1 :] + 1 - size) // step)) if m > 0 else np.zeros(0, np.int64)
-                high = np.minimum(start[-1] // step if len(start) else -1, places[: max(m, 0)] // step)
-                spans = np.maximum(0, high - low + 1)
-                terms, which = np.unique(np.concatenate([code(line, begun), code(own, m)]), return_inverse=True)
-                g = np.bincount(which[:begun], minlength=len(terms))
-                of = np.repeat(which[begun:], spans)
-                window = np.repeat(low, spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
-                pair, c = np.unique(of * BLOCK + window - block * BLOCK, return_counts=True)
-                t, k = pair // BLOCK, pair % BLOCK
-                bounds = np.searchsorted(t, np.arange(len(terms) + 1))
-                held = np.maximum(0, inside - n + 1)
-                sums = lambda x: np.bincount(t, x, len(terms)).astype(np.int64)  # noqa: B023, E731
-                order = np.lexsort((k, -c, t))
-                peak = order[bounds[:-1][bounds[1:] > bounds[:-1]]]
-                best, where = np.zeros(len(terms), np.int32), np.zeros(len(terms), np.int64)
-                best[t[peak]], where[t[peak]] = c[peak], k[peak] + block * BLOCK
-                parts = [known.take(pa.array(terms // len(known) ** (n - 1 - j) % len(known))) for j in range(n)]
-                names = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
-                cut = pa.array(bounds, pa.int32())
-                lists = [pa.ListArray.from_arrays(cut, pa.array(x, kind)) for x, kind in ((k + block * BLOCK, pa.int64()), (c, pa.int32()), (held[k], pa.int32()))]
-                size_of = len(terms)
-                own_rows = [pa.array([manuscript] * size_of, pa.string()), pa.array(np.full(size_of, n, np.int32)), names.cast(pa.string()), pa.array(g, pa.int64()), pa.array(sums(c)), pa.array(sums(c * c)), pa.array(best), pa.array(where), *lists, pa.nulls(size_of, pa.int64())]
-                fields = [x.split()[0] for x in _COUNTED.split(", ")]
-                for a in range(0, size_of, 20_000):
-                    yield pa.RecordBatch.from_arrays([x.slice(a, 20_000) for x in own_rows], fields)
-                full = [[manuscript], pa.array([n], pa.int32()), pa.nulls(1, pa.string()), pa.array([begun], pa.int64()), *[pa.nulls(1, x) for x in (pa.int64(), pa.int64(), pa.int32(), pa.int64())], pa.array([(start // step).tolist()], pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int32())), pa.array([held.tolist()], pa.list_(pa.int32())), pa.array([last + 1], pa.int64())]
-                yield pa.RecordBatch.from_arrays(full, fields)
+                names, hashes, g, bounds, k, c = content.terms(n)
+                many, cut = len(names), pa.array(bounds, pa.int32())
+                if not many:
+                    continue
+                columns = {
+                    "grp": pa.array(np.full(many, grp, np.int32)), "lot": pa.array((hashes % np.uint64(lots)).astype(np.int32)), "m": pa.DictionaryArray.from_arrays(pa.array(np.zeros(many, np.int32)), pa.array([manuscript])),
+                    "n": pa.array(np.full(many, n, np.int8)), "term": names, "g": pa.array(g.astype(np.int32)), "block": pa.array(np.full(many, block, np.int64)),
+                }
+                if entries:
+                    columns |= {x: pa.ListArray.from_arrays(cut, pa.array(v, kind)) for x, v, kind in (("offset", k, pa.uint16()), ("count", c, pa.int32()), ("total", content.held(n)[k], pa.int32()))}
+                else:
+                    t = np.repeat(np.arange(many), np.diff(bounds))
+                    columns |= {"row": pa.array(np.arange(many, dtype=np.int32)), "s": pa.array(np.bincount(t, c, many).astype(np.int64)), "ss": pa.array(np.bincount(t, c * c, many).astype(np.int64))}
+                own.append(pa.table(columns))
+            if sum(x.num_rows for x in own) >= held_most:
+                yield from sent()
+        if own:
+            yield from sent()
 
     words = placed(rows, tx.burst_words(F.col("text")))
-    pieces = blocks(words, size, step).unionByName(_ahead(words, step))
-    return words, saved(_dealt(pieces).mapInArrow(run, _COUNTED))
-
-
-def _burst_stats(counted: DataFrame) -> DataFrame:
-    """Each term's statistics: rate, mean and sample deviation over all windows, the totals of its n-gram size."""
-    wins = counted.filter("term IS NULL")
-    sums = wins.groupBy("manuscript_id", "n").agg(F.sum("g").alias("grams"), F.sum(F.aggregate("totals", F.lit(0).cast("long"), lambda s, x: s + x)).alias("sum_totals"), F.max("of").alias("windows"))
-    own = counted.filter("term IS NOT NULL").groupBy(*_KEY).agg(
-        F.sum("g").alias("global_count"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.max(F.struct("peak_count", (-F.col("peak_window")).alias("w"))).alias("peak"), F.sum(F.size("windows")).alias("held")
-    )
-    out = own.filter("global_count > 0").join(sums, ["manuscript_id", "n"])
-    var = (F.col("ss") - F.col("s") * F.col("s") / F.col("windows")) / (F.col("windows") - 1)
-    deviation = F.when(F.col("windows") > 1, F.sqrt(F.round(F.greatest(F.lit(0.0), var), 9))).otherwise(0.0)
-    return out.withColumn("rate", F.col("global_count") / F.col("grams")).withColumn("deviation", deviation)
-
-
-def _z(c: Column, total: Column) -> Column:
-    """The z-score of a count in a window of so many n-grams; for terms with a deviation."""
-    return (c - F.col("rate") * total) / F.col("deviation")
+    lots = _few(_lots(words))
+    stats = _burst_stats(words, size, step).join(lots, "manuscript_id").select("grp", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "manuscript_id", "n", "grams", "windows", "sum_totals", "totals", "m")
+    sent = _dealt(_pieces(words, size, step).join(lots, "manuscript_id")).mapInArrow(run, "grp int, lot int, packed binary")
+    return words, sent.groupBy("grp", "lot").cogroup(stats.groupBy("grp", "lot"))
+
+
+class _Terms:
+    """A lot's terms: rows in order of terms and blocks (``rows``), where each term's begin, its statistics by ``of`` (its manuscript's row for its n)."""
+
+    def __init__(self, packed: pa.Table, stats: pa.Table):
+        rows = _unpacked(packed.column("packed"))
+        names = rows.column("term").combine_chunks().dictionary_encode()
+        manuscripts = rows.column("m").combine_chunks()
+        known = len(names.dictionary)
+        term, which = np.unique(manuscripts.indices.to_numpy().astype(np.int64) * known + names.indices.to_numpy(), return_inverse=True)
+        order = np.lexsort((rows.column("block").to_numpy(), which))
+        self.rows, self.which = rows.drop_columns(["term", "m"]).take(pa.array(order)), which[order]
+        self.count, self.names = len(term), names.dictionary.take(pa.array(term % known))
+        self.manuscripts = manuscripts.dictionary.take(pa.array(term // known))
+        self.first = np.searchsorted(self.which, np.arange(self.count))
+        self.manuscript = (manuscripts.indices, manuscripts.dictionary, order)
+        self.n = self.column("n")[self.first].astype(np.int32)
+        place = {key: i for i, key in enumerate(zip(stats.column("manuscript_id").to_pylist(), stats.column("n").to_pylist()))}
+        at = np.array([[place.get((m, n), -1) for n in (0, *SIZES)] for m in manuscripts.dictionary.to_pylist()])
+        self.of = at[term // known, self.n]
+        self.stats = {c: stats.column(c).to_numpy()[self.of] for c in ("grams", "windows", "sum_totals")}
+        self.g = self.summed(self.column("g"))
+
+    def column(self, name: str) -> np.ndarray:
+        return self.rows.column(name).to_numpy()
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.which, values, self.count).astype(np.int64)
+
+    def rates(self, s: np.ndarray, ss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each term's rate, and the sample deviation of its counts in all windows (0 if there is but one)."""
+        windows = self.stats["windows"]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            var = np.where(windows > 1, (ss - s * s / windows) / (windows - 1), 0.0)
+        return self.g / self.stats["grams"], np.sqrt(np.floor(np.maximum(0.0, var) * 1e9 + 0.5) / 1e9)
 
 
 def burst_terms(rows: DataFrame, size: int = 500, step: int = 100, threshold: float = 3.0) -> DataFrame:
@@ -263,41 +374,116 @@ def burst_terms(rows: DataFrame, size: int = 500, step: int = 100, threshold: fl
     """
     if threshold <= 0:
         raise ValueError("a burst's z-score is above 0")
-    _, counted = _burst_counts(rows, size, step)
-    stats = saved(_burst_stats(counted))
-    some = counted.filter("term IS NOT NULL AND s > 0").join(stats.filter("deviation > 0").select(*_KEY, "rate", "deviation"), _KEY)
-    zs = F.zip_with("counts", "totals", _z)
-    each = some.select(*_KEY, zs.alias("zs")).select(*_KEY, F.array_max("zs").alias("z"), F.size(F.filter("zs", lambda z: z >= threshold)).alias("over"))
-    best = each.groupBy(*_KEY).agg(F.max("z").alias("z"), F.sum("over").alias("over"))
-    out = saved(stats.join(best, _KEY, "left"))
-    low = out.filter("z < 0 AND held < windows").select(*_KEY, "rate", "deviation", "windows")
-    totals = _least_absent(counted, low)
-    out = out.join(totals, _KEY, "left") if totals is not None else out.withColumn("least", F.lit(None).cast("int"))
-    flat = F.col("deviation") > 0
-    highest = F.greatest(F.col("z"), F.when(F.col("least").isNotNull(), _z(F.lit(0), F.col("least"))))
-    mean = _z(F.col("s") / F.col("windows"), F.col("sum_totals") / F.col("windows"))
-    return out.select(
-        "manuscript_id", "term", F.col("n").cast("long").alias("ngram_size"), "global_count", F.col("peak.peak_count").cast("long").alias("peak_count"), (-F.col("peak.w")).alias("peak_window"),
-        tx.rounded(F.when(flat, highest).otherwise(0.0)).alias("max_z"), tx.rounded(F.when(flat, mean).otherwise(0.0)).alias("mean_z"), F.when(flat, F.coalesce("over", F.lit(0))).otherwise(0).cast("long").alias("burst_windows"),
-    )
-
-
-def _least_absent(counted: DataFrame, low: DataFrame) -> DataFrame | None:
-    """The least total among the windows without a term, for terms whose own windows all have a negative z-score.
-
-    By how many windows have each total and how many of these hold the term: totals are at most a window's size, so a term
-    has a bounded number of them. Windows without content words have none.
+    width = BLOCK
+    schema = "manuscript_id string, term string, ngram_size long, global_count long, peak_count long, peak_window long, max_z double, mean_z double, burst_windows long"
+
+    def settle(packed: pa.Table, stats: pa.Table) -> pa.Table:
+        if not packed.num_rows:
+            return pa.table({x.split()[0]: pa.array([], {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[x.split()[1]]) for x in schema.split(", ")})
+        t = _Terms(packed, stats)
+        lists = t.rows.column("count").combine_chunks()
+        sizes = pc.list_value_length(lists).to_numpy()
+        count, total = lists.flatten().to_numpy().astype(np.int64), t.rows.column("total").combine_chunks().flatten().to_numpy()
+        window = np.repeat(t.column("block"), sizes) * width + t.rows.column("offset").combine_chunks().flatten().to_numpy()
+        of = np.repeat(t.which, sizes)
+        bounds = np.searchsorted(of, np.arange(t.count + 1))
+        some, held = np.flatnonzero(np.diff(bounds)), np.diff(bounds)
+        s, ss = (np.bincount(of, x, t.count).astype(np.int64) for x in (count, count * count))
+        peak, place = np.zeros(t.count, np.int64), np.zeros(t.count, np.int64)
+        if len(some):
+            peak[some] = np.maximum.reduceat(count, bounds[some])
+            at = np.flatnonzero(count == peak[of])
+            first = at[np.unique(of[at], return_index=True)[1]]
+            place[some] = window[first]
+        rate, deviation = t.rates(s, ss)
+        flat = deviation <= 0
+        windows = t.stats["windows"]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            z = (count - rate[of] * total) / deviation[of]
+            mean = (s / windows - rate * (t.stats["sum_totals"] / windows)) / deviation
+        high = np.full(t.count, -np.inf)
+        if len(some):
+            high[some] = np.maximum.reduceat(z, bounds[some])
+        totals, m = stats.column("totals").combine_chunks(), stats.column("m").combine_chunks()
+        for i in np.flatnonzero(~flat & (high < 0) & (held < windows)):  # terms of more than one n-gram in a window's number, so few
+            least = _least_absent(totals[int(t.of[i])].values.to_numpy(), m[int(t.of[i])].values.to_numpy(), total[bounds[i] : bounds[i + 1]], windows[i])
+            if least is not None:
+                high[i] = max(high[i], (0 - rate[i] * least) / deviation[i])
+        over = np.bincount(of[(z >= threshold) & ~flat[of]], minlength=t.count)
+        keep = pa.array(np.flatnonzero(t.g > 0))
+        out = [t.manuscripts, t.names, t.n.astype(np.int64), t.g, peak, place, np.where(flat, 0.0, high), np.where(flat, 0.0, mean), over]
+        return pa.table({x.split()[0]: (v if isinstance(v, pa.Array) else pa.array(v)).take(keep) for x, v in zip(schema.split(", "), out)})
+
+    _, lots = _in_lots(rows, size, step, entries=True)
+    return lots.applyInArrow(settle, schema).withColumns({c: tx.rounded(F.col(c)) for c in ("max_z", "mean_z")})
+
+
+def _least_absent(totals: np.ndarray, m: np.ndarray, own: np.ndarray, windows: int) -> int | None:
+    """The least total among the windows without a term: the first that more windows have (``m``) than hold the term (``own``, their totals)."""
+    if windows > m.sum():
+        return 0  # windows of a block without words
+    free = np.flatnonzero(m > np.bincount(np.searchsorted(totals, own), minlength=len(m)))
+    return int(totals[free[0]]) if len(free) else None
+
+
+def _bursts(rows: DataFrame, size: int, step: int, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """The placed words, and each window's first k bursts (manuscript_id, window, term, n, z, rank) with the number of all of them (bursts).
+
+    A lot sends only rates and deviations back to the blocks of its terms; a block counts its words again and has all bursts of
+    its windows, of which the first k leave it.
     """
-    if not low.limit(1).count():
-        return None
-    wins = counted.filter("term IS NULL")
-    of = wins.select("manuscript_id", "n", F.explode("totals").alias("total")).groupBy("manuscript_id", "n", "total").agg(F.count("*").alias("m"))
-    whole = wins.groupBy("manuscript_id", "n").agg(F.sum(F.size("totals")).alias("listed"), F.max("of").alias("windows"))
-    bare = whole.filter("windows > listed").select("manuscript_id", "n", F.lit(0).alias("total"), (F.col("windows") - F.col("listed")).alias("m"))
-    of = of.unionByName(bare).groupBy("manuscript_id", "n", "total").agg(F.sum("m").alias("m"))
-    held = counted.filter("term IS NOT NULL").join(low.select(*_KEY), _KEY).select(*_KEY, F.explode("totals").alias("total")).groupBy(*_KEY, "total").agg(F.count("*").alias("own"))
-    free = low.join(of, ["manuscript_id", "n"]).join(held, [*_KEY, "total"], "left").filter(F.col("m") > F.coalesce("own", F.lit(0)))
-    return free.groupBy(*_KEY).agg(F.min("total").alias("least"))
+    width = BLOCK
+
+    def rate(packed: pa.Table, stats: pa.Table) -> pa.Table:
+        out = []
+        if packed.num_rows:
+            t = _Terms(packed, stats)
+            rates, deviations = t.rates(*(t.summed(t.column(c)) for c in ("s", "ss")))
+            indices, names, order = t.manuscript
+            table = pa.table({"m": pa.array(indices.to_numpy()[order]), "block": t.rows.column("block"), "n": t.rows.column("n"), "row": t.rows.column("row"), "rate": rates[t.which], "deviation": deviations[t.which]})
+            table = table.filter(pc.greater(table.column("deviation"), 0.0)).sort_by([(c, "ascending") for c in ("m", "block", "n", "row")])
+            m, block = table.column("m").to_numpy(), table.column("block").to_numpy()
+            cut = [0, *(np.flatnonzero((np.diff(m) != 0) | (np.diff(block) != 0)) + 1).tolist(), len(m)] if len(m) else []
+            out = [(names[int(m[a])].as_py(), int(block[a]), _packed(table.select(["n", "row", "rate", "deviation"]).slice(a, b - a).combine_chunks())) for a, b in zip(cut, cut[1:])]
+        columns = list(zip(*out)) or [[], [], []]
+        return pa.table({"manuscript_id": pa.array(columns[0], pa.string()), "block": pa.array(columns[1], pa.int64()), "packed": pa.array(columns[2], pa.binary())})
+
+    def best(pieces: pa.Table, rates: pa.Table) -> pa.Table:
+        parts = []
+        if pieces.num_rows and rates.num_rows:
+            content, known = _Content(pieces.column("block")[0].as_py(), pieces.sort_by("start"), size, step, width), _unpacked(rates.column("packed"))
+            sizes = known.column("n").to_numpy()
+            for n in SIZES:
+                names, _, _, bounds, at, c = content.terms(n)
+                r, d = np.zeros(len(names)), np.zeros(len(names))
+                own = known.filter(pa.array(sizes == n))
+                r[own.column("row").to_numpy()], d[own.column("row").to_numpy()] = own.column("rate").to_numpy(), own.column("deviation").to_numpy()
+                term = np.repeat(np.arange(len(names)), np.diff(bounds))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    z = (c - r[term] * content.held(n)[at]) / d[term]
+                hit = (d[term] > 0) & (z >= threshold)
+                parts.append((names, term[hit], at[hit], z[hit], np.full(hit.sum(), n, np.int32)))
+        if not sum(len(p[3]) for p in parts):
+            return pa.table({"manuscript_id": pa.array([], pa.string()), "window": pa.array([], pa.int64()), "term": pa.array([], pa.string()), "n": pa.array([], pa.int32()), "z": pa.array([], pa.float64()), "rank": pa.array([], pa.int32()), "bursts": pa.array([], pa.int64())})
+        names = pa.concat_arrays([p[0] for p in parts])
+        before = np.cumsum([0, *[len(p[0]) for p in parts]])
+        term, window, z, n = np.concatenate([p[1] + b for p, b in zip(parts, before)]), *(np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
+        place = np.empty(len(names), np.int64)
+        place[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
+        order = np.lexsort((n, place[term], -np.floor(z * 1e4 + 0.5), window))
+        first = np.searchsorted(window[order], np.arange(width))
+        rank = np.arange(len(order)) - first[window[order]] + 1
+        order, rank = order[rank <= k], rank[rank <= k].astype(np.int32)
+        bursts = np.bincount(window, minlength=width)[window[order]]
+        return pa.table({
+            "manuscript_id": pa.array([pieces.column("manuscript_id")[0].as_py()] * len(order), pa.string()), "window": pa.array(window[order] + content.block * width), "term": names.take(pa.array(term[order])), "n": pa.array(n[order]),
+            "z": pa.array(z[order]), "rank": pa.array(rank), "bursts": pa.array(bursts),
+        })
+
+    words, lots = _in_lots(rows, size, step, entries=False)
+    rates = lots.applyInArrow(rate, "manuscript_id string, block long, packed binary")
+    found = _pieces(words, size, step).groupBy("manuscript_id", "block").cogroup(rates.groupBy("manuscript_id", "block"))
+    return words, found.applyInArrow(best, "manuscript_id string, window long, term string, n int, z double, rank int, bursts long")
 
 
 def _places(words: DataFrame, size: int, step: int) -> DataFrame:
@@ -322,18 +508,9 @@ def burst_regions(rows: DataFrame, size: int = 500, step: int = 100, threshold:
     A window stands at the paragraph of its middle word, with its words in that paragraph; windows of one such place are one
     group. A window's progress is that of its middle.
     """
-    words, counted = _burst_counts(rows, size, step)
-    stats = _burst_stats(counted).filter("deviation > 0").select(*_KEY, "rate", "deviation")
-    some = counted.filter("term IS NOT NULL AND s > 0").join(stats, _KEY)
-    some = some.filter(F.exists(F.zip_with("counts", "totals", _z), lambda z: z >= threshold))
-    # a row goes to its block with its arrays, and only there is there one for each window, which leaves it as its first k
-    some = some.select(*_KEY, "windows", "counts", "totals", "rate", "deviation", F.floor(F.col("windows")[0] / BLOCK).alias("block")).repartition("manuscript_id", "block")
-    hits = F.filter(F.zip_with("windows", F.zip_with("counts", "totals", _z), lambda w, z: F.struct(w.alias("window"), z.alias("z"))), lambda x: x["z"] >= threshold)
-    found = some.select(*_KEY, "block", F.inline(hits)).withColumn("z", F.round("z", 4))
-    of = Window.partitionBy("manuscript_id", "block", "window")
-    found = found.withColumn("rank", F.row_number().over(of.orderBy(F.desc("z"), "term", "n"))).withColumn("bursts", F.count("*").over(of)).filter(F.col("rank") <= k)
+    words, found = _bursts(rows, size, step, threshold, k)
     place = ["manuscript_id", "paragraph", "first_token", "last_token"]
-    own = saved(found.drop("block").join(_places(words, size, step), ["manuscript_id", "window"]))
+    own = saved(found.withColumn("z", F.round("z", 4)).join(_places(words, size, step), ["manuscript_id", "window"]))
     each = own.filter("rank = 1").select(*place, "bursts", "z", (F.round(F.col("progress") * 1e6).cast("long") * F.col("bursts")).alias("progress"))
     sums = each.groupBy(*place).agg(F.sum("bursts").alias("bursts"), F.max("z").alias("max_z"), F.round(F.sum("progress") / (1e6 * F.sum("bursts")), 2).alias("mean_progress"))
     # only the first k of a place leave each task: the limit of a rank is taken before the exchange too

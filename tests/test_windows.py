@@ -192,3 +192,22 @@ def test_only_frequent_patterns_are_counted_as_texts(spark):
     found = lexical.repeated_patterns(spark.createDataFrame(each, "manuscript_id string, doc_id long, text string"), 2, 4)
     assert sorted((str(r.manuscript_id), r.pattern, r["count"], r["rank"]) for r in found.collect()) == sorted(want) and len(want) == 6
     assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_meet_in_lots_and_not_as_rows(spark, monkeypatch):
+    """Many lots, sent in many parts, of manuscripts of several sizes; no row for a term of a block is joined or exchanged."""
+    own = {"a": mixed(11, 30, 1), "b": mixed(12, 8, 2), "c": ["lion tiger"], "d": mixed(13, 20, 3)}
+    rows = table(spark, [], "a")
+    for name, texts in own.items():
+        rows = rows.union(table(spark, texts, name).withColumn("doc_id", F.col("doc_id") + 1000 * ord(name[0])))
+    monkeypatch.setattr(windows, "BLOCK", 3)
+    monkeypatch.setattr(windows, "LOT", 60)
+    monkeypatch.setattr(windows, "HELD", 50)
+    found, regions = windows.burst_terms(rows, 50, 10, 1.5), windows.burst_regions(rows, 50, 10, 1.5)
+    got, where = found.collect(), regions.collect()
+    for name, texts in own.items():
+        terms, places_ = brute(texts, 50, 10, 1.5)
+        assert {r.term: (r.global_count, r.peak_count, r.peak_window, r.burst_windows) for r in got if r.manuscript_id == name} == {t: (x[1], x[2], x[3], x[6]) for t, x in terms.items()}
+        assert {(r.paragraph - 1000 * ord(name), r.first_token, r.last_token): r.bursts for r in where if r.manuscript_id == name} == {k: len(v) for k, v in places_.items()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" in plan and not re.search(r"(Join|Aggregate)[^\n]*term#", plan)
