@@ -444,3 +444,25 @@ def test_values_are_counted_within_their_rows(spark):
     for f in (lexical.themes, lexical.bursts):
         plan = f(spark.createDataFrame(rows, schema))._jdf.queryExecution().executedPlan().toString()
         assert not [x for x in plan.splitlines() if "hashpartitioning" in x and "doc_id" in x]
+
+
+def test_paragraphs_alike_by_chance_do_not_meet_and_copies_travel_together(spark, monkeypatch):
+    """Texts that share a few rare words aren't compared; a group of copies is compared in parts that each have a paragraph once."""
+    rng = random.Random(8)
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3)) + "qz"
+    common = [word(i) for i in range(40)]
+    texts = [[*rng.sample(common, 20), *[word(1000 + 10 * i + k) for k in range(10)], word(9000 + i % 30), word(9000 + i // 2 % 30)] for i in range(60)]
+    group = [word(12000 + k) for k in range(30)]
+    texts += [[w if rng.random() > 0.05 else word(13000 + 31 * i + k) for k, w in enumerate(group)] for i in range(30)] + [["two", "words"] * 5] * 2
+    sets = [(set(t), set(zip(t, t[1:]))) for t in texts]
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    score = {(i, j): jaccard(sets[i][0], sets[j][0]) * 0.7 + jaccard(sets[i][1], sets[j][1]) * 0.3 for j in range(len(texts)) for i in range(j) if len(sets[i][0] & sets[j][0]) >= 5}
+    expected = {p: round(s, 4) for p, s in score.items() if s >= 0.58}
+    kept = []
+    monkeypatch.setattr(similarity, "saved", lambda df, own=similarity.saved: kept.append(own(df)) or kept[-1])
+    monkeypatch.setattr(similarity, "PART", 7)
+    frame = rows(spark, [" ".join(t) for t in texts])
+    found = {(r.left_id, r.right_id): r.similarity for r in similarity.near_duplicate_pairs(frame).collect()}
+    assert found.keys() == expected.keys() and all(abs(found[p] - expected[p]) < 1e-4 for p in expected)
+    met, sent = kept[1].count(), kept[-1].count()
+    assert len(expected) > 400 and met <= len(expected) + 10 and sent < len(expected)
